@@ -276,3 +276,80 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("the components did not settle")
     return current.select(F.col("b").alias("id"), F.col("a").alias("component_id")).union(current.select(F.col("a").alias("id"), F.col("a").alias("component_id")).distinct())
+
+
+# ---- filters of fixed size for what a join can drop beforehand -----------------
+
+
+def key_filter(keys: DataFrame, bits: int = 23) -> np.ndarray:
+    """A table of 2^bits bits with those of the (long) keys set: a filter of one hash, of a size that the data cannot change.
+
+    It only thins out a join's larger side; where the keys fill it, all rows pass and the join decides.
+    """
+    cells = 1 << bits
+
+    def collect(batches):
+        out = np.zeros(cells, bool)
+        for batch in batches:
+            out[_cell(batch.column(0).to_numpy(), bits)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.packbits(out).tobytes()], pa.binary())], ["part", "table"])
+
+    def merge(batches):
+        out = None
+        for batch in batches:
+            for blob in batch.column("table"):
+                x = np.frombuffer(blob.as_py(), np.uint8)
+                out = x if out is None else out | x
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["part", "table"])
+
+    schema = "part int, table binary"
+    tables = keys.mapInArrow(collect, schema)
+    # A tree: the tables of a few tasks meet in one, so that no task gets those of all.
+    tables = tables.repartition(max(1, min(16, partitions(keys.sparkSession) // 4))).mapInArrow(merge, schema)
+    out = np.zeros(cells // 8, np.uint8)
+    for row in tables.collect():
+        out |= np.frombuffer(row.table, np.uint8)
+    return out
+
+
+def _cell(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def may_have(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    cell = _cell(np.ascontiguousarray(keys), int(len(table) * 8).bit_length() - 1)
+    return (table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+
+
+def thinned(df: DataFrame, column: str, table: np.ndarray, hits: bool = True) -> DataFrame:
+    """The rows whose key the filter may have; or, without ``hits``, those that it surely has not."""
+    sent = df.sparkSession.sparkContext.broadcast(table)
+
+    def run(batches):
+        for batch in batches:
+            ok = may_have(sent.value, batch.column(column).to_numpy()) == hits
+            yield batch.filter(pa.array(ok))
+
+    return df.mapInArrow(run, df.schema)
+
+
+# ---- labelled samples -----------------------------------------------------------
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, each: int, max_chars: int = 50_000):
+    """(texts, labels) of up to ``each`` labelled documents of either class, none of them held out.
+
+    The rows are those of the least hashes of the id, so reruns agree.  Ids are
+    chosen from ``labels`` alone; only the chosen ones, of a bounded number and
+    length, meet their texts and come to the driver.  Texts over ``max_chars``
+    are not learned from.
+    """
+    labels = table(spark, sf_dir, "labels", "doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (label_side() != 2))
+    picked = None
+    for value in (0, 1):
+        part = labels.where(F.col(label) == value).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        picked = part if picked is None else picked.union(part)
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "y"]).toPandas().sort_values(["doc_id", "y"])  # 2 * each rows at most
+    return rows["text"].tolist(), rows["y"].to_numpy(np.int64)

@@ -91,9 +91,12 @@ def sketches(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
             k = np.where(n > 0, n - _needed(n, percent) + 1, 0)
             ends = np.cumsum(k)
             take = np.repeat(at[:-1] - (ends - k), k) + np.arange(int(ends[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(C.signed, digests), C.lists(C.signed(tokens[take]), np.concatenate(([0], ends)))], ["doc_id", "n", "digest_a", "digest_b", "prefix"])
+            doc = np.repeat(np.arange(len(n)), n)
+            counts = np.bincount(doc * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(n) * CLASSES)
+            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CLASSES)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(C.signed, digests), C.lists(C.signed(tokens[take]), np.concatenate(([0], ends))), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "n", "digest_a", "digest_b", "prefix", "classes"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest_a long, digest_b long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, digest_a long, digest_b long, prefix array<long>, classes binary")
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,31 +177,29 @@ def _pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
 
 
-def _candidate_sets(docs: DataFrame, ids: DataFrame, width: int, levels) -> DataFrame:
-    """(doc_id, tokens, classes) of the documents of ``ids``: sorted tokens, and how many fall in each class."""
+def _whole_sets(docs: DataFrame, pairs: DataFrame, width: int, levels) -> DataFrame:
+    """(doc_id, tokens) of the documents of the pairs: their sorted tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
         for batch in C.small_batches(batches):
             tokens, at = _tokens(batch, width, sent.value, SKETCH_BITS)
-            size = np.diff(at)
-            doc = np.repeat(np.arange(len(size)), size)
-            counts = np.bincount(doc * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(size) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), C.lists(C.signed(tokens), at), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "tokens", "classes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), C.lists(C.signed(tokens), at)], ["doc_id", "tokens"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, tokens array<long>, classes binary")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return C.thinned(docs, "doc_id", C.key_filter(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, tokens array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets link."""
-
-    def need(n1, n2):
-        return -(-percent * (n1 + n2) // (100 + percent))
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
+    """The pairs whose sets link; only those that pass the suffix filter need their whole sets."""
 
     def suffix(batches):
         for batch in batches:
-            x, y = (np.frombuffer(C.text_buffers(batch.column(c))[0], np.int32).reshape(-1, CLASSES) for c in ("ca", "cb"))
-            ok = np.minimum(x, y).sum(1, dtype=np.int64) >= need(x.sum(1, dtype=np.int64), y.sum(1, dtype=np.int64))
+            x, y = (np.frombuffer(C.text_buffers(batch.column(c))[0], np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb"))
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            low = np.minimum(x, y)
+            # A count of 255 stands for any larger one: it bounds nothing.
+            ok = (low.sum(1, dtype=np.int64) >= -(-percent * n // (100 + percent))) | (low == 255).any(1)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def exact(batches):
@@ -215,13 +216,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok[i] = 100 * shared >= percent * (len(both) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    light = sets.select("doc_id", "classes")
-    left = pairs.join(light.select(F.col("doc_id").alias("a"), F.col("classes").alias("ca")), "a")
-    both = left.join(light.select(F.col("doc_id").alias("b"), F.col("classes").alias("cb")), "b").select("a", "b", "ca", "cb")
+    def side(df, end, **columns):
+        return df.select(F.col("doc_id").alias(end), *(F.col(c).alias(name) for name, c in columns.items()))
+
+    left = pairs.join(side(sets, "a", na="n", ca="classes"), "a")
+    both = left.join(side(sets, "b", nb="n", cb="classes"), "b").select("a", "b", "na", "nb", "ca", "cb")
     likely = C.stored(both.mapInArrow(suffix, "a long, b long"))
-    heavy = sets.select("doc_id", "tokens")
-    left = likely.join(heavy.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(heavy.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b").select("a", "b", "ta", "tb")
+    whole = C.stored(_whole_sets(docs, likely, width, levels))
+    both = likely.join(side(whole, "a", ta="tokens"), "a").join(side(whole, "b", tb="tokens"), "b").select("a", "b", "ta", "tb")
     return C.stored(both.mapInArrow(exact, "a long, b long"))
 
 
@@ -232,16 +234,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets = C.stored(sketches(docs, width, percent, levels))
     classes = sets.where("n > 0").groupBy("digest_a", "digest_b", "n").agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("doc_id"))
     postings = C.stored(shared_postings(classes))
-    chained = _pairs(postings, percent, False)
-    # Sets of all documents that a second round could ask for.
-    wanted = C.stored(_candidate_sets(docs, postings.select("doc_id").distinct(), width, levels))
-    first = _verified(chained, wanted, percent)
+    one = sets.select("doc_id", "n", "classes").dropDuplicates(["doc_id"])
+    first = _verified(_pairs(postings, percent, False), one, docs, width, percent, levels)
     reached = C.components(first)
     marked = postings.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    second = _verified(_pairs(marked, percent, True), wanted, percent)
+    second = _verified(_pairs(marked, percent, True), one, docs, width, percent, levels)
     found = C.components(reached.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(second.select("a", "b")).where("a <> b"))
     # Copies follow their representative.
-    reps = classes.select("digest_a", "digest_b", "n", F.col("doc_id").alias("rep"))
+    reps = sets.where("n > 0").groupBy("digest_a", "digest_b", "n").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest_a", "digest_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "digest_a", "digest_b").join(reps, ["digest_a", "digest_b", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
