@@ -8,8 +8,7 @@ dimension, a new one opens.  Open sequences lie in buckets by free tokens and
 number of documents, searched from the tightest until the token term alone
 exceeds the best norm, so the choice is the exact minimum over the buckets.
 
-Shards (by hash of piece; as many as shuffle partitions) are packed on their
-own.  At most one sequence of a shard can be half empty or more: these, one for
+Shards (by hash of piece, of about 5,000 pieces each) are packed on their own.  At most one sequence of a shard can be half empty or more: these, one for
 each shard, are packed once more together.
 
 Only small rows (no ids) are shuffled.  A null text is empty: one piece, the
@@ -31,6 +30,8 @@ from . import common as C
 
 LENGTH = 2048
 END_ID = 0
+#: Pieces that one group packs, on average.
+SHARD_PIECES = 5000
 #: Weights of free tokens, documents and attention cost in the norm.
 WEIGHTS = (1.0, 0.002, 0.02)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -153,14 +154,15 @@ def best_fit(lengths: list[int], counts: list[int], costs: list[int], caps: tupl
     return where
 
 
-def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, shards: int | None = None) -> DataFrame:
+def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None, max_cost: int | None = None, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``parts`` (with doc_id, piece, length and any more) with sequence_id and offset.
 
     max_docs and max_cost default to what a full sequence can hold, and then do not bind.
     """
     spark = parts.sparkSession
     caps = (length, max_docs or length, max_cost or length * length)
-    shards = shards or C.partitions(spark)
+    parts = C.stored(parts)
+    shards = max(1, -(-parts.count() // shard_pieces))
     columns = parts.columns
     schema = parts.schema.add("sequence_id", "long").add("offset", "long")
 

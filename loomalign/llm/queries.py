@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import mixing, ngram_join, packing, quality_rules, substring_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1,
+        "op3_substring_dedup": substring_dedup.op3,
+        "op4_packing": packing.op4,
+        "op6_mixing": mixing.op6,
         "op8_ngram_join": ngram_join.op8,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op6_mixing": mixing.SQL,
+    }
