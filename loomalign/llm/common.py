@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: White space between words: \x20 and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time; NumPy needs some forty times as much memory.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -26,9 +26,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Only the named columns of a table: others, whatever their names, are never read."""
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Batches that go to Python have a bound in bytes, since texts vary: by rows alone, 10,000 long ones go at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; on one machine without a setting, a folder of the warehouse."""
     return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
@@ -66,8 +72,8 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of text, or of one row."""
+def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``limit`` bytes of text (or one row) and at most ``rows`` rows."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -75,7 +81,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), start + rows, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
 

@@ -15,7 +15,8 @@ links, the number of links of each vector and a spanning forest of them; so
 rows grow with vectors times tiles and not with links.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
-rows without a label, link with nothing: n_links 0, a component of their own.
+rows without a label or vec_id, link with nothing: n_links 0, a component of
+their own (kept; null without vec_id).
 Vectors of different length never link.
 """
 
@@ -37,7 +38,7 @@ THRESHOLD = 0.93
 def _valid():
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     nonzero = F.exists("embedding", lambda x: x != 0)
-    return F.coalesce(F.col("embedding").isNotNull() & F.col("label").isNotNull() & finite & nonzero, F.lit(False))
+    return F.coalesce(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.col("label").isNotNull() & finite & nonzero, F.lit(False))
 
 
 def rotations(vectors: DataFrame, sample: int = SAMPLE) -> dict[int, np.ndarray]:
@@ -140,7 +141,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     judged = reps.join(links, "id", "left").join(comps, "id", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     out = plain.join(judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~_valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.union(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,7 +135,8 @@ def drawn(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix, each as often as the mix takes it (to the nearest whole document); columns as in ``docs``."""
     times = mixed(docs.select("doc_id", "text", "source"), **options).where("size > 0")
     times = times.groupBy("doc_id").agg(F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("_times")).where("_times > 0")
-    joined = docs.select(F.col("doc_id").alias("_id"), F.struct(*docs.columns).alias("_row")).join(times.withColumnRenamed("doc_id", "_id"), "_id")
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("_id")
+    joined = docs.select(key, F.struct(*docs.columns).alias("_row")).join(times.select(key, "_times"), "_id")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_row.*")
 
 

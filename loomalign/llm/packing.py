@@ -23,6 +23,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,7 +170,7 @@ def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None,
     def pack(key, group):
         shard = key[0].as_py()
         group = group.select(columns)
-        size, doc, piece = (group.column(c).to_numpy() for c in ("length", "doc_id", "piece"))
+        size, doc, piece = (pc.fill_null(group.column(c), -1).to_numpy() for c in ("length", "doc_id", "piece"))
         order = np.lexsort((piece, doc, -size))
         group, size = group.take(pa.array(order)), size[order]
         at = np.array(best_fit(size.tolist(), [1] * len(size), (size * size).tolist(), caps), np.int64)

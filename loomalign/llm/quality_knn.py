@@ -129,7 +129,7 @@ def scored(docs: DataFrame, model: Neighbours | None, threshold: float = THRESHO
             score = sent.value.score(batch) if sent.value is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score.astype(np.float64)), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", (C.label_side() == 2).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(C.label_side() == 2, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 

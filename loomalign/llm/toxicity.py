@@ -148,7 +148,7 @@ def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
                 score = model[1](np.array([features(t, model[0]) for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select("doc_id", (C.label_side() == 2).alias("held_out"), "text")
+    rows = docs.select("doc_id", F.coalesce(C.label_side() == 2, F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
