@@ -19,7 +19,7 @@ from differently) is not put into one task: its windows are dealt by their own
 hash instead.  Filters of a fixed size (1 MB) thin out texts and pieces before
 they are joined.
 
-Nulls are empty texts.  Texts below 400 bytes keep all bytes.  Repeated rows
+Nulls are empty texts; rows without doc_id keep all bytes and repeat nothing.  Texts below 400 bytes keep all bytes.  Repeated rows
 repeat each other.  Strings are judged on the input; matches never cross texts.
 """
 
@@ -37,7 +37,7 @@ from .induced import permuted_lcp, suffix_array
 from .ngram_join import _runs, _whole_groups
 
 GRAM = 100
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 _PIECE = "h long, g long, n int, count long, doc_id long, at int, twice boolean"
 
 
@@ -117,7 +117,7 @@ def _batch(h, g, n, count, doc, at, twice, *more):
 
 
 def hashed_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Pieces of all texts; equal ones of up to half a million are merged before they are dealt."""
+    """Pieces of all texts; equal ones of up to 200,000 are merged before they are dealt."""
 
     def run(batches):
         held, size = [], 0
@@ -126,7 +126,7 @@ def hashed_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
             if len(row):
                 held.append((h, g, n, np.ones(len(row), np.int64), batch.column("doc_id").to_numpy()[row], at, twice))
                 size += len(row)
-            if size > 500_000:
+            if size > 200_000:
                 yield _batch(*_merged(*map(np.concatenate, zip(*held, strict=True))))
                 held, size = [], 0
         if held:
@@ -293,20 +293,21 @@ def spans(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _apply(docs: DataFrame, length: int, gram: int, shard_bytes: int, schema, columns) -> DataFrame:
     """``columns(batch, spans of each row)`` of every row; texts that surely have nothing to remove are not shuffled."""
-    ranges = C.stored(removed_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, shard_bytes))
+    named = docs.where("doc_id is not null")
+    ranges = C.stored(removed_ranges(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, shard_bytes))
     table = C.key_filter(ranges.select("doc_id"))
 
     def run(batches):
         for batch in C.small_batches(batches):
-            lists = batch.column("ranges") if "ranges" in batch.schema.names else None
+            lists = batch.column("_removed_ranges") if "_removed_ranges" in batch.schema.names else None
             got = []
             for i in range(batch.num_rows):
                 flat = lists[i].values.to_numpy() if lists is not None and lists[i].is_valid else np.zeros(0, np.int32)
                 got.append(spans(flat))
             yield columns(batch, got)
 
-    hit = C.thinned(docs, "doc_id", table).join(ranges, "doc_id", "left")
-    rest = C.thinned(docs, "doc_id", table, False)
+    hit = C.thinned(named, "doc_id", table).join(ranges.withColumnRenamed("ranges", "_removed_ranges"), "doc_id", "left")
+    rest = C.thinned(named, "doc_id", table, False).union(docs.where("doc_id is null"))
     return hit.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
 
 
@@ -336,14 +337,16 @@ def report(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: in
 
 
 def cleaned(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """``docs`` without the repeated bytes.  A cut inside a character leaves the replacement character in its place."""
+    """``docs`` without the repeated bytes.  The rest of a character that a cut has split goes too."""
+
+    names = docs.columns
 
     def columns(batch, got):
         data, offsets = C.text_buffers(batch.column("text"))
         raw = data.tobytes()
         known = batch.column("text").is_valid().to_pylist()
-        texts = [_left(raw[offsets[i] : offsets[i + 1]], a, b).decode("utf-8", "replace") if known[i] else None for i, (a, b) in enumerate(got)]
-        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in docs.columns], docs.columns)
+        texts = [_left(raw[offsets[i] : offsets[i + 1]], a, b).decode("utf-8", "ignore") if known[i] else None for i, (a, b) in enumerate(got)]
+        return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return _apply(docs, length, gram, shard_bytes, docs.schema, columns)
 
