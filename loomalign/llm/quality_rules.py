@@ -223,12 +223,17 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE, max_lines: int =
     field = LineField()
     if len(set(y.tolist())) < 2:
         return field
-    a = analyse(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"]))
-    doc = a["line_doc"]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    use = rank < max_lines
-    label = np.where(a["seen"], 0, y[doc])
-    return field.fit(a["features"][use], doc[use], label[use])
+    features, docs, labels, base = [], [], [], 0
+    for batch in C.small_batches([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]):
+        a = analyse(batch)
+        doc = a["line_doc"]
+        use = np.arange(len(doc)) - np.searchsorted(doc, doc) < max_lines
+        features.append(a["features"][use].astype(np.int32))
+        docs.append(doc[use] + base)
+        labels.append(np.where(a["seen"], 0, y[base + doc])[use])
+        base += batch.num_rows
+    features, docs, labels = map(np.concatenate, (features, docs, labels))
+    return field.fit(features, docs, labels)
 
 
 def judged(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
