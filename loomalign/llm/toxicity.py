@@ -4,7 +4,7 @@ Two dictionaries share a base of frequent words, in the same place.  Before it,
 one has the words that toxic training texts have significantly more often (in
 themselves or by their first letters), the other has filler of the same size.
 Ordinary text so compresses to about the same length with both, and what is
-typical of toxic text compresses shorter with the first.  Windows of eight words
+typical of toxic text compresses shorter with the first.  Windows of thirty words
 are compressed with both; how the differences of a text's windows are spread
 (largest, mean, share and number over a threshold) is calibrated to a
 probability by logistic regression on training texts that no dictionary has seen.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE = 1200
-WINDOW = 8
-BASE_BYTES, OWN_BYTES = 24_000, 1_500
+WINDOW = 30
+BASE_BYTES, OWN_BYTES = 24_000, 1_000
 LEVEL = 9
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
