@@ -128,3 +128,37 @@ def top_hits(scores: DataFrame, k: int) -> DataFrame:
     hits = part.select("query_id", F.explode("hits").alias("h"))
     ranked = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("hits"))
     return ranked.select("query_id", F.posexplode("hits").alias("rank", "h")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("h.target_id").alias("target_id"), F.col("h.len").alias("len"), (-F.col("h.s")).alias("score"))
+
+
+def routes_apart(targets: DataFrame, query: str | dict[str, str], algorithm: str = "sw", threshold: int = 4096, **options) -> DataFrame:
+    """The two routes scored as two jobs and put together again: where long targets want a cluster's own settings.
+
+    ``search`` scores both in one pass; the scores are the same.
+    """
+    rows = routed(targets, threshold)
+    small = search(rows.where("route = 'small'").drop("route"), query, algorithm, threshold, **options)
+    large = search(rows.where("route = 'large'").drop("route"), query, algorithm, threshold, **options)
+    return small.unionByName(large)
+
+
+def with_redo(first: DataFrame, redo: DataFrame, keys: tuple[str, ...] = ("query_id", "target_id")) -> DataFrame:
+    """``first`` with the scores of ``redo`` where that has them."""
+    again = redo.select(*keys, F.col("score").alias("_again"))
+    return first.join(again, list(keys), "left").withColumn("score", F.coalesce("_again", "score")).drop("_again").select(*first.columns)
+
+
+def narrow_first(targets: DataFrame, query: str, algorithm: str = "sw", limit: int | None = None, **options) -> DataFrame:
+    """Scores in two steps: all targets whose cells a narrow type surely holds, then the others by the wide one.
+
+    The kernels choose the width by the same bound for each batch, so ``search``
+    needs no second step; this keeps the two apart where the flagged ones are of
+    interest.
+    """
+    limit = limit or kernels.NARROW_LIMIT
+    top = F.least(F.col("len"), F.lit(len(query))) * 11
+    border = F.col("len") + len(query) if algorithm == "nw" else F.lit(0)
+    flagged = (top >= limit) | (border >= limit)
+    scores = search(targets.where(~flagged), query, algorithm, **options)
+    redo = search(targets.where(flagged), query, algorithm, engine="scalar", max_query=None)
+    blank = redo.withColumn("score", F.lit(None).cast("int"))
+    return with_redo(scores.unionByName(blank), redo)

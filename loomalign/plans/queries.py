@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomalign.functions import scoring as S
 from loomalign.operators import layout as L
 from loomalign.operators import verify as V
-from loomalign.operators.search import search, top_hits
+from loomalign.operators.search import narrow_first, routes_apart, search, top_hits
 from loomalign.sources import fasta
 
 QUERY = "ARNDCQEGHILKMFPSTWYV"
@@ -185,6 +185,8 @@ def queries() -> dict:
         "sw_scalar": lambda s, d: _scores(search(parts(s, d), QUERY, "sw", engine="scalar")),
         "nw_scalar": lambda s, d: _scores(search(parts(s, d), QUERY, "nw", engine="scalar")),
         "hybrid_search": lambda s, d: search(parts(s, d), QUERY, "sw", threshold=12).select("query_id", "target_id", "route", "score"),
+        "route_union": lambda s, d: _scores(routes_apart(parts(s, d), QUERY, "sw", threshold=12)),
+        "overflow_redo": lambda s, d: _scores(narrow_first(parts(s, d), QUERY, "nw", limit=120)),
         "multi_query": lambda s, d: _scores(search(parts(s, d), QUERIES, "nw")),
         "shortest_search": lambda s, d: _scores(search(parts(s, d), QUERY, "sw", num_seqs=20)),
         "sw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "sw", threshold=THRESHOLD)),
@@ -226,8 +228,8 @@ def oracle_sql() -> dict[str, str]:
         "padding_waste": f"SELECT CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(padding) AS BIGINT) AS padding FROM ({_LAYOUT})",
         "overflow_risk": f"SELECT CAST(floor(ord / CAST(32 AS DOUBLE)) AS BIGINT) AS batch, bool_or(least(len, 464) * 11 >= 30000) AS local, bool_or(least(len, 464) * 11 >= 30000 OR greatest(len, 464) + 9 >= 30000) AS whole FROM ({_POS}) GROUP BY 1",
         "cells_and_residues": f"SELECT count(*) AS sequences, max(len) AS longest, CAST(sum(len) AS BIGINT) AS residues, CAST(sum(len) * 464 AS BIGINT) AS cells FROM ({_LEN})",
-        **dict.fromkeys(("sw_search", "sw_native", "sw_scalar"), sw),
-        **dict.fromkeys(("nw_search", "nw_native", "nw_scalar"), nw),
+        **dict.fromkeys(("sw_search", "sw_native", "sw_scalar", "route_union"), sw),
+        **dict.fromkeys(("nw_search", "nw_native", "nw_scalar", "overflow_redo"), nw),
         "hybrid_search": f"SELECT query_id, s.target_id, CASE WHEN length(seq) >= 12 THEN 'large' ELSE 'small' END AS route, score FROM ({sw}) s JOIN ({_PARTS}) p ON p.target_id = s.target_id",
         "multi_query": _scores_sql(_PARTS, QUERIES, "nw"),
         "shortest_search": _scores_sql(f"SELECT * FROM ({_PARTS}) ORDER BY length(seq), target_id LIMIT 20", one, "sw"),
