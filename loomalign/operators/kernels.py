@@ -21,8 +21,8 @@ import numpy as np
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, NARROW_LIMIT, algorithm_name
 
-#: Cells of one batch's column: the arrays of a step stay within a core's cache.
-COLUMN_CELLS = 1 << 20
+#: Cells of one batch's column: long vectors, in arrays of a few MB.
+COLUMN_CELLS = 1 << 22
 _TOP = int(MATRIX.max())
 _NEG = -(1 << 29)
 
@@ -88,34 +88,35 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     h = np.repeat(border[:, None], size, 1)  # column before, border row first
     e = np.repeat((border - open_)[1:, None], size, 1)
     best = np.zeros(size, kind)
-    p = np.empty((m, size), kind)
+    p = h[1:] - open_  # between columns: what a gap opened after each cell would leave
     rows = q.astype(np.intp)
-    f, x = np.empty(size, kind), np.empty(size, kind)
+    f, room = np.empty(size, kind), np.empty(m * size, kind)
+    last, zero = m - 1, kind(0)
     for j in range(longest):
         b = int(live[j])
-        hb, eb, pb, fb, xb = h[:, :b], e[:, :b], p[:, :b], f[:b], x[:b]
+        top = best[:b]
+        hb, eb, pb, fb = h[:, :b], e[:, :b], p[:, :b], f[:b]
         if j:
-            # Gap along the target: open from, or extend beside, the column before.
+            # Gap along the target: extend, or open after the column before.
             np.subtract(eb, extend, out=eb)
-            np.subtract(hb[1:], open_, out=pb)
             np.maximum(eb, pb, out=eb)
-        np.add(hb[:-1], np.take(np.take(matrix, codes[j, :b], 1), rows, 0), out=pb)
-        np.maximum(pb, eb, out=pb)
-        if local:
-            np.maximum(pb, kind(0), out=pb)
-        else:
+        score = room[: m * b].reshape(m, b)
+        np.take(np.take(matrix, codes[j, :b], 1), rows, 0, out=score, mode="clip")
+        np.add(hb[:-1], score, out=score)
+        np.maximum(score, eb, out=score)
+        if not local:
             hb[0] = -gap(j + 1, int(open_), int(extend))
         np.subtract(hb[0], open_, out=fb)
-        last = m - 1
         for i in range(m):
-            cell = hb[i + 1]
-            np.maximum(pb[i], fb, out=cell)
+            cell, opened = hb[i + 1], pb[i]
+            np.maximum(score[i], fb, out=cell)
+            if local:
+                np.maximum(cell, zero, out=cell)
+                np.maximum(top, cell, out=top)
+            np.subtract(cell, open_, out=opened)
             if i < last:
                 np.subtract(fb, extend, out=fb)
-                np.subtract(cell, open_, out=xb)
-                np.maximum(fb, xb, out=fb)
-        if local:
-            np.maximum(best[:b], hb[1:].max(0), out=best[:b])
+                np.maximum(fb, opened, out=fb)
         after = int(live[j + 1]) if j + 1 < longest else 0
         if after < b:
             out[order[after:b]] = best[after:b] if local else h[m, after:b]
@@ -157,7 +158,7 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
     return best if local else int(h[n])
 
 
-def batches(lengths: list[int], m: int, most: int = 4096, cells: int = COLUMN_CELLS, residues: int = 1 << 25) -> list[tuple[int, int]]:
+def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_CELLS, residues: int = 1 << 25) -> list[tuple[int, int]]:
     """Stretches of a sorted list to score together: bounded in sequences, cells of a column and residues; never empty."""
     limit = max(1, min(most, cells // max(m, 1)))
     out, start, total = [], 0, 0
