@@ -36,20 +36,24 @@ def routed(df: DataFrame, threshold: int) -> DataFrame:
 
 
 def positioned(df: DataFrame, key: str = "target_id", parts: int = 1024) -> DataFrame:
-    """Adds ord (place in length order, from 0) and start (residues before it).
+    """Adds ord (place in length order, from 0) and start (residues before it), by length and then (numeric) id.
 
-    A global running sum without one task for all rows: counts and sums by
-    length come first (a table with a row for each length), then places within
-    equal lengths, dealt over ``parts`` by id.
+    A global running sum without one task for all rows: ids fall in ``parts``
+    ranges of equal width; counts and sums by length and range come first (a
+    table of at most lengths times parts rows), then places within each, so
+    a length that all rows have is still many tasks.
     """
-    lengths = df.groupBy("len").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("r"))
-    before = Window.orderBy("len").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = lengths.select("len", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("base_r"))
-    within = Window.partitionBy("len").orderBy(key)
+    ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    width = (F.col("_high") - F.col("_low") + 1).cast("double")
+    rows = df.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor((F.col(key) - F.col("_low")) / width * parts)).drop("_low", "_high")
+    sums = rows.groupBy("len", "_part").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("r"))
+    before = Window.orderBy("len", "_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("len", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("_base_r"))
+    within = Window.partitionBy("len", "_part").orderBy(key)
     return (
-        df.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(lengths, "len")
-        .select(*df.columns, (F.col("base") + F.col("_rank")).alias("ord"), (F.col("base_r") + F.col("_rank") * F.col("len")).cast("long").alias("start"))
+        rows.withColumn("_rank", F.row_number().over(within) - 1)
+        .join(sums, ["len", "_part"])
+        .select(*df.columns, (F.col("_base") + F.col("_rank")).alias("ord"), (F.col("_base_r") + F.col("_rank") * F.col("len")).cast("long").alias("start"))
     )
 
 

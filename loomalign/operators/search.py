@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode
@@ -119,15 +119,13 @@ def search(
 
 
 def top_hits(scores: DataFrame, k: int) -> DataFrame:
-    """Extension: the k best targets of each query; equal scores by id.
+    """Extension: (query_id, rank, target_id, len, score) of the k best targets of each query; equal scores by id.
 
-    Each task first keeps its own k (a partial aggregate), so a query's rows don't meet in one.
+    A rank with a limit: each task keeps its own k before anything is shuffled.
     """
-    best = F.struct((-F.col("score")).alias("s"), "target_id", "len")
-    part = scores.where("score is not null").groupBy("query_id", F.pmod(F.xxhash64("target_id"), F.lit(256)).alias("p")).agg(F.slice(F.array_sort(F.collect_list(best)), 1, k).alias("hits"))
-    hits = part.select("query_id", F.explode("hits").alias("h"))
-    ranked = hits.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("h")), 1, k).alias("hits"))
-    return ranked.select("query_id", F.posexplode("hits").alias("rank", "h")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("h.target_id").alias("target_id"), F.col("h.len").alias("len"), (-F.col("h.s")).alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "target_id")
+    ranked = scores.where("score is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "target_id", "len", "score")
 
 
 def routes_apart(targets: DataFrame, query: str | dict[str, str], algorithm: str = "sw", threshold: int = 4096, **options) -> DataFrame:
