@@ -9,7 +9,7 @@ number of documents, searched from the tightest until the token term alone
 exceeds the best norm, so the choice is the exact minimum over the buckets.
 
 Shards (by hash of piece, of about 5,000 pieces each) are packed on their own.  At most one sequence of a shard can be half empty or more: these, one for
-each shard, are packed once more together.
+each shard, are packed once more, those of 1,024 shards together.
 
 Only small rows (no ids) are shuffled.  A null text is empty: one piece, the
 closing id.  Repeated rows are packed as often as they come.
@@ -160,7 +160,6 @@ def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None,
 
     max_docs and max_cost default to what a full sequence can hold, and then do not bind.
     """
-    spark = parts.sparkSession
     caps = (length, max_docs or length, max_cost or length * length)
     parts = C.stored(parts)
     shards = max(1, -(-parts.count() // shard_pieces))
@@ -183,19 +182,21 @@ def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None,
 
     dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     alone = C.stored(dealt.groupBy("shard").applyInArrow(pack, schema))
-    # One sequence of each shard at most is half empty: a row each, as many as shards, meets on the driver.
+    # At most one sequence of a shard is half empty: a row each, and 1,024 shards' rows are packed together.
     fill = alone.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("docs"), F.sum(F.col("length") * F.col("length")).alias("cost"))
     small = fill.where(F.col("tokens") * 2 <= length).groupBy(F.shiftright("sequence_id", 32).alias("shard")).agg(F.min_by(F.struct("sequence_id", "tokens", "docs", "cost"), F.struct("tokens", "sequence_id")).alias("s"))
-    rows = sorted((r.s for r in small.collect()), key=lambda r: (-r.tokens, r.sequence_id))
-    if len(rows) < 2:
-        return alone
-    at = best_fit([r.tokens for r in rows], [r.docs for r in rows], [r.cost for r in rows], caps)
-    first, shift, moves = {}, {}, []
-    for r, b in zip(rows, at, strict=True):
-        moves.append((r.sequence_id, first.setdefault(b, r.sequence_id), shift.get(b, 0)))
-        shift[b] = shift.get(b, 0) + r.tokens
-    moved = spark.createDataFrame(moves, "sequence_id long, into long, shift long")
-    out = alone.join(F.broadcast(moved), "sequence_id", "left")
+
+    def again(key, group):
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("tokens", "sequence_id", "docs", "cost")), strict=True), key=lambda r: (-r[0], r[1]))
+        at = best_fit([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], caps)
+        into, shift, moves = {}, {}, []
+        for (tokens, name, _, _), b in zip(rows, at, strict=True):
+            moves.append((name, into.setdefault(b, name), shift.get(b, 0)))
+            shift[b] = shift.get(b, 0) + tokens
+        return pa.table(dict(zip(("sequence_id", "into", "shift"), (pa.array(c, pa.int64()) for c in zip(*moves, strict=True)), strict=True)))
+
+    moved = small.select("s.*", F.shiftright("shard", 10).alias("block")).groupBy("block").applyInArrow(again, "sequence_id long, into long, shift long")
+    out = alone.join(moved, "sequence_id", "left")
     return out.select(*columns, F.coalesce("into", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset"))
 
 
