@@ -12,15 +12,19 @@ are found as follows.
    partition.  Tokens of one document are dropped there.
 4. Within a token, pairs pass the length and the positional filter.  A first
    round takes each document with the next one of the token only; components
-   of the links found so far are formed; a second round takes all remaining
-   pairs between *different* components.  So a group of many near copies costs
-   a chain of verifications and not their square, and no link between
-   components is lost.
-5. Every pair is verified once: a suffix filter (counts of tokens in 256
-   classes bound the overlap) and then the exact intersection.
+   of the links found so far are formed; a second round takes what is left
+   between *different* components, so that no link between components is lost.
+   Tokens of few documents give pairs.  Those of many (a group of copies just
+   below the threshold) give pairs of tiles of about 512 documents; two tiles
+   are compared in one task, which returns a spanning forest of their links and
+   not the pairs.
+5. Pairs of tokens of few documents must share enough of their prefixes.
+6. Pairs are verified once: a suffix filter (counts of tokens in 256 classes
+   bound the overlap) and then the exact intersection.
 
 Nulls, empty texts and texts without words have an empty set: n_shingles 0, a
-component of their own.  Texts with fewer words than n are one shingle.
+component of their own.  Rows without doc_id link with nothing and have no
+component.  Texts with fewer words than n are one shingle.
 Repeated rows collapse and come out as often as they came in.
 """
 
@@ -35,7 +39,9 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SKETCH_BITS = 20
+#: Classes of the suffix filter for sets of up to CLASS_SIZES[0]; four times as many beyond each size.
 CLASSES = 256
+CLASS_SIZES = (1024, 4096, 16384)
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +83,40 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
+def _class_counts(tokens: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """How many tokens of each set fall in each class, one byte a class; larger sets have more classes."""
+    out = [b""] * len(n)
+    doc = np.repeat(np.arange(len(n)), n)
+    level = np.searchsorted(CLASS_SIZES, n, "left")
+    for k in np.unique(level):
+        width = CLASSES << (2 * int(k))
+        rows = np.flatnonzero(level == k)
+        use = np.isin(doc, rows) if len(rows) < len(n) else slice(None)
+        at = np.searchsorted(rows, doc[use]) * width + (tokens[use] % np.uint64(width)).astype(np.int64)
+        counts = np.minimum(np.bincount(at, minlength=len(rows) * width), 255).astype(np.uint8).reshape(-1, width)
+        for r, c in zip(rows.tolist(), counts, strict=True):
+            out[r] = c.tobytes()
+    return out
+
+
+def _most_shared(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """An upper bound of the intersections of pairs of sets, from their counts by class."""
+    out = np.zeros(len(x), np.int64)
+    (xd, xo), (yd, yo) = C.text_buffers(x), C.text_buffers(y)
+    kinds = np.stack((np.diff(xo), np.diff(yo)), 1)
+    for a, b in np.unique(kinds, axis=0).tolist():
+        rows = np.flatnonzero((kinds == (a, b)).all(1))
+        if not a or not b:
+            continue
+        p, q = xd[xo[rows, None] + np.arange(a)], yd[yo[rows, None] + np.arange(b)]
+        # A count of 255 stands for any larger one: it bounds nothing.
+        wild = ((p == 255).any(1)) & ((q == 255).any(1))
+        width = min(a, b)
+        p, q = (z.reshape(len(rows), -1, width).sum(1, dtype=np.int32) for z in (p, q))
+        out[rows] = np.where(wild, np.iinfo(np.int64).max, np.minimum(p, q).sum(1))
+    return out
+
+
 def sketches(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
     """(doc_id, n, digest_a, digest_b, prefix): sizes, digests of the sets, first tokens."""
     bits = SKETCH_BITS
@@ -91,10 +131,8 @@ def sketches(docs: DataFrame, width: int, percent: int, levels) -> DataFrame:
             k = np.where(n > 0, n - _needed(n, percent) + 1, 0)
             ends = np.cumsum(k)
             take = np.repeat(at[:-1] - (ends - k), k) + np.arange(int(ends[-1]))
-            doc = np.repeat(np.arange(len(n)), n)
-            counts = np.bincount(doc * CLASSES + (tokens % np.uint64(CLASSES)).astype(np.int64), minlength=len(n) * CLASSES)
-            counts = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CLASSES)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(C.signed, digests), C.lists(C.signed(tokens[take]), np.concatenate(([0], ends))), pa.array([c.tobytes() for c in counts], pa.binary())], ["doc_id", "n", "digest_a", "digest_b", "prefix", "classes"])
+            classes = _class_counts(tokens, n)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), *map(C.signed, digests), C.lists(C.signed(tokens[take]), np.concatenate(([0], ends))), pa.array(classes, pa.binary())], ["doc_id", "n", "digest_a", "digest_b", "prefix", "classes"])
 
     return docs.mapInArrow(run, "doc_id long, n long, digest_a long, digest_b long, prefix array<long>, classes binary")
 
@@ -136,49 +174,171 @@ def shared_postings(sets: DataFrame) -> DataFrame:
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(keep, "token long, n int, doc_id long, pos int")
 
 
-def _pairs(postings: DataFrame, percent: int, every: bool) -> DataFrame:
-    """Candidate pairs (a < b) of the tokens: neighbours only, or all of different components."""
+def _passes(n1, n2, p1, p2, percent):
+    """Length and positional filter."""
+    low, high = np.minimum(n1, n2), np.maximum(n1, n2)
+    need = -(-percent * (n1 + n2) // (100 + percent))
+    return (100 * low >= percent * high) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need)
+
+
+def _pair_batch(doc, n, pos, i, j, percent):
+    ok = _passes(n[i], n[j], pos[i], pos[j], percent)
+    got = np.unique(np.stack((np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok])), axis=1)
+    return pa.array(got[0]), pa.array(got[1])
+
 
-    def passes(n1, n2, p1, p2):
-        low, high = np.minimum(n1, n2), np.maximum(n1, n2)
-        need = -(-percent * (n1 + n2) // (100 + percent))
-        return (100 * low >= percent * high) & (1 + np.minimum(n1 - p1 - 1, n2 - p2 - 1) >= need)
+def _ordered(t: pa.Table, *more):
+    t = t.take(pc.sort_indices(t, [("token", "ascending"), ("n", "ascending"), ("doc_id", "ascending")]))
+    token, n, doc, pos = (t.column(c).to_numpy() for c in ("token", "n", "doc_id", "pos"))
+    return (token, n.astype(np.int64), doc, pos.astype(np.int64), *(t.column(c).to_numpy() for c in more))
+
+
+def _chained_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a < b): each document with the next one of the token."""
 
     def run(batches):
         for t in _whole_groups(batches, "token"):
-            t = t.take(pc.sort_indices(t, [("token", "ascending"), ("n", "ascending"), ("doc_id", "ascending")]))
-            token, n, doc, pos = (t.column(c).to_numpy() for c in ("token", "n", "doc_id", "pos"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            if not every:
-                i = np.flatnonzero(token[1:] == token[:-1])
-                yield from out(doc, n, pos, i, i + 1)
-                continue
-            comp = t.column("comp").to_numpy()
+            token, n, doc, pos = _ordered(t)
+            i = np.flatnonzero(token[1:] == token[:-1])
+            yield pa.RecordBatch.from_arrays(list(_pair_batch(doc, n, pos, i, i + 1, percent)), ["a", "b"])
+
+    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
+
+
+def _remaining(marked: DataFrame, percent: int, few: int) -> DataFrame:
+    """What tokens still have between components: pairs (a, b, shared) of those of up to ``few`` documents, (a, token) rows of others.
+
+    shared: tokens of the batch that have both.  A document that no other of
+    its token could link with, for its length, is left out.
+    """
+    names = ["a", "b", "token", "shared"]
+
+    def run(batches):
+        for t in _whole_groups(batches, "token"):
+            token, n, doc, pos, comp = _ordered(t, "comp")
             head, size = _runs(token)
+            row = np.repeat(np.arange(len(head)), size)
+            mixed = np.maximum.reduceat(comp, head) != np.minimum.reduceat(comp, head)
             end = np.repeat(head + size, size)
-            order = np.arange(len(token))
-            live = order
-            step = 1
+            live = np.flatnonzero((mixed & (size <= few))[row])
+            found, step = [], 1
             while len(live):  # partners by distance: sizes rise, so a row is done at the first that is too large
                 live = live[live + step < end[live]]
                 live = live[100 * n[live] >= percent * n[live + step]]
                 i = live[comp[live] != comp[live + step]]
-                if len(i):
-                    yield from out(doc, n, pos, i, i + step)
+                found.append(np.stack((np.minimum(doc[i], doc[i + step]), np.maximum(doc[i], doc[i + step]))))
                 step += 1
-
-    def out(doc, n, pos, i, j):
-        ok = passes(n[i], n[j], pos[i], pos[j])
-        a, b = np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok]
-        if len(a):
-            got = np.unique(np.stack((a, b)), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
-
-    return postings.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long").distinct()
-
-
-def _whole_sets(docs: DataFrame, pairs: DataFrame, width: int, levels) -> DataFrame:
-    """(doc_id, tokens) of the documents of the pairs: their sorted tokens."""
+            if found:
+                pairs, shared = np.unique(np.concatenate(found, axis=1), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.nulls(len(shared), pa.int64()), pa.array(shared)], names)
+            many = np.flatnonzero((mixed & (size > few))[row])
+            if len(many):
+                start = head[row[many]]
+                near = (many > start) & (100 * n[many - 1] >= percent * n[many])
+                after = np.minimum(many + 1, len(n) - 1)
+                near |= (after < end[many]) & (after > many) & (100 * n[many] >= percent * n[after])
+                many = many[near]
+                nulls = pa.nulls(len(many), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(doc[many]), nulls, pa.array(token[many]), nulls], names)
+
+    return marked.repartition("token").sortWithinPartitions("token").mapInArrow(run, "a long, b long, token long, shared long")
+
+
+def _by_prefix(left: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their prefixes still allow.
+
+    All tokens of the prefix that ends first lie before the other's end, so
+    those that the prefixes do not share are in no intersection.  Tokens of long
+    lists were not counted: as many as the document with fewer has could be shared.
+    """
+    long = left.where("token is not null").groupBy(F.col("a").alias("doc_id")).agg(F.count("*").alias("long"))
+    facts = facts.join(long, "doc_id", "left").withColumn("long", F.coalesce("long", F.lit(0)))
+    facts = facts.withColumn("rest", F.ceil(F.col("n") * percent / 100) - 1)
+
+    def side(end):
+        return facts.select(F.col("doc_id").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("n", "last", "long", "rest")))
+
+    pairs = left.where("b is not null").groupBy("a", "b").agg(F.sum("shared").alias("shared")).join(side("a"), "a").join(side("b"), "b")
+    rest = F.when(F.col("last_a") <= F.col("last_b"), F.col("rest_a")).otherwise(F.col("rest_b"))
+    most = F.col("shared") + F.least("long_a", "long_b") + rest
+    return pairs.where(most * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _tile_links(members: DataFrame, facts: DataFrame, docs: DataFrame, width: int, percent: int, levels, tile: int) -> DataFrame:
+    """Links (a, b) of a spanning forest between components, of documents in long lists (doc_id, token).
+
+    A list's documents are dealt to tiles by hash, and its pairs of tiles are
+    tasks.  A pair of documents belongs to the least token whose long list has
+    both; a first pass, over the lists' tokens alone, finds which documents a
+    task needs, and only their whole sets go there.
+    """
+    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    lists = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("own"))
+    rows = members.join(sizes, "token").join(lists, "doc_id").join(facts, "doc_id")
+    rows = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("token", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t", "doc_id", "comp", "n", "own")
+
+    def could(comp, n, left, right):
+        low, high = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
+        return (comp[left, None] != comp[None, right]) & (100 * low >= percent * high)
+
+    def needed(key, group):
+        token, p, q = (k.as_py() for k in key)
+        t, doc, comp, n = (group.column(c).to_numpy() for c in ("t", "doc_id", "comp", "n"))
+        own = group.column("own").combine_chunks()
+        values, at = own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py()
+        lower = values < token
+        row = np.repeat(np.arange(len(doc)), np.diff(at))[lower]
+        names, code = np.unique(values[lower], return_inverse=True)
+        left, right = np.flatnonzero(t == p), np.flatnonzero(t == q)
+        open_ = could(comp, n, left, right)
+        before = np.zeros(open_.shape, np.float32)
+        for c in range(0, len(names), 1024):
+            block = np.zeros((len(doc), 1024), np.float32)
+            hit = (code >= c) & (code < c + 1024)
+            block[row[hit], code[hit] - c] = 1
+            before += block[left] @ block[right].T
+        open_ &= before == 0
+        use = np.unique(np.concatenate((left[open_.any(1)], right[open_.any(0)])))
+        return pa.table({"token": pa.array([token] * len(use), pa.int64()), "p": pa.array([p] * len(use), pa.int32()), "q": pa.array([q] * len(use), pa.int32()), "t": pa.array(t[use]), "doc_id": pa.array(doc[use])})
+
+    wanted = C.stored(rows.groupBy("token", "p", "q").applyInArrow(needed, "token long, p int, q int, t int, doc_id long"))
+    sets = _whole_sets(docs, wanted.select("doc_id").distinct(), width, levels).join(facts, "doc_id")
+
+    def compare(key, group):
+        p, q = key[1].as_py(), key[2].as_py()
+        tokens = group.column("tokens").combine_chunks()
+        values, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        t, doc, comp, n = (group.column(c).to_numpy() for c in ("t", "doc_id", "comp", "n"))
+        # Tokens of one document alone are in no intersection.
+        names, code, count = np.unique(values, return_inverse=True, return_counts=True)
+        common = count[code] > 1
+        sums = np.concatenate(([0], np.cumsum(common)))
+        code, at = code[common], sums[at]
+        left, right = np.flatnonzero(t == p), np.flatnonzero(t == q)
+        open_ = could(comp, n, left, right)
+        flag = np.zeros(len(names), bool)
+        a, b = [], []
+        for k, i in enumerate(left.tolist()):
+            others = right[open_[k]]
+            if not len(others):
+                continue
+            flag[code[at[i] : at[i + 1]]] = True
+            for j in others.tolist():
+                shared = int(np.count_nonzero(flag[code[at[j] : at[j + 1]]]))
+                if 100 * shared >= percent * (n[i] + n[j] - shared):
+                    a.append(doc[i])
+                    b.append(doc[j])
+            flag[code[at[i] : at[i + 1]]] = False
+        nodes, least = C._roots(np.array(a, np.int64), np.array(b, np.int64))
+        keep = nodes != least
+        return pa.table({"a": pa.array(least[keep], pa.int64()), "b": pa.array(nodes[keep], pa.int64())})
+
+    return C.stored(wanted.join(sets, "doc_id").groupBy("token", "p", "q").applyInArrow(compare, "a long, b long"))
+
+
+def _whole_sets(docs: DataFrame, ids: DataFrame, width: int, levels) -> DataFrame:
+    """(doc_id, tokens) of the documents with these ids (once each): their sorted tokens."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
@@ -186,7 +346,6 @@ def _whole_sets(docs: DataFrame, pairs: DataFrame, width: int, levels) -> DataFr
             tokens, at = _tokens(batch, width, sent.value, SKETCH_BITS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), C.lists(C.signed(tokens), at)], ["doc_id", "tokens"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     return C.thinned(docs, "doc_id", C.key_filter(ids)).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id long, tokens array<long>")
 
 
@@ -195,11 +354,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
 
     def suffix(batches):
         for batch in batches:
-            x, y = (np.frombuffer(C.text_buffers(batch.column(c))[0], np.uint8).reshape(-1, CLASSES) for c in ("ca", "cb"))
             n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            low = np.minimum(x, y)
-            # A count of 255 stands for any larger one: it bounds nothing.
-            ok = (low.sum(1, dtype=np.int64) >= -(-percent * n // (100 + percent))) | (low == 255).any(1)
+            ok = _most_shared(batch.column("ca"), batch.column("cb")) >= -(-percent * n // (100 + percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     def exact(batches):
@@ -219,38 +375,53 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     def side(df, end, **columns):
         return df.select(F.col("doc_id").alias(end), *(F.col(c).alias(name) for name, c in columns.items()))
 
+    pairs = C.stored(pairs)
+    asked = C.key_filter(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
+    sets = C.thinned(sets, "doc_id", asked).dropDuplicates(["doc_id"])
     left = pairs.join(side(sets, "a", na="n", ca="classes"), "a")
     both = left.join(side(sets, "b", nb="n", cb="classes"), "b").select("a", "b", "na", "nb", "ca", "cb")
     likely = C.stored(both.mapInArrow(suffix, "a long, b long"))
-    whole = C.stored(_whole_sets(docs, likely, width, levels))
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    whole = C.stored(_whole_sets(docs, ids, width, levels))
     both = likely.join(side(whole, "a", ta="tokens"), "a").join(side(whole, "b", tb="tokens"), "b").select("a", "b", "ta", "tb")
     return C.stored(both.mapInArrow(exact, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int = 16, tile: int = 512) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = rows.where("doc_id is not null")
     levels = frequency_levels(docs, width)
     sets = C.stored(sketches(docs, width, percent, levels))
     classes = sets.where("n > 0").groupBy("digest_a", "digest_b", "n").agg(F.min_by("prefix", "doc_id").alias("prefix"), F.min("doc_id").alias("doc_id"))
     postings = C.stored(shared_postings(classes))
-    one = sets.select("doc_id", "n", "classes").dropDuplicates(["doc_id"])
-    first = _verified(_pairs(postings, percent, False), one, docs, width, percent, levels)
+    one = sets.select("doc_id", "n", "classes")
+    first = _verified(_chained_pairs(postings, percent), one, docs, width, percent, levels)
     reached = C.components(first)
-    marked = postings.join(reached.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
-    second = _verified(_pairs(marked, percent, True), one, docs, width, percent, levels)
-    found = C.components(reached.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(second.select("a", "b")).where("a <> b"))
+    comps = reached.withColumnRenamed("id", "doc_id")
+    marked = postings.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
+    left = C.stored(_remaining(marked, percent, few))
+    ends = classes.select("doc_id", "n", F.element_at("prefix", -1).alias("last"))
+    links = _verified(_by_prefix(left, ends, percent), one, docs, width, percent, levels)
+    members = left.where("token is not null").select(F.col("a").alias("doc_id"), "token").distinct()
+    if members.take(1):
+        facts = one.select("doc_id", "n").distinct().join(members.select("doc_id").distinct(), "doc_id").join(comps, "doc_id", "left")
+        facts = C.stored(facts.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("comp")))
+        links = links.union(_tile_links(members, facts, docs, width, percent, levels, tile))
+    found = C.components(reached.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(links).where("a <> b"))
     # Copies follow their representative.
     reps = sets.where("n > 0").groupBy("digest_a", "digest_b", "n").agg(F.min("doc_id").alias("rep"))
     reps = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("digest_a", "digest_b", "n", F.coalesce("component_id", "rep").alias("component_id"))
     out = sets.select("doc_id", "n", "digest_a", "digest_b").join(reps, ["digest_a", "digest_b", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = sketches(rows.where("doc_id is null"), width, percent, levels)
+    return out.union(nameless.select("doc_id", "n", F.col("doc_id")))
 
 
 def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays, that of the least id; the columns are those of ``docs``."""
-    groups = near_duplicates(docs, width, percent).where("doc_id = component_id").select("doc_id")
-    return docs.join(groups, "doc_id", "left_semi").select(*docs.columns)
+    gone = near_duplicates(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
