@@ -15,7 +15,7 @@ are found as follows.
    of the links found so far are formed; a second round takes what is left
    between *different* components, so that no link between components is lost.
    Tokens of few documents give pairs.  Those of many (a group of copies just
-   below the threshold) give pairs of tiles of about 512 documents; two tiles
+   below the threshold) give pairs of tiles of up to about 1,024 documents; two tiles
    are compared in one task, which returns a spanning forest of their links and
    not the pairs.
 5. Pairs of tokens of few documents must share enough of their prefixes.
@@ -42,6 +42,8 @@ SKETCH_BITS = 20
 #: Classes of the suffix filter for sets of up to CLASS_SIZES[0]; four times as many beyond each size.
 CLASSES = 256
 CLASS_SIZES = (1024, 4096, 16384)
+#: Tokens of a tile, on average: 32 MB.
+TILE_TOKENS = 1 << 22
 
 
 def _shingles(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -272,11 +274,12 @@ def _tile_links(members: DataFrame, facts: DataFrame, docs: DataFrame, width: in
     both; a first pass, over the lists' tokens alone, finds which documents a
     task needs, and only their whole sets go there.
     """
-    sizes = members.groupBy("token").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    many = F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("n") / TILE_TOKENS))
+    sizes = members.join(facts, "doc_id").groupBy("token").agg(many.cast("int").alias("tiles"))
     lists = members.groupBy("doc_id").agg(F.array_sort(F.collect_list("token")).alias("own"))
     rows = members.join(sizes, "token").join(lists, "doc_id").join(facts, "doc_id")
     rows = rows.withColumn("t", F.pmod(F.xxhash64("doc_id"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("token", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t", "doc_id", "comp", "n", "own")
+    rows = rows.select("token", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t", "doc_id", "comp", "n", "own", "last", "other")
 
     def could(comp, n, left, right):
         low, high = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
@@ -284,26 +287,31 @@ def _tile_links(members: DataFrame, facts: DataFrame, docs: DataFrame, width: in
 
     def needed(key, group):
         token, p, q = (k.as_py() for k in key)
-        t, doc, comp, n = (group.column(c).to_numpy() for c in ("t", "doc_id", "comp", "n"))
+        t, doc, comp, n, last, other = (group.column(c).to_numpy() for c in ("t", "doc_id", "comp", "n", "last", "other"))
         own = group.column("own").combine_chunks()
         values, at = own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py()
-        lower = values < token
-        row = np.repeat(np.arange(len(doc)), np.diff(at))[lower]
-        names, code = np.unique(values[lower], return_inverse=True)
+        row = np.repeat(np.arange(len(doc)), np.diff(at))
+        names, code = np.unique(values, return_inverse=True)
         left, right = np.flatnonzero(t == p), np.flatnonzero(t == q)
         open_ = could(comp, n, left, right)
-        before = np.zeros(open_.shape, np.float32)
-        for c in range(0, len(names), 1024):
-            block = np.zeros((len(doc), 1024), np.float32)
-            hit = (code >= c) & (code < c + 1024)
+        before, cut = None, int(np.searchsorted(names, token))
+        shared = np.zeros(open_.shape, np.float32)
+        for c, end in [(c, min(c + 1024, stop)) for first, stop in ((0, cut), (cut, len(names))) for c in range(first, stop, 1024)]:
+            if c >= cut and before is None:
+                before = shared.copy()
+            block = np.zeros((len(doc), end - c), np.float32)
+            hit = (code >= c) & (code < end)
             block[row[hit], code[hit] - c] = 1
-            before += block[left] @ block[right].T
-        open_ &= before == 0
+            shared += block[left] @ block[right].T
+        # A pair is this token's if no lesser one has both, and must share enough of its prefixes (see _by_prefix).
+        rest = -(-n * percent // 100) - 1
+        most = shared + np.minimum(other[left, None], other[None, right]) + np.where(last[left, None] <= last[None, right], rest[left, None], rest[None, right])
+        open_ &= (before == 0) & (most * (100 + percent) >= percent * (n[left, None] + n[None, right]))
         use = np.unique(np.concatenate((left[open_.any(1)], right[open_.any(0)])))
         return pa.table({"token": pa.array([token] * len(use), pa.int64()), "p": pa.array([p] * len(use), pa.int32()), "q": pa.array([q] * len(use), pa.int32()), "t": pa.array(t[use]), "doc_id": pa.array(doc[use])})
 
     wanted = C.stored(rows.groupBy("token", "p", "q").applyInArrow(needed, "token long, p int, q int, t int, doc_id long"))
-    sets = _whole_sets(docs, wanted.select("doc_id").distinct(), width, levels).join(facts, "doc_id")
+    sets = _whole_sets(docs, wanted.select("doc_id").distinct(), width, levels).join(facts.select("doc_id", "n", "comp"), "doc_id")
 
     def compare(key, group):
         p, q = key[1].as_py(), key[2].as_py()
@@ -387,7 +395,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, pe
     return C.stored(both.mapInArrow(exact, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int = 16, tile: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int = 16, tile: int = 1024) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = rows.where("doc_id is not null")
@@ -401,12 +409,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int
     comps = reached.withColumnRenamed("id", "doc_id")
     marked = postings.join(comps, "doc_id", "left").withColumn("comp", F.coalesce("component_id", "doc_id")).drop("component_id")
     left = C.stored(_remaining(marked, percent, few))
-    ends = classes.select("doc_id", "n", F.element_at("prefix", -1).alias("last"))
+    ends = sets.where("n > 0").select("doc_id", "n", "digest_a", "digest_b", F.element_at("prefix", -1).alias("last"))
+    ends = ends.groupBy("digest_a", "digest_b", "n").agg(F.min("doc_id").alias("doc_id"), F.min("last").alias("last")).select("doc_id", "n", "last")
     links = _verified(_by_prefix(left, ends, percent), one, docs, width, percent, levels)
     members = left.where("token is not null").select(F.col("a").alias("doc_id"), "token").distinct()
     if members.take(1):
-        facts = one.select("doc_id", "n").distinct().join(members.select("doc_id").distinct(), "doc_id").join(comps, "doc_id", "left")
-        facts = C.stored(facts.select("doc_id", "n", F.coalesce("component_id", "doc_id").alias("comp")))
+        # other: tokens of the prefix that some other document has too, but for those of long lists.
+        held = postings.groupBy("doc_id").agg(F.count("*").alias("held"))
+        inside = members.groupBy("doc_id").agg(F.count("*").alias("inside"))
+        facts = ends.join(inside, "doc_id").join(held, "doc_id").join(comps, "doc_id", "left")
+        facts = C.stored(facts.select("doc_id", "n", "last", (F.col("held") - F.col("inside")).alias("other"), F.coalesce("component_id", "doc_id").alias("comp")))
         links = links.union(_tile_links(members, facts, docs, width, percent, levels, tile))
     found = C.components(reached.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(links).where("a <> b"))
     # Copies follow their representative.
@@ -426,3 +438,18 @@ def kept(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: The same for DuckDB, which counts all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, hash(list_slice(w, i, i + 4)) AS g, md5(array_to_string(list_slice(w, i, i + 4), ' ')) AS m FROM w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS r(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.m = b.m AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN ends l ON l.a = r.c),
+least AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least.component_id
+FROM documents d JOIN least ON least.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
