@@ -23,4 +23,6 @@ def queries() -> dict:
 def oracle_sql() -> dict:
     return {
         "op6_mixing": mixing.SQL,
+        "op8_ngram_join": ngram_join.SQL,
+        "op9_embedding_dedup": embedding_dedup.SQL,
     }
