@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .boosting import BoostedTrees
 
-PAGES = 700
+PAGES = 900
 
 #: Element kinds of HTML.
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu search".split())
@@ -319,8 +319,11 @@ class _Writer:
             parts.append(self.maybe(0.03, lambda: f"<pre>{self.words(4, 20)}</pre>"))
             parts.append(self.maybe(0.03, lambda: f"<table><tr><td>{self.words(1, 5)}</td><td>{self.words(1, 5)}</td></tr></table>"))
             parts.append(self.maybe(0.05, lambda: self.off(self.r.choice([self.advert, self.side, self.form])())))
+        parts.append(self.maybe(0.12, lambda: self.off(f"<footer>{self.words(1, 6)}</footer>")))
         inner = "".join(parts)
         kind = self.r.random()
+        if kind < 0.14:
+            return inner
         if kind < 0.55:
             return f"<article>{inner}</article>"
         if kind < 0.7:
@@ -380,7 +383,7 @@ def fit(pages: int = PAGES) -> BoostedTrees:
     if not _MODEL:
         got = [labelled_page(s) for s in range(pages)]
         x, y = np.concatenate([features(p) for p, _ in got]), np.concatenate([y for _, y in got])
-        _MODEL.append(BoostedTrees().fit(x, y.astype(float)))
+        _MODEL.append(BoostedTrees(trees=80, depth=5).fit(x, y.astype(float)))
     return _MODEL[0]
 
 
