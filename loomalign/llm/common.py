@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,7 +327,7 @@ def key_filter(keys: DataFrame, bits: int = 23) -> np.ndarray:
     schema = "part int, table binary"
     tables = keys.mapInArrow(collect, schema)
     # A tree: the tables of a few tasks meet in one, so that no task gets those of all.
-    tables = tables.repartition(max(1, min(16, partitions(keys.sparkSession) // 4))).mapInArrow(merge, schema)
+    tables = tables.repartition(max(1, min(4, partitions(keys.sparkSession) // 4))).mapInArrow(merge, schema)
     out = np.zeros(cells // 8, np.uint8)
     for row in tables.collect():
         out |= np.frombuffer(row.table, np.uint8)
@@ -357,13 +358,12 @@ def thinned(df: DataFrame, column: str, table: np.ndarray, hits: bool = True) ->
 # ---- labelled samples -----------------------------------------------------------
 
 
-def labelled_sample(spark: SparkSession, sf_dir: str, label: str, each: int, max_chars: int = 50_000):
-    """(texts, labels) of up to ``each`` labelled documents of either class, none of them held out.
+def labelled_rows(spark: SparkSession, sf_dir: str, label: str, each: int, max_chars: int = 50_000) -> DataFrame:
+    """(doc_id, text, y) of up to ``each`` labelled documents of either class, none of them held out.
 
     The rows are those of the least hashes of the id, so reruns agree.  Ids are
     chosen from ``labels`` alone; only the chosen ones, of a bounded number and
-    length, meet their texts and come to the driver.  Texts over ``max_chars``
-    are not learned from.
+    length, meet their texts.  Texts over ``max_chars`` are not learned from.
     """
     labels = table(spark, sf_dir, "labels", "doc_id", label).where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (label_side() != 2))
     picked = None
@@ -371,5 +371,25 @@ def labelled_sample(spark: SparkSession, sf_dir: str, label: str, each: int, max
         part = labels.where(F.col(label) == value).groupBy("doc_id").agg(F.max(label).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
         picked = part if picked is None else picked.union(part)
     docs = table(spark, sf_dir, "documents", "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "y"]).toPandas().sort_values(["doc_id", "y"])  # 2 * each rows at most
-    return rows["text"].tolist(), rows["y"].to_numpy(np.int64)
+    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id", "y"])  # 2 * each rows at most
+
+
+def labelled_sample(spark: SparkSession, sf_dir: str, label: str, each: int):
+    """(texts, labels) of ``labelled_rows`` on the driver."""
+    rows = sorted(labelled_rows(spark, sf_dir, label, each).collect(), key=lambda r: (r.doc_id, r.y))
+    return [r.text for r in rows], np.array([r.y for r in rows], np.int64)
+
+
+def fitted(rows: DataFrame, fit):
+    """fit(texts, labels) of the bounded rows, computed in one task: the driver gets the model alone."""
+
+    def run(batches):
+        texts, y = [], []
+        for batch in batches:
+            texts += batch.column("text").to_pylist()
+            y += batch.column("y").to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps(fit(texts, np.array(y, np.int64)))], pa.binary())], ["model"])
+
+    one = rows.select("doc_id", "text", "y").repartition(1).sortWithinPartitions("doc_id", "y")
+    row = one.mapInArrow(run, "model binary").first()
+    return cloudpickle.loads(row.model) if row else fit([], np.zeros(0, np.int64))  # no rows: no task

@@ -5,7 +5,7 @@ gets features of its words, symbols, case and repetition; Viterbi decoding finds
 the best sequence of labels, and the share of a document's words in content
 lines decides whether it is kept.
 
-The field is fitted on the driver to a bounded sample of labelled documents
+The field is fitted, in one task, to a bounded sample of labelled documents
 (``sample`` of each class, ``max_lines`` lines of each), whose lines take the
 document's label but for repeated and wordless ones, which are boilerplate.
 Where no labels of both classes exist, fixed weights take its place.
@@ -218,8 +218,8 @@ class LineField:
         return label
 
 
-def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE, max_lines: int = MAX_LINES) -> LineField:
-    texts, y = C.labelled_sample(spark, sf_dir, "quality", sample)
+def trained(texts: list[str], y: np.ndarray, max_lines: int = MAX_LINES) -> LineField:
+    """The field of labelled texts; that of fixed weights where a class is missing."""
     field = LineField()
     if len(set(y.tolist())) < 2:
         return field
@@ -236,6 +236,10 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE, max_lines: int =
     return field.fit(features, docs, labels)
 
 
+def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE) -> LineField:
+    return C.fitted(C.labelled_rows(spark, sf_dir, "quality", sample), trained)
+
+
 def judged(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> DataFrame:
     """Counts, content share and verdict of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
