@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,12 @@ def parts(spark, d) -> DataFrame:
     return rows.select("target_id", "seq", F.octet_length("seq").alias("len"))
 
 
+def part_rows(spark, d) -> DataFrame:
+    """Every part that has a name as a target of its own: equal names are as many targets."""
+    rows = _table(spark, d, "part").where("p_name is not null").select(F.col("p_partkey").alias("target_id"), F.col("p_name").alias("seq"))
+    return rows.withColumn("len", F.octet_length("seq"))
+
+
 def documents(spark, d) -> DataFrame:
     rows = _table(spark, d, "documents").select(F.col("doc_id").alias("target_id"), F.col("text").alias("seq"))
     return rows.withColumn("len", F.octet_length("seq"))
@@ -81,14 +89,20 @@ SELECT query_id, target_id, CAST({pick} AS INT) AS score FROM dp GROUP BY query_
 
 
 _PARTS = "SELECT min(p_partkey) AS target_id, p_name AS seq FROM part WHERE p_name IS NOT NULL GROUP BY p_name"
+_PART_ROWS = "SELECT p_partkey AS target_id, p_name AS seq FROM part WHERE p_name IS NOT NULL"
+
+
+def _each_part(scores: str) -> str:
+    """Scores of distinct names, given to every part of the name: a score depends on nothing else."""
+    return f"SELECT s.query_id, p.target_id, s.score FROM ({scores}) s JOIN ({_PARTS}) u ON u.target_id = s.target_id JOIN ({_PART_ROWS}) p ON p.seq = u.seq"
 
 
 # ---- the queries --------------------------------------------------------------------
 
 
-def encode_residues(spark, d):
+def encode_residues(spark, d, targets=parts):
     text = F.array_join(F.transform("codes", lambda c: F.lpad(c.cast("string"), 2, "0")), "")
-    return parts(spark, d).withColumn("codes", S.encode_column(F.col("seq"))).select("target_id", "len", text.alias("codes"))
+    return targets(spark, d).withColumn("codes", S.encode_column(F.col("seq"))).select("target_id", "len", text.alias("codes"))
 
 
 def residue_histogram(spark, d):
@@ -96,43 +110,43 @@ def residue_histogram(spark, d):
     return codes.groupBy(F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"))
 
 
-def substitution_lookup(spark, d):
+def substitution_lookup(spark, d, targets=parts):
     """Self-substitution of each part name by a join with the matrix."""
-    codes = parts(spark, d).select("target_id", F.explode(S.encode_column(F.col("seq"))).alias("code"))
+    codes = targets(spark, d).select("target_id", F.explode(S.encode_column(F.col("seq"))).alias("code"))
     rows = codes.join(F.broadcast(S.matrix_rows(spark)), (F.col("a") == F.col("code")) & (F.col("b") == F.col("code")))
     return rows.groupBy("target_id").agg(F.sum("s").alias("self"))
 
 
-def substitution_arrays(spark, d):
+def substitution_arrays(spark, d, targets=parts):
     """The same without a join: an array lookup."""
-    codes = parts(spark, d).withColumn("codes", S.encode_column(F.col("seq")))
+    codes = targets(spark, d).withColumn("codes", S.encode_column(F.col("seq")))
     each = F.aggregate(F.transform("codes", lambda c: S.substitution(c.cast("int"), c.cast("int"))), F.lit(0), lambda a, x: a + x)
     return codes.select("target_id", each.cast("long").alias("self"))
 
 
-def self_score(spark, d):
+def self_score(spark, d, targets=parts):
     """Local scores of part names with themselves: no pair but the diagonal is asked for, so expressions do it."""
-    return substitution_arrays(spark, d).select("target_id", F.col("self").alias("score"))
+    return substitution_arrays(spark, d, targets).select("target_id", F.col("self").alias("score"))
 
 
-def score_mismatch(spark, d):
+def score_mismatch(spark, d, targets=parts):
     """Rows in which the vector and the expression engine differ: none."""
-    t = parts(spark, d)
+    t = targets(spark, d)
     return V.mismatches(search(t, QUERIES, "sw"), search(t, QUERIES, "sw", engine="native"))
 
 
-def mismatch_summary(spark, d):
-    t = parts(spark, d)
+def mismatch_summary(spark, d, targets=parts):
+    t = targets(spark, d)
     return V.mismatch_summary(search(t, QUERIES, "nw", threshold=12), search(t, QUERIES, "nw", engine="native"))
 
 
-def fasta_roundtrip(spark, d):
+def fasta_roundtrip(spark, d, targets=parts):
     """Part names written as FASTA, read again, with their key as header."""
     from uuid import uuid4
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
     path = f"{shared}/fasta-{uuid4().hex}"
-    fasta.write_fasta(parts(spark, d).withColumn("header", F.col("target_id").cast("string")), path, 10)
+    fasta.write_fasta(targets(spark, d).withColumn("header", F.col("target_id").cast("string")), path, 10)
     rows = fasta.read_fasta(spark, path)
     return rows.select(F.col("header").cast("long").alias("target_id"), "seq", "len")
 
@@ -161,12 +175,37 @@ _POS = f"SELECT *, row_number() OVER (ORDER BY len, target_id) - 1 AS ord, CAST(
 _LAYOUT = f"SELECT CAST(floor(ord / CAST(32 AS DOUBLE)) AS BIGINT) AS batch, count(*) AS n, max(len) AS width, CAST(max(len) * 32 AS BIGINT) AS cells, CAST(max(len) * 32 - sum(len) AS BIGINT) AS padding FROM ({_POS}) GROUP BY 1"
 
 
+def part_queries(targets, suffix: str = "") -> dict:
+    """The queries over part names: ``targets`` says whether distinct names or all parts are searched."""
+    over = {
+        "encode_residues": partial(encode_residues, targets=targets),
+        "substitution_lookup": partial(substitution_lookup, targets=targets),
+        "substitution_arrays": partial(substitution_arrays, targets=targets),
+        "sw_search": lambda s, d: _scores(search(targets(s, d), QUERY, "sw")),
+        "nw_search": lambda s, d: _scores(search(targets(s, d), QUERY, "nw")),
+        "sw_native": lambda s, d: _scores(search(targets(s, d), QUERY, "sw", engine="native")),
+        "nw_native": lambda s, d: _scores(search(targets(s, d), QUERY, "nw", engine="native")),
+        "sw_scalar": lambda s, d: _scores(search(targets(s, d), QUERY, "sw", engine="scalar")),
+        "nw_scalar": lambda s, d: _scores(search(targets(s, d), QUERY, "nw", engine="scalar")),
+        "hybrid_search": lambda s, d: search(targets(s, d), QUERY, "sw", threshold=12).select("query_id", "target_id", "route", "score"),
+        "route_union": lambda s, d: _scores(routes_apart(targets(s, d), QUERY, "sw", threshold=12)),
+        "overflow_redo": lambda s, d: _scores(narrow_first(targets(s, d), QUERY, "nw", limit=120)),
+        "multi_query": lambda s, d: _scores(search(targets(s, d), QUERIES, "nw")),
+        "shortest_search": lambda s, d: _scores(search(targets(s, d), QUERY, "sw", num_seqs=20)),
+        "topk_hits": lambda s, d: top_hits(search(targets(s, d), QUERIES, "sw"), 10).select("query_id", "rank", "target_id", "score"),
+        "self_score": partial(self_score, targets=targets),
+        "score_mismatch": partial(score_mismatch, targets=targets),
+        "mismatch_summary": partial(mismatch_summary, targets=targets),
+        "fasta_roundtrip": partial(fasta_roundtrip, targets=targets),
+    }
+    return {f"{name}{suffix}": query for name, query in over.items()}
+
+
 def queries() -> dict:
     return {
-        "encode_residues": encode_residues,
+        **part_queries(parts),
+        **part_queries(part_rows, "_all"),
         "residue_histogram": residue_histogram,
-        "substitution_lookup": substitution_lookup,
-        "substitution_arrays": substitution_arrays,
         "sort_by_length": lambda s, d: L.positioned(lengths(s, d)).select("target_id", "len", "ord"),
         "n_shortest": lambda s, d: L.n_shortest(lengths(s, d), 100),
         "hash_sample": lambda s, d: L.md5_sample(lengths(s, d), 50, 7),
@@ -178,24 +217,8 @@ def queries() -> dict:
         "overflow_risk": lambda s, d: L.overflow_risk(L.positioned(lengths(s, d)), 464),
         "budget_batches": lambda s, d: L.budget_batches(lengths(s, d), 464, 3 << 28),
         "cells_and_residues": lambda s, d: V.cells(lengths(s, d), 464),
-        "sw_search": lambda s, d: _scores(search(parts(s, d), QUERY, "sw")),
-        "nw_search": lambda s, d: _scores(search(parts(s, d), QUERY, "nw")),
-        "sw_native": lambda s, d: _scores(search(parts(s, d), QUERY, "sw", engine="native")),
-        "nw_native": lambda s, d: _scores(search(parts(s, d), QUERY, "nw", engine="native")),
-        "sw_scalar": lambda s, d: _scores(search(parts(s, d), QUERY, "sw", engine="scalar")),
-        "nw_scalar": lambda s, d: _scores(search(parts(s, d), QUERY, "nw", engine="scalar")),
-        "hybrid_search": lambda s, d: search(parts(s, d), QUERY, "sw", threshold=12).select("query_id", "target_id", "route", "score"),
-        "route_union": lambda s, d: _scores(routes_apart(parts(s, d), QUERY, "sw", threshold=12)),
-        "overflow_redo": lambda s, d: _scores(narrow_first(parts(s, d), QUERY, "nw", limit=120)),
-        "multi_query": lambda s, d: _scores(search(parts(s, d), QUERIES, "nw")),
-        "shortest_search": lambda s, d: _scores(search(parts(s, d), QUERY, "sw", num_seqs=20)),
         "sw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "sw", threshold=THRESHOLD)),
         "nw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "nw", threshold=THRESHOLD)),
-        "topk_hits": lambda s, d: top_hits(search(parts(s, d), QUERIES, "sw"), 10).select("query_id", "rank", "target_id", "score"),
-        "self_score": self_score,
-        "score_mismatch": score_mismatch,
-        "mismatch_summary": mismatch_summary,
-        "fasta_roundtrip": fasta_roundtrip,
         "metrics_gcups": lambda s, d: _metrics(s).select("algorithm", "query_len", "impl", "threshold", "gcups"),
         "mean_latency": lambda s, d: _metrics(s).groupBy("algorithm", "impl").agg(F.avg("latency_ms").alias("mean_ms")),
         "speedup": lambda s, d: V.speedup(_metrics(s).where("threshold is null or threshold = 8192"), "simd").select("algorithm", "query_len", "impl", "speedup"),
@@ -206,6 +229,28 @@ def queries() -> dict:
     }
 
 
+def _all_parts_sql(codes: str) -> dict[str, str]:
+    """The queries over all parts."""
+    one = {"query": QUERY}
+    sw, nw = (_each_part(_scores_sql(_PARTS, one, a)) for a in ("sw", "nw"))
+    self_sql = f"SELECT t.target_id, CAST(sum(s) AS BIGINT) AS self FROM (SELECT target_id, {_code('substr(seq, CAST(j AS INT), 1)')} AS c FROM ({_PART_ROWS}), unnest(range(1, length(seq) + 1)) AS r(j)) t JOIN {_SUB} ON a = c AND b = c GROUP BY 1"
+    return {
+        "encode_residues_all": f"SELECT target_id, CAST(length(seq) AS INT) AS len, {codes} AS codes FROM ({_PART_ROWS})",
+        "substitution_lookup_all": self_sql,
+        "substitution_arrays_all": self_sql,
+        "self_score_all": f"SELECT target_id, self AS score FROM ({self_sql})",
+        **dict.fromkeys(("sw_search_all", "sw_native_all", "sw_scalar_all", "route_union_all"), sw),
+        **dict.fromkeys(("nw_search_all", "nw_native_all", "nw_scalar_all", "overflow_redo_all"), nw),
+        "hybrid_search_all": f"SELECT query_id, s.target_id, CASE WHEN length(seq) >= 12 THEN 'large' ELSE 'small' END AS route, score FROM ({sw}) s JOIN ({_PART_ROWS}) p ON p.target_id = s.target_id",
+        "multi_query_all": _each_part(_scores_sql(_PARTS, QUERIES, "nw")),
+        "shortest_search_all": _scores_sql(f"SELECT * FROM ({_PART_ROWS}) ORDER BY length(seq), target_id LIMIT 20", one, "sw"),
+        "topk_hits_all": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
+        "score_mismatch_all": "SELECT 'q' AS query_id, CAST(0 AS BIGINT) AS target_id, 0 AS gold, 0 AS test WHERE false",
+        "mismatch_summary_all": f"SELECT CAST(3 * count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS different FROM ({_PART_ROWS})",
+        "fasta_roundtrip_all": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS})",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     codes = f"array_to_string(list_transform(range(1, length(seq) + 1), lambda j: lpad(CAST({_code('substr(seq, CAST(j AS INT), 1)')} AS VARCHAR), 2, '0')), '')"
     one = {"query": QUERY}
@@ -243,4 +288,5 @@ def oracle_sql() -> dict[str, str]:
         "best_threshold": f"SELECT algorithm, query_len, CAST(threshold AS INT) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, query_len ORDER BY latency_ms, threshold) AS k FROM ({m}) WHERE threshold IS NOT NULL) WHERE k = 1",
         "peak_throughput": f"SELECT algorithm, impl, query_len FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, impl ORDER BY gcups DESC, query_len) AS k FROM ({m})) WHERE k = 1",
         "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'hybrid' THEN gcups END) AS a, max(CASE WHEN impl = 'simd' THEN gcups END) AS b FROM ({m}) GROUP BY 1, 2) GROUP BY 1",
+        **_all_parts_sql(codes),
     }

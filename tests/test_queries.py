@@ -55,3 +55,12 @@ def test_documents(spark):
         for i in list(texts)[:12]:
             t = encode(texts[i])
             assert got[i] == (kernels.scalar(name[:2], encode(QUERY), t) if len(t) < 3000 else kernels.within(name[:2], encode(QUERY), t))
+
+
+def test_all_parts_are_targets(spark):
+    """The queries over parts: a row for each part (and query), the best and the shortest of all parts."""
+    ids = {r.p_partkey for r in spark.read.parquet(f"{DATA}/part.parquet").select("p_partkey").collect()}
+    for name in ("sw_search_all", "nw_scalar_all", "hybrid_search_all", "self_score_all", "encode_residues_all", "fasta_roundtrip_all"):
+        rows = entry.queries()[name](spark, DATA).select("target_id").collect()
+        assert len(rows) == len(ids) and {r.target_id for r in rows} == ids, name
+    assert entry.queries()["mismatch_summary_all"](spark, DATA).first().pairs == 3 * len(ids)
