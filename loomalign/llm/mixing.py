@@ -6,6 +6,11 @@ points frac(i * 0.618...), mapped through the sources' cumulative expected slots
 the r-th slot of a source takes its r-th block, beginning again after the last.
 Every stretch of the schedule so holds each source close to its share.
 
+Whole slots cannot give a source of few blocks its share: it may be taken once
+instead of twice, or not at all.  Sources that the schedule misses by more than
+``MISS`` of their target are settled after it: whole rounds of the source, and
+once more the words at the beginning of its line, to the exact word.
+
 The number of slots is a parameter and not a matter of size: a larger corpus has
 larger blocks.  Positions in a source's line are sums over 4096 salted parts of
 the source and then within the part, so a source with a third of all rows is no
@@ -30,6 +35,8 @@ GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: Of a source's target: the schedule's miss beyond which the source is settled by rounds of its line.
+MISS = 0.01
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -98,6 +105,15 @@ def schedule(spark: SparkSession, planned: DataFrame, most: int = MOST) -> DataF
     return got.where(F.col("r") < F.col("nb") * most).select("slot", "skey", "r", F.pmod("r", "nb").alias("block"))
 
 
+def settled(sources: DataFrame, blocks: DataFrame, miss: float = MISS) -> DataFrame:
+    """(skey, rounds, rest) of the sources that the schedule misses: how often all words are taken, and how many once more."""
+    got = blocks.groupBy("skey").agg(F.sum("words").alias("got"))
+    due = F.floor(F.col("target") + 0.5)
+    missed = F.abs(F.coalesce(F.col("got"), F.lit(0)) - F.col("target")) > F.col("target") * miss
+    off = sources.where("s > 0").join(got, "skey", "left").where(missed).select("skey", "s", due.alias("due"))
+    return off.select("skey", F.expr("due div s").alias("rounds"), F.expr("due % s").alias("rest"))
+
+
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, resolution: int = RESOLUTION) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row of ``docs`` (doc_id, text, source)."""
     spark = docs.sparkSession
@@ -112,14 +128,15 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     end = F.expr("((block + 1) * s + nb - 1) div nb")
     blocks = blocks.join(times, ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("begin", begin)
     before = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = C.stored(blocks.select("skey", "block", "begin", "times", F.coalesce(F.sum(F.col("times") * (end - F.col("begin"))).over(before), F.lit(0)).alias("before")))
+    blocks = C.stored(blocks.select("skey", "block", "begin", "times", (F.col("times") * (end - F.col("begin"))).alias("words"), F.coalesce(F.sum(F.col("times") * (end - F.col("begin"))).over(before), F.lit(0)).alias("before")))
+    sources = sources.join(settled(sources, blocks), "skey", "left")
     # Each document's stretch of its source's line.
     parts = sizes.groupBy("skey", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = Window.partitionBy("skey", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(parts, ["skey", "part"])
     placed = placed.select("doc_id", "skey", "size", (F.col("base") + F.col("inner")).alias("a")).withColumn("b", F.col("a") + F.col("size"))
-    whole = placed.join(planned.select("skey", "nb"), "skey", "left").join(sources.select("skey", "s", "target"), "skey")
+    whole = placed.join(planned.select("skey", "nb"), "skey", "left").join(sources.select("skey", "s", "target", "rounds", "rest"), "skey")
     # Words taken up to a place p: those before its block and the block's own part, as often as it is taken.
     whole = whole.withColumn("block_a", F.expr("least(a * nb div s, nb - 1)")).withColumn("block_b", F.expr("least(b * nb div s, nb - 1)"))
 
@@ -128,7 +145,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         return df.join(side, ["skey", f"block_{end}"], "left").withColumn(f"up_{end}", F.col("y") + F.col("t") * (F.col(end) - F.col("x"))).drop("x", "y", "t")
 
     out = upto(upto(whole, "a"), "b")
-    return out.select("doc_id", "size", F.col("s").alias("source_size"), "target", F.coalesce(F.col("up_b") - F.col("up_a"), F.lit(0)).cast("long").alias("taken"))
+    exact = F.col("rounds") * F.col("size") + F.least("b", "rest") - F.least("a", "rest")
+    taken = F.when(F.col("rounds").isNotNull(), exact).otherwise(F.coalesce(F.col("up_b") - F.col("up_a"), F.lit(0)))
+    return out.select("doc_id", "size", F.col("s").alias("source_size"), "target", taken.cast("long").alias("taken"))
 
 
 def drawn(docs: DataFrame, **options) -> DataFrame:
@@ -144,7 +163,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(C.table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
-#: The same for DuckDB.
+#: The same for DuckDB, but for the settling of sources that the schedule misses: equal where it misses none by more than MISS.
 SQL = r"""
 WITH sizes AS (
   SELECT doc_id, coalesce('s' || source, 't') AS skey, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,

@@ -263,6 +263,22 @@ def test_op6_schedule_is_even(spark, corpus):
             assert abs((part.skey == k).sum() - p * len(part)) <= 6
 
 
+@pytest.mark.parametrize("sizes", [[40_000_000, 20_000_000] + [7_000, 1_000, 300, 41, 3] * 12, [20] * 3000, [5_000_000] + [2] * 1500])
+def test_op6_tail_of_sources(spark, sizes):
+    """Tiny sources beside hot ones, and more sources than their blocks can share, get their target."""
+    # Texts of up to 100,000 words; two to a small source.
+    rows = [(k, min(100_000, n - a)) for k, n in enumerate(sizes) for a in range(0, n, 100_000)]
+    rows = [(k, x) for k, n in rows for x in ((n - n // 2, n // 2) if n < 100_000 else (n,))]
+    docs = spark.createDataFrame([(i, f"s{k:05d}", n) for i, (k, n) in enumerate(rows)], "doc_id long, source string, n int")
+    docs = docs.selectExpr("doc_id", "source", "repeat('w ', n) AS text")
+    got = mixing.mixed(docs).toPandas()
+    assert len(got) == len(rows) and (got.taken <= 2 * got["size"]).all() and (got.taken >= 0).all()
+    s = got.assign(source=[rows[i][0] for i in got.doc_id]).groupby("source").agg(size=("size", "sum"), target=("target", "first"), taken=("taken", "sum"))
+    assert (s["size"] == sizes).all() and abs(s.target.sum() - 1.5 * sum(sizes)) < 1e-3
+    assert ((s.taken - s.target).abs() <= 0.5 + mixing.MISS * s.target).all()
+    assert abs(s.taken.sum() - 1.5 * sum(sizes)) <= len(sizes) / 2 + mixing.MISS * 1.5 * sum(sizes)
+
+
 @pytest.mark.parametrize(("few", "tile"), [(16, 128), (1, 4)])
 def test_op8(spark, corpus, docs, few, tile):
     sets = {}
