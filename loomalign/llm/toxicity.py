@@ -2,8 +2,9 @@
 
 Two dictionaries share a base of frequent words, in the same place.  Before it,
 one has the words that toxic training texts have significantly more often (in
-themselves or by their first letters), the other has filler of the same size.
-Ordinary text so compresses to about the same length with both, and what is
+themselves or by their first letters), the other in the same size the words that
+ordinary training texts have significantly more often and, while there is room,
+their rarer words that the base has too.  Ordinary text so compresses to about the same length with both, and what is
 typical of toxic text compresses shorter with the first.  Windows of thirty words
 are compressed with both; how the differences of a text's windows are spread
 (largest, mean, share and number over a threshold) is calibrated to a
@@ -48,8 +49,8 @@ def _document_counts(texts: list[str]) -> Counter:
     return out
 
 
-def train(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
-    """The contents of the toxic and of the ordinary dictionary."""
+def vocabulary(toxic: list[str], plain: list[str]) -> tuple[list[str], list[str], list[str]]:
+    """The words typical of toxic texts and of ordinary ones, most typical first, and the base: frequent words of both."""
     a, b, n, m = _document_counts(toxic), _document_counts(plain), len(toxic), len(plain)
 
     def z(form: str) -> float:
@@ -59,23 +60,46 @@ def train(toxic: list[str], plain: list[str]) -> tuple[bytes, bytes]:
     in_toxic = Counter(w for t in toxic for w in _LETTERS.findall(t.lower()))
     in_plain = Counter(w for t in plain for w in _LETTERS.findall(t.lower()))
     strong = {w: s for w in in_toxic if (s := max(map(z, _forms(w)))) > 3}
-    own, size, stems = [], 0, Counter()
-    for w in sorted(strong, key=lambda w: (-strong[w], w)):
-        if size + len(w.encode()) + 1 > OWN_BYTES - 2:
-            break
-        stems[w[:5]] += 1
-        if stems[w[:5]] <= 12:  # more words of one stem add little
-            own.append(w)
-            size += len(w.encode()) + 1
+    usual = {w: s for w in in_plain if w not in strong and (s := -min(map(z, _forms(w)))) > 3}
+
+    def ordered(typical: dict[str, float]) -> list[str]:
+        stems, out = Counter(), []
+        for w in sorted(typical, key=lambda w: (-typical[w], w)):
+            stems[w[:5]] += 1
+            if stems[w[:5]] <= 12:  # more words of one stem add little
+                out.append(w)
+        return out
+
     base, size = [], 0
     for w, _ in sorted((in_toxic + in_plain).items(), key=lambda x: (-x[1], x[0])):
         if size > BASE_BYTES:
             break
-        if w not in strong:
+        if w not in strong and w not in usual:
             base.append(w)
             size += len(w.encode()) + 1
-    shared = " ".join(base[::-1]).encode()[:BASE_BYTES]
-    return b"#" * (OWN_BYTES - 2 - len(" ".join(own).encode())) + b" " + " ".join(own).encode() + b" " + shared, b"#" * OWN_BYTES + shared
+    return ordered(strong), ordered(usual) + [w for w in base[::-1] if w in in_plain], base
+
+
+def dictionaries(words: tuple[list[str], list[str], list[str]], own_bytes: int = OWN_BYTES) -> tuple[bytes, bytes]:
+    """The contents of the toxic and of the ordinary dictionary, with ``own_bytes`` before the base."""
+    shared = " ".join(words[2][::-1]).encode()[:BASE_BYTES]
+
+    def own(typical: list[str]) -> bytes:
+        out, size = [], 0
+        for w in typical:
+            if size + len(w.encode()) + 1 > own_bytes - 2:
+                break
+            out.append(w)
+            size += len(w.encode()) + 1
+        text = " ".join(out).encode()
+        return b"#" * (own_bytes - 2 - len(text)) + b" " + text + b" "
+
+    return own(words[0]) + shared, own(words[1]) + shared
+
+
+def train(toxic: list[str], plain: list[str], own_bytes: int = OWN_BYTES) -> tuple[bytes, bytes]:
+    """The contents of the toxic and of the ordinary dictionary."""
+    return dictionaries(vocabulary(toxic, plain), own_bytes)
 
 
 _COMPRESSORS: dict = {}
@@ -129,11 +153,12 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE):
     if len(toxic) < 4 or len(plain) < 4:
         return None
     # Three of four of each class make the dictionaries; the others calibrate.
-    dictionaries = train([t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4])
-    rest = toxic[::4] + plain[::4]
-    x = np.array([features(t, dictionaries) for t in rest])
+    words = vocabulary([t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4])
+    rest, y = toxic[::4] + plain[::4], np.array([1] * len(toxic[::4]) + [0] * len(plain[::4]))
     counts = dict(C.table(spark, sf_dir, "labels", "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (C.label_side() != 2)).groupBy("toxic").count().collect())
-    return dictionaries, Calibration(x, np.array([1] * len(toxic[::4]) + [0] * len(plain[::4])), counts[1] / (counts[0] + counts[1]))
+    pair = dictionaries(words)
+    x = np.array([features(t, pair) for t in rest])
+    return pair, Calibration(x, y, counts[1] / (counts[0] + counts[1]))
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

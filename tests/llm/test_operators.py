@@ -226,6 +226,13 @@ def test_op5_learns_words():
     assert len(toxicity.features(None, (toxic, plain))) == 10
 
 
+def test_op5_ordinary_dictionary_is_ordinary_text():
+    toxic, plain = toxicity.train([f"some words {b} here" for b in BAD] * 20, ["some words and more here", "calm rivers and hills here"] * 100)
+    own = plain[: toxicity.OWN_BYTES].decode().strip("# ").split()
+    assert {"calm", "rivers", "hills"} <= set(own) and not set(own) & set(BAD)
+    assert toxicity.features("rivers hills", (toxic, plain))[0] < 0
+
+
 def test_op7(spark, corpus, docs):
     right, got = _accuracy(spark, corpus, "op7_quality_knn", "quality")
     assert right > 0.95 and (got.predicted == (got.score >= 0.7)).all()
