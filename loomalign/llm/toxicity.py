@@ -4,7 +4,8 @@ Two dictionaries share a base of frequent words, in the same place.  Before it,
 one has the words that toxic training texts have significantly more often (in
 themselves or by their first letters), the other in the same size the words that
 ordinary training texts have significantly more often and, while there is room,
-their rarer words that the base has too.  Ordinary text so compresses to about the same length with both, and what is
+their rarer words that the base has too.  How many words of the toxic ones is
+chosen by how well texts that no dictionary has seen are told apart.  Ordinary text so compresses to about the same length with both, and what is
 typical of toxic text compresses shorter with the first.  Windows of thirty words
 are compressed with both; how the differences of a text's windows are spread
 (largest, mean, share and number over a threshold) is calibrated to a
@@ -63,12 +64,11 @@ def vocabulary(toxic: list[str], plain: list[str]) -> tuple[list[str], list[str]
     usual = {w: s for w in in_plain if w not in strong and (s := -min(map(z, _forms(w)))) > 3}
 
     def ordered(typical: dict[str, float]) -> list[str]:
-        stems, out = Counter(), []
+        stems, first, last = Counter(), [], []
         for w in sorted(typical, key=lambda w: (-typical[w], w)):
             stems[w[:5]] += 1
-            if stems[w[:5]] <= 12:  # more words of one stem add little
-                out.append(w)
-        return out
+            (first if stems[w[:5]] <= 12 else last).append(w)  # more words of one stem add little
+        return first + last
 
     base, size = [], 0
     for w, _ in sorted((in_toxic + in_plain).items(), key=lambda x: (-x[1], x[0])):
@@ -102,6 +102,21 @@ def train(toxic: list[str], plain: list[str], own_bytes: int = OWN_BYTES) -> tup
     return dictionaries(vocabulary(toxic, plain), own_bytes)
 
 
+def own_sizes(typical: list[str]) -> list[int]:
+    """Sizes to choose from: OWN_BYTES and its doubles, the last with room for all words."""
+    out, whole = [OWN_BYTES], sum(len(w.encode()) + 1 for w in typical) + 2
+    while out[-1] < whole:
+        out.append(min(2 * out[-1], whole))
+    return out
+
+
+def auc(score: np.ndarray, y: np.ndarray) -> float:
+    """How often a toxic text has a higher score than an ordinary one; equal scores count half."""
+    ordinary = np.sort(score[y == 0])
+    below = np.searchsorted(ordinary, score[y == 1], "left") + np.searchsorted(ordinary, score[y == 1], "right")
+    return float(below.mean() / 2 / len(ordinary))
+
+
 _COMPRESSORS: dict = {}
 
 
@@ -152,13 +167,18 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE):
     toxic, plain = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
     if len(toxic) < 4 or len(plain) < 4:
         return None
-    # Three of four of each class make the dictionaries; the others calibrate.
+    # Three of four of each class make the dictionaries; the others calibrate and choose the size.
     words = vocabulary([t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4])
     rest, y = toxic[::4] + plain[::4], np.array([1] * len(toxic[::4]) + [0] * len(plain[::4]))
     counts = dict(C.table(spark, sf_dir, "labels", "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (C.label_side() != 2)).groupBy("toxic").count().collect())
-    pair = dictionaries(words)
-    x = np.array([features(t, pair) for t in rest])
-    return pair, Calibration(x, y, counts[1] / (counts[0] + counts[1]))
+    best = None
+    for own_bytes in own_sizes(words[0]):
+        pair = dictionaries(words, own_bytes)
+        x = np.array([features(t, pair) for t in rest])
+        calibration = Calibration(x, y, counts[1] / (counts[0] + counts[1]))
+        if best is None or auc(calibration(x), y) > best[0]:
+            best = auc(calibration(x), y), pair, calibration
+    return best[1:]
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:

@@ -233,6 +233,26 @@ def test_op5_ordinary_dictionary_is_ordinary_text():
     assert toxicity.features("rivers hills", (toxic, plain))[0] < 0
 
 
+def test_op5_wide_vocabulary(spark, tmp_path):
+    """More significant words than the least size holds: all are used where that tells texts apart."""
+    import random
+
+    import pandas as pd
+
+    r = random.Random(3)
+    name = lambda: "".join(r.choice("bcdfghklmnprstvwz") + r.choice("aeiou") for _ in range(5))
+    slurs, usual = [name() for _ in range(200)], [name() for _ in range(600)]
+    rows = [(i, " ".join(r.choices(usual, k=26) + (r.choices(slurs, k=4) if i % 2 else r.choices(usual, k=4))), i % 2) for i in range(3000)]
+    pd.DataFrame(rows, columns=["doc_id", "text", "toxic"])[["doc_id", "text"]].to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame([(i, 1, y) for i, _, y in rows], columns=["doc_id", "quality", "toxic"]).to_parquet(tmp_path / "labels.parquet")
+    model = toxicity.fit(spark, str(tmp_path))
+    own = [f" {w} ".encode() in model[0][0] and f" {w} ".encode() not in model[0][1] for w in slurs]
+    assert sum(own) > 150
+    held = [(t, y) for i, t, y in rows if is_held_out(i)]
+    score = model[1](np.array([toxicity.features(t, model[0]) for t, _ in held]))
+    assert toxicity.auc(score, np.array([y for _, y in held])) > 0.95
+
+
 def test_op7(spark, corpus, docs):
     right, got = _accuracy(spark, corpus, "op7_quality_knn", "quality")
     assert right > 0.95 and (got.predicted == (got.score >= 0.7)).all()
