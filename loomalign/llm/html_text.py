@@ -38,6 +38,10 @@ PAGES = 900
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu search".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 DROPPED = frozenset("head noscript template svg math iframe object canvas audio video select button datalist map".split())
+#: What may stand in a head; any other tag, or text, ends it.
+IN_HEAD = frozenset("head html base basefont bgsound link meta noscript template title style script noframes".split())
+#: Foreign elements, which a slash closes.
+FOREIGN = frozenset(("svg", "math"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "legend", "figcaption"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -61,6 +65,7 @@ _GOOD_TAGS = {5, 6}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(>|\Z)""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_UNQUOTED = re.compile(r"""=\s*[^\s"'][^\s]*\Z""")
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -80,10 +85,13 @@ class Page:
         links = 0
         in_link = 0
         dropped: list[str] = []
+        inner: list[str] = []  # blocks open inside a dropped button or select
         at = 0
 
         def text(a, b):
             nonlocal links
+            if dropped == ["head"] and source[a:b].strip():
+                dropped.clear()
             if b > a and not dropped:
                 piece = source[a:b]
                 parts.append(piece)
@@ -113,15 +121,43 @@ class Page:
                 continue
             name = name.lower()
             closing = m[1] or m[5]
-            if dropped:
+            attrs = (m[3] if m[2] else m[7]) or ""
+            empty = name in FOREIGN and attrs.endswith("/") and not _UNQUOTED.search(attrs)
+            if "head" in dropped and (name == "body" or closing and name in ("head", "html")):
+                dropped.clear()  # a body ends an open head
+                if name == "head":
+                    continue
+            elif dropped == ["head"]:
+                if closing:
+                    continue
+                if name not in IN_HEAD:
+                    dropped.clear()
+                elif name not in RAW:
+                    if name in DROPPED and name != "head":
+                        dropped.append(name)
+                    continue
+            elif dropped:
                 if name == dropped[-1]:
-                    if closing:
+                    if closing or name == "select":
                         dropped.pop()
-                    elif name not in VOID:
+                    elif name != "button" and not empty:
                         dropped.append(name)
-                if name != "body" or closing:
                     continue
-                dropped.clear()  # a body ends an open head
+                if name == "body" and not closing:
+                    dropped.clear()
+                elif dropped[0] in ("button", "select") and name in BLOCKS:
+                    # The close of a block around it ends one that is not closed.
+                    if not closing:
+                        inner.append(name)
+                        continue
+                    if name in inner:
+                        del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                        continue
+                    if name not in names:
+                        continue
+                    dropped.clear()
+                else:
+                    continue
             if closing:
                 if name in BLOCKS:
                     if name in names:
@@ -140,7 +176,9 @@ class Page:
                     at = len(source) if close < 0 else close + 1
                 continue
             if name in DROPPED:
-                dropped.append(name)
+                if not empty:
+                    dropped.append(name)
+                    inner.clear()
             elif name == "br":
                 parts.append(" ")
             elif name == "hr":
@@ -160,7 +198,6 @@ class Page:
                 if name in CLOSES_P and names[-1] == "p":
                     pop_to(len(names) - 1)
                 hint = 0
-                attrs = m[3] if m[2] else m[7]
                 if attrs:
                     for _, x, y, z in _ATTR.findall(attrs):
                         for w in _WORDS.findall(_CAMEL.sub(r"\1 \2", x or y or z).lower()):

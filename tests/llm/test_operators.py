@@ -111,6 +111,25 @@ def test_op2(spark, corpus):
     assert got.text[0] == got.text[1] == ""
 
 
+@pytest.mark.parametrize(
+    ("source", "blocks"),
+    [
+        ("<body><p>One <svg class=a />two<math/> three</p><p>Four</p>", ["One two three", "Four"]),
+        ("<p>One <svg><g><svg/></g>drawn</svg>two <svg href=a/>drawn</svg>three", ["One two three"]),
+        ("<head><title>T</title><meta name=a><script>x('<div>no</div>')</script><p>One<p>Two", ["One", "Two"]),
+        ("<head><noscript><img src=x>no</noscript><link rel=y>One <b>two</b>", ["One two"]),
+        ("<head><noscript>no</head><p>One", ["One"]),
+        ("<html><head><title>T</title></head><body><p>One", ["One"]),
+        ("<div><button>no<div>no</div>no</div><p>One</p>", ["One"]),
+        ("<ul><li>One<select><option>no</li><li>Two</li></ul>", ["One", "Two"]),
+        ("<p>One</p><button>no<button>no</button>Two", ["One", "Two"]),
+        ("<select><option>no</select>One", ["One"]),
+    ],
+)
+def test_html_open_elements(source, blocks):
+    assert html_text.Page(source).block_text == blocks
+
+
 def test_html_pages():
     m = html_text.fit()
     right = total = 0
