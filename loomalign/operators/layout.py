@@ -41,19 +41,20 @@ def positioned(df: DataFrame, key: str = "target_id", parts: int = 1024) -> Data
     A global running sum without one task for all rows: ids fall in ``parts``
     ranges of equal width; counts and sums by length and range come first (a
     table of at most lengths times parts rows), then places within each, so
-    a length that all rows have is still many tasks.
+    a length that all rows have is still many tasks.  Null lengths come last
+    and have no residues; null ids come last of their length.
     """
     ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     width = (F.col("_high") - F.col("_low") + 1).cast("double")
     rows = df.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor((F.col(key) - F.col("_low")) / width * parts)).drop("_low", "_high")
     sums = rows.groupBy("len", "_part").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("r"))
-    before = Window.orderBy("len", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("len", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("_base_r"))
-    within = Window.partitionBy("len", "_part").orderBy(key)
+    before = Window.orderBy(F.asc_nulls_last("len"), F.asc_nulls_last("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("len").alias("_len"), F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("_base_r"))
+    within = Window.partitionBy("len", "_part").orderBy(F.asc_nulls_last(key))
     return (
         rows.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(sums, ["len", "_part"])
-        .select(*df.columns, (F.col("_base") + F.col("_rank")).alias("ord"), (F.col("_base_r") + F.col("_rank") * F.col("len")).cast("long").alias("start"))
+        .join(sums, F.col("len").eqNullSafe(F.col("_len")) & F.col("_part").eqNullSafe(F.col("_of")))
+        .select(*df.columns, (F.col("_base") + F.col("_rank")).alias("ord"), (F.col("_base_r") + F.col("_rank") * F.coalesce("len", F.lit(0))).cast("long").alias("start"))
     )
 
 

@@ -64,3 +64,18 @@ def test_all_parts_are_targets(spark):
         rows = entry.queries()[name](spark, DATA).select("target_id").collect()
         assert len(rows) == len(ids) and {r.target_id for r in rows} == ids, name
     assert entry.queries()["mismatch_summary_all"](spark, DATA).first().pairs == 3 * len(ids)
+
+
+@pytest.mark.parametrize("name", ["sort_by_length", "prefix_offsets", "batch_layout", "batch_offsets", "padding_waste", "overflow_risk"])
+def test_layout_keeps_nulls(spark, tmp_path, name):
+    """Documents without text come last, those without id last of their length."""
+    import pandas as pd
+
+    texts = ["x" * (k % 9) for k in range(60)] + [None] * 40
+    ids = [None if k in (5, 23, 99) else k * 3 for k in range(100)]
+    pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    got = entry.queries()[name](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
