@@ -118,6 +118,18 @@ def search(
     return found
 
 
+def self_scores(targets: DataFrame) -> DataFrame:
+    """(target_id, score) of each target aligned locally with itself; equal sequences are aligned once, a null one has a null score."""
+
+    def run(batches):
+        for batch in batches:
+            codes = map(encode, batch.column("seq").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([int(kernels.within("sw", c, c)) for c in codes], pa.int64())], ["seq", "score"])
+
+    scores = targets.where("seq is not null").select("seq").distinct().mapInArrow(run, "seq string, score long")
+    return targets.select("target_id", "seq").join(scores, "seq", "left").select("target_id", "score")
+
+
 def top_hits(scores: DataFrame, k: int) -> DataFrame:
     """Extension: (query_id, rank, target_id, len, score) of the k best targets of each query; equal scores by id.
 

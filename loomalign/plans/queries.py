@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomalign.functions import scoring as S
 from loomalign.operators import layout as L
 from loomalign.operators import verify as V
-from loomalign.operators.search import narrow_first, routes_apart, search, top_hits
+from loomalign.operators.search import narrow_first, routes_apart, search, self_scores, top_hits
 from loomalign.sources import fasta
 
 QUERY = "ARNDCQEGHILKMFPSTWYV"
@@ -59,20 +59,20 @@ def _code(char: str) -> str:
     return f"CASE WHEN instr('{both}', {char}) = 0 THEN 23 ELSE (instr('{both}', {char}) - 1) % 24 END"
 
 
-def _scores_sql(targets: str, queries: dict[str, str], algorithm: str) -> str:
+def _scores_sql(targets: str, queries: dict[str, str] | str, algorithm: str) -> str:
     """Scores by a recursion over the query's residues; gaps along the target are a running maximum.
 
     Each step keeps the whole row of every pair; the recursion carries cells
-    h(i, j) and f(i, j) for j = 0 to n.
+    h(i, j) and f(i, j) for j = 0 to n.  Queries may be SQL themselves.
     """
-    values = ", ".join(f"('{name}', '{q}')" for name, q in queries.items())
+    asked = queries if isinstance(queries, str) else "SELECT * FROM (VALUES " + ", ".join(f"('{name}', '{q}')" for name, q in queries.items()) + ") v(query_id, qs)"
     local = algorithm == "sw"
     border = "0" if local else "CASE WHEN j = 0 THEN 0 ELSE -10 - (j - 1) END"
     zero = ", 0" if local else ""
     edge = "0" if local else "-10 - i"
     pick = "max(h)" if local else "max(CASE WHEN i = m AND j = n THEN h END)"
     return f"""
-WITH RECURSIVE t AS ({targets}), q AS (SELECT * FROM (VALUES {values}) v(query_id, qs)), sub AS (SELECT * FROM {_SUB}),
+WITH RECURSIVE t AS ({targets}), q AS ({asked}), sub AS (SELECT * FROM {_SUB}),
 tc AS (SELECT target_id, length(seq) AS n, j, CASE WHEN j = 0 THEN NULL ELSE {_code("substr(seq, CAST(j AS INT), 1)")} END AS c FROM t, unnest(range(0, length(seq) + 1)) AS r(j)),
 qc AS (SELECT query_id, length(qs) AS m, i, {_code("substr(qs, CAST(i AS INT), 1)")} AS c FROM q, unnest(range(1, length(qs) + 1)) AS r(i)),
 prof AS (SELECT query_id, m, i, target_id, n, j, s FROM qc CROSS JOIN tc LEFT JOIN sub ON sub.a = qc.c AND sub.b = tc.c),
@@ -125,8 +125,14 @@ def substitution_arrays(spark, d, targets=parts):
 
 
 def self_score(spark, d, targets=parts):
-    """Local scores of part names with themselves: no pair but the diagonal is asked for, so expressions do it."""
-    return substitution_arrays(spark, d, targets).select("target_id", F.col("self").alias("score"))
+    """Local scores of part names with themselves: no pair but the diagonal is asked for."""
+    return self_scores(targets(spark, d))
+
+
+def all_pairs(spark, d):
+    """Local scores of every distinct part name as a query against all of them; queries are gathered on the driver, as ``search`` takes them."""
+    t = parts(spark, d)
+    return _scores(search(t, {str(r.target_id): r.seq for r in t.collect()}, "sw"))
 
 
 def score_mismatch(spark, d, targets=parts):
@@ -205,6 +211,7 @@ def queries() -> dict:
     return {
         **part_queries(parts),
         **part_queries(part_rows, "_all"),
+        "all_pairs": all_pairs,
         "residue_histogram": residue_histogram,
         "sort_by_length": lambda s, d: L.positioned(lengths(s, d)).select("target_id", "len", "ord"),
         "n_shortest": lambda s, d: L.n_shortest(lengths(s, d), 100),
@@ -289,4 +296,5 @@ def oracle_sql() -> dict[str, str]:
         "peak_throughput": f"SELECT algorithm, impl, query_len FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, impl ORDER BY gcups DESC, query_len) AS k FROM ({m})) WHERE k = 1",
         "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'hybrid' THEN gcups END) AS a, max(CASE WHEN impl = 'simd' THEN gcups END) AS b FROM ({m}) GROUP BY 1, 2) GROUP BY 1",
         **_all_parts_sql(codes),
+        "all_pairs": _scores_sql(_PARTS, f"SELECT CAST(target_id AS VARCHAR) AS query_id, seq AS qs FROM ({_PARTS})", "sw"),
     }

@@ -79,3 +79,17 @@ def test_layout_keeps_nulls(spark, tmp_path, name):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     want = c.sql(f"SELECT {', '.join(got.columns)} FROM ({SQL[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_self_score_is_a_local_score(spark, tmp_path):
+    """An unknown residue costs at the ends of a name, so the best local alignment leaves it out."""
+    import pandas as pd
+
+    names = {1: "X", 2: "XA", 3: "AXA", 4: "A", 5: "A", 6: "WxW"}
+    pd.DataFrame({"p_partkey": list(names), "p_name": list(names.values())}).to_parquet(tmp_path / "part.parquet")
+    want = {1: 0, 2: 4, 3: 7, 4: 4, 5: 4, 6: 21}
+    assert {r.target_id: r.score for r in entry.queries()["self_score_all"](spark, str(tmp_path)).collect()} == want
+    got = {r.target_id: r.score for r in entry.queries()["self_score"](spark, str(tmp_path)).collect()}
+    assert got == {i: v for i, v in want.items() if i != 5}
+    pairs = {(r.query_id, r.target_id): r.score for r in entry.queries()["all_pairs"](spark, str(tmp_path)).collect()}
+    assert len(pairs) == 25 and all(pairs[str(i), i] == v for i, v in got.items())
