@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import functools
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time; NumPy needs some forty times as much memory.
 CHUNK_BYTES = 1 << 19
+#: Longer stretches are hashed by BLAKE2b: sums of powers collide on some regular strings of 1,024 bytes and more.
+LONG_SPAN = 64
 
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INV = np.uint64(pow(int(_ODD), -1, 1 << 64))
@@ -37,22 +43,60 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; on one machine without a setting, a folder of the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without a setting, a folder of the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    if not spark.sparkContext.master.startswith("local") and path.startswith(("file:", "/")):
+        raise RuntimeError("spark.checkpoint.dir is not set, and the warehouse is a folder of one machine: executors could not read each other's tables")
+    return path
+
+
+_STORED: list[str] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again.  Later stages survive lost executors without this work."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    if not _STORED:
+        atexit.register(_release_at_exit, spark)
+    _STORED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all that this application has stored: for when its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/llm-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def stored_paths() -> list[str]:
+    """What this process has stored so far and not released."""
+    return list(_STORED)
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete stored tables (all of this process by default): for when what was made from them is written."""
+    for path in stored_paths() if paths is None else paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if path in _STORED:
+            _STORED.remove(path)
+
+
+def _release_at_exit(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped context has none
+        release(spark)
+
+
+def tidy(run):
+    """A function over batches that gives memory back at its end: idle workers would keep what their largest batch took."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
 
 
 def partitions(spark: SparkSession) -> int:
@@ -93,6 +137,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str = "text", limit
             start = end
 
 
+def small_rows(batches: Iterator[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``limit`` bytes, whatever their columns, or one row."""
+    for batch in batches:
+        step = max(1, batch.num_rows * limit // max(1, batch.nbytes))
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 _POWERS: list[np.ndarray] = []
 
 
@@ -114,7 +166,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a byte array, each in a constant number of steps."""
+    """Hashes of any stretch of a byte array, each in a constant number of steps.  Equal ones need not mean equal bytes (see LONG_SPAN)."""
 
     def __init__(self, data: np.ndarray):
         self.up, down = powers(len(data) + 1)
@@ -125,6 +177,28 @@ class Rolling:
         return mixed((self.sums[end] - self.sums[start]) * self.up[start])
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of a byte array; those of long ones are cryptographic."""
+    out = Rolling(data).of(starts, ends)
+    for k in np.flatnonzero(ends - starts > LONG_SPAN).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of every stretch, as two arrays of signed numbers: where equal digests stand for equal bytes."""
+    raw, blake = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    joined = b"".join([blake(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    pair = np.frombuffer(joined, np.int64).reshape(-1, 2)
+    return pair[:, 0].copy(), pair[:, 1].copy()
+
+
+def text_key(column: str = "text") -> tuple[Column, Column]:
+    """(ka, kb): two hashes of a text under different seeds, which name it wherever rows of equal text are alike."""
+    text = F.coalesce(F.col(column), F.lit(""))
+    return F.xxhash64(F.lit(1), text).alias("ka"), F.xxhash64(F.lit(2), text).alias("kb")
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words of every text: (starts, ends, first word of each text, with the count at the end)."""
     n = len(data)
@@ -188,6 +262,7 @@ def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16) -> np.nd
     """
     width = cells // planes
 
+    @tidy
     def count(batches):
         out = np.zeros(cells, np.uint32)
         for batch in batches:
@@ -196,6 +271,7 @@ def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16) -> np.nd
         parts = [out[i * width : (i + 1) * width].view(np.uint8).reshape(-1, 4).T.tobytes() for i in range(planes)]
         yield pa.RecordBatch.from_arrays([pa.array(range(planes), pa.int32()), pa.array(parts, pa.binary())], ["part", "table"])
 
+    @tidy
     def add(batches):
         """Sums of the tables that come by, one for each part: memory does not depend on their number."""
         sums: dict[int, np.ndarray] = {}
@@ -220,9 +296,14 @@ def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16) -> np.nd
 # ---- connected components ----------------------------------------------------
 
 
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, least node of its component) of the edges at hand, by union-find."""
+def _roots(a: np.ndarray, b: np.ndarray, salt: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node of its component) of the edges at hand, by union-find.  With a salt, the one of least salted hash."""
     nodes, index = np.unique(np.concatenate((a, b)), return_inverse=True)
+    if salt is not None:
+        order = np.argsort(mixed(nodes.astype(np.int64).view(np.uint64) ^ mixed(np.array([salt], np.uint64))))
+        place = np.empty(len(nodes), np.int64)
+        place[order] = np.arange(len(nodes))
+        nodes, index = nodes[order], place[index]
     parent = list(range(len(nodes)))
     for x, y in zip(index[: len(a)].tolist(), index[len(a) :].tolist(), strict=True):
         while parent[x] != x:
@@ -238,65 +319,82 @@ def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[np.array(parent, np.int64)] if len(nodes) else nodes
 
 
-def forest(edges: DataFrame) -> DataFrame:
-    """The links of each partition as stars (node to least node): connectivity stays, and no more rows than nodes."""
+def forest(edges: DataFrame, salt: int | None = None, whole: bool = False, held: int = 1_000_000) -> DataFrame:
+    """The links of each partition as stars (centre, node): connectivity stays, and no more rows than nodes.
+
+    A partition is taken in blocks of ``held`` links, each with what the blocks
+    before left.  whole: with a row for each centre itself.
+    """
 
+    @tidy
     def reduce(batches):
         a, b, size = [], [], 0
 
         def out():
-            nodes, least = _roots(np.concatenate(a), np.concatenate(b))
+            nodes, least = _roots(np.concatenate(a), np.concatenate(b), salt)
             keep = nodes != least
             return least[keep], nodes[keep]
 
+        def table(x, y):
+            if whole:
+                own = np.unique(x)
+                x, y = np.concatenate((x, own)), np.concatenate((y, own))
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
         for batch in batches:
             a.append(batch.column(0).to_numpy())
             b.append(batch.column(1).to_numpy())
             size += batch.num_rows
-            if size > 1_000_000:
+            if size > held:
                 x, y = out()
                 if len(x) > size // 2:  # not worth holding on to
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+                    yield table(x, y)
                     x, y = x[:0], y[:0]
                 a, b, size = [x], [y], len(x)
         if size:
-            x, y = out()
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+            yield table(*out())
 
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(reduce, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, task_links: int = 1 << 19, max_rounds: int = 80) -> DataFrame:
     """(id, component_id): every node of the links (a, b) with the least node that it can reach.
 
-    Alternating large-star and small-star steps (Kiveris et al., 2014) end in
-    stars around the least nodes after a logarithmic number of rounds.  Every
-    round first contracts what lies in one partition, so that a hub is a few
-    rows for each task and not one for each neighbour.  Only a flag of each
-    round comes to the driver.
+    Rounds of contraction.  Links are dealt to tasks by hash, about
+    ``task_links`` to each; a task turns its own into stars around the nodes of
+    least salted hash.  A node then has one centre for each task that saw it, so
+    a hub is as many rows as tasks, however many neighbours it has.  It goes to
+    one of its centres, and links between its centres alone are the next round's
+    graph.  In the worst case, a path, a third of the nodes go in each round; links that fit
+    one task are done in one.  Centres are then followed back, and each
+    component takes its least node.  Only counts come to the driver.
     """
-    current = stored(forest(edges).where("a <> b").distinct())
-    for _ in range(max_rounds):
-        # Large star: neighbours larger than a node go to its least neighbour.
-        both = current.select("a", "b").union(current.select(F.col("b"), F.col("a")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b")
-        large = large.distinct()
-        # Small star: a node's smaller neighbours, and itself, go to the least of them.
-        low = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = low.groupBy("u").agg(F.min("v").alias("m"))
-        small = low.join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
-        small = small.union(least.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a <> b").distinct()
-        after = stored(small)
-        # Done when every node has one smaller neighbour, and that has none.
-        multi = after.groupBy("b").agg(F.count("*").alias("n")).where("n > 1").select(F.col("b").alias("id"))
-        chain = after.select(F.col("a").alias("id")).join(after.select(F.col("b").alias("id")).distinct(), "id", "left_semi")
-        current = after
-        if not multi.union(chain).take(1):
+    spark = edges.sparkSession
+    current = stored(forest(edges.where("a <> b")))
+    steps = []
+    for salt in range(max_rounds):
+        n = current.count()
+        if not n:
+            break
+        tasks = -(-n // task_links)
+        dealt = current.coalesce(1) if tasks == 1 else current.repartition(tasks, F.xxhash64("a", "b", F.lit(salt)))
+        stars = forest(dealt, salt, True, max(2 * task_links, 1_000_000)).select(F.col("b").alias("id"), F.col("a").alias("centre"))
+        if tasks == 1:
+            steps.append(stored(stars))
             break
+        seen = stored(stars.groupBy("id").agg(F.collect_set("centre").alias("centres")).withColumn("centre", F.array_min("centres")))
+        steps.append(seen.select("id", "centre"))
+        current = stored(forest(seen.select(F.col("centre").alias("a"), F.explode("centres").alias("b")).where("a <> b")))
     else:
         raise RuntimeError("the components did not settle")
-    return current.select(F.col("b").alias("id"), F.col("a").alias("component_id")).union(current.select(F.col("a").alias("id"), F.col("a").alias("component_id")).distinct())
+    if not steps:
+        return spark.createDataFrame([], "id long, component_id long")
+    found = steps.pop()
+    while steps:
+        later = found.select(F.col("id").alias("centre"), F.col("centre").alias("root"))
+        found = stored(steps.pop().join(later, "centre", "left").select("id", F.coalesce("root", "centre").alias("centre")))
+    least = stored(found.groupBy("centre").agg(F.min("id").alias("component_id")))
+    return found.join(least, "centre").select("id", "component_id")
 
 
 # ---- filters of fixed size for what a join can drop beforehand -----------------
@@ -347,6 +445,7 @@ def thinned(df: DataFrame, column: str, table: np.ndarray, hits: bool = True) ->
     """The rows whose key the filter may have; or, without ``hits``, those that it surely has not."""
     sent = df.sparkSession.sparkContext.broadcast(table)
 
+    @tidy
     def run(batches):
         for batch in batches:
             ok = may_have(sent.value, batch.column(column).to_numpy()) == hits
@@ -355,6 +454,36 @@ def thinned(df: DataFrame, column: str, table: np.ndarray, hits: bool = True) ->
     return df.mapInArrow(run, df.schema)
 
 
+# ---- texts by their own key -------------------------------------------------------
+
+#: Keys that a task remembers at a time.
+_REMEMBERED = 200_000
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(ka, kb, text) of every row; a null is empty."""
+    return docs.select(*text_key(), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def one_each(texts: DataFrame) -> DataFrame:
+    """Every text of keyed ones once: by task first, so that copies do not meet."""
+
+    @tidy
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            fresh = []
+            for i, key in enumerate(zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)):
+                if key not in seen:
+                    seen.add(key)
+                    fresh.append(i)
+            yield batch.take(pa.array(fresh, pa.int64()))
+            if len(seen) > _REMEMBERED:
+                seen.clear()
+
+    return texts.mapInArrow(run, texts.schema).dropDuplicates(["ka", "kb"])
+
+
 # ---- labelled samples -----------------------------------------------------------
 
 

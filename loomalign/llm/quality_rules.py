@@ -57,13 +57,29 @@ def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def _seen_before(data: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a line equals an earlier one of its text.  Hashes only pick the lines whose bytes are compared."""
+    rough = C.Rolling(data).of(start, end)
+    order = np.lexsort((rough, doc))
+    same = (rough[order][1:] == rough[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+    suspect = np.zeros(len(start), bool)
+    suspect[order[1:]] |= same
+    suspect[order[:-1]] |= same
+    out = np.zeros(len(start), bool)
+    known: set = set()
+    for k in np.flatnonzero(suspect).tolist():
+        line = (int(doc[k]), data[start[k] : end[k]].tobytes())
+        out[k] = line in known
+        known.add(line)
+    return out
+
+
 def analyse(batch: pa.RecordBatch) -> dict:
     """Counts of each text, and of each line: its text, words, and a row of features."""
     data, offsets = C.text_buffers(batch.column("text"))
     n_docs, total = len(offsets) - 1, len(data)
     starts, ends, first = C.word_spans(data, offsets)
-    roll = C.Rolling(data)
-    words = roll.of(starts, ends)
+    words = C.span_hashes(data, starts, ends)
     n_words = np.diff(first)
     solid = np.zeros(total + 1, bool)
     solid[:total] = ~C._SPACE[data] & ((data & 0xC0) != 0x80)
@@ -93,12 +109,7 @@ def analyse(batch: pa.RecordBatch) -> dict:
     line_end = bounds[1:] - ((bounds[1:] > line_start) & (data[np.maximum(bounds[1:] - 1, 0)] == 10) if total else 0)
     word_at = np.searchsorted(starts, bounds)
     line_words = np.diff(word_at)
-    line_hash = roll.of(line_start, line_end)
-    order = np.lexsort((np.arange(len(line_start)), line_hash, line_doc))
-    same = (line_hash[order][1:] == line_hash[order][:-1]) & (line_doc[order][1:] == line_doc[order][:-1])
-    seen = np.zeros(len(line_start), bool)
-    seen[order[1:]] = same
-    seen &= line_words > 0
+    seen = _seen_before(data, line_start, line_end, line_doc) & (line_words > 0)
     out["n_dup_lines"] = np.bincount(line_doc[seen], minlength=n_docs)[:n_docs]
     per = np.maximum(line_words, 1)
     again = np.zeros(len(words), bool)
@@ -244,6 +255,7 @@ def judged(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> D
     """Counts, content share and verdict of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
+    @C.tidy
     def run(batches):
         for batch in C.small_batches(batches):
             a = analyse(batch)
@@ -266,6 +278,7 @@ def kept(docs: DataFrame, field: LineField, min_share: float = MIN_SHARE) -> Dat
     """The rows of ``docs`` that are kept, with its columns, in one pass."""
     sent = docs.sparkSession.sparkContext.broadcast(field)
 
+    @C.tidy
     def run(batches):
         for batch in C.small_batches(batches):
             a = analyse(batch)

@@ -3,24 +3,36 @@
 A 400-byte string (window) is keyed by the least hash of its 100-byte strings.
 Equal windows have equal keys, so every repeat lies within one key.  The starts
 of a text that share a key in a row, with the bytes up to the end of the last
-window, are a piece; all bytes of a piece go where its key goes:
-
-1. Pieces are hashed, equal ones of a task merged, and dealt by key.  Keys with
-   one piece in all are dropped, unless it has the key's string more than once:
-   nothing in them repeats.
-2. Pieces of keys with different content meet in a shard.  The suffix array of
+window, are a piece; all windows of a piece belong to its key:
+
+1. Pieces get a 128-bit digest of their bytes.  Those of equal bytes are one
+   content with a count and a place; sums by key say how many contents and bytes
+   a key has.  All of this is partial aggregation, so a key that a third of all
+   texts have is no task's own.  Keys of one content that occurs once are
+   dropped, unless it has the key's string more than once: nothing in them
+   repeats.  Of a key's only content that occurs more often, all windows repeat.
+2. Different contents of one key meet in a shard.  The suffix array of
    the shard is built by induced sorting (``induced``), and permuted common
-   prefixes tell which windows also start elsewhere.  A piece that itself occurs
-   more than once needs no comparison: all its windows repeat.
-3. Verdicts go back to every text with the piece; covered bytes are removed.
+   prefixes tell which windows also start elsewhere.  A content that itself
+   occurs more than once needs no comparison: all its windows repeat.
+3. Verdicts go back to every text with the content; covered bytes are removed.
 
-A key whose pieces exceed ``shard_bytes`` (a passage that very many texts go on
+A key whose contents exceed ``shard_bytes`` (a passage that very many texts go on
 from differently) is not put into one task: its windows are dealt by their own
-hash instead.  Filters of a fixed size (1 MB) thin out texts and pieces before
-they are joined.
-
-Nulls are empty texts; rows without doc_id keep all bytes and repeat nothing.  Texts below 400 bytes keep all bytes.  Repeated rows
-repeat each other.  Strings are judged on the input; matches never cross texts.
+128-bit digest instead.  Filters of a fixed size (1 MB) thin out texts and pieces
+before they are joined; joins have stored tables on both sides, so that skewed
+keys are split.
+
+Texts are named by two 64-bit hashes of theirs and not by doc_id: what is removed
+depends on the text alone.  So rows with equal, clashing or null ids are all
+judged and all count.
+
+Nulls are empty texts.  Texts below 400 bytes keep all bytes.  Very long texts
+are cut like others, in batches of their own.  Repeated rows repeat each other
+and come out as often as they came in, with all bytes of 400 and more removed.
+An empty table gives no rows; further columns, whatever their names, are left
+alone.  There are no ties: strings are judged on the input, and matches never
+cross texts.
 """
 
 from __future__ import annotations
@@ -38,7 +50,10 @@ from .ngram_join import _runs, _whole_groups
 
 GRAM = 100
 SHARD_BYTES = 1 << 20
-_PIECE = "h long, g long, n int, count long, doc_id long, at int, twice boolean"
+#: Pieces that a task holds to see which texts it has more than once.
+HELD_PIECES = 200_000
+CONTENT = ("h", "g", "g2", "n")
+_PIECE = "ka long, kb long, at int, h long, g long, g2 long, n int, twice boolean, count long"
 
 
 def _sliding(x: np.ndarray, width: int, least=np.minimum) -> np.ndarray:
@@ -66,19 +81,15 @@ def _twice(grams, key, start, n, width):
     return out | (count > 1)
 
 
-def _pieces(batch: pa.RecordBatch, length: int, gram: int, with_twice: bool = False):
-    """(row, at, n, h, g): pieces of each text, their first start, number of starts, key and content hash.
-
-    with_twice: and whether a piece could repeat itself.
-    """
+def _pieces(batch: pa.RecordBatch, length: int, gram: int):
+    """(row, at, h, g, g2, n, twice): pieces of each text, their first start, key, digest, number of starts, and whether they could repeat themselves."""
     data, offsets = C.text_buffers(batch.column("text"))
     total = len(data)
     none = np.zeros(0, np.int64)
     if total < length:
-        return (none, none, none, none, none) + (none.astype(bool),) * with_twice
-    roll = C.Rolling(data)
+        return (none,) * 6 + (none.astype(bool),)
     at = np.arange(total - gram + 1)
-    grams = roll.of(at, at + gram)
+    grams = C.Rolling(data).of(at, at + gram)
     key = _sliding(grams, length - gram + 1)
     sizes = np.diff(offsets)
     rows = np.flatnonzero(sizes >= length)
@@ -95,86 +106,88 @@ def _pieces(batch: pa.RecordBatch, length: int, gram: int, with_twice: bool = Fa
     row = np.searchsorted(offsets, start, "right") - 1
     limit = np.minimum(np.append(start[1:], total), offsets[row + 1] - length + 1)
     n = limit - start
-    g = roll.of(start, start + n + length - 1)
-    out = (row, start - offsets[row], n, key[start].view(np.int64), g.view(np.int64))
-    return out + (_twice(grams, key, start, n, length - gram + 1),) if with_twice else out
+    g, g2 = C.digests(data, start, limit + length - 1)
+    return row, start - offsets[row], key[start].view(np.int64), g, g2, n, _twice(grams, key, start, n, length - gram + 1)
 
 
-def _merged(h, g, n, count, doc, at, twice):
-    """Equal pieces as one, with their count and the first place that has it."""
-    order = np.lexsort((at, doc, n, g, h))
-    h, g, n, count, doc, at = (x[order] for x in (h, g, n, count, doc, at))
-    twice = twice[order]
-    head = np.ones(len(h), bool)
-    head[1:] = (h[1:] != h[:-1]) | (g[1:] != g[:-1]) | (n[1:] != n[:-1])
-    first = np.flatnonzero(head)
-    return h[first], g[first], n[first], np.add.reduceat(count, first) if len(first) else count, doc[first], at[first], twice[first]
+def text_pieces(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """Pieces of all texts; a text that a task has seen of late only adds to the count."""
 
+    def emit(held, counts):
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        index = columns.pop()
+        count = np.array(counts, np.int64)[index]
+        types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        arrays = [pa.array(x, t) for x, t in zip(columns, types, strict=True)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(count)], ["ka", "kb", "at", "h", "g", "g2", "n", "twice", "count"])
 
-def _batch(h, g, n, count, doc, at, twice, *more):
-    arrays = [pa.array(h), pa.array(g), pa.array(n.astype(np.int32)), pa.array(count), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(twice), *map(pa.array, more)]
-    return pa.RecordBatch.from_arrays(arrays, ["h", "g", "n", "count", "doc_id", "at", "twice", "kind"][: len(arrays)])
-
-
-def hashed_pieces(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """Pieces of all texts; equal ones of up to 200,000 are merged before they are dealt."""
-
+    @C.tidy
     def run(batches):
-        held, size = [], 0
+        held, size, seen, counts = [], 0, {}, []
         for batch in C.small_batches(batches):
-            row, at, n, h, g, twice = _pieces(batch, length, gram, True)
+            fresh = []
+            for i, key in enumerate(zip(batch.column("ka").to_pylist(), batch.column("kb").to_pylist(), strict=True)):
+                if key in seen:
+                    counts[seen[key]] += 1
+                else:
+                    seen[key] = len(counts)
+                    counts.append(1)
+                    fresh.append(i)
+            first = len(counts) - len(fresh)
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            row, at, h, g, g2, n, twice = _pieces(batch, length, gram)
             if len(row):
-                held.append((h, g, n, np.ones(len(row), np.int64), batch.column("doc_id").to_numpy()[row], at, twice))
+                ka, kb = (batch.column(c).to_numpy()[row] for c in ("ka", "kb"))
+                held.append((ka, kb, at, h, g, g2, n, twice, row + first))
                 size += len(row)
-            if size > 200_000:
-                yield _batch(*_merged(*map(np.concatenate, zip(*held, strict=True))))
-                held, size = [], 0
+            if size > HELD_PIECES:
+                yield emit(held, counts)
+                held, size, seen, counts = [], 0, {}, []
         if held:
-            yield _batch(*_merged(*map(np.concatenate, zip(*held, strict=True))))
-
-    return docs.mapInArrow(run, _PIECE)
+            yield emit(held, counts)
 
+    return texts.mapInArrow(run, _PIECE)
 
-def repeated_pieces(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """Different pieces of keys that occur more than once.  kind: 0 the key's only content, 1 for a shard, 2 too much for one."""
 
-    def run(batches):
-        for t in _whole_groups(batches, "h"):
-            h, g, n, count, doc, at, twice = _merged(*(t.column(c).to_numpy() for c in ("h", "g", "n", "count", "doc_id", "at", "twice")))
-            head, size = _runs(h)
-            total, room = np.add.reduceat(count, head), np.add.reduceat(n + np.int64(length), head)
-            trivial = (size == 1) & (count[head] > 1)
-            kind = np.repeat(np.where(trivial, 0, np.where(room <= shard_bytes, 1, 2)).astype(np.int32), size)
-            keep = np.repeat((total > 1) | twice[head], size)
-            yield _batch(*(x[keep] for x in (h, g, n, count, doc, at, twice, kind)))
+def contents(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """The contents of keys in which something may repeat: (h, g, g2, n, count, place, kind).
 
-    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(run, _PIECE + ", kind int")
+    kind: 0 the key's only content, which occurs more than once, 1 for a shard,
+    2 too much for one.
+    """
+    often = pieces.groupBy("h").agg(F.sum("count").alias("c"), F.max("twice").alias("t")).where("c > 1 or t").select("h")
+    some = C.thinned(pieces, "h", C.key_filter(often))
+    each = C.stored(some.groupBy(*CONTENT).agg(F.sum("count").alias("count"), F.min(F.struct("ka", "kb", "at")).alias("place"), F.max("twice").alias("twice")))
+    keys = each.groupBy("h").agg(F.sum("count").alias("total"), F.count("*").alias("different"), F.sum(F.col("n") + length).alias("room"), F.max("twice").alias("self"))
+    keys = C.stored(keys.where("total > 1 or self"))
+    kind = F.when((F.col("different") == 1) & (F.col("total") > 1), 0).when(F.col("room") <= shard_bytes, 1).otherwise(2)
+    return each.join(keys, "h").select(*CONTENT, "count", "place", kind.alias("kind"))
 
 
-def _with_bytes(docs: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
-    """The pieces with their bytes, cut from the text that is named in them."""
+def _with_bytes(texts: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """The contents with their bytes, cut from the text of their place."""
 
+    @C.tidy
     def cut(batches):
         for batch in C.small_batches(batches):
             data, offsets = C.text_buffers(batch.column("text"))
             own = batch.column("own")
             rows = np.repeat(np.arange(batch.num_rows), np.diff(own.offsets.to_numpy()))
             flat = own.flatten()
-            h, g, n, count, at = (flat.field(i) for i in range(5))
+            *columns, at = (flat.field(i) for i in range(6))
             start = offsets[rows] + at.to_numpy()
-            end = start + n.to_numpy() + length - 1
+            end = start + columns[3].to_numpy() + length - 1
             raw = data.tobytes()
             step = 2000
             for k in range(0, len(start), step):
                 part = slice(k, k + step)
                 blobs = pa.array([raw[a:b] for a, b in zip(start[part].tolist(), end[part].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(x.slice(k, step) for x in (h, g, n, count)), blobs], ["h", "g", "n", "count", "bytes"])
+                yield pa.RecordBatch.from_arrays([*(x.slice(k, step) for x in columns), blobs], [*CONTENT, "count", "bytes"])
 
-    own = pieces.groupBy("doc_id").agg(F.collect_list(F.struct("h", "g", "n", "count", "at")).alias("own"))
-    texts = C.thinned(docs, "doc_id", C.key_filter(pieces.select("doc_id")))
-    # Repeated rows: one of them is enough.
-    joined = texts.join(own, "doc_id").select("text", "own")
-    return joined.mapInArrow(cut, "h long, g long, n int, count long, bytes binary")
+    own = found.groupBy("place.ka", "place.kb").agg(F.collect_list(F.struct(*CONTENT, "count", F.col("place.at"))).alias("own"))
+    own = C.stored(own)
+    picked = C.one_each(C.thinned(texts, "ka", C.key_filter(own.select("ka"))))
+    return picked.join(own, ["ka", "kb"]).select("text", "own").mapInArrow(cut, "h long, g long, g2 long, n int, count long, bytes binary")
 
 
 def shard_repeats(texts: list[bytes], starts: list[int], length: int) -> list[np.ndarray]:
@@ -200,17 +213,18 @@ def _ranges(flag: np.ndarray) -> list[int]:
     return step.tolist()
 
 
-def shard_verdicts(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(h, g, n, ranges) from pieces with bytes: first and last + 1 start of each run of repeated windows."""
+def shard_verdicts(found: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(h, g, g2, n, ranges) from contents with bytes: first and last + 1 start of each run of repeated windows."""
 
     def solve(rows):
-        texts = [x.as_py() for x in rows.column("bytes").combine_chunks()] if rows.num_rows else []
+        texts = [x.as_py() for x in rows.column("bytes").combine_chunks()]
         n = rows.column("n").to_pylist()
         flags = shard_repeats(texts, n, length)
         out = [[0, k] if c > 1 else _ranges(f) for f, k, c in zip(flags, n, rows.column("count").to_pylist(), strict=True)]
-        batch = rows.select(["h", "g", "n"]).combine_chunks().to_batches()[0]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], ["h", "g", "n", "ranges"])
+        batch = rows.select(CONTENT).combine_chunks().to_batches()[0]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*CONTENT, "ranges"])
 
+    @C.tidy
     def run(batches):
         held, size = [], 0
         for t in _whole_groups(batches, "h"):
@@ -224,60 +238,82 @@ def shard_verdicts(pieces: DataFrame, length: int, shard_bytes: int) -> DataFram
         if held:
             yield solve(pa.concat_tables(held))
 
-    return pieces.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, n int, ranges array<int>")
+    return found.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, g long, g2 long, n int, ranges array<int>")
 
 
-def window_verdicts(pieces: DataFrame, length: int) -> DataFrame:
-    """The same for keys too large for one shard: windows are dealt by their own hash."""
+def window_verdicts(found: DataFrame, length: int) -> DataFrame:
+    """The same for keys too large for one shard: windows are dealt by their own digest.
 
-    def run(batches):
+    Digests are counted by task before they are dealt.  Where each piece has
+    those that occur more than once is found in a second pass, thinned by a
+    filter, so that rows are not made for windows that occur once.
+    """
+
+    def windows(batches):
         for batch in batches:
             data, offsets = C.text_buffers(batch.column("bytes"))
+            n = batch.column("n").to_numpy()
             for i in range(batch.num_rows):
-                n = batch.column("n")[i].as_py()
-                own = data[offsets[i] : offsets[i + 1]]
-                for a in range(0, n, C.CHUNK_BYTES):
-                    m = min(C.CHUNK_BYTES, n - a)
-                    s = np.arange(m)
-                    w = C.Rolling(own[a : a + m + length - 1]).of(s, s + length)
-                    same = [pa.array(np.full(m, batch.column(c)[i].as_py()), t) for c, t in (("h", pa.int64()), ("g", pa.int64()), ("n", pa.int32()), ("count", pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array((s + a).astype(np.int32)), C.signed(w)], ["h", "g", "n", "count", "s", "w"])
-
-    rows = pieces.mapInArrow(run, "h long, g long, n int, count long, s int, w long")
-    often = rows.groupBy("w").agg(F.sum("count").alias("c")).where("c > 1").select("w")
-    hits = rows.join(often, "w").select("h", "g", "n", "s").distinct()
+                for a in range(0, int(n[i]), C.CHUNK_BYTES):
+                    s = np.arange(a, min(a + C.CHUNK_BYTES, int(n[i])))
+                    yield batch.slice(i, 1), s, *C.digests(data, offsets[i] + s, offsets[i] + s + length)
+
+    @C.tidy
+    def counted(batches):
+        held, size = [], 0
+
+        def out():
+            w, w2, c = map(np.concatenate, zip(*held, strict=True))
+            order = np.lexsort((w2, w))
+            w, w2, c = w[order], w2[order], c[order]
+            head = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (w2[1:] != w2[:-1]))))
+            return w[head], w2[head], np.add.reduceat(c, head)
+
+        for piece, s, w, w2 in windows(batches):
+            held.append((w, w2, np.full(len(s), piece.column("count")[0].as_py())))
+            size += len(s)
+            if size > HELD_PIECES:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in out()], ["w", "w2", "c"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out()], ["w", "w2", "c"])
+
+    often = C.stored(found.mapInArrow(counted, "w long, w2 long, c long").groupBy("w", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w", "w2"))
+    sent = found.sparkSession.sparkContext.broadcast(C.key_filter(often.select("w")))
+
+    @C.tidy
+    def likely(batches):
+        for piece, s, w, w2 in windows(batches):
+            ok = C.may_have(sent.value, w)
+            same = [pa.array(np.full(int(ok.sum()), piece.column(c)[0].as_py()), t) for c, t in (("h", pa.int64()), ("g", pa.int64()), ("g2", pa.int64()), ("n", pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(s[ok].astype(np.int32)), pa.array(w[ok]), pa.array(w2[ok])], [*CONTENT, "s", "w", "w2"])
+
+    hits = found.mapInArrow(likely, "h long, g long, g2 long, n int, s int, w long, w2 long").join(often, ["w", "w2"])
     each = F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.array(s, s + 1)))
-    return hits.groupBy("h", "g", "n").agg(each.alias("ranges"))
+    return hits.groupBy(*CONTENT).agg(each.alias("ranges"))
 
 
-def verdicts(docs: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    found = C.stored(repeated_pieces(hashed_pieces(docs, length, gram), length, shard_bytes))
-    whole = found.where("kind = 0").select("h", "g", "n", F.array(F.lit(0), F.col("n")).alias("ranges"))
-    shard = shard_verdicts(_with_bytes(docs, found.where("kind = 1"), length), length, shard_bytes)
-    parts = whole.union(shard)
+def verdicts(texts: DataFrame, pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(h, g, g2, n, ranges) of every content with windows that occur more than once; pieces are stored."""
+    found = C.stored(contents(pieces, length, shard_bytes))
+    whole = found.where("kind = 0").select(*CONTENT, F.array(F.lit(0), F.col("n")).alias("ranges"))
+    parts = whole.union(shard_verdicts(_with_bytes(texts, found.where("kind = 1"), length), length, shard_bytes))
     large = found.where("kind = 2")
     if large.take(1):
-        parts = parts.union(window_verdicts(_with_bytes(docs, large, length), length))
-    return C.stored(parts.where("size(ranges) > 0").dropDuplicates(["h", "g", "n"]))
+        parts = parts.union(window_verdicts(C.stored(_with_bytes(texts, large, length)), length))
+    return C.stored(parts.where("size(ranges) > 0"))
 
 
 def removed_ranges(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, ranges): flat list of first and last + 1 byte of the ranges to remove, which can overlap."""
-    known = verdicts(docs, length, gram, shard_bytes)
-    sent = docs.sparkSession.sparkContext.broadcast(C.key_filter(known.select("h")))
-
-    def run(batches):
-        for batch in C.small_batches(batches):
-            row, at, n, h, g = _pieces(batch, length, gram)
-            ok = C.may_have(sent.value, h) if len(row) else np.zeros(0, bool)
-            row, at, n, h, g = (x[ok] for x in (row, at, n, h, g))
-            doc = batch.column("doc_id").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(g)], ["doc_id", "at", "n", "h", "g"])
-
-    rows = docs.mapInArrow(run, "doc_id long, at int, n int, h long, g long").join(known, ["h", "g", "n"])
+    """(ka, kb, ranges) of every different text with something to remove: flat list of first and last + 1 byte of the ranges, which can overlap."""
+    texts = C.keyed(docs)
+    pieces = C.stored(text_pieces(texts, length, gram))
+    known = verdicts(texts, pieces, length, shard_bytes)
+    places = C.thinned(pieces.select("ka", "kb", "at", *CONTENT), "h", C.key_filter(known.select("h"))).distinct()
     # Odd places hold ends: a start that repeats covers length bytes.
     absolute = F.transform("ranges", lambda x, i: x + F.col("at") + F.when(i % 2 == 1, length - 1).otherwise(0))
-    return rows.select("doc_id", absolute.alias("ranges")).groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    rows = C.stored(places).join(known, list(CONTENT)).select("ka", "kb", absolute.alias("ranges"))
+    return rows.groupBy("ka", "kb").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def spans(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,22 +328,22 @@ def spans(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _apply(docs: DataFrame, length: int, gram: int, shard_bytes: int, schema, columns) -> DataFrame:
-    """``columns(batch, spans of each row)`` of every row; texts that surely have nothing to remove are not shuffled."""
-    named = docs.where("doc_id is not null")
-    ranges = C.stored(removed_ranges(named.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, gram, shard_bytes))
-    table = C.key_filter(ranges.select("doc_id"))
+    """``columns(rows, spans of each row)`` of every row; texts that surely have nothing to remove are not shuffled."""
+    ranges = C.stored(removed_ranges(docs.select("text"), length, gram, shard_bytes))
+    table = C.key_filter(ranges.select("ka"))
+    # The row goes in one struct, so that no name of its columns can clash.
+    rows = docs.select(*C.text_key(), F.struct(*docs.columns).alias("row"))
 
+    @C.tidy
     def run(batches):
-        for batch in C.small_batches(batches):
-            lists = batch.column("_removed_ranges") if "_removed_ranges" in batch.schema.names else None
-            got = []
-            for i in range(batch.num_rows):
-                flat = lists[i].values.to_numpy() if lists is not None and lists[i].is_valid else np.zeros(0, np.int32)
-                got.append(spans(flat))
-            yield columns(batch, got)
-
-    hit = C.thinned(named, "doc_id", table).join(ranges.withColumnRenamed("ranges", "_removed_ranges"), "doc_id", "left")
-    rest = C.thinned(named, "doc_id", table, False).union(docs.where("doc_id is null"))
+        for batch in C.small_rows(batches):
+            own = pa.RecordBatch.from_struct_array(batch.column("row"))
+            lists = batch.column("ranges") if "ranges" in batch.schema.names else None
+            got = [spans(lists[i].values.to_numpy() if lists is not None and lists[i].is_valid else np.zeros(0, np.int32)) for i in range(batch.num_rows)]
+            yield columns(own, got)
+
+    hit = C.thinned(rows, "ka", table).join(ranges, ["ka", "kb"], "left").select("row", "ranges")
+    rest = C.thinned(rows, "ka", table, False).select("row")
     return hit.mapInArrow(run, schema).union(rest.mapInArrow(run, schema))
 
 
@@ -320,7 +356,7 @@ def _left(raw: bytes, first, last) -> bytes:
 
 
 def report(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every text."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, repeats) of every text; repeats: whether anything is removed."""
 
     def columns(batch, got):
         data, offsets = C.text_buffers(batch.column("text"))
@@ -330,10 +366,11 @@ def report(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: in
             own = raw[offsets[i] : offsets[i + 1]]
             rows.append((len(own), int((b - a).sum()), len(a), hashlib.sha256(_left(own, a, b)).hexdigest()))
         n_bytes, n_removed, n_spans, digest = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        columns = [batch.column("doc_id"), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest), pa.array([n > 0 for n in n_removed], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats"])
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _apply(docs, length, gram, shard_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", columns)
+    return _apply(docs, length, gram, shard_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, repeats boolean", columns)
 
 
 def cleaned(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -352,4 +389,5 @@ def cleaned(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: i
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 400-byte repeats take from every document; odd rows as the module says."""
     return report(C.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -175,6 +175,51 @@ def test_op3(spark, corpus, docs, shard):
     assert got.n_removed.sum() > 0
 
 
+def _thue_morse(k):
+    x = "a"
+    for _ in range(k):
+        x += x.translate({97: 98, 98: 97})
+    return x
+
+
+def test_op3_rows_of_equal_ids(spark):
+    """Texts are judged by themselves: equal and null ids neither mix them up nor leave them out."""
+    import random
+
+    r = random.Random(8)
+    passage, other, mine = ("".join(r.choices("abcdefghij klm", k=n)) for n in (500, 600, 450))
+    rows = [(1, "pp " + passage), (1, other), (2, passage + " q"), (None, mine + " x"), (None, "y " + mine), (3, None), (3, mine[:399])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ranges", F.lit("x")).withColumn("row", F.lit(1)).withColumn("ka", F.lit("k"))
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans) for r in substring_dedup.report(docs).collect())
+    want = []
+    for raw, gone in _brute_repeats([t for _, t in rows], 400):
+        want.append((len(raw), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())))
+    assert got == sorted(want) and sum(n for _, n, _ in want) == 2 * 500 + 2 * 450
+    left = Counter((r.doc_id, r.text, r.ranges, r.row, r.ka) for r in substring_dedup.cleaned(docs).collect())
+    assert left == Counter((i, t if t is None else t.replace(passage, "").replace(mine, ""), "x", 1, "k") for i, t in rows)
+
+
+@pytest.mark.parametrize("shard", [1 << 20, 1500])
+def test_op3_strings_that_sums_confuse(spark, shard):
+    """Strings on which sums of powers collide are compared by bytes or by a strong digest."""
+    x = _thue_morse(11)
+    y = x.translate({97: 98, 98: 97})
+    rows = [(1, x[:1024] + "0"), (2, y[:1024] + "1"), (3, "z" + x[:1024])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in substring_dedup.report(docs, shard_bytes=shard).collect()}
+    assert got == {i: int(gone.sum()) for (i, _), (_, gone) in zip(rows, _brute_repeats([t for _, t in rows], 400), strict=True)}
+
+
+@pytest.mark.parametrize("k", [10, 11, 12])
+def test_equality_of_strings_that_sums_confuse(spark, k):
+    x = _thue_morse(k)
+    y = x.translate({97: 98, 98: 97})
+    docs = spark.createDataFrame([(1, f"{x}\n{y}\n{x}"), (2, x), (3, y), (4, " ".join([x, y, x, x, y] + [y, x, y, y, x]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judged(docs, quality_rules.LineField()).collect()}
+    assert got[1].n_dup_lines == 1 and got[4].n_repeat_words == 0
+    assert {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
 def test_op3_texts(spark, corpus, docs):
     source = spark.read.parquet(f"{corpus}/documents.parquet").where("text is null or length(text) < 50000")
     got = substring_dedup.cleaned(source)
@@ -340,6 +385,34 @@ def test_op8(spark, corpus, docs, few, tile):
     assert sum(want[i] != i for i in want) > 20
 
 
+@pytest.mark.parametrize(("few", "tile"), [(16, 512), (1, 8), (3, 8)])
+def test_op8_verifies_a_pair_once(spark, corpus, few, tile):
+    trace = {}
+    ngram_join.near_duplicates(spark.read.parquet(f"{corpus}/documents.parquet"), few=few, tile=tile, trace=trace)
+    pairs = [tuple(r) for ways in trace.values() for r in ways.collect()]
+    assert len(pairs) == len(set(pairs)) > 30 and all(a < b for a, b in pairs)
+    assert few == 16 or "tiles" in trace
+
+
+def test_op8_equal_ids(spark):
+    a, b, c = ("one two three four five six seven", "red blue green white black pink", "one two three four five six seven")
+    docs = spark.createDataFrame([(5, a), (5, b), (2, b), (9, c), (None, a)], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_join.near_duplicates(docs).collect())
+    assert got == [(0, 3, 0), (2, 2, 2), (5, 2, 2), (5, 3, 5), (9, 3, 5)]
+
+
+def test_op8_plan_splits_hot_tokens(spark, corpus):
+    """What is dealt by token is joined with stored sizes or has a bounded part of a token: no window or whole group of a token."""
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").where("doc_id is not null")
+    levels = ngram_join.frequency_levels(docs, 5)
+    nodes = ngram_join.different_sets(ngram_join.sketches(docs.select("doc_id", "text"), 5, 80, levels))
+    postings = ngram_join.shared_postings(nodes)
+    plan = ngram_join.chained_pairs(postings, 80)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(token" in plan and ", part" in plan
+    sizes = postings.groupBy("token").agg(F.count("*").alias("n"), F.max("size").alias("size")).collect()
+    assert sizes and all(r.n == r.size for r in sizes)
+
+
 def test_op9(spark, corpus):
     import pyarrow.parquet as pq
 
@@ -400,3 +473,17 @@ def test_filters_and_sums(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (300, 200)], "a long, b long")
     got = {r.id: r.component_id for r in common.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 200: 100, 300: 100}
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "random"])
+def test_components_in_many_tasks(spark, kind):
+    """Rounds of contraction, with a hub in every task, end in the components."""
+    import random
+
+    from loomalign.llm import common
+
+    r = random.Random(4)
+    links = {"path": [(i, i + 1) for i in range(300)], "star": [(500, i) for i in range(400)] + [(i, i + 1000) for i in range(0, 400, 7)], "random": [(r.randrange(400), r.randrange(400)) for _ in range(260)]}[kind]
+    want = {i: c for i, c in components(range(2000), links).items() if any(i in e for e in links if e[0] != e[1])}
+    df = spark.createDataFrame(links, "a long, b long").repartition(8)
+    assert {r.id: r.component_id for r in common.components(df, task_links=40).collect()} == want
