@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 def main(argv: list[str] | None = None) -> int:
     from loomalign.operators.search import search
     from loomalign.operators.verify import check, measured
-    from loomalign.sources.fasta import cached_database, read_query
+    from loomalign.sources.fasta import cached_database, read_query, shared_dir
 
     def positive(text):
         value = int(text)
@@ -25,12 +25,12 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("threshold", type=positive)
     p.add_argument("query")
     p.add_argument("database")
-    p.add_argument("--cache", default=None, help="folder of sorted copies; beside the warehouse by default")
+    p.add_argument("--cache", default=None, help="shared folder of Parquet copies; spark.checkpoint.dir or, on one machine, beside the warehouse by default")
     p.add_argument("--check", action="store_true", help="also score with the plain engine and compare")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("loomalign").getOrCreate()
     query = read_query(spark, a.query)
-    targets = cached_database(spark, a.database, a.cache or f"{spark.conf.get('spark.sql.warehouse.dir')}/_fasta", a.num_seqs).cache()
+    targets = cached_database(spark, a.database, a.cache or f"{shared_dir(spark)}/_fasta", a.num_seqs).cache()
     run = lambda: search(targets, query, a.algorithm, a.threshold)
     if a.check:
         check(search(targets, query, a.algorithm, engine="scalar"), run(), "vector")

@@ -16,60 +16,44 @@ MAX_QUERY = 8192
 #: A narrow cell is redone above this.
 NARROW_LIMIT = 30000
 
-#: BLOSUM62 of the twenty amino acids in code order, lower triangle.
-_TRIANGLE = """
-4
--1 5
--2 0 6
--2 -2 1 6
-0 -3 -3 -3 9
--1 1 0 0 -3 5
--1 0 0 2 -4 2 5
-0 -2 0 -1 -3 -2 -2 6
--2 0 1 -1 -3 0 0 -2 8
--1 -3 -3 -3 -1 -3 -3 -4 -3 4
--1 -2 -3 -4 -1 -2 -3 -4 -3 2 4
--1 2 0 -1 -3 1 1 -2 -1 -3 -2 5
--1 -1 -2 -3 -1 0 -2 -3 -2 1 2 -1 5
--2 -3 -3 -3 -2 -3 -3 -3 -1 0 0 -3 0 6
--1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4 7
-1 -1 1 0 -1 0 0 0 -1 -2 -2 0 -1 -2 -1 4
-0 -1 0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1 1 5
--3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1 1 -4 -3 -2 11
--2 -2 -2 -3 -2 -1 -2 -3 2 -1 -1 -2 -1 3 -3 -2 -2 2 7
-0 -3 -3 -3 -1 -2 -2 -3 -3 3 1 -2 1 -1 -2 -2 0 -3 -1 4
+#: BLOSUM62 in its published layout, a row and a column for each residue.
+BLOSUM62 = """
+   A  R  N  D  C  Q  E  G  H  I  L  K  M  F  P  S  T  W  Y  V  B  Z  X  *
+A  4 -1 -2 -2  0 -1 -1  0 -2 -1 -1 -1 -1 -2 -1  1  0 -3 -2  0 -2 -1  0 -4
+R -1  5  0 -2 -3  1  0 -2  0 -3 -2  2 -1 -3 -2 -1 -1 -3 -2 -3 -1  0 -1 -4
+N -2  0  6  1 -3  0  0  0  1 -3 -3  0 -2 -3 -2  1  0 -4 -2 -3  3  0 -1 -4
+D -2 -2  1  6 -3  0  2 -1 -1 -3 -4 -1 -3 -3 -1  0 -1 -4 -3 -3  4  1 -1 -4
+C  0 -3 -3 -3  9 -3 -4 -3 -3 -1 -1 -3 -1 -2 -3 -1 -1 -2 -2 -1 -3 -3 -2 -4
+Q -1  1  0  0 -3  5  2 -2  0 -3 -2  1  0 -3 -1  0 -1 -2 -1 -2  0  3 -1 -4
+E -1  0  0  2 -4  2  5 -2  0 -3 -3  1 -2 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+G  0 -2  0 -1 -3 -2 -2  6 -2 -4 -4 -2 -3 -3 -2  0 -2 -2 -3 -3 -1 -2 -1 -4
+H -2  0  1 -1 -3  0  0 -2  8 -3 -3 -1 -2 -1 -2 -1 -2 -2  2 -3  0  0 -1 -4
+I -1 -3 -3 -3 -1 -3 -3 -4 -3  4  2 -3  1  0 -3 -2 -1 -3 -1  3 -3 -3 -1 -4
+L -1 -2 -3 -4 -1 -2 -3 -4 -3  2  4 -2  2  0 -3 -2 -1 -2 -1  1 -4 -3 -1 -4
+K -1  2  0 -1 -3  1  1 -2 -1 -3 -2  5 -1 -3 -1  0 -1 -3 -2 -2  0  1 -1 -4
+M -1 -1 -2 -3 -1  0 -2 -3 -2  1  2 -1  5  0 -2 -1 -1 -1 -1  1 -3 -1 -1 -4
+F -2 -3 -3 -3 -2 -3 -3 -3 -1  0  0 -3  0  6 -4 -2 -2  1  3 -1 -3 -3 -1 -4
+P -1 -2 -2 -1 -3 -1 -1 -2 -2 -3 -3 -1 -2 -4  7 -1 -1 -4 -3 -2 -2 -1 -2 -4
+S  1 -1  1  0 -1  0  0  0 -1 -2 -2  0 -1 -2 -1  4  1 -3 -2 -2  0  0  0 -4
+T  0 -1  0 -1 -1 -1 -1 -2 -2 -1 -1 -1 -1 -2 -1  1  5 -2 -2  0 -1 -1  0 -4
+W -3 -3 -4 -4 -2 -2 -3 -2 -2 -3 -2 -3 -1  1 -4 -3 -2 11  2 -3 -4 -3 -2 -4
+Y -2 -2 -2 -3 -2 -1 -2 -3  2 -1 -1 -2 -1  3 -3 -2 -2  2  7 -1 -3 -2 -1 -4
+V  0 -3 -3 -3 -1 -2 -2 -3 -3  3  1 -2  1 -1 -2 -2  0 -3 -1  4 -3 -2 -1 -4
+B -2 -1  3  4 -3  0  1 -1  0 -3 -4  0 -3 -3 -2  0 -1 -4 -3 -3  4  1 -1 -4
+Z -1  0  0  1 -3  3  4 -2  0 -3 -3  1 -1 -3 -1  0 -1 -3 -2 -2  1  4 -1 -4
+X  0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
+* -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4 -4  1
 """
-#: Background frequencies of the pairs that B and Z stand for.
-_AMBIGUOUS = {"B": {"N": 0.045, "D": 0.054}, "Z": {"Q": 0.034, "E": 0.054}}
-#: Where the published values, made from unrounded odds, differ from the average of rounded ones.
-_EXCEPTIONS = {("B", "K"): 0, ("B", "P"): -2, ("Z", "C"): -3}
-
-
-def _matrix() -> np.ndarray:
-    m = np.zeros((24, 24))
-    for i, row in enumerate(_TRIANGLE.split("\n")[1:-1]):
-        for j, value in enumerate(map(int, row.split())):
-            m[i, j] = m[j, i] = value
-    # B and Z average the two residues that they stand for.
-    mix = np.eye(24)
-    for letter, parts in _AMBIGUOUS.items():
-        row = mix[ALPHABET.index(letter)]
-        row[:] = 0
-        for residue, frequency in parts.items():
-            row[ALPHABET.index(residue)] = frequency / sum(parts.values())
-    m = np.rint(mix @ m @ mix.T)
-    for (a, b), value in _EXCEPTIONS.items():
-        m[ALPHABET.index(a), ALPHABET.index(b)] = m[ALPHABET.index(b), ALPHABET.index(a)] = value
-    x = ALPHABET.index("X")
-    m[x] = m[:, x] = -1
-    for letter, value in {"A": 0, "S": 0, "T": 0, "C": -2, "P": -2, "W": -2}.items():
-        m[x, ALPHABET.index(letter)] = m[ALPHABET.index(letter), x] = value
-    m[UNKNOWN] = m[:, UNKNOWN] = -4
-    m[UNKNOWN, UNKNOWN] = 1
-    return m.astype(np.int8)
-
-
-MATRIX = _matrix()
+
+
+def read_matrix(text: str, alphabet: str = ALPHABET) -> np.ndarray:
+    """The scores of a matrix in the published layout (a line of letters, then a letter and its scores a line), by code."""
+    head, *rows = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
+    by_letter = {row[0]: dict(zip(head, map(int, row[1:]), strict=True)) for row in rows}
+    return np.array([[by_letter[a][b] for b in alphabet] for a in alphabet], np.int8)
+
+
+MATRIX = read_matrix(BLOSUM62)
 
 #: bytes.translate table: byte to code.
 CODES = bytearray([UNKNOWN] * 256)

@@ -10,9 +10,13 @@ the sequences; all else of a column is two-dimensional.
 columns; gaps along the target come from a running maximum (with opening at
 least extension, a gap may start from cells before gaps are considered).
 
+``along``: the same for many sequences end to end, each lifted above the one
+before, so that the running maximum begins anew with each.
+
 ``scalar``: plain Python, the definition itself, for tests and as an engine.
 
-Cells are 16 bits wide where bounds on the score prove that they suffice, else 32.
+Cells are 16 bits wide where bounds on the score prove that they suffice, else 32
+(``along``: always 32).
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, NARROW_LIM
 
 #: Cells of one batch's column: long vectors, in arrays of a few MB.
 COLUMN_CELLS = 1 << 22
-_TOP = int(MATRIX.max())
+TOP = int(MATRIX.max())
 _NEG = -(1 << 29)
 
 
@@ -32,11 +36,11 @@ def gap(k, open_=GAP_OPEN, extend=GAP_EXTEND):
     return np.where(np.asarray(k) > 0, open_ + (np.asarray(k) - 1) * extend, 0)
 
 
-def narrow(algorithm: str, m: int, n: int) -> bool:
+def narrow(algorithm: str, m: int, n: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> bool:
     """Whether 16 bits hold every cell of a query of m and a target of n residues."""
-    high = _TOP * min(m, n) + _TOP
-    low = 0 if algorithm == "sw" else 2 * GAP_OPEN + (m + n) * GAP_EXTEND
-    return high < NARROW_LIMIT and low + 2 * GAP_OPEN < NARROW_LIMIT
+    high = TOP * min(m, n) + TOP
+    low = 0 if algorithm == "sw" else 2 * open_ + (m + n) * extend
+    return high < NARROW_LIMIT and low + 2 * open_ + extend < NARROW_LIMIT
 
 
 def scalar(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> int:
@@ -65,8 +69,8 @@ def _empty_side(algorithm: str, m: int, n: int, open_: int, extend: int) -> int:
     return 0 if algorithm == "sw" else -int(gap(max(m, n), open_, extend))
 
 
-def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> np.ndarray:
-    """Scores of all targets; best when they are many and of like length."""
+def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> np.ndarray:
+    """Scores of all targets; best when they are many and of like length.  wide: 32 bits in any case."""
     local = algorithm_name(algorithm) == "sw"
     m, size = len(q), len(targets)
     out = np.zeros(size, np.int64)
@@ -75,7 +79,7 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     if m == 0 or size == 0 or lengths.max() == 0:
         return np.array([_empty_side(algorithm, m, int(n), open_, extend) for n in lengths], np.int64)
     longest = int(lengths.max())
-    kind = np.int16 if narrow(algorithm, m, longest) and open_ == GAP_OPEN and extend == GAP_EXTEND else np.int32
+    kind = np.int16 if not wide and narrow(algorithm, m, longest, open_, extend) else np.int32
     codes = np.zeros((longest, size), np.uint8)
     for k, i in enumerate(order.tolist()):
         codes[: lengths[i], k] = targets[i]
@@ -123,34 +127,41 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     return out
 
 
-def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> int:
-    """The score of one pair, a row of the target at a time."""
+def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> int:
+    """The score of one pair, a row of the target at a time.
+
+    16 bits also have to hold a cell and the cost of extending a gap to its
+    column, which the running maximum adds.
+    """
     local = algorithm_name(algorithm) == "sw"
     m, n = len(q), len(t)
     if m == 0 or n == 0:
         return _empty_side(algorithm, m, n, open_, extend)
-    profile = MATRIX.astype(np.int32)[:, t]
-    steps = np.arange(n + 1, dtype=np.int32) * extend
-    h = np.zeros(n + 1, np.int32) if local else -gap(np.arange(n + 1), open_, extend).astype(np.int32)
-    f = np.full(n, _NEG, np.int32)
-    p = np.empty(n + 1, np.int32)
-    x = np.empty(n, np.int32)
+    fits = narrow(algorithm, m, n, open_, extend) and TOP * min(m, n) + n * extend < NARROW_LIMIT
+    kind = np.int16 if fits and not wide else np.int32
+    profile = MATRIX.astype(kind)[:, t]
+    steps = (np.arange(n + 1) * extend).astype(kind)
+    opened = steps + kind(open_)
+    h = np.zeros(n + 1, kind) if local else (-gap(np.arange(n + 1), open_, extend)).astype(kind)
+    opening, extending, zero = kind(open_), kind(extend), kind(0)
+    f = h[1:] - opening  # no gap can have been opened before the first row: extending this one never wins
+    p = np.empty(n + 1, kind)
+    x = np.empty(n, kind)
     best = 0
     for i in range(m):
-        np.subtract(f, extend, out=f)
-        np.subtract(h[1:], open_, out=x)
+        np.subtract(f, extending, out=f)
+        np.subtract(h[1:], opening, out=x)
         np.maximum(f, x, out=f)
         np.add(h[:-1], profile[q[i]], out=p[1:])
         np.maximum(p[1:], f, out=p[1:])
         if local:
-            np.maximum(p, 0, out=p)
+            np.maximum(p, zero, out=p)
             p[0] = 0
         else:
             p[0] = -gap(i + 1, open_, extend)
         np.add(p[:-1], steps[:-1], out=x)
         np.maximum.accumulate(x, out=x)
-        np.subtract(x, steps[:-1], out=x)
-        np.subtract(x, open_, out=x)
+        np.subtract(x, opened[:-1], out=x)
         h[0] = p[0]
         np.maximum(p[1:], x, out=h[1:])
         if local:
@@ -158,6 +169,56 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
     return best if local else int(h[n])
 
 
+def _lift(algorithm: str, m: int, n: int, open_: int, extend: int) -> int:
+    """More than the cells of one sequence, with gaps extended to their column, can differ by."""
+    return TOP * min(m, n) + 3 * open_ + (m + 2 * n) * extend + 1
+
+
+def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> np.ndarray:
+    """Scores of all targets, laid end to end with a border cell before each; best for short queries."""
+    local = algorithm_name(algorithm) == "sw"
+    m = len(q)
+    lengths = np.array([len(t) for t in targets], np.int64)
+    if m == 0 or not len(targets):
+        return np.array([_empty_side(algorithm, m, int(n), open_, extend) for n in lengths], np.int64)
+    first = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))
+    total = int((lengths + 1).sum())
+    column = (np.arange(total) - np.repeat(first, lengths + 1)).astype(np.int32)
+    codes = np.full(total, 23, np.uint8)
+    inside = np.ones(total, bool)
+    inside[first] = False
+    codes[inside] = np.concatenate(targets)
+    profile = MATRIX.astype(np.int32)[:, codes]
+    lift = _lift(algorithm, m, int(lengths.max()), open_, extend)
+    steps = column * np.int32(extend) + np.repeat(np.arange(len(targets), dtype=np.int32) * np.int32(lift), lengths + 1)
+    opened = steps + np.int32(open_)
+    h = np.zeros(total, np.int32) if local else (-gap(column, open_, extend)).astype(np.int32)
+    f = h - np.int32(open_)
+    p, x, best = np.empty(total, np.int32), np.empty(total, np.int32), np.zeros(total, np.int32)
+    for i in range(m):
+        np.subtract(f, extend, out=f)
+        np.subtract(h, open_, out=x)
+        np.maximum(f, x, out=f)
+        np.add(h[:-1], profile[q[i], 1:], out=p[1:])
+        np.maximum(p, f, out=p)
+        if local:
+            np.maximum(p, 0, out=p)
+            p[first] = 0
+        else:
+            p[first] = -gap(i + 1, open_, extend)
+        np.add(p, steps, out=x)
+        np.maximum.accumulate(x, out=x)
+        np.subtract(x, opened, out=x)
+        # A gap that ends in a cell began before it: the maximum up to the cell on the left.
+        np.maximum(p[1:], x[:-1], out=h[1:])
+        h[first] = p[first]
+        if local:
+            np.maximum(best, h, out=best)
+    if local:
+        return np.maximum.reduceat(best, first).astype(np.int64)
+    return h[first + lengths].astype(np.int64)
+
+
 def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_CELLS, residues: int = 1 << 25) -> list[tuple[int, int]]:
     """Stretches of a sorted list to score together: bounded in sequences, cells of a column and residues; never empty."""
     limit = max(1, min(most, cells // max(m, 1)))
@@ -170,19 +231,46 @@ def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_C
     return [*out, (start, len(lengths))] if lengths else out
 
 
-def scores(algorithm: str, q: np.ndarray, targets: list[np.ndarray], threshold: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> np.ndarray:
-    """Scores of all targets; those of ``threshold`` residues and more one by one, the others in batches."""
+#: Cells that ``along`` takes at a time, to stay in the cache.
+ALONG_CELLS = 1 << 13
+
+
+def _in_rows(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int, extend: int, wide: bool) -> np.ndarray:
+    """Scores by whole rows of the target: short ones end to end, long ones by themselves."""
+    out = np.zeros(len(targets), np.int64)
+    lengths = [len(t) for t in targets]
+    order = np.argsort(lengths, kind="stable").tolist()
+    start = 0
+    while start < len(order):
+        end, cells = start, 0
+        while end < len(order):
+            n = lengths[order[end]]
+            if end > start and (cells + n + 1 > ALONG_CELLS or (end - start + 1) * _lift(algorithm, len(q), n, open_, extend) >= 1 << 30):
+                break
+            cells += n + 1
+            end += 1
+        part = order[start:end]
+        if len(part) == 1:
+            out[part[0]] = within(algorithm, q, targets[part[0]], open_, extend, wide)
+        else:
+            out[part] = along(algorithm, q, [targets[i] for i in part], open_, extend)
+        start = end
+    return out
+
+
+def scores(algorithm: str, q: np.ndarray, targets: list[np.ndarray], threshold: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> np.ndarray:
+    """Scores of all targets; those of ``threshold`` residues and more by rows of the target, the others side by side."""
     lengths = np.array([len(t) for t in targets], np.int64)
     out = np.zeros(len(targets), np.int64)
-    for i in np.flatnonzero(lengths >= threshold).tolist():
-        out[i] = within(algorithm, q, targets[i], open_, extend)
+    large = np.flatnonzero(lengths >= threshold)
     small = np.flatnonzero(lengths < threshold)
     small = small[np.argsort(lengths[small], kind="stable")]
     for a, b in batches(lengths[small].tolist(), len(q)):
         part = small[a:b]
-        if b - a < 24 and len(part):  # too few to fill vectors
-            for i in part.tolist():
-                out[i] = within(algorithm, q, targets[i], open_, extend)
+        if b - a < 24:  # too few to fill vectors
+            large = np.concatenate((large, part))
         else:
-            out[part] = between(algorithm, q, [targets[i] for i in part.tolist()], open_, extend)
+            out[part] = between(algorithm, q, [targets[i] for i in part.tolist()], open_, extend, wide)
+    if len(large):
+        out[large] = _in_rows(algorithm, q, [targets[i] for i in large.tolist()], open_, extend, wide)
     return out

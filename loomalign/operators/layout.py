@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = 32
+#: Rows that a top-n may bring together in one task.
+GATHER = 10_000
 
 
 def by_length(df: DataFrame, key: str = "target_id") -> DataFrame:
@@ -13,9 +16,24 @@ def by_length(df: DataFrame, key: str = "target_id") -> DataFrame:
     return df.orderBy("len", key)
 
 
-def n_shortest(df: DataFrame, n: int, key: str = "target_id") -> DataFrame:
-    """The n shortest: a distributed top-n, not a sort of everything."""
-    return df.orderBy("len", key).limit(n)
+def n_shortest(df: DataFrame, n: int, key: str = "target_id", gather: int = GATHER) -> DataFrame:
+    """The n shortest; equal lengths by id.
+
+    Up to ``gather`` rows are a distributed top-n, in order.  More never meet in
+    one task: a histogram of lengths gives the length at which the n-th lies,
+    shorter rows stay as they are read, and of that length alone places decide.
+    """
+    if n <= gather:
+        return df.orderBy("len", key).limit(n)
+    upto = Window.orderBy(F.asc_nulls_first("len")).rowsBetween(Window.unboundedPreceding, 0)
+    counts = df.groupBy("len").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(upto))
+    cut = counts.where(F.col("all") >= n).orderBy("all").limit(1).collect()
+    if not cut:
+        return df
+    at = F.col("len").eqNullSafe(F.lit(cut[0].len))
+    ties = positioned(df.where(at).select(key, "len"), key).where(F.col("ord") < n - (cut[0]["all"] - cut[0].n)).select(F.col(key).alias("_key")).distinct()
+    below = F.lit(False) if cut[0].len is None else F.col("len").isNull() | (F.col("len") < cut[0].len)
+    return df.where(below).unionByName(df.where(at).join(ties, F.col(key).eqNullSafe(F.col("_key")), "left_semi"))
 
 
 def hash_sample(df: DataFrame, n: int, seed: int = 0, key: str = "target_id") -> DataFrame:
@@ -39,22 +57,29 @@ def positioned(df: DataFrame, key: str = "target_id", parts: int = 1024) -> Data
     """Adds ord (place in length order, from 0) and start (residues before it), by length and then (numeric) id.
 
     A global running sum without one task for all rows: ids fall in ``parts``
-    ranges of equal width; counts and sums by length and range come first (a
-    table of at most lengths times parts rows), then places within each, so
-    a length that all rows have is still many tasks.  Null lengths come last
-    and have no residues; null ids come last of their length.
+    ranges of equal width; sums by length, then by range within a length, then
+    places within each range are added up.  Only the sums by length, a row for
+    each different length, pass through one task, so a length that all rows
+    have is still many tasks.  Null lengths come last and have no residues; null
+    ids come last of their length.
     """
     ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
     width = (F.col("_high") - F.col("_low") + 1).cast("double")
     rows = df.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor((F.col(key) - F.col("_low")) / width * parts)).drop("_low", "_high")
-    sums = rows.groupBy("len", "_part").agg(F.count("*").alias("n"), F.sum(F.col("len").cast("long")).alias("r"))
-    before = Window.orderBy(F.asc_nulls_last("len"), F.asc_nulls_last("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("len").alias("_len"), F.col("_part").alias("_of"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"), F.coalesce(F.sum("r").over(before), F.lit(0)).alias("_base_r"))
+    sums = rows.groupBy(F.col("len").alias("_len"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
+    by_length = Window.orderBy(F.asc_nulls_last("_in")).rowsBetween(Window.unboundedPreceding, -1)
+    lengths = sums.groupBy(F.col("_len").alias("_in")).agg(F.sum("_n").alias("_all"))
+    run = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    residues = F.col("_all") * F.coalesce(F.col("_in").cast("long"), F.lit(0))
+    lengths = lengths.select("_in", run("_all", by_length).alias("_base"), run(residues, by_length).alias("_base_r"))
+    by_range = Window.partitionBy("_len").orderBy(F.asc_nulls_last("_of")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_before", run("_n", by_range)).join(lengths, F.col("_len").eqNullSafe(F.col("_in")))
+    sums = sums.select("_len", "_of", (F.col("_base") + F.col("_before")).alias("_first"), (F.col("_base_r") + F.col("_before") * F.coalesce(F.col("_len").cast("long"), F.lit(0))).alias("_first_r"))
     within = Window.partitionBy("len", "_part").orderBy(F.asc_nulls_last(key))
     return (
         rows.withColumn("_rank", F.row_number().over(within) - 1)
         .join(sums, F.col("len").eqNullSafe(F.col("_len")) & F.col("_part").eqNullSafe(F.col("_of")))
-        .select(*df.columns, (F.col("_base") + F.col("_rank")).alias("ord"), (F.col("_base_r") + F.col("_rank") * F.coalesce("len", F.lit(0))).cast("long").alias("start"))
+        .select(*df.columns, (F.col("_first") + F.col("_rank")).alias("ord"), (F.col("_first_r") + F.col("_rank") * F.coalesce("len", F.lit(0))).cast("long").alias("start"))
     )
 
 
@@ -70,38 +95,70 @@ def batch_layout(df: DataFrame, lanes: int = LANES) -> DataFrame:
     return out.select("batch", "n", "width", cells.cast("long").alias("cells"), (cells - F.col("residues")).cast("long").alias("padding"))
 
 
-def batch_offsets(layout: DataFrame, lanes: int = LANES) -> DataFrame:
-    """Adds the running starts of each batch's residues and of its two rows of cells."""
-    before = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
-    run = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("long")
-    return layout.withColumn("residue_start", run(F.col("width").cast("long") * lanes)).withColumn("row_start", run((F.col("width").cast("long") + 1) * 2 * lanes))
-
+def batch_offsets(layout: DataFrame, lanes: int = LANES, block: int = 4096) -> DataFrame:
+    """Adds the running starts of each batch's residues and of its two rows of cells.
 
-def budget_batches(df: DataFrame, query_len: int, budget: int, key: str = "target_id", parts: int | None = None) -> DataFrame:
+    In two levels: sums over blocks of batches first, one task's work for a row
+    of each block, then within each block.
+    """
+    rows = layout.withColumn("_block", F.floor(F.col("batch") / block)).withColumn("_r", F.col("width").cast("long") * lanes).withColumn("_c", (F.col("width").cast("long") + 1) * 2 * lanes)
+    run = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)).cast("long")
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block").agg(F.sum("_r").alias("_all_r"), F.sum("_c").alias("_all_c"))
+    blocks = blocks.select("_block", run("_all_r", before).alias("_base_r"), run("_all_c", before).alias("_base_c"))
+    inner = Window.partitionBy("_block").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.withColumn("_in_r", run("_r", inner)).withColumn("_in_c", run("_c", inner)).join(blocks, "_block")
+    return out.select(*layout.columns, (F.col("_base_r") + F.col("_in_r")).alias("residue_start"), (F.col("_base_c") + F.col("_in_c")).alias("row_start"))
+
+
+def _budget_plan(counts: DataFrame, query_len: int, budget: int) -> DataFrame:
+    """(_len, base, n0, b0, per, b1) of each length: its first place, how many of it end batch b0, and how many go to each batch from b1 on."""
+
+    def plan(batches):
+        base, batch, used = 0, 0, 0
+        for t in batches:
+            out = []
+            for n, count in zip(t.column("_len").to_pylist(), t.column("n").to_pylist(), strict=True):
+                cells = 3 * (query_len + 1) * ((n or 0) + 1)
+                per = max(1, budget // cells)
+                n0 = min(count, (budget - used) // cells if used else per) if used <= budget else 0
+                b0, rest = batch, count - n0
+                used += n0 * cells
+                if rest:
+                    batch += 1
+                    b1, more = batch, -(-rest // per) - 1
+                    batch += more
+                    used = (rest - more * per) * cells
+                else:
+                    b1 = batch
+                out.append((n, base, n0, b0, per, b1))
+                base += count
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["_len", "base", "n0", "b0", "per", "b1"])
+
+    one = counts.repartition(1).sortWithinPartitions(F.asc_nulls_last("_len"))
+    return one.mapInArrow(plan, "_len int, base long, n0 long, b0 long, per long, b1 long")
+
+
+def budget_batches(df: DataFrame, query_len: int, budget: int, key: str = "target_id") -> DataFrame:
     """Adds budget_batch: sequences in length order, a batch closed before its score matrices exceed ``budget`` cells.
 
-    A running sum that starts anew is sequential, so each part (a range of the
-    length order) is packed on its own; batches never cross parts.
+    Greedy over the whole length order, with at least one sequence to a batch.
+    Costs depend on the length alone, so the sequential part goes over one row
+    for each different length and not over sequences; each sequence finds its
+    batch from its place.  The result does not depend on partitions.
     """
-    import pandas as pd
+    counts = df.groupBy(F.col("len").cast("int").alias("_len")).agg(F.count("*").alias("n"))
+    rows = positioned(df, key).join(_budget_plan(counts, query_len, budget), F.col("len").eqNullSafe(F.col("_len")))
+    place = F.col("ord") - F.col("base")
+    later = F.col("b1") + F.floor((place - F.col("n0")) / F.col("per"))
+    return rows.select(*df.columns, F.when(place < F.col("n0"), F.col("b0")).otherwise(later).cast("long").alias("budget_batch"))
 
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def pack(batches):
-        batch, used = 0, 0
-        for pdf in batches:
-            out = []
-            for n in pdf["len"].tolist():
-                cells = 3 * (query_len + 1) * (n + 1)
-                if used and used + cells > budget:
-                    batch, used = batch + 1, 0
-                used += cells
-                out.append(batch)
-            yield pdf.assign(budget_batch=pd.Series(out, index=pdf.index, dtype="int64"))
-
-    ranged = df.repartitionByRange(parts, "len", key).sortWithinPartitions("len", key)
-    numbered = ranged.mapInPandas(pack, df.schema.add("budget_batch", "long"))
-    return numbered.withColumn("part", F.spark_partition_id())
+def largest_allocation(batches: DataFrame) -> DataFrame:
+    """(batches, columns, alignments): how many budget batches, and the most columns (residues and borders) and sequences of one."""
+    each = batches.groupBy("budget_batch").agg(F.sum(F.coalesce(F.col("len").cast("long"), F.lit(0)) + 1).alias("columns"), F.count("*").alias("alignments"))
+    return each.agg(F.count("*").alias("batches"), F.max("columns").alias("columns"), F.max("alignments").alias("alignments"))
 
 
 def overflow_risk(df: DataFrame, query_len: int, limit: int = 30000, lanes: int = LANES, top: int = 11, open_: int = 10, extend: int = 1) -> DataFrame:

@@ -18,6 +18,15 @@ QUERY_BLOCK = 1 << 20
 HELD = 1 << 26
 
 
+#: Bytes to a task below which a database is dealt anew.
+SMALL = 1 << 24
+
+
+def _bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size, without running anything."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _checked(query: str, max_query: int | None) -> np.ndarray:
     codes = encode(query)
     if max_query is not None and len(codes) > max_query:
@@ -31,7 +40,7 @@ def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm
     def solve(q, seqs):
         if engine == "scalar":
             return np.array([kernels.scalar(algorithm, q, t, open_, extend) for t in seqs], np.int64)
-        return kernels.scores(algorithm, q, seqs, threshold, open_, extend)
+        return kernels.scores(algorithm, q, seqs, threshold, open_, extend, engine == "wide")
 
     def out(ids, seqs, lens, routes):
         for name, q in sent.value:
@@ -98,7 +107,10 @@ def search(
 
         return native_scores(rows, queries, algorithm, gap_open, gap_extend)
     spark: SparkSession = targets.sparkSession
-    dealt = rows.repartition(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "target_id")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions and (rows.isStreaming or _bytes(rows) < SMALL * tasks):
+        partitions = tasks
+    dealt = rows.repartition(partitions, "target_id") if partitions else rows
     # Queries go out in blocks of a bounded size; each block is a pass over the same rows.
     blocks, size = [[]], 0
     for item in coded:
@@ -157,18 +169,32 @@ def with_redo(first: DataFrame, redo: DataFrame, keys: tuple[str, ...] = ("query
     return first.join(again, list(keys), "left").withColumn("score", F.coalesce("_again", "score")).drop("_again").select(*first.columns)
 
 
-def narrow_first(targets: DataFrame, query: str, algorithm: str = "sw", limit: int | None = None, **options) -> DataFrame:
-    """Scores in two steps: all targets whose cells a narrow type surely holds, then the others by the wide one.
+def _flagged(longest: int, algorithm: str, limit: int, gap_open: int, gap_extend: int):
+    """Whether the bound that the kernels keep to lets some cell of a target leave the narrow type."""
+    top = kernels.TOP * (F.least(F.col("len"), F.lit(longest)) + 1)
+    low = 4 * gap_open + (F.col("len") + longest + 1) * gap_extend
+    return F.coalesce((top >= limit) | ((low >= limit) if algorithm == "nw" else F.lit(False)), F.lit(False))
 
-    The kernels choose the width by the same bound for each batch, so ``search``
-    needs no second step; this keeps the two apart where the flagged ones are of
-    interest.
+
+def narrow_first(targets: DataFrame, query: str | dict[str, str], algorithm: str = "sw", limit: int | None = None, threshold: int = 4096, **options) -> DataFrame:
+    """Scores in two steps: all targets whose cells a narrow type surely holds, then the others by the wide kernels.
+
+    The first step leaves the flagged targets blank, the second one's scores are
+    put in their places.  The kernels choose the width by the same bound for
+    each batch, so ``search`` needs no second step; this keeps the two apart
+    where the flagged ones are of interest.  Gap costs and all other options
+    hold for both.
     """
-    limit = limit or kernels.NARROW_LIMIT
-    top = F.least(F.col("len"), F.lit(len(query))) * 11
-    border = F.col("len") + len(query) if algorithm == "nw" else F.lit(0)
-    flagged = (top >= limit) | (border >= limit)
-    scores = search(targets.where(~flagged), query, algorithm, **options)
-    redo = search(targets.where(flagged), query, algorithm, engine="scalar", max_query=None)
-    blank = redo.withColumn("score", F.lit(None).cast("int"))
-    return with_redo(scores.unionByName(blank), redo)
+    queries = query if isinstance(query, dict) else {"query": query}
+    longest = max(len(q.encode()) for q in queries.values())
+    costs = options.get("gap_open", GAP_OPEN), options.get("gap_extend", GAP_EXTEND)
+    if (n := options.pop("num_seqs", None)) is not None:
+        if n <= 0:
+            raise ValueError("num_seqs is a positive number")
+        targets = n_shortest(targets.where("seq is not null"), n)
+    flag = _flagged(longest, algorithm, limit or kernels.NARROW_LIMIT, *costs)
+    first = search(targets.where(~flag), queries, algorithm, threshold, **options)
+    late = targets.where(flag)
+    names = F.explode(F.array(*map(F.lit, queries))).alias("query_id")
+    blank = routed(late.select("target_id", "len", names), threshold).withColumn("algorithm", F.lit(algorithm)).withColumn("score", F.lit(None).cast("int"))
+    return with_redo(first.unionByName(blank), search(late, queries, algorithm, threshold, **options | {"engine": "wide"}))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,8 @@ from loomalign.sources import fasta
 QUERY = "ARNDCQEGHILKMFPSTWYV"
 QUERIES = {"q1": "HEAGAWGHEE", "q2": "blue steel", "q3": "PAWHEAE*XZB"}
 THRESHOLD = 1000
+#: Cells of the three score matrices of a budget batch.
+BUDGET = 1 << 28
 LANES = 32
 
 
@@ -146,23 +149,91 @@ def mismatch_summary(spark, d, targets=parts):
     return V.mismatch_summary(search(t, QUERIES, "nw", threshold=12), search(t, QUERIES, "nw", engine="native"))
 
 
+def _place(spark, name: str) -> str:
+    return f"{fasta.shared_dir(spark)}/{name}-{uuid4().hex}"
+
+
+def _headed(targets: DataFrame) -> DataFrame:
+    return targets.withColumn("header", F.col("target_id").cast("string"))
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("header").cast("long").alias("target_id"), "seq", "len")
+
+
 def fasta_roundtrip(spark, d, targets=parts):
     """Part names written as FASTA, read again, with their key as header."""
-    from uuid import uuid4
+    path = _place(spark, "fasta")
+    fasta.write_fasta(_headed(targets(spark, d)), path, 10)
+    return _named(fasta.read_fasta(spark, path))
+
+
+def _one_file(spark, d) -> str:
+    """All parts in the order of their keys, as one FASTA file."""
+    path = _place(spark, "fasta")
+    fasta.write_fasta(_headed(part_rows(spark, d)).coalesce(1).sortWithinPartitions("target_id"), path, 10)
+    return path
+
+
+def fasta_headers(spark, d):
+    """Header validation: of every seventh part only the header is written, and a reader that is not strict leaves it out."""
+    path = _place(spark, "fasta")
+    rows = _headed(part_rows(spark, d))
+    fasta.as_fasta(rows.withColumn("seq", F.when(F.col("target_id") % 7 == 0, "").otherwise(F.col("seq")))).write.text(path)
+    return _named(fasta.read_fasta(spark, path, strict=False))
+
+
+def fasta_first(spark, d):
+    """Early stop: the first 25 records of a file."""
+    return _named(fasta.read_fasta(spark, _one_file(spark, d), 25))
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{shared}/fasta-{uuid4().hex}"
-    fasta.write_fasta(targets(spark, d).withColumn("header", F.col("target_id").cast("string")), path, 10)
-    rows = fasta.read_fasta(spark, path)
-    return rows.select(F.col("header").cast("long").alias("target_id"), "seq", "len")
+
+def query_scan(spark, d):
+    """The first record of a file as a query, raw and encoded."""
+    query = fasta.read_query(spark, _one_file(spark, d))
+    row = spark.createDataFrame([(query,)], "seq string").withColumn("codes", S.encode_column(F.col("seq")))
+    return row.select("seq", F.octet_length("seq").alias("len"), F.array_join("codes", ",").alias("codes"))
+
+
+def cached_scan(spark, d):
+    """The 30 shortest parts from the Parquet copy of a FASTA file, read when the copy is there."""
+    path, cache = _one_file(spark, d), _place(spark, "cache")
+    fasta.cached_database(spark, path, cache)
+    return _named(fasta.cached_database(spark, path, cache, 30))
+
+
+def csv_roundtrip(spark, d):
+    """Metrics written as CSV and read again."""
+    path = _place(spark, "csv")
+    fasta.write_csv(_metrics(spark), path)
+    rows = spark.read.schema("algorithm string, query_len int, impl string, latency_ms double, cells long, threshold int, gcups double").option("header", True).csv(path)
+    return rows.select("algorithm", "query_len", "impl", "cells", "threshold")
+
+
+def sorted_fasta(spark, d):
+    """All parts written shortest first without headers, and read again."""
+    path = _place(spark, "sorted")
+    fasta.write_sorted_fasta(part_rows(spark, d), path)
+    return fasta.read_fasta(spark, path).select("header", "seq", "len")
+
+
+def sweep_rows(spark, d):
+    """A sweep over thresholds and query lengths: sequences of the long route, and cells of the search."""
+    rows = lengths(spark, d)
+
+    def run(threshold, query_len):
+        counted = L.routed(rows, threshold).agg(F.count_if(F.col("route") == "large").alias("large"), (F.sum(F.col("len").cast("long")) * query_len).alias("cells")).first()
+        return {"large": counted.large, "cells": counted.cells}
+
+    return spark.createDataFrame([(r["threshold"], r["query_len"], r["large"], r["cells"]) for r in V.sweep(run, threshold=[500, 2000, 8000], query_len=[64, 464])], "threshold int, query_len int, large long, cells long")
 
 
 def metric_rows(spark):
-    """Latencies in ms of four implementations: inputs of the metric queries, not results of this engine."""
-    cells = {64: 13_312_000_000, 464: 96_512_000_000, 4096: 851_968_000_000}
-    ms = {"plain": (4000.0, 30000.0, 260000.0), "simd": (1600.0, 7000.0, 81000.0), "batch": (1240.0, 10710.0, 94000.0), "hybrid": (1250.0, 7370.0, 63680.0)}
-    rows = [(a, q, impl, t * f, c, None if impl != "hybrid" else 8192) for a, f in (("nw", 1.5), ("sw", 1.0)) for impl, ts in ms.items() for (q, c), t in zip(cells.items(), ts, strict=True)]
-    rows += [(a, 464, "hybrid", t, cells[464], h) for a in ("nw", "sw") for h, t in ((1024, 8200.0), (2048, 7600.0), (4096, 7370.5), (16384, 7900.0))]
+    """Made-up runs of four implementations, so many billions of cells a second: inputs of the metric queries, results of nothing."""
+    rates = {"steady": (2.0, 2.0, 2.0), "rising": (1.0, 2.0, 4.0), "falling": (4.0, 2.0, 1.0), "routed": (1.5, 3.0, 4.5)}
+    cells = {100: 1_000_000_000, 200: 2_000_000_000, 400: 4_000_000_000}
+    rows = [(a, q, impl, c / (f * r * 1e6), c, None if impl != "routed" else 1000) for a, f in (("nw", 0.5), ("sw", 1.0)) for impl, rs in rates.items() for (q, c), r in zip(cells.items(), rs, strict=True)]
+    rows += [(a, 200, "routed", t, cells[200], h) for a in ("nw", "sw") for h, t in ((500, 900.0), (2000, 600.0), (4000, 600.0), (8000, 700.0))]
     return rows
 
 
@@ -181,6 +252,18 @@ _POS = f"SELECT *, row_number() OVER (ORDER BY len, target_id) - 1 AS ord, CAST(
 _LAYOUT = f"SELECT CAST(floor(ord / CAST(32 AS DOUBLE)) AS BIGINT) AS batch, count(*) AS n, max(len) AS width, CAST(max(len) * 32 AS BIGINT) AS cells, CAST(max(len) * 32 - sum(len) AS BIGINT) AS padding FROM ({_POS}) GROUP BY 1"
 
 
+_BUDGET = f"""
+WITH RECURSIVE o AS (SELECT target_id, len, CAST(row_number() OVER (ORDER BY len, target_id) AS BIGINT) AS k, CAST(3 * 465 AS BIGINT) * (coalesce(len, 0) + 1) AS w FROM ({_LEN})),
+b AS (SELECT k, target_id, len, CAST(0 AS BIGINT) AS batch, w AS used FROM o WHERE k = 1
+  UNION ALL SELECT o.k, o.target_id, o.len, CASE WHEN b.used + o.w > {BUDGET} THEN b.batch + 1 ELSE b.batch END, CASE WHEN b.used + o.w > {BUDGET} THEN o.w ELSE b.used + o.w END FROM b JOIN o ON o.k = b.k + 1)
+SELECT target_id, len, batch AS budget_batch FROM b"""
+_DIGITS = "array_to_string(list_transform(range(0, len // 8 + 1), lambda k: md5('3:' || CAST(target_id AS VARCHAR) || ':' || CAST(k AS VARCHAR))), '')"
+_SYNTHETIC = f"""
+WITH t AS (SELECT target_id, CAST(10 + target_id % 7 AS INT) AS len FROM range(200) r(target_id)), g AS (SELECT target_id, len, {_DIGITS} AS digits FROM t)
+SELECT target_id, 'seq_' || CAST(target_id AS VARCHAR) AS header,
+  array_to_string(list_transform(range(1, len + 1), lambda i: substr('ARNDCQEGHILKMFPSTWYV', CAST(CAST('0x' || substr(digits, CAST(i * 4 - 3 AS INT), 4) AS BIGINT) % 20 AS INT) + 1, 1)), '') AS seq, len FROM g"""
+
+
 def part_queries(targets, suffix: str = "") -> dict:
     """The queries over part names: ``targets`` says whether distinct names or all parts are searched."""
     over = {
@@ -222,16 +305,24 @@ def queries() -> dict:
         "batch_offsets": lambda s, d: L.batch_offsets(L.batch_layout(L.positioned(lengths(s, d)))).select("batch", "residue_start", "row_start"),
         "padding_waste": lambda s, d: L.batch_layout(L.positioned(lengths(s, d))).agg(F.sum("cells").alias("cells"), F.sum("padding").alias("padding")),
         "overflow_risk": lambda s, d: L.overflow_risk(L.positioned(lengths(s, d)), 464),
-        "budget_batches": lambda s, d: L.budget_batches(lengths(s, d), 464, 3 << 28),
+        "budget_batches": lambda s, d: L.budget_batches(lengths(s, d), 464, BUDGET).select("target_id", "len", "budget_batch"),
+        "largest_allocation": lambda s, d: L.largest_allocation(L.budget_batches(lengths(s, d), 464, BUDGET)),
+        "fasta_headers": fasta_headers,
+        "fasta_first": fasta_first,
+        "query_scan": query_scan,
+        "cached_scan": cached_scan,
+        "csv_roundtrip": csv_roundtrip,
+        "sorted_fasta": sorted_fasta,
+        "sweep_rows": sweep_rows,
         "cells_and_residues": lambda s, d: V.cells(lengths(s, d), 464),
         "sw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "sw", threshold=THRESHOLD)),
         "nw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "nw", threshold=THRESHOLD)),
         "metrics_gcups": lambda s, d: _metrics(s).select("algorithm", "query_len", "impl", "threshold", "gcups"),
         "mean_latency": lambda s, d: _metrics(s).groupBy("algorithm", "impl").agg(F.avg("latency_ms").alias("mean_ms")),
-        "speedup": lambda s, d: V.speedup(_metrics(s).where("threshold is null or threshold = 8192"), "simd").select("algorithm", "query_len", "impl", "speedup"),
+        "speedup": lambda s, d: V.speedup(_metrics(s).where("threshold is null or threshold = 1000"), "steady").select("algorithm", "query_len", "impl", "speedup"),
         "best_threshold": lambda s, d: V.best_threshold(_metrics(s)),
         "peak_throughput": lambda s, d: V.peak(_metrics(s)),
-        "crossover": lambda s, d: V.crossover(_metrics(s), "hybrid", "simd"),
+        "crossover": lambda s, d: V.crossover(_metrics(s), "routed", "steady"),
         "synthetic_database": lambda s, d: fasta.synthetic(s, 200, F.lit(10) + F.col("target_id") % 7, seed=3),
     }
 
@@ -279,6 +370,16 @@ def oracle_sql() -> dict[str, str]:
         "batch_offsets": f"SELECT batch, CAST(coalesce(sum(width * 32) OVER w, 0) AS BIGINT) AS residue_start, CAST(coalesce(sum((width + 1) * 64) OVER w, 0) AS BIGINT) AS row_start FROM ({_LAYOUT}) WINDOW w AS (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
         "padding_waste": f"SELECT CAST(sum(cells) AS BIGINT) AS cells, CAST(sum(padding) AS BIGINT) AS padding FROM ({_LAYOUT})",
         "overflow_risk": f"SELECT CAST(floor(ord / CAST(32 AS DOUBLE)) AS BIGINT) AS batch, bool_or(least(len, 464) * 11 >= 30000) AS local, bool_or(least(len, 464) * 11 >= 30000 OR greatest(len, 464) + 9 >= 30000) AS whole FROM ({_POS}) GROUP BY 1",
+        "budget_batches": _BUDGET,
+        "largest_allocation": f"SELECT count(*) AS batches, CAST(max(c) AS BIGINT) AS columns, max(n) AS alignments FROM (SELECT budget_batch, sum(coalesce(len, 0) + 1) AS c, count(*) AS n FROM ({_BUDGET}) GROUP BY 1)",
+        "synthetic_database": _SYNTHETIC,
+        "fasta_headers": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) WHERE target_id % 7 <> 0",
+        "fasta_first": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) ORDER BY target_id LIMIT 25",
+        "query_scan": f"SELECT seq, CAST(length(seq) AS INT) AS len, array_to_string(list_transform(range(1, length(seq) + 1), lambda j: CAST({_code('substr(seq, CAST(j AS INT), 1)')} AS VARCHAR)), ',') AS codes FROM ({_PART_ROWS}) ORDER BY target_id LIMIT 1",
+        "cached_scan": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) ORDER BY length(seq), target_id LIMIT 30",
+        "csv_roundtrip": f"SELECT algorithm, CAST(query_len AS INT) AS query_len, impl, cells, CAST(threshold AS INT) AS threshold FROM ({m})",
+        "sorted_fasta": f"SELECT '' AS header, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS})",
+        "sweep_rows": f"SELECT CAST(t AS INT) AS threshold, CAST(q AS INT) AS query_len, count(CASE WHEN len >= t THEN 1 END) AS large, CAST(sum(len) * q AS BIGINT) AS cells FROM ({_LEN}), unnest([500, 2000, 8000]) AS a(t), unnest([64, 464]) AS b(q) GROUP BY t, q",
         "cells_and_residues": f"SELECT count(*) AS sequences, max(len) AS longest, CAST(sum(len) AS BIGINT) AS residues, CAST(sum(len) * 464 AS BIGINT) AS cells FROM ({_LEN})",
         **dict.fromkeys(("sw_search", "sw_native", "sw_scalar", "route_union"), sw),
         **dict.fromkeys(("nw_search", "nw_native", "nw_scalar", "overflow_redo"), nw),
@@ -291,10 +392,10 @@ def oracle_sql() -> dict[str, str]:
         "fasta_roundtrip": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PARTS})",
         "metrics_gcups": f"SELECT algorithm, query_len, impl, threshold, gcups FROM ({m})",
         "mean_latency": f"SELECT algorithm, impl, avg(latency_ms) AS mean_ms FROM ({m}) GROUP BY 1, 2",
-        "speedup": f"SELECT algorithm, query_len, impl, max(CASE WHEN impl = 'simd' THEN latency_ms END) OVER (PARTITION BY algorithm, query_len) / latency_ms AS speedup FROM ({m}) WHERE threshold IS NULL OR threshold = 8192",
+        "speedup": f"SELECT algorithm, query_len, impl, max(CASE WHEN impl = 'steady' THEN latency_ms END) OVER (PARTITION BY algorithm, query_len) / latency_ms AS speedup FROM ({m}) WHERE threshold IS NULL OR threshold = 1000",
         "best_threshold": f"SELECT algorithm, query_len, CAST(threshold AS INT) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, query_len ORDER BY latency_ms, threshold) AS k FROM ({m}) WHERE threshold IS NOT NULL) WHERE k = 1",
         "peak_throughput": f"SELECT algorithm, impl, query_len FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, impl ORDER BY gcups DESC, query_len) AS k FROM ({m})) WHERE k = 1",
-        "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'hybrid' THEN gcups END) AS a, max(CASE WHEN impl = 'simd' THEN gcups END) AS b FROM ({m}) GROUP BY 1, 2) GROUP BY 1",
+        "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'routed' THEN gcups END) AS a, max(CASE WHEN impl = 'steady' THEN gcups END) AS b FROM ({m}) GROUP BY 1, 2) GROUP BY 1",
         **_all_parts_sql(codes),
         "all_pairs": _scores_sql(_PARTS, f"SELECT CAST(target_id AS VARCHAR) AS query_id, seq AS qs FROM ({_PARTS})", "sw"),
     }

@@ -1,13 +1,26 @@
-"""FASTA in and out of DataFrames, a Parquet cache of sorted databases, and seeded synthetic sequences."""
+"""FASTA in and out of DataFrames, a Parquet cache of databases, and seeded synthetic sequences."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomalign.operators.layout import n_shortest
+
 TARGETS = "target_id long, header string, seq string, len int"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without a setting, a folder of the warehouse."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+    if not spark.sparkContext.master.startswith("local") and path.startswith(("file:", "/")):
+        raise RuntimeError("spark.checkpoint.dir is not set, and the warehouse is a folder of one machine")
+    return path
+
+
 def parse_record(value: Column) -> dict[str, Column]:
     """header and seq of one record without its '>' (lines joined, one carriage return of each dropped), and whether it has any line of sequence."""
     lines = F.split(value, "\n")
@@ -16,6 +29,23 @@ def parse_record(value: Column) -> dict[str, Column]:
     return {"header": strip(lines[0]), "seq": F.array_join(F.transform(body, strip), ""), "any": F.exists(body, lambda x: x != "")}
 
 
+#: Files up to which what is known of each is sent to all tasks (some 2 MB).
+FEW_FILES = 10_000
+_SEPARATOR = "\n>"
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, target_id): records as the text reader splits them, at a line break and '>'; ids rise in the order of reading."""
+    raw = spark.read.option("lineSep", _SEPARATOR).text(path)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("target_id"))
+
+
+def _first_ids(raw: DataFrame, n: int) -> int:
+    """The id after the first n records with a sequence: partitions are read one after another only until they have n."""
+    ids = raw.where(parse_record(F.regexp_replace("value", "^>", ""))["any"]).select("target_id").offset(n - 1).limit(1).collect()
+    return ids[0].target_id + 1 if ids else 1 << 62
+
+
 def read_fasta(spark: SparkSession, path: str, max_seqs: int | None = None, strict: bool = True) -> DataFrame:
     """(target_id, header, seq, len) of a FASTA file or folder.
 
@@ -25,15 +55,20 @@ def read_fasta(spark: SparkSession, path: str, max_seqs: int | None = None, stri
     data.  A header without sequence lines at the very end is dropped.  With
     ``strict``, a file that does not begin with '>' and a header directly
     followed by another fail when the rows are read; otherwise such records are
-    left out.  max_seqs keeps the first records by id.
+    left out.
+
+    max_seqs keeps the first records by id.  Where they end is found by reading
+    partition after partition until there are enough; nothing is sorted, and
+    what comes after them is not checked.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    raw = raw.withColumn("target_id", F.monotonically_increasing_id())
+    raw = _records(spark, path)
+    if max_seqs:
+        raw = raw.where(F.col("target_id") < _first_ids(raw, max_seqs))
     # The separator is taken off all records but each file's first, which keeps its own '>'.
     rows = raw.select("target_id", "file", "value", *(c.alias(n) for n, c in parse_record(F.regexp_replace("value", "^>", "")).items()))
     # What stands before the first '>' and after the last record: one row for each file.
     ends = raw.groupBy("file").agg(F.min("target_id").alias("first"), F.max("target_id").alias("last"))
-    rows = rows.join(ends, "file")
+    rows = rows.join(F.broadcast(ends) if len(raw.inputFiles()) <= FEW_FILES else ends, "file")
     no_start = (F.col("target_id") == F.col("first")) & ~F.col("value").startswith(">")
     bare = ~F.col("any") & (F.col("target_id") < F.col("last"))
     if strict:
@@ -41,18 +76,23 @@ def read_fasta(spark: SparkSession, path: str, max_seqs: int | None = None, stri
         rows = rows.where(F.col("any") | message.isNotNull()).withColumn("seq", F.when(message.isNull(), F.col("seq")).otherwise(F.raise_error(message)))
     else:
         rows = rows.where(F.col("any") & ~no_start)
-    out = rows.select("target_id", "header", "seq", F.octet_length("seq").alias("len"))
-    return out.orderBy("target_id").limit(max_seqs) if max_seqs else out
+    return rows.select("target_id", "header", "seq", F.octet_length("seq").alias("len"))
 
 
 def read_query(spark: SparkSession, path: str, max_len: int | None = 8192) -> str:
-    """The first record's sequence.  Longer than max_len, or no record: an error."""
-    rows = read_fasta(spark, path, 1).select("seq").collect()
-    if not rows:
+    """The first record's sequence, from the beginning of the file alone.  Longer than max_len, or no record: an error."""
+    values = [r.value for r in _records(spark, path).limit(2).collect()]
+    if not values:
         raise ValueError(f"no sequence in {path}")
-    if max_len is not None and len(rows[0].seq) > max_len:
-        raise ValueError(f"the query has {len(rows[0].seq)} residues; the limit is {max_len}")
-    return rows[0].seq
+    if not values[0].startswith(">"):
+        raise ValueError("a FASTA file begins with '>'")
+    lines = [x for x in values[0][1:].split("\n")[1:] if x]
+    if not lines:
+        raise ValueError("a header is followed by another header" if len(values) > 1 else f"no sequence in {path}")
+    seq = "".join(x.removesuffix("\r") for x in lines)
+    if max_len is not None and len(seq) > max_len:
+        raise ValueError(f"the query has {len(seq)} residues; the limit is {max_len}")
+    return seq
 
 
 def _fingerprint(spark: SparkSession, path: str) -> str:
@@ -62,17 +102,17 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
 
 
 def cached_database(spark: SparkSession, path: str, cache_dir: str, num_seqs: int | None = None) -> DataFrame:
-    """The database shortest first, from a Parquet copy that is made once for each state of the files.
+    """The database from a Parquet copy that is made once for each state of the files.
 
-    num_seqs takes the *shortest* that many.
+    The copy is dealt by hash of the id, so that lengths mix and a search scores
+    it straight from the scan.  num_seqs takes the *shortest* that many.
     """
     target = f"{cache_dir}/{_fingerprint(spark, path)}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        rows = read_fasta(spark, path)
-        rows.sort("len", "target_id").write.mode("overwrite").parquet(target)
+        read_fasta(spark, path).repartition("target_id").write.mode("overwrite").parquet(target)
     rows = spark.read.schema(TARGETS).parquet(target)
-    return rows.orderBy("len", "target_id").limit(num_seqs) if num_seqs else rows
+    return n_shortest(rows, num_seqs) if num_seqs else rows
 
 
 def as_fasta(targets: DataFrame, width: int | None = 80, header: str = "header") -> DataFrame:
@@ -98,13 +138,19 @@ def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def synthetic(spark: SparkSession, n: int, length: Column | int, seed: int = 0, letters: str = "ARNDCQEGHILKMFPSTWYV") -> DataFrame:
-    """n seeded random sequences of the given length (a number or an expression of target_id)."""
+    """n seeded random sequences of the given length (a number or an expression of target_id).
+
+    Residue i is the i-th group of four hexadecimal digits, modulo the number of
+    letters, of the MD5 sums of seed, id and block number, eight groups a block.
+    """
     size = F.lit(length) if isinstance(length, int) else length
     rows = spark.range(n).select(F.col("id").alias("target_id"), size.cast("int").alias("len"))
-    at = lambda i: F.pmod(F.xxhash64("target_id", i, F.lit(seed)), F.lit(len(letters))).cast("int") + 1
-    chars = F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substring(F.lit(letters), at(i), F.lit(1)))
+    blocks = F.sequence(F.lit(0), F.floor(F.col("len") / 8).cast("int"))
+    digits = F.array_join(F.transform(blocks, lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("target_id").cast("string"), k.cast("string")))), "")
+    four = lambda i: F.conv(F.substring(F.col("digits"), i * 4 - 3, F.lit(4)), 16, 10).cast("int")
+    chars = F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substring(F.lit(letters), four(i) % len(letters) + 1, F.lit(1)))
     seq = F.when(F.col("len") > 0, F.array_join(chars, "")).otherwise("")
-    return rows.select("target_id", F.concat(F.lit("seq_"), "target_id").alias("header"), seq.alias("seq"), "len")
+    return rows.withColumn("digits", digits).select("target_id", F.concat(F.lit("seq_"), "target_id").alias("header"), seq.alias("seq"), "len")
 
 
 def uniform(spark: SparkSession, sizes: list[int], each: int, seed: int = 0) -> dict[int, DataFrame]:

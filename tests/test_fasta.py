@@ -38,8 +38,51 @@ def test_query(spark, tmp_path):
     assert fasta.read_query(spark, path) == "ARNDCQEGHILKMFPSTWYV"
     with pytest.raises(ValueError, match="limit"):
         fasta.read_query(spark, path, 5)
-    with pytest.raises(Exception):  # noqa: B017
-        fasta.read_query(spark, _write(tmp_path, ""))
+    for bad in ("", ">a\n>b\nW", "ARND\n>a\nW", ">a", ">a\n\n"):
+        with pytest.raises(ValueError):
+            fasta.read_query(spark, _write(tmp_path, bad))
+    assert fasta.read_query(spark, _write(tmp_path, ">a\r\nAR\r\n\r\nND\r\n>b\nW")) == "ARND"
+
+
+def test_early_stop(spark, tmp_path):
+    """The first records by id, and nothing after them is checked."""
+    good = "".join(f">s{i}\nARND\n" for i in range(50))
+    path = _write(tmp_path, good + ">bare\n>x\nW\n")
+    assert [r[0] for r in _rows(fasta.read_fasta(spark, path, 50))] == [f"s{i}" for i in range(50)]
+    with pytest.raises(Exception, match="header"):
+        fasta.read_fasta(spark, path).collect()
+    plan = fasta.read_fasta(spark, path, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    assert fasta.read_fasta(spark, _write(tmp_path, good), 500).count() == 50
+
+
+def test_few_files_are_not_shuffled(spark, tmp_path):
+    for k in range(3):
+        _write(tmp_path, f">a{k}\nARND\n>b{k}\nW\n", f"{k}.fa")
+    rows = fasta.read_fasta(spark, str(tmp_path / "*.fa"))
+    assert rows.count() == 6 and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shared_dir(spark):
+    """Without a shared folder, a cluster whose warehouse is one machine's gets an error and not files that others can't see."""
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            values = {"spark.sql.warehouse.dir": "file:/tmp/x"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.values.get(key, default)
+
+    with pytest.raises(RuntimeError):
+        fasta.shared_dir(Session)
+    Session.conf.values["spark.checkpoint.dir"] = "hdfs:///tmp/x"
+    assert fasta.shared_dir(Session) == "hdfs:///tmp/x"
 
 
 def test_sinks_and_cache(spark, tmp_path):

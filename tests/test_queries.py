@@ -66,7 +66,7 @@ def test_all_parts_are_targets(spark):
     assert entry.queries()["mismatch_summary_all"](spark, DATA).first().pairs == 3 * len(ids)
 
 
-@pytest.mark.parametrize("name", ["sort_by_length", "prefix_offsets", "batch_layout", "batch_offsets", "padding_waste", "overflow_risk"])
+@pytest.mark.parametrize("name", ["sort_by_length", "prefix_offsets", "batch_layout", "batch_offsets", "padding_waste", "overflow_risk", "budget_batches", "largest_allocation"])
 def test_layout_keeps_nulls(spark, tmp_path, name):
     """Documents without text come last, those without id last of their length."""
     import pandas as pd

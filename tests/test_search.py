@@ -5,7 +5,7 @@ from loomalign.functions.scoring import encode, encode_column
 from loomalign.operators import kernels as K
 from loomalign.operators import layout as L
 from loomalign.operators import verify as V
-from loomalign.operators.search import search, top_hits
+from loomalign.operators.search import narrow_first, search, top_hits
 
 SEQS = ["ARNDCQ", "", "MKVLMKVLMKVLAW", "HEAGAWGHEE", "PAWHEAE", "W", "A" * 50, "jou*?", "HEAGAWGHEE"]
 
@@ -72,12 +72,119 @@ def test_layout(spark):
     assert (batch.width, batch.cells, batch.padding) == (4, 128, 118)
     assert L.hash_sample(db, 2, 1).collect() == L.hash_sample(db, 2, 1).collect()
     assert L.hash_sample(db, 9).count() == 4
-    packed = L.budget_batches(db, 9, 60 + 90, parts=1).orderBy("len").collect()
-    assert [r.budget_batch for r in packed] == [0, 0, 1, 2] or [r.budget_batch for r in packed][0] == 0
-    total = {}
-    for r in packed:
-        total.setdefault(r.budget_batch, []).append(3 * 10 * (r.len + 1))
-    assert all(sum(v) <= 150 or len(v) == 1 for v in total.values())
+
+
+def _greedy(rows, query_len, budget):
+    out, batch, used = {}, 0, 0
+    for i, n in sorted(rows, key=lambda r: (r[1] is None, r[1] or 0, r[0] is None, r[0] or 0)):
+        w = 3 * (query_len + 1) * ((n or 0) + 1)
+        if used and used + w > budget:
+            batch, used = batch + 1, 0
+        used += w
+        out[i] = batch
+    return out
+
+
+@pytest.mark.parametrize("budget", [1, 90, 150, 1000, 4000, 10**9])
+def test_budget_batches(spark, budget):
+    """Greedy over the whole length order, whatever the partitions."""
+    import random
+
+    r = random.Random(budget)
+    rows = [(i, r.choice([0, 1, 2, 2, 2, 3, 7, 7, 30, 200, None])) for i in range(150)]
+    want = _greedy(rows, 9, budget)
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "target_id long, len int").repartition(parts)
+        got = L.budget_batches(df, 9, budget)
+        assert {x.target_id: x.budget_batch for x in got.collect()} == want
+    columns = {b: sum((n or 0) + 1 for i, n in rows if want[i] == b) for b in set(want.values())}
+    sizes = {b: list(want.values()).count(b) for b in columns}
+    assert tuple(L.largest_allocation(got).first()) == (len(columns), max(columns.values()), max(sizes.values()))
+
+
+def test_n_shortest_without_a_gathering(spark):
+    import random
+
+    r = random.Random(2)
+    rows = [(i, r.choice([None, 1, 2, 2, 3, 3, 3, 9])) for i in range(200)]
+    df = spark.createDataFrame(rows, "target_id long, len int").repartition(4)
+    for n in (1, 30, 77, 150, 199, 200, 500):
+        few, many = (sorted(map(repr, L.n_shortest(df, n, gather=g).collect())) for g in (10**6, 0))
+        assert few == many and len(few) == min(n, 200)
+
+
+def test_offsets_in_blocks(spark):
+    layout = spark.createDataFrame([(b, 32, 3 + b % 5) for b in range(50)], "batch long, n long, width int")
+    rows = sorted(L.batch_offsets(layout, block=7).collect())
+    r = c = 0
+    for x in rows:
+        assert (x.residue_start, x.row_start) == (r, c)
+        r, c = r + x.width * 32, c + (x.width + 1) * 64
+
+
+def test_plans_do_not_gather_rows(spark):
+    """Windows without a partition see a row for each length or block, never one for each sequence or batch."""
+    df = spark.range(100).selectExpr("id AS target_id", "CAST(id % 7 AS INT) AS len")
+    for made in (L.positioned(df), L.batch_offsets(L.batch_layout(L.positioned(df))), L.budget_batches(df, 9, 1000)):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        for line in plan.splitlines():
+            if "Window [" in line and "RowFrame" in line:
+                assert "_in#" in line or "_block" in line or "], [" in line.split("windowspecdefinition")[-1] or line.rstrip().count("[") >= 3, line
+
+
+def test_search_scores_where_it_reads(spark, tmp_path):
+    """No sequence of a database of size is shuffled; a small one is dealt over all tasks."""
+    from loomalign.operators import search as S
+
+    fasta_rows = spark.range(64).selectExpr("id AS target_id", "repeat('ARND', 1 + CAST(id AS INT)) AS seq", "4 * (1 + CAST(id AS INT)) AS len")
+    fasta_rows.write.parquet(str(tmp_path / "db"))
+    db = spark.read.parquet(str(tmp_path / "db"))
+    small = search(db, "ARND")._jdf.queryExecution().executedPlan().toString()
+    old, S.SMALL = S.SMALL, 0
+    try:
+        large = search(db, "ARND")
+        assert "Exchange" in small and "Exchange" not in large._jdf.queryExecution().executedPlan().toString().split("Union")[0].replace("Union", "")
+        V.check(search(db, "ARND"), large, "straight")
+    finally:
+        S.SMALL = old
+
+
+@pytest.mark.parametrize("costs", [(10, 1), (5, 2), (3, 3), (14, 0)])
+@pytest.mark.parametrize("algorithm", ["nw", "sw"])
+def test_narrow_first(spark, costs, algorithm):
+    """Equal to one search, for any gap costs, limit and engine; null sequences keep their row."""
+    import random
+
+    r = random.Random(sum(costs))
+    rows = [(i, "".join(r.choices("ARNDCQEGHILKMFPSTWYV", k=r.choice([0, 3, 20, 60, 200])))) for i in range(60)] + [(100, None)]
+    targets = spark.createDataFrame([(i, s, None if s is None else len(s)) for i, s in rows], "target_id long, seq string, len int")
+    queries = {"a": "HEAGAWGHEE", "b": "MKVLAWHEAGAWGHEEARND"}
+    options = {"gap_open": costs[0], "gap_extend": costs[1]}
+    gold = search(targets, queries, algorithm, **options)
+    for limit in (60, 300, None):
+        got = narrow_first(targets, queries, algorithm, limit=limit, **options)
+        assert got.count() == gold.count() == 2 * len(rows)
+        V.check(gold, got, "in two steps")
+    n = narrow_first(targets, queries, algorithm, limit=100, num_seqs=20, **options)
+    V.check(search(targets, queries, algorithm, num_seqs=20, **options), n, "shortest")
+
+
+def test_narrow_kernels_equal_wide_ones():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for k in range(120):
+        q = r.integers(0, 24, r.integers(0, 40)).astype(np.uint8)
+        targets = [r.integers(0, 24, r.integers(0, 700)).astype(np.uint8) for _ in range(6)]
+        extend = int(r.integers(0, 6))
+        costs = extend + int(r.integers(0, 12)), extend
+        a = ("nw", "sw")[k % 2]
+        wide = [K.within(a, q, t, *costs, wide=True) for t in targets]
+        assert wide == [K.within(a, q, t, *costs) for t in targets] == K.along(a, q, targets, *costs).tolist()
+        assert wide == K.between(a, q, targets, *costs).tolist() == K.between(a, q, targets, *costs, wide=True).tolist()
+        assert wide == K.scores(a, q, targets, 100, *costs).tolist()
+    same = np.full(2900, 17, np.uint8)  # as high as a score gets: beyond 16 bits
+    assert K.within("sw", same, same) == 2900 * 11 == K.scores("sw", same, [same, same[:50]], 10).tolist()[0]
 
 
 def test_metrics(spark):
