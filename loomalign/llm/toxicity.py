@@ -1,20 +1,26 @@
 """Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text.
 
 Two dictionaries share a base of frequent words, in the same place.  Before it,
-one has the words that toxic training texts have significantly more often (in
-themselves or by their first letters), the other in the same size the words that
-ordinary training texts have significantly more often and, while there is room,
-their rarer words that the base has too.  How many words of the toxic ones is
-chosen by how well texts that no dictionary has seen are told apart.  Ordinary text so compresses to about the same length with both, and what is
-typical of toxic text compresses shorter with the first.  Windows of thirty words
-are compressed with both; how the differences of a text's windows are spread
-(largest, mean, share and number over a threshold) is calibrated to a
-probability by logistic regression on training texts that no dictionary has seen.
+in the same size, one has the forms (words or their first letters) that toxic
+training texts have significantly more often, the other the forms that ordinary
+training texts have significantly more often and then their rarer words.  How
+significant is chosen from ``LEVELS`` by how well texts that no dictionary has
+seen are told apart; all forms of that level are in.  Ordinary text so compresses
+to about the same length with both, and what is typical of toxic text compresses
+shorter with the first.  Windows of twenty words are compressed with both; how
+the differences of a text's windows are spread (largest, mean, share and number
+over thresholds) is calibrated to a probability by logistic regression on
+training texts that no dictionary has seen.
 
 Dictionaries and calibration learn from at most ``sample`` labelled documents of
-each class, none of them held out.  Without labels of both classes all scores
-are 0.  Nulls, empty texts and texts without words are one empty window.
-Windows have no limit in length, so a text without white space is one window.
+each class, none of them held out.  Without labels of both classes (so also for
+an empty table of labels) all scores are 0; an empty table of documents gives no
+rows.  Nulls, empty texts and texts without words are one empty window and have
+its score.  Windows have no limit in length, so a text without white space is
+one window; very long texts are taken whole, in batches of their own.  Repeated
+rows get equal scores; rows without doc_id are scored and not held out.  Equal
+levels are decided for the highest, equal forms by their letters, so reruns
+agree.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +36,10 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SAMPLE = 1200
-WINDOW = 30
-BASE_BYTES, OWN_BYTES = 24_000, 1_000
+WINDOW = 20
+BASE_BYTES = 24_000
+#: Standard deviations by which a form must be more frequent in one class: what is chosen from, the strictest first.
+LEVELS = (8.0, 6.0, 5.0, 4.0, 3.0)
 LEVEL = 9
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -50,64 +58,58 @@ def _document_counts(texts: list[str]) -> Counter:
     return out
 
 
-def vocabulary(toxic: list[str], plain: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """The words typical of toxic texts and of ordinary ones, most typical first, and the base: frequent words of both."""
+def vocabulary(toxic: list[str], plain: list[str], level: float) -> tuple[list[str], list[str], list[str]]:
+    """The forms typical of toxic texts and of ordinary ones, most typical first, and the base: frequent words of both."""
     a, b, n, m = _document_counts(toxic), _document_counts(plain), len(toxic), len(plain)
 
     def z(form: str) -> float:
         p, q = a[form], b[form]
         return (p / n - q / m) / ((p + q + 1) / (n + m) * (1 / n + 1 / m)) ** 0.5
 
+    def typical(counts: Counter, sign: int) -> list[str]:
+        """Forms over the level; of a form and its beginnings the most typical, the longest of equal ones."""
+        out, begun = [], set()
+        for s, f in sorted(((round(sign * z(f), 6), f) for f in counts if sign * z(f) >= level), key=lambda x: (-x[0], -len(x[1]), x[1])):
+            if f not in begun and not any(f[:k] in out for k in range(1, len(f))):
+                out.append(f)
+                begun.update(f[:k] for k in range(1, len(f) + 1))
+        return out
+
+    strong, usual = typical(a, 1), typical(b, -1)
     in_toxic = Counter(w for t in toxic for w in _LETTERS.findall(t.lower()))
     in_plain = Counter(w for t in plain for w in _LETTERS.findall(t.lower()))
-    strong = {w: s for w in in_toxic if (s := max(map(z, _forms(w)))) > 3}
-    usual = {w: s for w in in_plain if w not in strong and (s := -min(map(z, _forms(w)))) > 3}
-
-    def ordered(typical: dict[str, float]) -> list[str]:
-        stems, first, last = Counter(), [], []
-        for w in sorted(typical, key=lambda w: (-typical[w], w)):
-            stems[w[:5]] += 1
-            (first if stems[w[:5]] <= 12 else last).append(w)  # more words of one stem add little
-        return first + last
-
+    begins = set(strong)
     base, size = [], 0
     for w, _ in sorted((in_toxic + in_plain).items(), key=lambda x: (-x[1], x[0])):
         if size > BASE_BYTES:
             break
-        if w not in strong and w not in usual:
+        if not any(w[:k] in begins for k in range(1, len(w) + 1)):
             base.append(w)
             size += len(w.encode()) + 1
-    return ordered(strong), ordered(usual) + [w for w in base[::-1] if w in in_plain], base
+    return strong, usual + [w for w in base[::-1] if w in in_plain], base
 
 
-def dictionaries(words: tuple[list[str], list[str], list[str]], own_bytes: int = OWN_BYTES) -> tuple[bytes, bytes]:
-    """The contents of the toxic and of the ordinary dictionary, with ``own_bytes`` before the base."""
+def dictionaries(words: tuple[list[str], list[str], list[str]]) -> tuple[bytes, bytes]:
+    """The contents of the toxic and of the ordinary dictionary: as many bytes of either's own before the base."""
     shared = " ".join(words[2][::-1]).encode()[:BASE_BYTES]
+    room = sum(len(w.encode()) + 1 for w in words[0])
 
     def own(typical: list[str]) -> bytes:
         out, size = [], 0
         for w in typical:
-            if size + len(w.encode()) + 1 > own_bytes - 2:
+            if size + len(w.encode()) + 1 > room:
                 break
             out.append(w)
             size += len(w.encode()) + 1
         text = " ".join(out).encode()
-        return b"#" * (own_bytes - 2 - len(text)) + b" " + text + b" "
+        return b"#" * (room - 1 - len(text)) + b" " + text + b" "
 
     return own(words[0]) + shared, own(words[1]) + shared
 
 
-def train(toxic: list[str], plain: list[str], own_bytes: int = OWN_BYTES) -> tuple[bytes, bytes]:
+def train(toxic: list[str], plain: list[str], level: float = LEVELS[-1]) -> tuple[bytes, bytes]:
     """The contents of the toxic and of the ordinary dictionary."""
-    return dictionaries(vocabulary(toxic, plain), own_bytes)
-
-
-def own_sizes(typical: list[str]) -> list[int]:
-    """Sizes to choose from: OWN_BYTES and its doubles, the last with room for all words."""
-    out, whole = [OWN_BYTES], sum(len(w.encode()) + 1 for w in typical) + 2
-    while out[-1] < whole:
-        out.append(min(2 * out[-1], whole))
-    return out
+    return dictionaries(vocabulary(toxic, plain, level))
 
 
 def auc(score: np.ndarray, y: np.ndarray) -> float:
@@ -135,7 +137,10 @@ def features(text: str | None, dictionaries: tuple[bytes, bytes]) -> tuple[float
     words = (text or "").lower().split()
     windows = [f" {' '.join(words[i : i + WINDOW])} ".encode("utf-8", "replace") for i in range(0, len(words), WINDOW)] or [b""]
     d = np.sort(np.array([len(plain(w)) - len(toxic(w)) for w in windows]))[::-1]
-    return (d[0], d[:3].mean(), d[:8].mean(), d.mean(), np.maximum(d - 1, 0).sum(), (d >= 3).mean(), (d >= 4).mean(), (d >= 3).sum(), (d >= 5).sum(), np.log(len(d)))
+    total = sum(map(len, windows))
+    spread = (d[0], d[:3].mean(), d[:8].mean(), d.mean(), np.clip(d, 0, 4).mean(), 100 * d.sum() / max(1, total))
+    over = ((d >= 2).mean(), (d >= 3).mean(), (d >= 4).mean(), (d >= 2).sum(), (d >= 3).sum(), (d >= 5).sum(), np.maximum(d - 1, 0).sum())
+    return (*spread, *over, np.log(len(d)))
 
 
 class Calibration:
@@ -167,13 +172,16 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE):
     toxic, plain = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
     if len(toxic) < 4 or len(plain) < 4:
         return None
-    # Three of four of each class make the dictionaries; the others calibrate and choose the size.
-    words = vocabulary([t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4])
+    # Three of four of each class make the dictionaries; the others calibrate and choose the level.
+    parts = [t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4]
     rest, y = toxic[::4] + plain[::4], np.array([1] * len(toxic[::4]) + [0] * len(plain[::4]))
     counts = dict(C.table(spark, sf_dir, "labels", "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (C.label_side() != 2)).groupBy("toxic").count().collect())
     best = None
-    for own_bytes in own_sizes(words[0]):
-        pair = dictionaries(words, own_bytes)
+    for level in LEVELS:
+        words = vocabulary(*parts, level)
+        if not words[0] and level > LEVELS[-1]:
+            continue
+        pair = dictionaries(words)
         x = np.array([features(t, pair) for t in rest])
         calibration = Calibration(x, y, counts[1] / (counts[0] + counts[1]))
         if best is None or auc(calibration(x), y) > best[0]:
@@ -185,6 +193,7 @@ def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @C.tidy
     def run(batches):
         for batch in C.small_batches(batches):
             model = sent.value
@@ -198,4 +207,5 @@ def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; odd rows as the module says."""
     return scored(C.table(spark, sf_dir, "documents", "doc_id", "text"), fit(spark, sf_dir))
