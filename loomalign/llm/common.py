@@ -253,12 +253,12 @@ def lists(values: pa.Array, offsets: np.ndarray) -> pa.Array:
 # ---- fixed-size tables of counts, summed over all partitions ------------------
 
 
-def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16) -> np.ndarray:
+def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16, finish=lambda sums: sums) -> np.ndarray:
     """Counts over all rows in a table of fixed size; ``cells_of(batch)`` gives the cells that a batch touches.
 
     Each task sends its table in ``planes`` parts, each part is summed in two
-    levels as it comes by, and only the sums, of a size that does not depend on
-    the data, come to the driver.
+    levels as it comes by, and only what ``finish`` makes of the sums, of a size
+    that does not depend on the data, comes to the driver.
     """
     width = cells // planes
 
@@ -271,26 +271,28 @@ def summed_table(df: DataFrame, cells_of, cells: int, planes: int = 16) -> np.nd
         parts = [out[i * width : (i + 1) * width].view(np.uint8).reshape(-1, 4).T.tobytes() for i in range(planes)]
         yield pa.RecordBatch.from_arrays([pa.array(range(planes), pa.int32()), pa.array(parts, pa.binary())], ["part", "table"])
 
-    @tidy
-    def add(batches):
-        """Sums of the tables that come by, one for each part: memory does not depend on their number."""
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for part, blob, level in zip(batch.column("part").to_pylist(), batch.column("table"), batch.column("level").to_pylist(), strict=True):
-                x = np.frombuffer(blob.as_py(), np.uint8)
-                x = x.view(np.uint64) if level else np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel()
-                sums[part] = sums[part] + x if part in sums else x.astype(np.uint64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([t.tobytes() for t in sums.values()], pa.binary()), pa.array([1] * len(sums), pa.int32())], ["part", "table", "level"])
+    def adding(last):
+        @tidy
+        def add(batches):
+            """Sums of the tables that come by, one for each part: memory does not depend on their number."""
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, blob, level in zip(batch.column("part").to_pylist(), batch.column("table"), batch.column("level").to_pylist(), strict=True):
+                    x = np.frombuffer(blob.as_py(), np.uint8)
+                    x = x.view(np.uint64) if level else np.ascontiguousarray(x.reshape(4, -1).T).view(np.uint32).ravel()
+                    sums[part] = sums[part] + x if part in sums else x.astype(np.uint64)
+            blobs = [(finish(t) if last else t).tobytes() for t in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(blobs, pa.binary()), pa.array([1] * len(sums), pa.int32())], ["part", "table", "level"])
+
+        return add
 
     schema = "part int, table binary, level int"
     tables = df.mapInArrow(count, "part int, table binary").withColumn("level", F.lit(0))
     # Two levels: a part's tables are first summed in up to 64 tasks.
-    tables = tables.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("part", "salt").drop("salt").mapInArrow(add, schema)
-    parts = tables.repartition(planes, "part").mapInArrow(add, schema).collect()
-    out = np.zeros(cells, np.uint64)
-    for p in parts:
-        out[p.part * width : (p.part + 1) * width] = np.frombuffer(p.table, np.uint64)
-    return out
+    tables = tables.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).repartition("part", "salt").drop("salt").mapInArrow(adding(False), schema)
+    parts = {r.part: r.table for r in tables.repartition(planes, "part").mapInArrow(adding(True), schema).collect()}
+    empty = finish(np.zeros(width, np.uint64))
+    return np.concatenate([np.frombuffer(parts[i], empty.dtype) if i in parts else empty for i in range(planes)])
 
 
 # ---- connected components ----------------------------------------------------

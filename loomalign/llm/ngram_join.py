@@ -85,8 +85,7 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
             cell.append((_shingles(part, width)[0] >> np.uint64(64 - bits)).astype(np.int64))
         return np.concatenate(cell)
 
-    table = C.summed_table(docs.select("text"), cells, 1 << bits)
-    return np.minimum(np.log2(table.astype(np.float64) + 1).astype(np.uint8), 31)
+    return C.summed_table(docs.select("text"), cells, 1 << bits, finish=lambda sums: np.minimum(np.log2(sums.astype(np.float64) + 1), 31).astype(np.uint8))
 
 
 def _tokens(batch, width, levels):
@@ -487,7 +486,7 @@ def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, levels,
     return C.components(reached.select(F.col("component_id").alias("a"), F.col("id").alias("b")).union(links))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int = 16, tile: int = 512, trace: dict | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, few: int = 16, tile: int = 256, trace: dict | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of documents (doc_id, text)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     docs = rows.where("doc_id is not null")
