@@ -17,7 +17,11 @@ rows grow with vectors times tiles and not with links.
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label or vec_id, link with nothing: n_links 0, a component of
 their own (kept; null without vec_id).
-Vectors of different length never link.
+Vectors of different length never link; an empty vector is like a null one, and
+very long ones are compared like others, in tiles of as many rows.  Repeated
+rows link with each other and come out as often as they came in.  Ties: a
+cosine equal to the threshold links; a component's name is its least vec_id.  An
+empty table gives no rows.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -145,6 +149,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every vector; odd rows as the module says."""
     return near_duplicates(C.table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 

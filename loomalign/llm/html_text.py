@@ -12,10 +12,15 @@ article.
 The trees are fitted to generated pages (seeded; ``PAGES`` of them) whose parts
 are known, since no labelled pages exist.
 
-Scripts, styles, markup, comments and the head never count as text.  A tag that
-the end of the page cuts off is markup, a character reference that it cuts off
-is text.  Nulls and pages without markup or text are fine: a null gives an empty
-text, bare text is one block of the body.
+Scripts (and what stands in for them: noscript, templates, frames), styles,
+markup, drawings, text areas, comments in the markup and the head never count as
+text; formulas, buttons, choices and the texts of embedded media do, as part of
+the block around them.  A tag that the end of the page cuts off is markup, a
+character reference that it cuts off is text.  A null or empty page gives an
+empty text, bare text is one block of the body.  Very long pages are taken whole,
+in batches of their own.  Repeated rows, also those without page_id, come out as
+often as they came in.  Ties: a node whose odds are even is rejected.  An empty
+table gives no rows.  Further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -37,11 +42,13 @@ PAGES = 900
 #: Element kinds of HTML.
 BLOCKS = frozenset("html body main article section header footer nav aside div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption form fieldset legend address details summary dialog center hgroup menu search".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("head noscript template svg math iframe object canvas audio video select button datalist map".split())
+DROPPED = frozenset("head noscript template svg iframe".split())
+#: Inline elements that stand apart from their neighbours.
+APART = frozenset("option optgroup button select".split())
 #: What may stand in a head; any other tag, or text, ends it.
 IN_HEAD = frozenset("head html base basefont bgsound link meta noscript template title style script noframes".split())
 #: Foreign elements, which a slash closes.
-FOREIGN = frozenset(("svg", "math"))
+FOREIGN = frozenset(("svg",))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - {"html", "body", "td", "th", "tr", "li", "dt", "dd", "caption", "thead", "tbody", "tfoot", "legend", "figcaption"}
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -85,7 +92,6 @@ class Page:
         links = 0
         in_link = 0
         dropped: list[str] = []
-        inner: list[str] = []  # blocks open inside a dropped button or select
         at = 0
 
         def text(a, b):
@@ -138,24 +144,13 @@ class Page:
                     continue
             elif dropped:
                 if name == dropped[-1]:
-                    if closing or name == "select":
+                    if closing:
                         dropped.pop()
-                    elif name != "button" and not empty:
+                    elif not empty:
                         dropped.append(name)
                     continue
                 if name == "body" and not closing:
                     dropped.clear()
-                elif dropped[0] in ("button", "select") and name in BLOCKS:
-                    # The close of a block around it ends one that is not closed.
-                    if not closing:
-                        inner.append(name)
-                        continue
-                    if name in inner:
-                        del inner[len(inner) - 1 - inner[::-1].index(name) :]
-                        continue
-                    if name not in names:
-                        continue
-                    dropped.clear()
                 else:
                     continue
             if closing:
@@ -166,6 +161,8 @@ class Page:
                         flush()
                 elif name == "a":
                     in_link = 0
+                elif name in APART:
+                    parts.append(" ")
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
@@ -178,8 +175,7 @@ class Page:
             if name in DROPPED:
                 if not empty:
                     dropped.append(name)
-                    inner.clear()
-            elif name == "br":
+            elif name == "br" or name in APART:
                 parts.append(" ")
             elif name == "hr":
                 flush()
@@ -440,6 +436,7 @@ def extracted(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) of every page (page_id, url, html)."""
     sent = pages.sparkSession.sparkContext.broadcast(model or fit())
 
+    @C.tidy
     def run(batches):
         for batch in C.small_batches(batches, "html", C.CHUNK_BYTES // 2, 512):
             texts = main_texts([s or "" for s in batch.column("html").to_pylist()], sent.value)
@@ -449,4 +446,5 @@ def extracted(pages: DataFrame, model: BoostedTrees | None = None) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page; odd rows as the module says."""
     return extracted(C.table(spark, sf_dir, "pages", "page_id", "url", "html"))

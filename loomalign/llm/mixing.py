@@ -13,13 +13,19 @@ once more the words at the beginning of its line, to the exact word.
 
 The number of slots is a parameter and not a matter of size: a larger corpus has
 larger blocks.  Positions in a source's line are sums over 4096 salted parts of
-the source and then within the part, so a source with a third of all rows is no
+the source and then within the part, and ranks of slots and sums over blocks are
+taken in stretches of ``CHUNK`` first, so a source with a third of all rows is no
 single task's work.  The tables of sources, slots and blocks have at most as
 many rows as sources plus ``resolution``.
 
-Null texts and texts without words have size 0 and are never taken.  A null
-source is a source of its own, the last.  Rows with equal ids are rows of their
-own.  Reruns give equal results: nothing depends on the order of partitions.
+Null texts, empty texts and texts without words have size 0 and are never taken.
+Very long texts are counted whole and can be taken in part.  A null source is a
+source of its own, the last.  Rows with equal ids, repeated or not, are rows of
+their own; rows without doc_id are too.  Ties: equal hashes are ordered by
+doc_id and size, and rows equal in all of these are interchangeable.  Reruns
+give equal results: nothing depends on the order of partitions.  An empty table
+gives no rows.  Further columns, whatever their names, are not read (``drawn``
+passes them on).
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RESOLUTION = 65536
+#: Rows of a source that are ranked or summed in one group.
+CHUNK = 1024
 MIN_BLOCK = 16
 GOLDEN = 0.6180339887498949
 WEIGHTS = (3, 1, 2)
@@ -88,6 +96,17 @@ def plan(sources: DataFrame, resolution: int = RESOLUTION, share: float = SHARE)
     return p.withColumn("slots", F.floor(F.col("all_e") / 1000000.0 + 0.5).cast("long"))
 
 
+def _running(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over a source's rows before each in ``order`` (whole numbers): by stretches, then within them."""
+    df = df.withColumn("_c", F.floor(F.col(order) / CHUNK))
+    before = Window.partitionBy("skey").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.groupBy("skey", "_c").agg(F.sum(value).alias("_s"))
+    sums = sums.select("skey", "_c", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_base"))
+    inner = Window.partitionBy("skey", "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, ["skey", "_c"])
+    return out.withColumn(name, F.col("_base") + F.col("_in")).drop("_c", "_base", "_in")
+
+
 def schedule(spark: SparkSession, planned: DataFrame, most: int = MOST) -> DataFrame:
     """(slot, skey, r, block): slots in order, their source, their rank in it and the block they take.
 
@@ -95,13 +114,15 @@ def schedule(spark: SparkSession, planned: DataFrame, most: int = MOST) -> DataF
     """
     cells = 4096  # of the unit interval: points and stretches meet on equal cells, not by comparing all with all
     n = planned.agg(F.coalesce(F.max("slots"), F.lit(0)).alias("n"))
-    i = n.select(F.explode(F.when(F.col("n") > 0, F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).otherwise(F.array().cast("array<bigint>"))).alias("slot"))
+    # In two steps, so that no row holds all slots.
+    c = n.select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {CHUNK}"))).alias("c")).where(F.col("c") * CHUNK < F.col("n"))
+    i = c.select(F.explode(F.sequence(F.col("c") * CHUNK, F.least("n", (F.col("c") + 1) * CHUNK) - 1)).alias("slot"))
     x = F.col("slot").cast("double") * F.lit(GOLDEN)
     i = i.withColumn("x", x - F.floor(x)).withColumn("cell", F.floor(F.col("x") * cells))
     last = F.least(F.floor(F.col("hi") * cells), F.lit(cells - 1))
     p = planned.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), last)))
     got = i.join(p, "cell").where("x >= lo and x < hi")
-    got = got.withColumn("r", F.row_number().over(Window.partitionBy("skey").orderBy("slot")) - 1)
+    got = _running(got.withColumn("one", F.lit(1)), "slot", "one", "r")
     return got.where(F.col("r") < F.col("nb") * most).select("slot", "skey", "r", F.pmod("r", "nb").alias("block"))
 
 
@@ -122,13 +143,13 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     planned = plan(sources, resolution, share)
     slots = schedule(spark, planned, most)
     # How often each block is taken, and the words taken before it.
-    times = slots.groupBy("skey", "block").agg(F.count("*").alias("times"))
+    times = C.stored(slots.groupBy("skey", "block").agg(F.count("*").alias("times")))
     blocks = planned.select("skey", "s", "nb", F.explode(F.expr("sequence(0L, nb - 1)")).alias("block"))
     begin = F.expr("(block * s + nb - 1) div nb")
     end = F.expr("((block + 1) * s + nb - 1) div nb")
     blocks = blocks.join(times, ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("begin", begin)
-    before = Window.partitionBy("skey").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = C.stored(blocks.select("skey", "block", "begin", "times", (F.col("times") * (end - F.col("begin"))).alias("words"), F.coalesce(F.sum(F.col("times") * (end - F.col("begin"))).over(before), F.lit(0)).alias("before")))
+    blocks = blocks.select("skey", "block", "begin", "times", (F.col("times") * (end - F.col("begin"))).alias("words"))
+    blocks = C.stored(_running(blocks, "block", "words", "before"))
     sources = sources.join(settled(sources, blocks), "skey", "left")
     # Each document's stretch of its source's line.
     parts = sizes.groupBy("skey", "part").agg(F.sum("size").alias("n"))
@@ -160,6 +181,7 @@ def drawn(docs: DataFrame, **options) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) of every document; odd rows as the module says."""
     return mixed(C.table(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 

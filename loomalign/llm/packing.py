@@ -11,8 +11,13 @@ exceeds the best norm, so the choice is the exact minimum over the buckets.
 Shards (by hash of piece, of about 5,000 pieces each) are packed on their own.  At most one sequence of a shard can be half empty or more: these, one for
 each shard, are packed once more, those of 1,024 shards together.
 
-Only small rows (no ids) are shuffled.  A null text is empty: one piece, the
-closing id.  Repeated rows are packed as often as they come.
+Only small rows (no ids) are shuffled.  A null text is empty, and an empty text
+is one piece, the closing id.  Very long texts are encoded whole and cut into
+full sequences.  Repeated rows, also those without doc_id, are packed as often
+as they come; nothing tells the pieces of equal ids apart but their sequence.
+Ties: equal lengths are taken by doc_id and piece, and of bins of equal norm the
+tightest found first.  An empty table gives no rows.  Further columns are not
+read by the query; ``packed`` passes them on.
 """
 
 from __future__ import annotations
@@ -76,6 +81,7 @@ def cuts(total: int, length: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, json_path: str, ranks_path: str | None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """The pieces of every document, with their ids if asked for."""
 
+    @C.tidy
     def run(batches):
         encode = encoder(json_path, ranks_path)
         for batch in C.small_batches(batches):
@@ -217,4 +223,5 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place; odd rows as the module says."""
     return packed_documents(C.table(spark, sf_dir, "documents", "doc_id", "text"))

@@ -12,7 +12,12 @@ documents at a time, by exact cosine products; its ``k`` nearest vote with their
 similarity, weighted so that either class counts as in all labels.
 
 Nulls, empty texts and texts without words score 0.  Without labels of both
-classes every text scores 0.
+classes (so also for an empty table of labels) every text scores 0; an empty
+table of documents gives no rows.  Ties: cosines are taken in double precision
+and rounded to nine decimals, so they don't depend on how rows are batched, and
+of equal ones the neighbour of the least doc_id is nearer.  Very long texts are
+taken whole, in batches of their own.  Repeated rows get equal scores; rows
+without doc_id are scored and not held out.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -87,10 +92,11 @@ class Neighbours:
         batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
         x = np.concatenate([self.weighted(p) for p in C.small_batches([batch], rows=ROWS)])
         # Singular vectors by the smaller Gram matrix.
-        values, vectors = np.linalg.eigh(x @ x.T)
+        wide = x.astype(np.float64)
+        values, vectors = np.linalg.eigh(wide @ wide.T)
         top = np.argsort(values)[::-1][:RANK]
         top = top[values[top] > 1e-6 * values[top[0]]]
-        self.basis = (x.T @ vectors[:, top] / np.sqrt(values[top])).astype(np.float32)
+        self.basis = x.T.astype(np.float64) @ vectors[:, top] / np.sqrt(values[top])
         self.vectors = self.latent(x)
         self.y = y
         self.weight = np.where(y == 1, share / (y == 1).sum(), (1 - share) / (y == 0).sum())
@@ -99,14 +105,22 @@ class Neighbours:
         return _unit(counted(batch) * self.idf)
 
     def latent(self, x: np.ndarray) -> np.ndarray:
-        return _unit(x @ self.basis)
+        return _unit(x.astype(np.float64) @ self.basis)
+
+    def nearest(self, x: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """(neighbours in the order of their ids, their cosines) of rows of latent vectors."""
+        n = len(self.vectors)
+        billionths = np.rint((x @ self.vectors.T) * 1e9).astype(np.int64)
+        # One number for cosine and place: no two are equal.
+        rank = billionths * n + np.arange(n - 1, -1, -1)
+        k = min(k, n)
+        near = np.sort(np.argpartition(rank, n - k, axis=1)[:, n - k :], axis=1)
+        return near, np.take_along_axis(billionths, near, 1) / 1e9
 
     def score(self, batch: pa.RecordBatch, k: int = K) -> np.ndarray:
         x = self.weighted(batch)
-        cosine = self.latent(x) @ self.vectors.T
-        k = min(k, cosine.shape[1])
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        vote = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 8 * self.weight[near]
+        near, cosine = self.nearest(self.latent(x), k)
+        vote = np.maximum(cosine, 1e-6) ** 8 * self.weight[near]
         out = (vote * self.y[near]).sum(1) / vote.sum(1)
         return np.where(x.any(1), out, 0.0)
 
@@ -124,6 +138,7 @@ def scored(docs: DataFrame, model: Neighbours | None, threshold: float = THRESHO
     """(doc_id, held_out, score, predicted) of every text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @C.tidy
     def run(batches):
         for batch in C.small_batches(batches, rows=ROWS):
             score = sent.value.score(batch) if sent.value is not None else np.zeros(batch.num_rows)
@@ -134,4 +149,5 @@ def scored(docs: DataFrame, model: Neighbours | None, threshold: float = THRESHO
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) of every document; odd rows as the module says."""
     return scored(C.table(spark, sf_dir, "documents", "doc_id", "text"), fit(spark, sf_dir))
