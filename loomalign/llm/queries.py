@@ -22,7 +22,9 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_substring_dedup": substring_dedup.SQL,
         "op6_mixing": mixing.SQL,
         "op8_ngram_join": ngram_join.SQL,
         "op9_embedding_dedup": embedding_dedup.SQL,
+        "op10_url_rules": url_rules.SQL,
     }

@@ -391,3 +391,20 @@ def cleaned(docs: DataFrame, length: int = 400, gram: int = GRAM, shard_bytes: i
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What 400-byte repeats take from every document; odd rows as the module says."""
     return report(C.table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+#: The same for DuckDB, which compares all windows by their MD5.
+SQL = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT r, i, md5(array_slice(b, i, i + 399)) AS m FROM d, unnest(range(1, octet_length(b) - 398)) AS x(i) WHERE octet_length(b) >= 400),
+hit AS (SELECT r, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+steps AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM hit),
+named AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM steps),
+runs AS MATERIALIZED (SELECT r, min(i) AS a, max(i) + 399 AS z FROM named GROUP BY r, k),
+sums AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY r),
+rest AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM runs UNION ALL SELECT r, max(z) + 1, 1000000000 FROM runs GROUP BY r),
+kept AS (SELECT d.r, string_agg(CASE WHEN rest.z < rest.a THEN '' ELSE hex(array_slice(b, rest.a, least(rest.z, octet_length(b)))) END, '' ORDER BY rest.a) AS h FROM d JOIN rest ON rest.r = d.r GROUP BY d.r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN h IS NULL THEN sha256(b) ELSE sha256(unhex(h)) END AS kept_sha256, n_removed IS NOT NULL AS repeats
+FROM d LEFT JOIN sums ON sums.r = d.r LEFT JOIN kept ON kept.r = d.r
+"""
