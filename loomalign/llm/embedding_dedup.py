@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TILE = 1024
+TILE = 2048
 STEP = 16
 SAMPLE = 4096
 THRESHOLD = 0.93
@@ -133,10 +133,13 @@ def tile_links(reps: DataFrame, threshold: float, tile: int, axes: dict) -> Data
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of vectors (vec_id, embedding, label)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    # Single precision is shuffled as such; only sums are taken in double.
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"), "label")
     good = rows.where(_valid())
     # Signs of zeros differ in bits only.
-    plain = good.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x)))
+    plain = good.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
     reps = C.stored(plain.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding")))
     axes = rotations(reps.select(F.col("id").alias("vec_id"), "embedding"))
     found = C.stored(tile_links(reps, threshold, tile, axes))

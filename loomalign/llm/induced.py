@@ -132,7 +132,7 @@ def _induce(text, is_l, sorted_lms, size, bounds):
     n = len(text)
     starts, ends = bounds
     sa = np.zeros(n, np.int32)
-    prev = np.full(n, -1, np.int16)
+    prev = np.full(n, -1, np.int16 if size < 32000 else np.int32)
     left, right = prev[1:], text[:-1]
     np.copyto(left, right, where=is_l[:-1], casting="unsafe")
     # LMS suffixes at the ends of their buckets, in the given order.

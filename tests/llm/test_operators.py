@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomalign.llm import embedding_dedup, html_text, mixing, ngram_join, packing, quality_rules, substring_dedup, toxicity, url_rules
+from loomalign.llm import induced
 from loomalign.llm.induced import permuted_lcp, suffix_array
 from loomalign.llm.queries import oracle_sql, queries
 from tests.llm.conftest import BAD, is_held_out
@@ -60,6 +61,14 @@ def test_suffix_array():
             while max(a, b) + k < len(raw) and raw[a + k] == raw[b + k]:
                 k += 1
             assert plcp[b] == k
+    # The same by recursion throughout as with doubling for many names.
+    many = r.integers(0, 200, 6000).astype(np.uint8)
+    want, limit = suffix_array(many), induced.MAX_BUCKETS
+    induced.MAX_BUCKETS = 1 << 30
+    try:
+        assert (suffix_array(many) == want).all()
+    finally:
+        induced.MAX_BUCKETS = limit
     big = np.frombuffer(b"abcde" * 2000 + b"x" * 3000, np.uint8)
     assert (np.sort(suffix_array(big)) == np.arange(len(big))).all()
 
