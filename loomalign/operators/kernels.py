@@ -27,6 +27,8 @@ from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, NARROW_LIM
 
 #: Cells of one batch's column: long vectors, in arrays of a few MB.
 COLUMN_CELLS = 1 << 22
+#: Cells of a column that are worked on at a time.
+BLOCK_CELLS = 1 << 17
 TOP = int(MATRIX.max())
 _NEG = -(1 << 29)
 
@@ -87,40 +89,52 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     for i in np.flatnonzero(lengths == 0):
         out[i] = _empty_side(algorithm, m, 0, open_, extend)
     matrix = MATRIX.astype(kind)
-    open_, extend = kind(open_), kind(extend)
-    border = np.zeros(m + 1, kind) if local else (-gap(np.arange(m + 1), int(open_), int(extend))).astype(kind)
+    cost, step, zero = kind(open_), kind(extend), kind(0)
+    border = np.zeros(m + 1, kind) if local else (-gap(np.arange(m + 1), open_, extend)).astype(kind)
     h = np.repeat(border[:, None], size, 1)  # column before, border row first
-    e = np.repeat((border - open_)[1:, None], size, 1)
-    best = np.zeros(size, kind)
-    p = h[1:] - open_  # between columns: what a gap opened after each cell would leave
+    e = np.repeat((border - cost)[1:, None], size, 1)
+    best, above = np.zeros(size, kind), np.empty(size, kind)
     rows = q.astype(np.intp)
-    f, room = np.empty(size, kind), np.empty(m * size, kind)
-    last, zero = m - 1, kind(0)
+    # Rows are taken in blocks whose cells stay in the cache through all the operations on them.
+    high = min(m, max(1, BLOCK_CELLS // size))
+    room, more = np.empty(high * size, kind), np.empty((high + 1) * size, kind)
     for j in range(longest):
         b = int(live[j])
-        top = best[:b]
-        hb, eb, pb, fb = h[:, :b], e[:, :b], p[:, :b], f[:b]
-        if j:
-            # Gap along the target: extend, or open after the column before.
-            np.subtract(eb, extend, out=eb)
-            np.maximum(eb, pb, out=eb)
-        score = room[: m * b].reshape(m, b)
-        np.take(np.take(matrix, codes[j, :b], 1), rows, 0, out=score, mode="clip")
-        np.add(hb[:-1], score, out=score)
-        np.maximum(score, eb, out=score)
+        look = np.take(matrix, codes[j, :b], 1)
+        top, diagonal = best[:b], above[:b]
+        diagonal[:] = h[0, :b]
         if not local:
-            hb[0] = -gap(j + 1, int(open_), int(extend))
-        np.subtract(hb[0], open_, out=fb)
-        for i in range(m):
-            cell, opened = hb[i + 1], pb[i]
-            np.maximum(score[i], fb, out=cell)
+            h[0, :b] = -gap(j + 1, open_, extend)
+        f = more[:b]
+        np.subtract(h[0, :b], cost, out=f)
+        for r in range(0, m, high):
+            n = min(high, m - r)
+            old, eb = h[r + 1 : r + 1 + n, :b], e[r : r + n, :b]
+            score, down = room[: n * b].reshape(n, b), more[: (n + 1) * b].reshape(n + 1, b)
+            if j:
+                # Gap along the target: extend, or open after the column before.
+                np.subtract(eb, step, out=eb)
+                np.subtract(old, cost, out=score)
+                np.maximum(eb, score, out=eb)
+            np.take(look, rows[r : r + n], 0, out=score, mode="clip")
+            score[0] += diagonal
+            score[1:] += old[:-1]
+            diagonal[:] = old[-1]
+            np.maximum(score, eb, out=score)
             if local:
-                np.maximum(cell, zero, out=cell)
-                np.maximum(top, cell, out=top)
-            np.subtract(cell, open_, out=opened)
-            if i < last:
-                np.subtract(fb, extend, out=fb)
-                np.maximum(fb, opened, out=fb)
+                np.maximum(score, zero, out=score)
+            # Gap down the query: extend, or open after a cell above; a gap opened after such a gap never wins.
+            np.subtract(score, cost, out=down[1:])
+            if r:
+                down[0] = f
+            for i in range(n):
+                f = down[i]
+                np.maximum(score[i], f, out=old[i])
+                np.subtract(f, step, out=f)
+                np.maximum(down[i + 1], f, out=down[i + 1])
+            f = down[n]
+            if local:
+                np.maximum(top, old.max(0), out=top)
         after = int(live[j + 1]) if j + 1 < longest else 0
         if after < b:
             out[order[after:b]] = best[after:b] if local else h[m, after:b]
