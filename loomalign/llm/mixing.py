@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 RESOLUTION = 65536
+#: Bytes of facts of sources up to which all tasks get them.
+SENT_BYTES = 1 << 23
 #: Rows of a source that are ranked or summed in one group.
 CHUNK = 1024
 MIN_BLOCK = 16
@@ -150,14 +152,18 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
     blocks = blocks.join(times, ["skey", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0))).withColumn("begin", begin)
     blocks = blocks.select("skey", "block", "begin", "times", (F.col("times") * (end - F.col("begin"))).alias("words"))
     blocks = C.stored(_running(blocks, "block", "words", "before"))
-    sources = sources.join(settled(sources, blocks), "skey", "left")
+    # What is known of each source: sent to all tasks where its size is small, else joined as a stored table, whose skew is split.
+    facts = sources.select("skey", "s", "target").join(planned.select("skey", "nb"), "skey", "left").join(settled(sources, blocks), "skey", "left")
+    facts = C.stored(facts.select("skey", "s", "target", "nb", "rounds", "rest"))
+    size = facts.agg(F.sum(F.octet_length("skey") + 64)).first()[0] or 0
+    facts = F.broadcast(facts) if size <= SENT_BYTES else facts
     # Each document's stretch of its source's line.
     parts = sizes.groupBy("skey", "part").agg(F.sum("size").alias("n"))
     parts = parts.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = Window.partitionBy("skey", "part").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sizes.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0))).join(parts, ["skey", "part"])
     placed = placed.select("doc_id", "skey", "size", (F.col("base") + F.col("inner")).alias("a")).withColumn("b", F.col("a") + F.col("size"))
-    whole = placed.join(planned.select("skey", "nb"), "skey", "left").join(sources.select("skey", "s", "target", "rounds", "rest"), "skey")
+    whole = placed.join(facts, "skey")
     # Words taken up to a place p: those before its block and the block's own part, as often as it is taken.
     whole = whole.withColumn("block_a", F.expr("least(a * nb div s, nb - 1)")).withColumn("block_b", F.expr("least(b * nb div s, nb - 1)"))
 
