@@ -315,7 +315,8 @@ def tile_links(members: DataFrame, facts: DataFrame, tried: DataFrame, docs: Dat
     sizes = C.stored(members.groupBy("token").agg(many.cast("int").alias("tiles")))
     partners = tried.select(F.col("a").alias("node"), "b").union(tried.select("b", "a")).groupBy("node").agg(F.collect_list("b").alias("tried"))
     own = facts.where("own is not null").join(partners, "node", "left").select("node", "own", "last", "other", F.coalesce("tried", F.array().cast("array<long>")).alias("tried"))
-    rows = members.join(sizes, "token").join(C.stored(own), "node")
+    own = C.stored(own)
+    rows = members.join(sizes, "token").join(own, "node")
     rows = rows.withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("token", F.least("t", "o").alias("p"), F.greatest("t", "o").alias("q"), "t", "node", "comp", "n", "own", "last", "other", "tried")
 
@@ -367,7 +368,7 @@ def tile_links(members: DataFrame, facts: DataFrame, tried: DataFrame, docs: Dat
     wanted = C.stored(rows.groupBy("token", "p", "q").applyInArrow(needed, "token long, p int, q int, t int, node long"))
     ids = wanted.select("node").distinct()
     comps = members.select("node", F.col("n").cast("long").alias("n"), "comp").distinct()
-    sets = _whole_sets(docs, facts.join(ids, "node", "left_semi"), width, levels).join(comps, "node").join(C.stored(own), "node")
+    sets = _whole_sets(docs, facts.join(ids, "node", "left_semi"), width, levels).join(comps, "node").join(own, "node")
     sets = C.stored(sets.select("node", "tokens", "n", "comp", "own", "tried"))
 
     def compare(key, group):
@@ -475,7 +476,7 @@ def linked(nodes: DataFrame, docs: DataFrame, width: int, percent: int, levels,
     facts = C.stored(facts.withColumn("other", F.col("held") - F.coalesce(F.size("own"), F.lit(0))).drop("held"))
     pairs = by_prefix(few_pairs(left.where(F.col("size") <= few), percent), facts, percent)
     second = C.stored(pairs.join(first, ["a", "b"], "left_anti"))
-    links = verified(second, nodes, docs, width, percent, levels)
+    links = verified(second, nodes, docs, width, percent, levels) if second.take(1) else second
     if members.take(1):
         args = (members, facts, first, docs, width, percent, levels, tile)
         links = links.union(tile_links(*args))
