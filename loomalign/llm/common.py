@@ -15,6 +15,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomalign.sources.fasta import shared_dir
+
 #: White space between words: \x20 and \x09 to \x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that Python works on at a time; NumPy needs some forty times as much memory.
@@ -38,19 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Batches that go to Python have a bound in bytes, since texts vary: by rows alone, 10,000 long ones go at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
+    """Batches that go to Python have a bound in bytes, since texts vary: by rows alone, 10,000 long ones go at once.
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on one machine without a setting, a folder of the warehouse."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    if not spark.sparkContext.master.startswith("local") and path.startswith(("file:", "/")):
-        raise RuntimeError("spark.checkpoint.dir is not set, and the warehouse is a folder of one machine: executors could not read each other's tables")
-    return path
+    A setting of the session, since Spark has no other place for it; it stays.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 _STORED: list[str] = []

@@ -68,10 +68,11 @@ def vocabulary(toxic: list[str], plain: list[str], level: float) -> tuple[list[s
 
     def typical(counts: Counter, sign: int) -> list[str]:
         """Forms over the level; of a form and its beginnings the most typical, the longest of equal ones."""
-        out, begun = [], set()
+        out, begun, chosen = [], set(), set()
         for s, f in sorted(((round(sign * z(f), 6), f) for f in counts if sign * z(f) >= level), key=lambda x: (-x[0], -len(x[1]), x[1])):
-            if f not in begun and not any(f[:k] in out for k in range(1, len(f))):
+            if f not in begun and not any(f[:k] in chosen for k in range(1, len(f))):
                 out.append(f)
+                chosen.add(f)
                 begun.update(f[:k] for k in range(1, len(f) + 1))
         return out
 
