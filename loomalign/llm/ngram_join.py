@@ -93,9 +93,9 @@ def _tokens(batch, width, levels):
     hashes, at = _shingles(batch, width)
     level = levels[(hashes >> np.uint64(65 - len(levels).bit_length())).astype(np.int64)].astype(np.uint64)
     tokens = (level << np.uint64(58)) | (hashes >> np.uint64(6))
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((tokens, doc))
-    return tokens[order], at
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        tokens[a:b].sort()
+    return tokens, at
 
 
 def _needed(n: np.ndarray, percent: int) -> np.ndarray:

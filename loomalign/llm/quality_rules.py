@@ -96,7 +96,7 @@ def analyse(batch: pa.RecordBatch) -> dict:
     hashes, at = C.windows(words, first, 5)
     doc = np.repeat(np.arange(n_docs), np.diff(at))
     place = np.arange(len(hashes)) - at[doc] + first[doc]
-    order = np.lexsort((hashes, doc))
+    order = np.argsort(hashes ^ C.mixed(doc.astype(np.uint64)))  # equal ones of a text are neighbours
     equal = (hashes[order][1:] == hashes[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     twice = np.zeros(len(hashes), bool)
     twice[order[1:]] |= equal
