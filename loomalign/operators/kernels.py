@@ -89,7 +89,7 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     for i in np.flatnonzero(lengths == 0):
         out[i] = _empty_side(algorithm, m, 0, open_, extend)
     matrix = MATRIX.astype(kind)
-    cost, step, zero = kind(open_), kind(extend), kind(0)
+    cost, step = kind(open_), kind(extend)
     border = np.zeros(m + 1, kind) if local else (-gap(np.arange(m + 1), open_, extend)).astype(kind)
     h = np.repeat(border[:, None], size, 1)  # column before, border row first
     e = np.repeat((border - cost)[1:, None], size, 1)
@@ -98,6 +98,7 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     # Rows are taken in blocks whose cells stay in the cache through all the operations on them.
     high = min(m, max(1, BLOCK_CELLS // size))
     room, more = np.empty(high * size, kind), np.empty((high + 1) * size, kind)
+    zeros = np.zeros(high * size if local else 0, kind)  # an array: a scalar would not go by vectors
     for j in range(longest):
         b = int(live[j])
         look = np.take(matrix, codes[j, :b], 1)
@@ -122,7 +123,7 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
             diagonal[:] = old[-1]
             np.maximum(score, eb, out=score)
             if local:
-                np.maximum(score, zero, out=score)
+                np.maximum(score, zeros[: n * b].reshape(n, b), out=score)
             # Gap down the query: extend, or open after a cell above; a gap opened after such a gap never wins.
             np.subtract(score, cost, out=down[1:])
             if r:
@@ -134,7 +135,8 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
                 np.maximum(down[i + 1], f, out=down[i + 1])
             f = down[n]
             if local:
-                np.maximum(top, old.max(0), out=top)
+                for i in range(n):
+                    np.maximum(top, old[i], out=top)
         after = int(live[j + 1]) if j + 1 < longest else 0
         if after < b:
             out[order[after:b]] = best[after:b] if local else h[m, after:b]
@@ -153,11 +155,11 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
         return _empty_side(algorithm, m, n, open_, extend)
     fits = narrow(algorithm, m, n, open_, extend) and TOP * min(m, n) + n * extend < NARROW_LIMIT
     kind = np.int16 if fits and not wide else np.int32
-    profile = MATRIX.astype(kind)[:, t]
+    profile = np.take(MATRIX.astype(kind), t.astype(np.intp), 1, mode="clip")
     steps = (np.arange(n + 1) * extend).astype(kind)
     opened = steps + kind(open_)
     h = np.zeros(n + 1, kind) if local else (-gap(np.arange(n + 1), open_, extend)).astype(kind)
-    opening, extending, zero = kind(open_), kind(extend), kind(0)
+    opening, extending, zeros = kind(open_), kind(extend), np.zeros(n + 1, kind)
     f = h[1:] - opening  # no gap can have been opened before the first row: extending this one never wins
     p = np.empty(n + 1, kind)
     x = np.empty(n, kind)
@@ -169,7 +171,7 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
         np.add(h[:-1], profile[q[i]], out=p[1:])
         np.maximum(p[1:], f, out=p[1:])
         if local:
-            np.maximum(p, zero, out=p)
+            np.maximum(p, zeros, out=p)
             p[0] = 0
         else:
             p[0] = -gap(i + 1, open_, extend)
@@ -202,13 +204,13 @@ def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int =
     inside = np.ones(total, bool)
     inside[first] = False
     codes[inside] = np.concatenate(targets)
-    profile = MATRIX.astype(np.int32)[:, codes]
+    profile = np.take(MATRIX.astype(np.int32), codes.astype(np.intp), 1, mode="clip")
     lift = _lift(algorithm, m, int(lengths.max()), open_, extend)
     steps = column * np.int32(extend) + np.repeat(np.arange(len(targets), dtype=np.int32) * np.int32(lift), lengths + 1)
     opened = steps + np.int32(open_)
     h = np.zeros(total, np.int32) if local else (-gap(column, open_, extend)).astype(np.int32)
     f = h - np.int32(open_)
-    p, x, best = np.empty(total, np.int32), np.empty(total, np.int32), np.zeros(total, np.int32)
+    p, x, best, zeros = np.empty(total, np.int32), np.empty(total, np.int32), np.zeros(total, np.int32), np.zeros(total, np.int32)
     for i in range(m):
         np.subtract(f, extend, out=f)
         np.subtract(h, open_, out=x)
@@ -216,7 +218,7 @@ def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int =
         np.add(h[:-1], profile[q[i], 1:], out=p[1:])
         np.maximum(p, f, out=p)
         if local:
-            np.maximum(p, 0, out=p)
+            np.maximum(p, zeros, out=p)
             p[first] = 0
         else:
             p[first] = -gap(i + 1, open_, extend)
