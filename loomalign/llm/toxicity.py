@@ -2,15 +2,18 @@
 
 Two dictionaries share a base of frequent words, in the same place.  Before it,
 in the same size, one has the forms (words or their first letters) that toxic
-training texts have significantly more often, the other the forms that ordinary
-training texts have significantly more often and then their rarer words.  How
-significant is chosen from ``LEVELS`` by how well texts that no dictionary has
-seen are told apart; all forms of that level are in.  Ordinary text so compresses
-to about the same length with both, and what is typical of toxic text compresses
-shorter with the first.  Windows of twenty words are compressed with both; how
-the differences of a text's windows are spread (largest, mean, share and number
-over thresholds) is calibrated to a probability by logistic regression on
-training texts that no dictionary has seen.
+training texts have significantly more of, the other the forms that ordinary
+training texts have significantly more of and then their rarer words.  Ordinary
+text so compresses to about the same length with both, and what is typical of
+toxic text compresses shorter with the first.  Windows of twenty words are
+compressed with both; how the differences of a text's windows are spread
+(largest, mean, share and number over thresholds) is calibrated to a probability
+by logistic regression.
+
+The texts that calibrate are seen by no dictionary: each quarter of the training
+texts in turn goes through dictionaries of the other three.  The same tells how
+significant forms must be (``LEVELS``): the level that tells those texts apart
+best.  The dictionaries that score are then made of all training texts at it.
 
 Dictionaries and calibration learn from at most ``sample`` labelled documents of
 each class, none of them held out.  Without labels of both classes (so also for
@@ -39,7 +42,9 @@ SAMPLE = 1200
 WINDOW = 20
 BASE_BYTES = 24_000
 #: Standard deviations by which a form must be more frequent in one class: what is chosen from, the strictest first.
-LEVELS = (8.0, 6.0, 5.0, 4.0, 3.0)
+LEVELS = (6.0, 5.0, 4.0, 3.0)
+#: Different words of a form that count in a text; parts of the training texts that are left out in turn.
+MOST, PARTS = 4, 4
 LEVEL = 9
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -51,25 +56,29 @@ def _forms(word: str) -> list[str]:
     return [word, *(word[:k] for k in STEMS if len(word) > k)]
 
 
-def _document_counts(texts: list[str]) -> Counter:
-    out: Counter = Counter()
+def _moments(texts: list[str]) -> tuple[Counter, Counter]:
+    """Sums over texts of how many different words have a form, up to MOST, and of its square."""
+    once, squared = Counter(), Counter()
     for t in texts:
-        out.update({f for w in set(_LETTERS.findall(t.lower())) for f in _forms(w)})
-    return out
+        for f, k in Counter(f for w in set(_LETTERS.findall(t.lower())) for f in _forms(w)).items():
+            once[f] += min(k, MOST)
+            squared[f] += min(k, MOST) ** 2
+    return once, squared
 
 
 def vocabulary(toxic: list[str], plain: list[str], level: float) -> tuple[list[str], list[str], list[str]]:
     """The forms typical of toxic texts and of ordinary ones, most typical first, and the base: frequent words of both."""
-    a, b, n, m = _document_counts(toxic), _document_counts(plain), len(toxic), len(plain)
+    (a, a2), (b, b2), n, m = _moments(toxic), _moments(plain), len(toxic), len(plain)
 
     def z(form: str) -> float:
-        p, q = a[form], b[form]
-        return (p / n - q / m) / ((p + q + 1) / (n + m) * (1 / n + 1 / m)) ** 0.5
+        """By how many standard deviations the form's mean number is higher in toxic texts."""
+        variance = (a2[form] + b2[form] + 1) / (n + m) - ((a[form] + b[form]) / (n + m)) ** 2
+        return (a[form] / n - b[form] / m) / (variance * (1 / n + 1 / m)) ** 0.5
 
     def typical(counts: Counter, sign: int) -> list[str]:
         """Forms over the level; of a form and its beginnings the most typical, the longest of equal ones."""
         out, begun, chosen = [], set(), set()
-        for s, f in sorted(((round(sign * z(f), 6), f) for f in counts if sign * z(f) >= level), key=lambda x: (-x[0], -len(x[1]), x[1])):
+        for _, f in sorted(((round(sign * z(f), 6), f) for f in counts if sign * z(f) >= level), key=lambda x: (-x[0], -len(x[1]), x[1])):
             if f not in begun and not any(f[:k] in chosen for k in range(1, len(f))):
                 out.append(f)
                 chosen.add(f)
@@ -173,21 +182,30 @@ def fit(spark: SparkSession, sf_dir: str, sample: int = SAMPLE):
     toxic, plain = ([t for t, v in zip(texts, y, strict=True) if v == k] for k in (1, 0))
     if len(toxic) < 4 or len(plain) < 4:
         return None
-    # Three of four of each class make the dictionaries; the others calibrate and choose the level.
-    parts = [t for i, t in enumerate(toxic) if i % 4], [t for i, t in enumerate(plain) if i % 4]
-    rest, y = toxic[::4] + plain[::4], np.array([1] * len(toxic[::4]) + [0] * len(plain[::4]))
     counts = dict(C.table(spark, sf_dir, "labels", "doc_id", "toxic").where(F.col("toxic").isin(0, 1) & (C.label_side() != 2)).groupBy("toxic").count().collect())
+    sent = spark.sparkContext.broadcast((toxic, plain))
+
+    @C.tidy
+    def unseen(batches):
+        """Features of a part of the texts by dictionaries of the other parts."""
+        for batch in batches:
+            for level, part in zip(batch.column("level").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                pair = train(*([t for i, t in enumerate(texts) if i % PARTS != part] for texts in sent.value), level)
+                x = np.array([features(t, pair) for texts in sent.value for t in texts[part::PARTS]], float)
+                yield pa.RecordBatch.from_arrays([pa.array([level]), pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["level", "part", "x"])
+
+    # A task for each level and part; the features, of a bounded number of texts, come to the driver.
+    jobs = [(level, part) for level in LEVELS for part in range(PARTS)]
+    tasks = spark.createDataFrame(jobs, "level double, part int").repartition(len(jobs)).mapInArrow(unseen, "level double, part int, x binary")
+    blobs = {(r.level, r.part): r.x for r in tasks.collect()}
+    y = np.concatenate([[1] * len(toxic[part::PARTS]) + [0] * len(plain[part::PARTS]) for part in range(PARTS)])
     best = None
     for level in LEVELS:
-        words = vocabulary(*parts, level)
-        if not words[0] and level > LEVELS[-1]:
-            continue
-        pair = dictionaries(words)
-        x = np.array([features(t, pair) for t in rest])
+        x = np.concatenate([np.frombuffer(blobs[level, part]) for part in range(PARTS)]).reshape(len(y), -1)
         calibration = Calibration(x, y, counts[1] / (counts[0] + counts[1]))
         if best is None or auc(calibration(x), y) > best[0]:
-            best = auc(calibration(x), y), pair, calibration
-    return best[1:]
+            best = auc(calibration(x), y), level, calibration
+    return train(toxic, plain, best[1]), best[2]
 
 
 def scored(docs: DataFrame, model, threshold: float = THRESHOLD) -> DataFrame:
