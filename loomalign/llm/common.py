@@ -86,6 +86,7 @@ def tidy(run):
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
+        _POWERS.clear()
         pa.default_memory_pool().release_unused()
         if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
             trim(0)
