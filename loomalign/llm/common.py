@@ -80,16 +80,24 @@ def _release_at_exit(spark: SparkSession) -> None:
         release(spark)
 
 
+def give_back() -> None:
+    """Return to the system what this process holds and no longer needs."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(run):
-    """A function over batches that gives memory back at its end: idle workers would keep what their largest batch took."""
+    """A function over batches that gives memory back at its end: idle workers would keep what their largest batch took.
+
+    What the wrapper names must be importable: it is sent with the values of other names.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
         yield from run(batches)
-        _POWERS.clear()
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        give_back()
 
     return wrapped
 

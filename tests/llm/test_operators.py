@@ -610,6 +610,18 @@ def test_op10_mined_verdicts(spark, limits):
     assert blocked > 0 or not limits
 
 
+def test_what_tasks_get_is_small():
+    """What a process has computed for itself is not sent along with functions."""
+    from pyspark import cloudpickle
+
+    from loomalign.llm import common
+
+    common.powers(1 << 18)
+    assert len(cloudpickle.dumps(common.tidy(lambda batches: batches))) < 10_000
+    common.give_back()
+    assert not common._POWERS
+
+
 def test_filters_and_sums(spark):
     from loomalign.llm import common
 
