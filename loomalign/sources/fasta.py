@@ -146,11 +146,13 @@ def synthetic(spark: SparkSession, n: int, length: Column | int, seed: int = 0,
     size = F.lit(length) if isinstance(length, int) else length
     rows = spark.range(n).select(F.col("id").alias("target_id"), size.cast("int").alias("len"))
     blocks = F.sequence(F.lit(0), F.floor(F.col("len") / 8).cast("int"))
-    digits = F.array_join(F.transform(blocks, lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("target_id").cast("string"), k.cast("string")))), "")
-    four = lambda i: F.conv(F.substring(F.col("digits"), i * 4 - 3, F.lit(4)), 16, 10).cast("int")
-    chars = F.transform(F.sequence(F.lit(1), F.col("len")), lambda i: F.substring(F.lit(letters), four(i) % len(letters) + 1, F.lit(1)))
-    seq = F.when(F.col("len") > 0, F.array_join(chars, "")).otherwise("")
-    return rows.withColumn("digits", digits).select("target_id", F.concat(F.lit("seq_"), "target_id").alias("header"), seq.alias("seq"), "len")
+    digest = F.transform(blocks, lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("target_id").cast("string"), k.cast("string"))))
+    four = lambda d, i: F.conv(F.substring(d, F.lit(i * 4 + 1), F.lit(4)), 16, 10).cast("int")
+    letter = lambda d, i: F.substring(F.lit(letters), four(d, i) % len(letters) + 1, F.lit(1))
+    # Eight residues a digest inside one lambda: a digest read by residue would be computed again for each.
+    eights = F.transform(digest, lambda d: F.concat(*[letter(d, i) for i in range(8)]))
+    seq = F.when(F.col("len") > 0, F.substring(F.array_join(eights, ""), F.lit(1), F.col("len"))).otherwise("")
+    return rows.select("target_id", F.concat(F.lit("seq_"), "target_id").alias("header"), seq.alias("seq"), "len")
 
 
 def uniform(spark: SparkSession, sizes: list[int], each: int, seed: int = 0) -> dict[int, DataFrame]:
