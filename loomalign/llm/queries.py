@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, mixing, ngram_join, packing, periodic_runs, quality_knn, quality_rules, substring_dedup, toxicity, url_rules, whitening
+from . import cross_polytope, embedding_dedup, html_text, mixing, ngram_join, packing, periodic_runs, quality_knn, quality_rules, substring_dedup, toxicity, url_rules, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_ngram_join": ngram_join.op8,
         "op9_embedding_dedup": embedding_dedup.op9,
         "op10_url_rules": url_rules.op10,
+        "op11_cross_polytope": cross_polytope.op11,
         "op12_whitening": whitening.op12,
         "op13_periodic_runs": periodic_runs.op13,
     }

@@ -165,8 +165,7 @@ def jacobi(matrix: np.ndarray, tolerance: float = 1e-15, most_sweeps: int = 60)
         for p, q in rounds:
             app, aqq, apq = a[p, p], a[q, q], a[p, q]
             act = np.abs(apq) > tolerance * np.sqrt(np.maximum(np.abs(app), tiny)) * np.sqrt(np.maximum(np.abs(aqq), tiny))
-            # Nothing left to gain: the entry is lost in the rounding of the whole matrix.
-            act &= np.abs(apq) > 1e-18 * np.abs(np.diag(a)).max()
+            act &= np.abs(apq) > 1e-60 * np.abs(np.diag(a)).max()  # where diagonal entries are zero
             if not act.any():
                 continue
             turned = True
