@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode
 from loomalign.operators import kernels
 from loomalign.operators.layout import n_shortest, routed
+from loomalign.operators.many import search_many
 
 SCORES = "query_id string, target_id long, algorithm string, len int, route string, score int"
 #: Residues of queries that go out with the tasks at once; more queries are taken in turns.
@@ -69,7 +70,7 @@ def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm
 
 def search(
     targets: DataFrame,
-    query: str | dict[str, str],
+    query: str | dict[str, str] | DataFrame,
     algorithm: str = "sw",
     threshold: int = 4096,
     num_seqs: int | None = None,
@@ -87,15 +88,25 @@ def search(
     score.  engine: vector, scalar (the definition) or native (expressions only,
     for short sequences).
 
-    Costs of a target are its residues times the query's, so rows are dealt by
-    hash of the id over ``partitions`` tasks (the session's number by default):
-    lengths mix, and no task gets all long ones.
+    Queries given as a table (query_id, seq) are never gathered: blocks of them
+    meet splits of the targets (``many.search_many``); the engine is then vector.
+
+    Costs of a target are its residues times the query's.  Targets are scored
+    where they are read; below ``SMALL`` bytes to a task, or where ``partitions``
+    is given, they are first dealt by hash of the id, so that lengths mix and no
+    task gets all long ones.
     """
     algorithm_name(algorithm)
     if num_seqs is not None and num_seqs <= 0:
         raise ValueError("num_seqs is a positive number")
     if gap_open < gap_extend:
         raise ValueError("opening a gap costs at least as much as extending it")
+    if isinstance(query, DataFrame):
+        if engine != "vector":
+            raise ValueError("queries in a table are scored by the vector engine")
+        rows = targets if num_seqs is None else n_shortest(targets.where("seq is not null"), num_seqs)
+        found = search_many(rows, query, algorithm, threshold, max_query, gap_open, gap_extend)
+        return routed(found, threshold).withColumn("route", F.when(F.col("len").isNotNull(), F.col("route"))).select("query_id", "target_id", "algorithm", "len", "route", "score")
     queries = query if isinstance(query, dict) else {"query": query}
     coded = [(name, _checked(q, max_query)) for name, q in queries.items()]
     rows = targets.where("seq is not null")

@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 
 from loomalign.functions import scoring as S
 from loomalign.operators import layout as L
+from loomalign.operators import many
 from loomalign.operators import verify as V
 from loomalign.operators.search import narrow_first, routes_apart, search, self_scores, top_hits
+from loomalign.operators.tiled import massive_pairs
+from loomalign.operators.traceback import align_hits
 from loomalign.sources import fasta
+from loomalign.sources.staged import at_exit
 
 QUERY = "ARNDCQEGHILKMFPSTWYV"
 QUERIES = {"q1": "HEAGAWGHEE", "q2": "blue steel", "q3": "PAWHEAE*XZB"}
 THRESHOLD = 1000
+#: Residues from which on a document is aligned by tiles.
+MASSIVE = 1 << 14
 #: Cells of the three score matrices of a budget batch.
 BUDGET = 1 << 28
 LANES = 32
@@ -133,9 +139,48 @@ def self_score(spark, d, targets=parts):
 
 
 def all_pairs(spark, d):
-    """Local scores of every distinct part name as a query against all of them; queries are gathered on the driver, as ``search`` takes them."""
-    t = parts(spark, d)
-    return _scores(search(t, {str(r.target_id): r.seq for r in t.collect()}, "sw"))
+    """Local scores of every distinct part name with all of them: blocks against blocks, each unordered pair scored once."""
+    return many.all_pairs(parts(spark, d), "sw").select(F.col("a").cast("string").alias("query_id"), F.col("b").alias("target_id"), "score")
+
+
+def _nations(spark, d) -> DataFrame:
+    return _table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("query_id"), F.col("n_name").alias("seq"))
+
+
+def table_queries(spark, d):
+    """Queries in a table: every nation's name against every part."""
+    return _scores(search(part_rows(spark, d), _nations(spark, d), "sw"))
+
+
+def massive(algorithm: str):
+    """Every document of MASSIVE residues or more with the next longer one, each pair over many tasks."""
+
+    def query(spark, d):
+        docs = documents(spark, d).where(F.col("len") >= MASSIVE)
+        order = L.positioned(docs.select("target_id", "len"))
+        pairs = order.select(F.col("ord").alias("pair"), "target_id").join(order.select((F.col("ord") - 1).alias("pair"), F.col("target_id").alias("other_id")), "pair")
+        texts = docs.select("target_id", "seq")
+        whole = pairs.join(texts.withColumnRenamed("seq", "query"), "target_id").join(texts.select(F.col("target_id").alias("other_id"), F.col("seq").alias("target")), "other_id")
+        scores = massive_pairs(whole.select("pair", "query", "target"), algorithm)
+        return pairs.join(scores, "pair").select("target_id", "other_id", F.col("score").cast("int").alias("score"))
+
+    return query
+
+
+def _hits_aligned(spark, d):
+    """The ten best hits of each query among all parts, with coordinates and paths."""
+    hits = top_hits(search(part_rows(spark, d), QUERIES, "sw"), 10)
+    queries = spark.createDataFrame(list(QUERIES.items()), "query_id string, seq string")
+    return align_hits(hits, part_rows(spark, d), queries, "sw")
+
+
+def traceback_hits(spark, d):
+    return _hits_aligned(spark, d)
+
+
+def traceback_scores(spark, d):
+    """What the paths of the hits add up to, beside their scores."""
+    return _hits_aligned(spark, d).select("query_id", "rank", "target_id", "score", "path_score")
 
 
 def score_mismatch(spark, d, targets=parts):
@@ -150,7 +195,7 @@ def mismatch_summary(spark, d, targets=parts):
 
 
 def _place(spark, name: str) -> str:
-    return f"{fasta.shared_dir(spark)}/{name}-{uuid4().hex}"
+    return at_exit(spark, f"{fasta.shared_dir(spark)}/{name}-{uuid4().hex}")
 
 
 def _headed(targets: DataFrame) -> DataFrame:
@@ -205,8 +250,8 @@ def cached_scan(spark, d):
 def csv_roundtrip(spark, d):
     """Metrics written as CSV and read again."""
     path = _place(spark, "csv")
-    fasta.write_csv(_metrics(spark), path)
-    rows = spark.read.schema("algorithm string, query_len int, impl string, latency_ms double, cells long, threshold int, gcups double").option("header", True).csv(path)
+    fasta.write_csv(_metrics(spark, d), path)
+    rows = spark.read.schema("algorithm string, query_len int, impl string, threshold int, latency_ms double, cells long, gcups double").option("header", True).csv(path)
     return rows.select("algorithm", "query_len", "impl", "cells", "threshold")
 
 
@@ -228,23 +273,42 @@ def sweep_rows(spark, d):
     return spark.createDataFrame([(r["threshold"], r["query_len"], r["large"], r["cells"]) for r in V.sweep(run, threshold=[500, 2000, 8000], query_len=[64, 464])], "threshold int, query_len int, large long, cells long")
 
 
-def metric_rows(spark):
-    """Made-up runs of four implementations, so many billions of cells a second: inputs of the metric queries, results of nothing."""
-    rates = {"steady": (2.0, 2.0, 2.0), "rising": (1.0, 2.0, 4.0), "falling": (4.0, 2.0, 1.0), "routed": (1.5, 3.0, 4.5)}
-    cells = {100: 1_000_000_000, 200: 2_000_000_000, 400: 4_000_000_000}
-    rows = [(a, q, impl, c / (f * r * 1e6), c, None if impl != "routed" else 1000) for a, f in (("nw", 0.5), ("sw", 1.0)) for impl, rs in rates.items() for (q, c), r in zip(cells.items(), rs, strict=True)]
-    rows += [(a, 200, "routed", t, cells[200], h) for a in ("nw", "sw") for h, t in ((500, 900.0), (2000, 600.0), (4000, 600.0), (8000, 700.0))]
-    return rows
+#: Events as timed runs: an event's type is the implementation, its value the milliseconds.
+_RUN = {
+    "algorithm": "CASE WHEN event_id % 2 = 0 THEN 'sw' ELSE 'nw' END",
+    "query_len": "CASE user_id % 3 WHEN 0 THEN 100 WHEN 1 THEN 200 ELSE 400 END",
+    "impl": "event_type",
+    "threshold": "CASE WHEN event_type = 'purchase' THEN CASE user_id % 4 WHEN 0 THEN 500 WHEN 1 THEN 2000 WHEN 2 THEN 4000 ELSE 8000 END END",
+}
+#: Latencies are summed in whole microseconds, so that the order of adding does not matter.
+_MEAN_MS = "CAST(sum(CAST(round(value * 1000) AS BIGINT)) AS DOUBLE) / (1000 * count(*))"
+_EVENTS = "value > 0 AND event_id IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL"
+
 
+def _runs(spark, d) -> DataFrame:
+    return _table(spark, d, "events").where(_EVENTS).select(*(F.expr(e).alias(n) for n, e in _RUN.items()), "value")
 
-def _metrics(spark):
-    df = spark.createDataFrame(metric_rows(spark), "algorithm string, query_len int, impl string, latency_ms double, cells long, threshold int")
-    return df.withColumn("gcups", V.gcups(F.col("cells"), F.col("latency_ms")))
+
+def _metrics(spark, d):
+    """Mean latency, cells and throughput of all events of a kind."""
+    rows = _runs(spark, d).groupBy(*_RUN).agg(F.expr(_MEAN_MS).alias("latency_ms"), (F.count("*") * F.col("query_len") * 1_000_000).alias("cells"))
+    return rows.withColumn("gcups", V.gcups(F.col("cells"), F.col("latency_ms")))
 
 
 def _metrics_sql() -> str:
-    rows = ", ".join(f"('{a}', {q}, '{i}', CAST({ms} AS DOUBLE), CAST({c} AS BIGINT), {'NULL' if t is None else t})" for a, q, i, ms, c, t in metric_rows(None))
-    return f"SELECT *, cells / (latency_ms * CAST(1e6 AS DOUBLE)) AS gcups FROM (VALUES {rows}) v(algorithm, query_len, impl, latency_ms, cells, threshold)"
+    runs = f"SELECT {', '.join(f'{e} AS {n}' for n, e in _RUN.items())}, value FROM events WHERE {_EVENTS}"
+    rows = f"SELECT algorithm, query_len, impl, threshold, {_MEAN_MS} AS latency_ms, CAST(count(*) * query_len * 1000000 AS BIGINT) AS cells FROM ({runs}) GROUP BY algorithm, query_len, impl, threshold"
+    return f"SELECT *, cells / (latency_ms * CAST(1e6 AS DOUBLE)) AS gcups FROM ({rows})"
+
+
+def mean_latency(spark, d):
+    return _runs(spark, d).groupBy("algorithm", "impl").agg(F.expr(_MEAN_MS).alias("mean_ms"))
+
+
+def synthetic_database(spark, d):
+    """A made-up sequence of each part's size."""
+    rows = _table(spark, d, "part").select(F.col("p_partkey").alias("target_id"), F.col("p_size").cast("int").alias("len"))
+    return fasta.synthetic_like(rows, seed=3)
 
 
 _LEN = "SELECT doc_id AS target_id, CAST(strlen(text) AS INT) AS len FROM documents"
@@ -259,7 +323,7 @@ b AS (SELECT k, target_id, len, CAST(0 AS BIGINT) AS batch, w AS used FROM o WHE
 SELECT target_id, len, batch AS budget_batch FROM b"""
 _DIGITS = "array_to_string(list_transform(range(0, len // 8 + 1), lambda k: md5('3:' || CAST(target_id AS VARCHAR) || ':' || CAST(k AS VARCHAR))), '')"
 _SYNTHETIC = f"""
-WITH t AS (SELECT target_id, CAST(10 + target_id % 7 AS INT) AS len FROM range(200) r(target_id)), g AS (SELECT target_id, len, {_DIGITS} AS digits FROM t)
+WITH t AS (SELECT p_partkey AS target_id, CAST(p_size AS INT) AS len FROM part), g AS (SELECT target_id, len, {_DIGITS} AS digits FROM t)
 SELECT target_id, 'seq_' || CAST(target_id AS VARCHAR) AS header,
   array_to_string(list_transform(range(1, len + 1), lambda i: substr('ARNDCQEGHILKMFPSTWYV', CAST(CAST('0x' || substr(digits, CAST(i * 4 - 3 AS INT), 4) AS BIGINT) % 20 AS INT) + 1, 1)), '') AS seq, len FROM g"""
 
@@ -317,13 +381,18 @@ def queries() -> dict:
         "cells_and_residues": lambda s, d: V.cells(lengths(s, d), 464),
         "sw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "sw", threshold=THRESHOLD)),
         "nw_documents": lambda s, d: _scores(search(documents(s, d), QUERY, "nw", threshold=THRESHOLD)),
-        "metrics_gcups": lambda s, d: _metrics(s).select("algorithm", "query_len", "impl", "threshold", "gcups"),
-        "mean_latency": lambda s, d: _metrics(s).groupBy("algorithm", "impl").agg(F.avg("latency_ms").alias("mean_ms")),
-        "speedup": lambda s, d: V.speedup(_metrics(s).where("threshold is null or threshold = 1000"), "steady").select("algorithm", "query_len", "impl", "speedup"),
-        "best_threshold": lambda s, d: V.best_threshold(_metrics(s)),
-        "peak_throughput": lambda s, d: V.peak(_metrics(s)),
-        "crossover": lambda s, d: V.crossover(_metrics(s), "routed", "steady"),
-        "synthetic_database": lambda s, d: fasta.synthetic(s, 200, F.lit(10) + F.col("target_id") % 7, seed=3),
+        "metrics_gcups": lambda s, d: _metrics(s, d).select("algorithm", "query_len", "impl", "threshold", "gcups"),
+        "mean_latency": mean_latency,
+        "speedup": lambda s, d: V.speedup(_metrics(s, d).where("threshold is null or threshold = 2000"), "view").select("algorithm", "query_len", "impl", "speedup"),
+        "best_threshold": lambda s, d: V.best_threshold(_metrics(s, d)),
+        "peak_throughput": lambda s, d: V.peak(_metrics(s, d)),
+        "crossover": lambda s, d: V.crossover(_metrics(s, d).where("threshold is null or threshold = 2000"), "purchase", "view"),
+        "synthetic_database": synthetic_database,
+        "table_queries": table_queries,
+        "massive_sw": massive("sw"),
+        "massive_nw": massive("nw"),
+        "traceback_hits": traceback_hits,
+        "traceback_scores": traceback_scores,
     }
 
 
@@ -391,11 +460,13 @@ def oracle_sql() -> dict[str, str]:
         "mismatch_summary": f"SELECT CAST(3 * count(*) AS BIGINT) AS pairs, CAST(0 AS BIGINT) AS different FROM ({_PARTS})",
         "fasta_roundtrip": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PARTS})",
         "metrics_gcups": f"SELECT algorithm, query_len, impl, threshold, gcups FROM ({m})",
-        "mean_latency": f"SELECT algorithm, impl, avg(latency_ms) AS mean_ms FROM ({m}) GROUP BY 1, 2",
-        "speedup": f"SELECT algorithm, query_len, impl, max(CASE WHEN impl = 'steady' THEN latency_ms END) OVER (PARTITION BY algorithm, query_len) / latency_ms AS speedup FROM ({m}) WHERE threshold IS NULL OR threshold = 1000",
+        "mean_latency": f"SELECT algorithm, impl, {_MEAN_MS} AS mean_ms FROM (SELECT {_RUN['algorithm']} AS algorithm, event_type AS impl, value FROM events WHERE {_EVENTS}) GROUP BY algorithm, impl",
+        "speedup": f"SELECT algorithm, query_len, impl, max(CASE WHEN impl = 'view' THEN latency_ms END) OVER (PARTITION BY algorithm, query_len) / latency_ms AS speedup FROM ({m}) WHERE threshold IS NULL OR threshold = 2000",
         "best_threshold": f"SELECT algorithm, query_len, CAST(threshold AS INT) AS threshold FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, query_len ORDER BY latency_ms, threshold) AS k FROM ({m}) WHERE threshold IS NOT NULL) WHERE k = 1",
         "peak_throughput": f"SELECT algorithm, impl, query_len FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, impl ORDER BY gcups DESC, query_len) AS k FROM ({m})) WHERE k = 1",
-        "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'routed' THEN gcups END) AS a, max(CASE WHEN impl = 'steady' THEN gcups END) AS b FROM ({m}) GROUP BY 1, 2) GROUP BY 1",
+        "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'purchase' THEN gcups END) AS a, max(CASE WHEN impl = 'view' THEN gcups END) AS b FROM ({m}) WHERE threshold IS NULL OR threshold = 2000 GROUP BY 1, 2) GROUP BY 1",
+        "table_queries": _each_part(_scores_sql(_PARTS, "SELECT CAST(n_nationkey AS VARCHAR) AS query_id, n_name AS qs FROM nation", "sw")),
+        "traceback_scores": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score, score AS path_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
         **_all_parts_sql(codes),
         "all_pairs": _scores_sql(_PARTS, f"SELECT CAST(target_id AS VARCHAR) AS query_id, seq AS qs FROM ({_PARTS})", "sw"),
     }

@@ -144,7 +144,11 @@ def synthetic(spark: SparkSession, n: int, length: Column | int, seed: int = 0,
     letters, of the MD5 sums of seed, id and block number, eight groups a block.
     """
     size = F.lit(length) if isinstance(length, int) else length
-    rows = spark.range(n).select(F.col("id").alias("target_id"), size.cast("int").alias("len"))
+    return synthetic_like(spark.range(n).select(F.col("id").alias("target_id"), size.cast("int").alias("len")), seed, letters)
+
+
+def synthetic_like(rows: DataFrame, seed: int = 0, letters: str = "ARNDCQEGHILKMFPSTWYV") -> DataFrame:
+    """A seeded random sequence for each row of (target_id, len): a database of the same shape as another."""
     blocks = F.sequence(F.lit(0), F.floor(F.col("len") / 8).cast("int"))
     digest = F.transform(blocks, lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("target_id").cast("string"), k.cast("string"))))
     four = lambda d, i: F.conv(F.substring(d, F.lit(i * 4 + 1), F.lit(4)), 16, 10).cast("int")

@@ -93,3 +93,21 @@ def test_self_score_is_a_local_score(spark, tmp_path):
     assert got == {i: v for i, v in want.items() if i != 5}
     pairs = {(r.query_id, r.target_id): r.score for r in entry.queries()["all_pairs"](spark, str(tmp_path)).collect()}
     assert len(pairs) == 25 and all(pairs[str(i), i] == v for i, v in got.items())
+
+
+@pytest.mark.parametrize("algorithm", ["sw", "nw"])
+def test_massive_documents(spark, algorithm):
+    """Every long document with the next longer one: the tiles' scores are the single kernel's."""
+    from loomalign.functions.scoring import encode
+    from loomalign.operators import kernels
+    from loomalign.plans.queries import MASSIVE
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text and len(r.text.encode()) >= MASSIVE}
+    order = sorted(texts, key=lambda i: (len(texts[i].encode()), i))
+    got = {(r.target_id, r.other_id): r.score for r in entry.queries()[f"massive_{algorithm}"](spark, DATA).collect()}
+    assert len(order) > 1 and got == {(a, b): int(kernels.within(algorithm, encode(texts[a]), encode(texts[b]))) for a, b in zip(order[:-1], order[1:], strict=True)}
+
+
+def test_traceback_hits(spark):
+    rows = entry.queries()["traceback_hits"](spark, DATA).collect()
+    assert len(rows) == 30 and all(r.score == r.path_score and r.q_end - r.q_begin >= r.identities for r in rows)
