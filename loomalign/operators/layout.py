@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LANES = 32
@@ -36,14 +36,47 @@ def n_shortest(df: DataFrame, n: int, key: str = "target_id", gather: int = GATH
     return df.where(below).unionByName(df.where(at).join(ties, F.col(key).eqNullSafe(F.col("_key")), "left_semi"))
 
 
-def hash_sample(df: DataFrame, n: int, seed: int = 0, key: str = "target_id") -> DataFrame:
+def hash_sample(df: DataFrame, n: int, seed: int = 0, key: str = "target_id", gather: int = GATHER) -> DataFrame:
     """Exactly n rows (all if fewer), without replacement, the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return _least(df, n, F.lpad(F.hex(F.xxhash64(F.col(key), F.lit(seed))), 16, "0"), key, gather)
 
 
-def md5_sample(df: DataFrame, n: int, seed: int = 0, key: str = "target_id") -> DataFrame:
+def md5_sample(df: DataFrame, n: int, seed: int = 0, key: str = "target_id", gather: int = GATHER) -> DataFrame:
     """The same by a hash that other engines have too."""
-    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
+    return _least(df, n, F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key, gather)
+
+
+def _least(df: DataFrame, n: int, digest: Column, key: str, gather: int, step: int = 4) -> DataFrame:
+    """The n rows of the least digests (hexadecimal digits of one length), then keys.
+
+    Up to ``gather`` rows are a distributed top-n.  More never meet in one task: counts by
+    leading digits tell in which cell the n-th row lies; what is in cells before
+    it stays where it is read, and within the cell further digits decide, until
+    at most ``gather`` of its rows are wanted, or all of a cell's rows have one digest.
+    """
+    if n <= gather:
+        return df.orderBy(digest, key).limit(n)
+    rows = df.withColumn("_digest", digest)
+    prefix, taken = "", None
+    while True:
+        cell = rows.where(F.col("_digest").startswith(prefix)) if prefix else rows
+        size = len(prefix) + step
+        counts = sorted((r.cell, r.n) for r in cell.groupBy(F.substring("_digest", 1, size).alias("cell")).agg(F.count("*").alias("n")).collect())
+        before, edge = 0, None
+        for name, count in counts:
+            if before + count > n:
+                edge = name
+                break
+            before += count
+        whole = cell if edge is None else cell.where(F.substring("_digest", 1, size) < edge)
+        taken = whole if taken is None else taken.unionByName(whole)
+        n -= before
+        if edge is None or n <= 0:
+            return taken.drop("_digest")
+        rest = rows.where(F.col("_digest").startswith(edge))
+        if n <= gather or len(edge) < size:  # digits that are used up: rows of one digest, as good as each other
+            return taken.unionByName(rest.orderBy("_digest", key).limit(n)).drop("_digest")
+        prefix = edge
 
 
 def routed(df: DataFrame, threshold: int) -> DataFrame:

@@ -4,13 +4,18 @@ Neither side passes through the driver.  Rows of both are dealt by hash into blo
 of about so many residues; each pair of a query block and a target split is one
 group that a task scores, so a group's memory is that of two blocks and its cost
 the product of their sizes.  A row goes once to every block of the other side,
-which is all that a comparison of all with all can do.  Where both sides are one
+which is all that a comparison of all with all can do.  There are at least about as
+many groups as the session has shuffle partitions, so small tables are many tasks
+too, and groups are dealt by an explicit number of partitions: their cost is in
+cells and not in bytes, by which small partitions would be merged.  Where both sides are one
 table, each unordered pair is scored once, by symmetry, in the group of its two
 blocks, and given both ways round.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,10 +29,18 @@ QUERY_RESIDUES, TARGET_RESIDUES = 1 << 16, 1 << 20
 SCORES = "query_id string, target_id long, algorithm string, len int, score int"
 
 
-def _blocks(rows: DataFrame, residues: int) -> int:
-    """Into how many blocks of about so many residues the rows go; a row counts as one more than its residues."""
-    total = rows.agg(F.sum(F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long") + 1).alias("n")).first().n
-    return max(1, -(-(total or 0) // residues))
+#: Most partitions that groups are dealt over.
+_PARTITIONS = 20_000
+
+
+def _blocks(rows: DataFrame, residues: int, least: int = 1) -> int:
+    """Into how many blocks of about so many residues the rows go, ``least`` of them if there are as many rows; a row counts as one more than its residues."""
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("seq"), F.lit(0)).cast("long") + 1).alias("residues"), F.count("*").alias("n")).first()
+    return max(1, -(-(size.residues or 0) // residues), min(least, size.n))
+
+
+def _tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _dealt(rows: DataFrame, key: str, own: int, other: int, mine: str, theirs: str) -> DataFrame:
@@ -74,7 +87,8 @@ def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", t
         raise ValueError("opening a gap costs at least as much as extending it")
     q = _limited(queries.select(F.col("query_id").cast("string").alias("name"), "seq"), max_query)
     t = targets.select(F.col("target_id").cast("long").alias("id"), "seq")
-    nq, nt = _blocks(q, query_residues), _blocks(t, target_residues)
+    nq = _blocks(q, query_residues)
+    nt = _blocks(t, target_residues, -(-2 * _tasks(t) // nq))
     asked = _dealt(q, "name", nq, nt, "_q", "_t").select("_q", "_t", "name", F.lit(None).cast("long").alias("id"), F.lit(True).alias("_asks"), "seq")
     given = _dealt(t, "id", nt, nq, "_t", "_q").select("_q", "_t", F.lit(None).cast("string").alias("name"), "id", F.lit(False).alias("_asks"), "seq")
 
@@ -92,7 +106,8 @@ def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", t
         out["algorithm"] = [algorithm] * len(out["query_id"])
         return _table(out)
 
-    return asked.unionByName(given).groupBy("_q", "_t").applyInArrow(solve, SCORES)
+    both = asked.unionByName(given).repartition(min(nq * nt, _PARTITIONS), "_q", "_t")
+    return both.groupBy("_q", "_t").applyInArrow(solve, SCORES)
 
 
 def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, residues: int = 1 << 18) -> DataFrame:
@@ -105,7 +120,7 @@ def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap
     if gap_open < gap_extend:
         raise ValueError("opening a gap costs at least as much as extending it")
     t = rows.select(F.col("target_id").cast("long").alias("id"), "seq")
-    n = _blocks(t, residues)
+    n = _blocks(t, residues, math.isqrt(4 * _tasks(t)))
     dealt = _dealt(t, "id", n, n, "_own", "_other")
     pairs = dealt.select(F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_o"), "_own", "id", "seq")
 
@@ -128,4 +143,5 @@ def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap
             s += score + [score[x] for x in both]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "score": pa.array(s, pa.int32())})
 
-    return pairs.groupBy("_p", "_o").applyInArrow(solve, "a long, b long, score int")
+    dealt = pairs.repartition(min(n * (n + 1) // 2, _PARTITIONS), "_p", "_o")
+    return dealt.groupBy("_p", "_o").applyInArrow(solve, "a long, b long, score int")

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from loomalign.functions import scoring as S
 from loomalign.operators import layout as L
-from loomalign.operators import many
+from loomalign.functions import callable as callables
+from loomalign.operators import many, seeding, statistics
 from loomalign.operators import verify as V
+from loomalign.operators.bounded import bounded_top_hits
 from loomalign.operators.search import narrow_first, routes_apart, search, self_scores, top_hits
 from loomalign.operators.tiled import massive_pairs
 from loomalign.operators.traceback import align_hits
@@ -183,6 +185,56 @@ def traceback_scores(spark, d):
     return _hits_aligned(spark, d).select("query_id", "rank", "target_id", "score", "path_score")
 
 
+def seeded_hits(spark, d):
+    """The three best documents for each benchmark item, among those in which two of its words of six residues lie on a diagonal."""
+    items = _table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("seq"))
+    path = _place(spark, "index")
+    seeding.write_index(documents(spark, d), path, 6)
+    found = seeding.seeded_search(documents(spark, d), items, seeding.read_index(spark, path), k=6, least=30)
+    return top_hits(found, 3)
+
+
+def evalues(spark, d):
+    """E-values of every part's score, rounded: sums of doubles depend on their order."""
+    scores = search(part_rows(spark, d), QUERIES, "sw").select("query_id", "target_id", "len", "score")
+    return statistics.evalues(scores).select("query_id", "target_id", "score", F.round("z", 6).alias("z"), F.round("evalue", 6).alias("evalue"))
+
+
+def _evalues_sql(scores: str) -> str:
+    """The same rounds of fitting; scores has query_id, target_id, len, score."""
+    sums = "SELECT query_id, avg(x) AS mx, avg(y) AS my, var_pop(x) AS vx, covar_pop(x, y) AS c, var_pop(y) AS vy FROM {0} GROUP BY query_id"
+    fits = "SELECT query_id, slope, my - slope * mx AS place, sqrt(greatest(0, vy - slope * c)) AS spread FROM (SELECT *, CASE WHEN vx > 1e-12 THEN c / vx ELSE 0 END AS slope FROM {0})"
+    steps = ["s AS (" + scores + ")", "r AS (SELECT query_id, ln(CAST(len AS DOUBLE)) AS x, CAST(score AS DOUBLE) AS y FROM s WHERE score IS NOT NULL AND len > 0)"]
+    part = "r"
+    for i in range(statistics.ROUNDS):
+        if i:
+            steps.append(f"p{i} AS (SELECT r.* FROM r JOIN f{i - 1} USING (query_id) WHERE y - place - slope * x <= {statistics.CENSOR} * spread)")
+            part = f"p{i}"
+        steps += [f"g{i} AS ({sums.format(part)})", f"f{i} AS ({fits.format(f'g{i}')})"]
+    z = "CASE WHEN spread > 1e-9 THEN (score - place - slope * ln(CAST(greatest(len, 1) AS DOUBLE))) / spread ELSE 0 END"
+    rate = f"exp(-(z * CAST({statistics.SCALE!r} AS DOUBLE) + CAST({statistics.EULER!r} AS DOUBLE)))"
+    return f"""WITH {", ".join(steps)}, n AS (SELECT query_id, count(*) AS n FROM s GROUP BY query_id), k AS (SELECT s.*, {z} AS z FROM s JOIN f{statistics.ROUNDS - 1} USING (query_id))
+SELECT query_id, target_id, score, round(z, 6) AS z, round(n * CASE WHEN {rate} < 1e-6 THEN {rate} ELSE 1 - exp(-{rate}) END, 6) AS evalue FROM k JOIN n USING (query_id)"""
+
+
+def sql_scores(spark, d):
+    """Scores by a function that SQL calls."""
+    callables.register(spark)
+    return spark.sql("SELECT 'query' AS query_id, target_id, align_score(:q, seq, 'sw') AS score FROM {t}", args={"q": QUERY}, t=part_rows(spark, d))
+
+
+def sql_paths(spark, d):
+    """What the paths add up to that a table function gives SQL for every part."""
+    callables.register(spark)
+    return spark.sql("SELECT 'query' AS query_id, t.target_id, p.path_score AS score FROM {t} t, LATERAL align_path(:q, t.seq, 'nw') p", args={"q": QUERY}, t=part_rows(spark, d))
+
+
+def large_sample(spark, d):
+    """A third of all documents, sampled without bringing them together."""
+    rows = lengths(spark, d)
+    return L.md5_sample(rows, rows.count() // 3, 7, gather=32)
+
+
 def score_mismatch(spark, d, targets=parts):
     """Rows in which the vector and the expression engine differ: none."""
     t = targets(spark, d)
@@ -389,6 +441,12 @@ def queries() -> dict:
         "crossover": lambda s, d: V.crossover(_metrics(s, d).where("threshold is null or threshold = 2000"), "purchase", "view"),
         "synthetic_database": synthetic_database,
         "table_queries": table_queries,
+        "topk_bounded": lambda s, d: bounded_top_hits(part_rows(s, d), QUERIES, 10)[0].select("query_id", "rank", "target_id", "score"),
+        "seeded_hits": seeded_hits,
+        "evalues": evalues,
+        "sql_scores": sql_scores,
+        "sql_paths": sql_paths,
+        "large_sample": large_sample,
         "massive_sw": massive("sw"),
         "massive_nw": massive("nw"),
         "traceback_hits": traceback_hits,
@@ -466,6 +524,11 @@ def oracle_sql() -> dict[str, str]:
         "peak_throughput": f"SELECT algorithm, impl, query_len FROM (SELECT *, row_number() OVER (PARTITION BY algorithm, impl ORDER BY gcups DESC, query_len) AS k FROM ({m})) WHERE k = 1",
         "crossover": f"SELECT algorithm, min(CASE WHEN a > b THEN query_len END) AS query_len FROM (SELECT algorithm, query_len, max(CASE WHEN impl = 'purchase' THEN gcups END) AS a, max(CASE WHEN impl = 'view' THEN gcups END) AS b FROM ({m}) WHERE threshold IS NULL OR threshold = 2000 GROUP BY 1, 2) GROUP BY 1",
         "table_queries": _each_part(_scores_sql(_PARTS, "SELECT CAST(n_nationkey AS VARCHAR) AS query_id, n_name AS qs FROM nation", "sw")),
+        "topk_bounded": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
+        "evalues": _evalues_sql(f"SELECT h.query_id, h.target_id, length(p.seq) AS len, h.score FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))}) h JOIN ({_PART_ROWS}) p ON p.target_id = h.target_id"),
+        "sql_scores": _each_part(sw),
+        "sql_paths": _each_part(nw),
+        "large_sample": f"{_LEN} ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT (SELECT count(*) // 3 FROM documents)",
         "traceback_scores": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score, score AS path_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
         **_all_parts_sql(codes),
         "all_pairs": _scores_sql(_PARTS, f"SELECT CAST(target_id AS VARCHAR) AS query_id, seq AS qs FROM ({_PARTS})", "sw"),
