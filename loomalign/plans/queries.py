@@ -17,7 +17,7 @@ from loomalign.operators.bounded import bounded_top_hits
 from loomalign.operators.search import narrow_first, routes_apart, search, self_scores, top_hits
 from loomalign.operators.tiled import massive_pairs
 from loomalign.operators.traceback import align_hits
-from loomalign.sources import fasta
+from loomalign.sources import fasta, fasta_index
 from loomalign.sources.staged import at_exit
 
 QUERY = "ARNDCQEGHILKMFPSTWYV"
@@ -265,13 +265,19 @@ def fasta_roundtrip(spark, d, targets=parts):
     return _named(fasta.read_fasta(spark, path))
 
 
-def _one_file(spark, d) -> str:
-    """All parts in the order of their keys, as one FASTA file."""
+def _files(spark, d) -> str:
+    """All parts as FASTA files, whose names and lines go by the order of their keys."""
     path = _place(spark, "fasta")
-    fasta.write_fasta(_headed(part_rows(spark, d)).coalesce(1).sortWithinPartitions("target_id"), path, 10)
+    fasta.write_fasta(_headed(part_rows(spark, d)).repartitionByRange("target_id").sortWithinPartitions("target_id"), path, 10)
     return path
 
 
+def _indexed(spark, d) -> str:
+    store = _place(spark, "records")
+    fasta_index.build(spark, _files(spark, d), store)
+    return store
+
+
 def fasta_headers(spark, d):
     """Header validation: of every seventh part only the header is written, and a reader that is not strict leaves it out."""
     path = _place(spark, "fasta")
@@ -281,20 +287,31 @@ def fasta_headers(spark, d):
 
 
 def fasta_first(spark, d):
-    """Early stop: the first 25 records of a file."""
-    return _named(fasta.read_fasta(spark, _one_file(spark, d), 25))
+    """Early stop: the first 25 records of a folder of files, which are all that is read of what the index knows."""
+    return _named(fasta_index.read_range(spark, _indexed(spark, d), 0, 25))
+
+
+def fasta_range(spark, d):
+    """The second third of all records, by number."""
+    store = _indexed(spark, d)
+    n = fasta_index.index_of(spark, store).agg(F.sum("n").alias("n")).first().n or 0
+    return fasta_index.read_range(spark, store, n // 3, 2 * n // 3).select("target_id", F.col("header").cast("long").alias("key"), "seq", "len")
+
+
+def fasta_splits(spark, d):
+    """What the index knows, over all splits."""
+    return fasta_index.index_of(spark, _indexed(spark, d)).agg(F.sum("n").alias("records"), F.sum("residues").alias("residues"), F.min("first").alias("first"))
 
 
 def query_scan(spark, d):
-    """The first record of a file as a query, raw and encoded."""
-    query = fasta.read_query(spark, _one_file(spark, d))
-    row = spark.createDataFrame([(query,)], "seq string").withColumn("codes", S.encode_column(F.col("seq")))
-    return row.select("seq", F.octet_length("seq").alias("len"), F.array_join("codes", ",").alias("codes"))
+    """The first record of a folder of files as a query, raw and encoded."""
+    row = fasta_index.read_range(spark, _indexed(spark, d), 0, 1).withColumn("codes", S.encode_column(F.col("seq")))
+    return row.select("seq", "len", F.array_join("codes", ",").alias("codes"))
 
 
 def cached_scan(spark, d):
-    """The 30 shortest parts from the Parquet copy of a FASTA file, read when the copy is there."""
-    path, cache = _one_file(spark, d), _place(spark, "cache")
+    """The 30 shortest parts from the Parquet copy of FASTA files, read when the copy is there."""
+    path, cache = _files(spark, d), _place(spark, "cache")
     fasta.cached_database(spark, path, cache)
     return _named(fasta.cached_database(spark, path, cache, 30))
 
@@ -425,6 +442,8 @@ def queries() -> dict:
         "largest_allocation": lambda s, d: L.largest_allocation(L.budget_batches(lengths(s, d), 464, BUDGET)),
         "fasta_headers": fasta_headers,
         "fasta_first": fasta_first,
+        "fasta_range": fasta_range,
+        "fasta_splits": fasta_splits,
         "query_scan": query_scan,
         "cached_scan": cached_scan,
         "csv_roundtrip": csv_roundtrip,
@@ -502,6 +521,8 @@ def oracle_sql() -> dict[str, str]:
         "synthetic_database": _SYNTHETIC,
         "fasta_headers": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) WHERE target_id % 7 <> 0",
         "fasta_first": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) ORDER BY target_id LIMIT 25",
+        "fasta_range": f"SELECT target_id, key, seq, CAST(length(seq) AS INT) AS len FROM (SELECT row_number() OVER (ORDER BY target_id) - 1 AS target_id, target_id AS key, seq, count(*) OVER () AS n FROM ({_PART_ROWS})) WHERE target_id >= n // 3 AND target_id < 2 * n // 3",
+        "fasta_splits": f"SELECT count(*) AS records, CAST(sum(length(seq)) AS BIGINT) AS residues, CAST(0 AS BIGINT) AS first FROM ({_PART_ROWS})",
         "query_scan": f"SELECT seq, CAST(length(seq) AS INT) AS len, array_to_string(list_transform(range(1, length(seq) + 1), lambda j: CAST({_code('substr(seq, CAST(j AS INT), 1)')} AS VARCHAR)), ',') AS codes FROM ({_PART_ROWS}) ORDER BY target_id LIMIT 1",
         "cached_scan": f"SELECT target_id, seq, CAST(length(seq) AS INT) AS len FROM ({_PART_ROWS}) ORDER BY length(seq), target_id LIMIT 30",
         "csv_roundtrip": f"SELECT algorithm, CAST(query_len AS INT) AS query_len, impl, cells, CAST(threshold AS INT) AS threshold FROM ({m})",

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomalign.operators.layout import n_shortest
+from loomalign.sources import fasta_index
 
 TARGETS = "target_id long, header string, seq string, len int"
 
@@ -104,14 +105,17 @@ def _fingerprint(spark: SparkSession, path: str) -> str:
 def cached_database(spark: SparkSession, path: str, cache_dir: str, num_seqs: int | None = None) -> DataFrame:
     """The database from a Parquet copy that is made once for each state of the files.
 
-    The copy is dealt by hash of the id, so that lengths mix and a search scores
-    it straight from the scan.  num_seqs takes the *shortest* that many.
+    The files are read once, into records by number (``fasta_index``, which also
+    gives ranges of them from the same folder).  The copy that searches read is
+    dealt by hash of the number, so that lengths mix and a search scores it
+    straight from the scan.  num_seqs takes the *shortest* that many.
     """
     target = f"{cache_dir}/{_fingerprint(spark, path)}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/_SUCCESS")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{target}/dealt/_SUCCESS")
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        read_fasta(spark, path).repartition("target_id").write.mode("overwrite").parquet(target)
-    rows = spark.read.schema(TARGETS).parquet(target)
+        fasta_index.build(spark, path, target)
+        fasta_index.read_range(spark, target).repartition("target_id").write.mode("overwrite").parquet(f"{target}/dealt")
+    rows = spark.read.schema(TARGETS).parquet(f"{target}/dealt")
     return n_shortest(rows, num_seqs) if num_seqs else rows
 
 
