@@ -17,6 +17,7 @@ rows grow with vectors times tiles and not with links.
 Vectors that are null, empty, zero or hold null or non-finite components, and
 rows without a label or vec_id, link with nothing: n_links 0, a component of
 their own (kept; null without vec_id).
+Different vectors of one vec_id are judged each by itself.
 Vectors of different length never link; an empty vector is like a null one, and
 very long ones are compared like others, in tiles of as many rows.  Repeated
 rows link with each other and come out as often as they came in.  Ties: a
@@ -140,12 +141,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     good = rows.where(_valid())
     # Signs of zeros differ in bits only.
     plain = good.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
-    reps = C.stored(plain.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("mult")).withColumn("dim", F.size("embedding")))
-    axes = rotations(reps.select(F.col("id").alias("vec_id"), "embedding"))
+    # Different vectors are nodes of their own, also where they share a vec_id.
+    same = plain.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
+    reps = C.stored(same.select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "least", "mult", F.size("embedding").alias("dim")))
+    axes = rotations(reps.select(F.col("least").alias("vec_id"), "embedding"))
     found = C.stored(tile_links(reps, threshold, tile, axes))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comps = C.components(found.select(F.col("to").alias("a"), F.col("id").alias("b")).where("a <> b"))
-    judged = reps.join(links, "id", "left").join(comps, "id", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    comps = C.components(found.select(F.col("to").alias("a"), F.col("id").alias("b")).where("a <> b")).withColumnRenamed("component_id", "root")
+    names = comps.join(reps.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("name"))
+    named = comps.join(names, "root").select("id", "name")
+    judged = reps.join(links, "id", "left").join(named, "id", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
     out = plain.join(judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~_valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomalign.llm import common as C
-from loomalign.llm import cross_polytope, periodic_runs, whitening
+from loomalign.llm import cross_polytope, embedding_dedup, periodic_runs, whitening
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -321,3 +321,29 @@ def test_nearest_allows_for_rounding():
     for i in range(5):
         order = [j for j in np.lexsort((np.arange(400), d[i])) if j != i][:10]
         assert v[q == i].tolist() == order and dist[q == i].tolist() == d[i][order].tolist()
+
+
+# ---- near-duplicate vectors that share an id -----------------------------------------
+
+
+@pytest.mark.parametrize("tile", [2, 2048])
+def test_op9_equal_ids(spark, tile):
+    """Different vectors of one id are nodes of their own: links and components are those of brute force over rows."""
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(6, 5))
+    rows = [(int(r.integers(0, 9)), (centres[k % 6] + 0.15 * r.normal(size=5)).tolist(), int(k % 2)) for k in range(40)]
+    rows += [(1, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.01, 1.0, 0.0], 0), (3, [0.01, 1.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    near = [[a != b and x[2] == y[2] and len(x[1]) == len(y[1]) and np.dot(x[1], y[1]) / np.linalg.norm(x[1]) / np.linalg.norm(y[1]) >= 0.93 for b, y in enumerate(rows)] for a, x in enumerate(rows)]
+    want = []
+    for a, (i, _, _) in enumerate(rows):
+        seen, todo = {a}, [a]
+        while todo:
+            x = todo.pop()
+            more = {b for b in range(len(rows)) if near[x][b]} - seen
+            seen |= more
+            todo += more
+        name = min(rows[b][0] for b in seen)
+        want.append((i, sum(near[a]), name, name == i))
+    got = embedding_dedup.near_duplicates(df, tile=tile).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
