@@ -141,15 +141,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     good = rows.where(_valid())
     # Signs of zeros differ in bits only.
     plain = good.withColumn("embedding", F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x)))
-    # Different vectors are nodes of their own, also where they share a vec_id.
     same = plain.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("mult"))
     reps = C.stored(same.select(F.monotonically_increasing_id().alias("id"), "label", "embedding", "least", "mult", F.size("embedding").alias("dim")))
+    # Different vectors are nodes of their own.  Where each has a vec_id to itself, that is the node; else numbers are, and components are named after.
+    shared = not reps.groupBy("least").count().where("count > 1").isEmpty()
+    if not shared:
+        reps = reps.withColumn("id", F.col("least"))
     axes = rotations(reps.select(F.col("least").alias("vec_id"), "embedding"))
     found = C.stored(tile_links(reps, threshold, tile, axes))
     links = found.groupBy("id").agg(F.sum("n").alias("n"))
-    comps = C.components(found.select(F.col("to").alias("a"), F.col("id").alias("b")).where("a <> b")).withColumnRenamed("component_id", "root")
-    names = comps.join(reps.select("id", "least"), "id").groupBy("root").agg(F.min("least").alias("name"))
-    named = comps.join(names, "root").select("id", "name")
+    named = C.components(found.select(F.col("to").alias("a"), F.col("id").alias("b")).where("a <> b")).withColumnRenamed("component_id", "name")
+    if shared:
+        names = named.join(reps.select("id", "least"), "id").groupBy("name").agg(F.min("least").alias("_least")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        # A component of any size is looked up in sixteen tasks.
+        named = named.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(names, ["name", "_salt"]).select("id", F.col("_least").alias("name"))
     judged = reps.join(links, "id", "left").join(named, "id", "left").select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("name", "least").alias("component_id"))
     out = plain.join(judged, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = rows.where(~_valid()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
