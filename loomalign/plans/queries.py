@@ -19,6 +19,7 @@ from loomalign.operators.tiled import massive_pairs
 from loomalign.operators.traceback import align_hits
 from loomalign.sources import fasta, fasta_index
 from loomalign.sources.staged import at_exit
+from loomalign.streaming.search_stream import best_hits_stream
 
 QUERY = "ARNDCQEGHILKMFPSTWYV"
 QUERIES = {"q1": "HEAGAWGHEE", "q2": "blue steel", "q3": "PAWHEAE*XZB"}
@@ -229,6 +230,26 @@ def sql_paths(spark, d):
     return spark.sql("SELECT 'query' AS query_id, t.target_id, p.path_score AS score FROM {t} t, LATERAL align_path(:q, t.seq, 'nw') p", args={"q": QUERY}, t=part_rows(spark, d))
 
 
+def windowed_hits(spark, d):
+    """The three best arrivals of each day: events as a stream, each bringing the part that its user has the number of.
+
+    A day comes out when an event more than an hour after it has been seen.
+    """
+    schema = _table(spark, d, "events").schema
+    arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, f"{d}/events.parquet") else f"{d}/events*.parquet")
+    known = search(part_rows(spark, d), QUERY, "sw").select("query_id", F.col("target_id").alias("user_id"), "score")
+    scores = arrivals.join(known, "user_id").select("query_id", F.col("event_id").alias("target_id"), "score", F.col("ts").cast("timestamp").alias("ts"))
+    out, checkpoint = _place(spark, "stream"), _place(spark, "stream-check")
+    best = best_hits_stream(scores, 3, "1 day", "1 hour")
+    best.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(best.schema).parquet(out).select("query_id", F.date_format("start", "yyyy-MM-dd").alias("day"), "rank", "target_id", "score")
+
+
+def _is_folder(spark, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def large_sample(spark, d):
     """A third of all documents, sampled without bringing them together."""
     rows = lengths(spark, d)
@@ -466,6 +487,7 @@ def queries() -> dict:
         "sql_scores": sql_scores,
         "sql_paths": sql_paths,
         "large_sample": large_sample,
+        "windowed_hits": windowed_hits,
         "massive_sw": massive("sw"),
         "massive_nw": massive("nw"),
         "traceback_hits": traceback_hits,
@@ -549,6 +571,10 @@ def oracle_sql() -> dict[str, str]:
         "evalues": _evalues_sql(f"SELECT h.query_id, h.target_id, length(p.seq) AS len, h.score FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))}) h JOIN ({_PART_ROWS}) p ON p.target_id = h.target_id"),
         "sql_scores": _each_part(sw),
         "sql_paths": _each_part(nw),
+        "windowed_hits": f"""SELECT query_id, strftime(start, '%Y-%m-%d') AS day, CAST(rank AS INT) AS rank, target_id, score FROM (
+  SELECT s.query_id, e.event_id AS target_id, s.score, date_trunc('day', e.ts) AS start, row_number() OVER (PARTITION BY s.query_id, date_trunc('day', e.ts) ORDER BY s.score DESC, e.event_id) AS rank
+  FROM events e JOIN ({_each_part(sw)}) s ON s.target_id = e.user_id WHERE e.ts IS NOT NULL)
+WHERE rank <= 3 AND start + INTERVAL 1 DAY <= (SELECT max(e.ts) - INTERVAL 1 HOUR FROM events e JOIN part p ON p.p_partkey = e.user_id WHERE p.p_name IS NOT NULL)""",
         "large_sample": f"{_LEN} ORDER BY md5('7:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT (SELECT count(*) // 3 FROM documents)",
         "traceback_scores": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score, score AS path_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
         **_all_parts_sql(codes),

@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_RECORDS = "file string, block long, at long, header string, seq string, len int, bare boolean"
+RECORDS = "file string, block long, at long, header string, seq string, len int, bare boolean"
 #: Splits up to which a range's own are named one by one in the scan's filter.
 _NAMED = 64
 
 
-def _parsed(batches):
+def parsed(batches):
     """Records of each split with their number in it; those without sequence lines are counted but have none."""
     current, kept = None, 0
     for batch in batches:
@@ -64,8 +64,8 @@ def build(spark: SparkSession, path: str, store: str, strict: bool = True) -> No
     '>' inside a line is data.
     """
     raw = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
-    raw.mapInArrow(_parsed, _RECORDS).write.mode("overwrite").parquet(f"{store}/records")
-    rows = spark.read.schema(_RECORDS.replace("", "")).parquet(f"{store}/records")
+    raw.mapInArrow(parsed, RECORDS).write.mode("overwrite").parquet(f"{store}/records")
+    rows = spark.read.schema(RECORDS.replace("", "")).parquet(f"{store}/records")
     # Of the bare records only the last of its split, behind all others, can end a file.
     kept = F.count_if(~F.col("bare"))
     splits = rows.groupBy("file", "block").agg(kept.alias("n"), F.sum("len").alias("residues"), F.count_if("bare").alias("bare"), F.max(F.when(F.col("bare"), F.col("at"))).alias("bare_at"))
@@ -91,7 +91,7 @@ def read_range(spark: SparkSession, store: str, start: int = 0, stop: int | None
     if start < 0 or (stop is not None and stop < start):
         raise ValueError("a range of records begins at 0 or later and does not end before it begins")
     splits = index_of(spark, store).where(F.col("n") > 0)
-    rows = spark.read.schema(_RECORDS.replace("", "")).parquet(f"{store}/records").where(~F.col("bare"))
+    rows = spark.read.schema(RECORDS.replace("", "")).parquet(f"{store}/records").where(~F.col("bare"))
     if start or stop is not None:
         splits = splits.where(F.col("first") + F.col("n") > start)
         if stop is not None:
