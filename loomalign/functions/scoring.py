@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +69,18 @@ def encode(seq: str | bytes) -> np.ndarray:
     return np.frombuffer(raw.translate(CODES), np.uint8)
 
 
+def encode_all(column: pa.Array) -> list[np.ndarray]:
+    """Codes of every sequence of a string column without nulls: one translation of the column's bytes, cut at its offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
+    data = column.buffers()[2]
+    codes = np.frombuffer((data.to_pybytes() if data is not None else b"")[offsets[0] : offsets[-1]].translate(CODES), np.uint8)
+    at = (offsets - offsets[0]).tolist()
+    return [codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode_column(seq: Column) -> Column:
     """The codes of a sequence as array<tinyint>, by characters; equal to ``encode`` on ASCII.
 

@@ -235,12 +235,12 @@ def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int =
     return h[first + lengths].astype(np.int64)
 
 
-def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_CELLS, residues: int = 1 << 25) -> list[tuple[int, int]]:
-    """Stretches of a sorted list to score together: bounded in sequences, cells of a column and residues; never empty."""
+def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_CELLS, residues: int = 1 << 25, table: int = 1 << 26) -> list[tuple[int, int]]:
+    """Stretches of a sorted list to score together: bounded in sequences, cells of a column, residues, and in sequences times the longest; never empty."""
     limit = max(1, min(most, cells // max(m, 1)))
     out, start, total = [], 0, 0
     for i, n in enumerate(lengths):
-        if i > start and (i - start >= limit or total + n > residues):
+        if i > start and (i - start >= limit or total + n > residues or (i - start + 1) * n > table):
             out.append((start, i))
             start, total = i, 0
         total += n

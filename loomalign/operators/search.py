@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode
+from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode, encode_all
 from loomalign.operators import kernels
 from loomalign.operators.layout import n_shortest, routed
 from loomalign.operators.many import search_many
@@ -52,12 +52,12 @@ def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm
     def run(batches):
         ids, seqs, lens, routes, held = [], [], [], [], 0
         for batch in batches:
-            for i, seq in enumerate(batch.column("seq").to_pylist()):
-                ids.append(batch.column("target_id")[i].as_py())
-                seqs.append(encode(seq))
-                lens.append(batch.column("len")[i].as_py())
-                routes.append(batch.column("route")[i].as_py())
-                held += len(seq)
+            codes = encode_all(batch.column("seq"))
+            ids += batch.column("target_id").to_pylist()
+            lens += batch.column("len").to_pylist()
+            routes += batch.column("route").to_pylist()
+            seqs += codes
+            held += sum(map(len, codes))
             # Batches of like length need many sequences at hand.
             if held > HELD:
                 yield from out(ids, seqs, lens, routes)

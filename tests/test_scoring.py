@@ -72,3 +72,24 @@ def test_other_gaps():
     for algorithm in ("nw", "sw"):
         want = [K.scalar(algorithm, q, t, 5, 2) for t in ts]
         assert K.between(algorithm, q, ts, 5, 2).tolist() == want == [K.within(algorithm, q, t, 5, 2) for t in ts]
+
+
+def test_encode_all():
+    import pyarrow as pa
+
+    from loomalign.functions.scoring import encode, encode_all
+
+    rows = ["ARND", "", "é*x", "heag~"]
+    for column in (pa.array(rows), pa.array(["skip", *rows])[1:], pa.chunked_array([rows[:2], rows[2:]]), pa.array([], pa.string())):
+        got = encode_all(column)
+        assert [g.tolist() for g in got] == [encode(s).tolist() for s in column.to_pylist()]
+
+
+def test_batches_bound_their_table():
+    """Many short sequences and some very long ones never share a table of codes as wide as the longest."""
+    from loomalign.operators.kernels import batches
+
+    lengths = sorted([50] * 9000 + [35_000] * 40)
+    parts = batches(lengths, 100)
+    assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == len(lengths)
+    assert all((b - a) * lengths[b - 1] <= 1 << 26 for a, b in parts)
