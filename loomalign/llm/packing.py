@@ -186,7 +186,10 @@ def packed(parts: DataFrame, length: int = LENGTH, max_docs: int | None = None,
         offset[by] = sums - np.maximum.accumulate(np.where(head, sums, 0))
         return group.append_column("sequence_id", pa.array(at + (shard << 32))).append_column("offset", pa.array(offset))
 
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # Rows of one doc_id differ in what they hold; rows without one are dealt by their places in the stored parts.
+    named = [c for c in ("doc_id", "piece", "length", "start", "ids_crc32") if c in columns]
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(*named, place), F.lit(shards)))
     alone = C.stored(dealt.groupBy("shard").applyInArrow(pack, schema))
     # At most one sequence of a shard is half empty: a row each, and 1,024 shards' rows are packed together.
     fill = alone.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("docs"), F.sum(F.col("length") * F.col("length")).alias("cost"))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomalign.llm import common as C
-from loomalign.llm import cross_polytope, embedding_dedup, periodic_runs, whitening
+from loomalign.llm import cross_polytope, embedding_dedup, packing, periodic_runs, whitening
 
 W = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -347,3 +347,21 @@ def test_op9_equal_ids(spark, tile):
         want.append((i, sum(near[a]), name, name == i))
     got = embedding_dedup.near_duplicates(df, tile=tile).collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+# ---- packing of rows that share an id ---------------------------------------------------
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_packing_deals_rows_without_ids_of_their_own(spark, doc_id):
+    """100,000 pieces of no (or one) doc_id are many shards, and packed as tightly as others."""
+    n, shard = 100_000, 5000
+    length = (F.col("id") * 7919 % 900 + 1).cast("long")
+    parts = spark.range(n).select(F.lit(doc_id).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), length.alias("length"), F.crc32(F.col("id").cast("string")).alias("ids_crc32"))
+    got = packing.packed(parts, shard_pieces=shard)
+    per = got.groupBy(F.shiftright("sequence_id", 32).alias("shard")).count().collect()
+    assert len(per) == n // shard and max(r["count"] for r in per) < 1.2 * shard
+    ends = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"), F.countDistinct("offset").alias("places"), F.count("*").alias("rows"))
+    assert ends.where("n > 2048 or n <> end or first <> 0 or places <> rows").isEmpty()
+    tokens = got.agg(F.sum("length").alias("n")).first().n
+    assert got.count() == n and ends.count() <= 1.01 * -(-tokens // 2048)
