@@ -262,6 +262,22 @@ def score_mismatch(spark, d, targets=parts):
     return V.mismatches(search(t, QUERIES, "sw"), search(t, QUERIES, "sw", engine="native"))
 
 
+def _spoiled(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Scores by both engines, those of the second wrong by one wherever the key is divisible by seven."""
+    t = part_rows(spark, d)
+    wrong = F.when(F.col("target_id") % 7 == 0, F.col("score") + 1).otherwise(F.col("score"))
+    return search(t, QUERIES, "sw"), search(t, QUERIES, "sw", engine="native").withColumn("score", wrong)
+
+
+def planted_mismatches(spark, d):
+    """Every planted difference, and nothing else."""
+    return V.mismatches(*_spoiled(spark, d))
+
+
+def planted_summary(spark, d):
+    return V.mismatch_summary(*_spoiled(spark, d))
+
+
 def mismatch_summary(spark, d, targets=parts):
     t = targets(spark, d)
     return V.mismatch_summary(search(t, QUERIES, "nw", threshold=12), search(t, QUERIES, "nw", engine="native"))
@@ -480,6 +496,8 @@ def queries() -> dict:
         "peak_throughput": lambda s, d: V.peak(_metrics(s, d)),
         "crossover": lambda s, d: V.crossover(_metrics(s, d).where("threshold is null or threshold = 2000"), "purchase", "view"),
         "synthetic_database": synthetic_database,
+        "planted_mismatches": planted_mismatches,
+        "planted_summary": planted_summary,
         "table_queries": table_queries,
         "topk_bounded": lambda s, d: bounded_top_hits(part_rows(s, d), QUERIES, 10)[0].select("query_id", "rank", "target_id", "score"),
         "seeded_hits": seeded_hits,
@@ -569,6 +587,8 @@ def oracle_sql() -> dict[str, str]:
         "table_queries": _each_part(_scores_sql(_PARTS, "SELECT CAST(n_nationkey AS VARCHAR) AS query_id, n_name AS qs FROM nation", "sw")),
         "topk_bounded": f"SELECT query_id, CAST(rank AS INT) AS rank, target_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target_id) AS rank FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})) WHERE rank <= 10",
         "evalues": _evalues_sql(f"SELECT h.query_id, h.target_id, length(p.seq) AS len, h.score FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))}) h JOIN ({_PART_ROWS}) p ON p.target_id = h.target_id"),
+        "planted_mismatches": f"SELECT query_id, target_id, score AS gold, CAST(score + 1 AS INT) AS test FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))}) WHERE target_id % 7 = 0",
+        "planted_summary": f"SELECT count(*) AS pairs, count(*) FILTER (target_id % 7 = 0) AS different FROM ({_each_part(_scores_sql(_PARTS, QUERIES, 'sw'))})",
         "sql_scores": _each_part(sw),
         "sql_paths": _each_part(nw),
         "windowed_hits": f"""SELECT query_id, strftime(start, '%Y-%m-%d') AS day, CAST(rank AS INT) AS rank, target_id, score FROM (
