@@ -86,19 +86,31 @@ def routed(df: DataFrame, threshold: int) -> DataFrame:
     return df.withColumn("route", F.when(F.col("len") >= threshold, "large").otherwise("small"))
 
 
+def _ranged(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Adds _part: which of up to ``parts`` ranges of about as many rows a (numeric) id lies in, in rising order; null for none."""
+    from pyspark.ml.feature import Bucketizer  # here, so that tasks that import this module do not load it
+
+    rows = df.withColumn("_value", F.col(key).cast("double"))
+    found = rows.agg(F.percentile_approx("_value", [i / parts for i in range(1, parts)], 10_000).alias("q")).first().q or []
+    bounds = sorted({*found, float("-inf"), float("inf")})
+    if len(bounds) < 3:  # too few values for more than one range
+        return rows.withColumn("_part", F.when(F.col("_value").isNotNull(), F.lit(0.0))).drop("_value")
+    ranges = Bucketizer(splits=bounds, inputCol="_value", outputCol="_part", handleInvalid="keep")
+    return ranges.transform(rows).withColumn("_part", F.when(F.col("_value").isNotNull(), F.col("_part"))).drop("_value")
+
+
 def positioned(df: DataFrame, key: str = "target_id", parts: int = 1024) -> DataFrame:
     """Adds ord (place in length order, from 0) and start (residues before it), by length and then (numeric) id.
 
     A global running sum without one task for all rows: ids fall in ``parts``
-    ranges of equal width; sums by length, then by range within a length, then
-    places within each range are added up.  Only the sums by length, a row for
+    ranges that hold about as many rows each, however ids are spread (their
+    quantiles are looked up first); sums by length, then by range within a
+    length, then places within each range are added up.  Only the sums by length, a row for
     each different length, pass through one task, so a length that all rows
     have is still many tasks.  Null lengths come last and have no residues; null
     ids come last of their length.
     """
-    ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    width = (F.col("_high") - F.col("_low") + 1).cast("double")
-    rows = df.crossJoin(F.broadcast(ends)).withColumn("_part", F.floor((F.col(key) - F.col("_low")) / width * parts)).drop("_low", "_high")
+    rows = _ranged(df, key, parts)
     sums = rows.groupBy(F.col("len").alias("_len"), F.col("_part").alias("_of")).agg(F.count("*").alias("_n"))
     by_length = Window.orderBy(F.asc_nulls_last("_in")).rowsBetween(Window.unboundedPreceding, -1)
     lengths = sums.groupBy(F.col("_len").alias("_in")).agg(F.sum("_n").alias("_all"))

@@ -113,6 +113,22 @@ def test_n_shortest_without_a_gathering(spark):
         assert few == many and len(few) == min(n, 200)
 
 
+def test_positions_of_unevenly_spread_ids(spark):
+    """One outlying id, a cluster and nulls: ranges hold about as many rows each, and places are right."""
+    ids = [*range(1000), 10**15, *range(5 * 10**9, 5 * 10**9 + 500), None, None, 7, 7]
+    df = spark.createDataFrame([(i, 3 + k % 2) for k, i in enumerate(ids)], "target_id long, len int")
+    sizes = {r["_part"]: r["count"] for r in L._ranged(df, "target_id", 20).groupBy("_part").count().collect()}
+    assert len(sizes) >= 20 and max(sizes.values()) < 160 and sizes[None] == 2
+    got = sorted((r.ord, r.len, r.target_id, r.start) for r in L.positioned(df).collect())
+    order = sorted(((3 + k % 2, i is None, i or 0) for k, i in enumerate(ids)))
+    start = 0
+    for (place, n, i, at), (want, none, want_id) in zip(got, order, strict=True):
+        assert (n, i, at) == (want, None if none else want_id, start) and got[place][0] == place
+        start += n
+    assert L.positioned(df.where("target_id < 0")).collect() == []
+    assert sorted(r.ord for r in L.positioned(df.where("target_id = 7")).collect()) == [0, 1, 2]
+
+
 def test_offsets_in_blocks(spark):
     layout = spark.createDataFrame([(b, 32, 3 + b % 5) for b in range(50)], "batch long, n long, width int")
     rows = sorted(L.batch_offsets(layout, block=7).collect())
