@@ -142,15 +142,21 @@ def search(
 
 
 def self_scores(targets: DataFrame) -> DataFrame:
-    """(target_id, score) of each target aligned locally with itself; equal sequences are aligned once, a null one has a null score."""
+    """(target_id, score) of each target aligned locally with itself; equal sequences are aligned once, a null one has a null score.
+
+    Scores find their targets by 128 bits of hashes, so no sequence is a join's key.
+    """
+    hashed = lambda seed: F.when(F.col("seq").isNotNull(), F.xxhash64(F.lit(seed), "seq"))
+    keyed = targets.select("target_id", "seq", hashed(1).alias("_ka"), hashed(2).alias("_kb"))
 
     def run(batches):
         for batch in batches:
-            codes = map(encode, batch.column("seq").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("seq"), pa.array([int(kernels.within("sw", c, c)) for c in codes], pa.int64())], ["seq", "score"])
+            score = [int(kernels.within("sw", c, c)) for c in encode_all(batch.column("seq"))]
+            yield pa.RecordBatch.from_arrays([batch.column("_ka"), batch.column("_kb"), pa.array(score, pa.int64())], ["_ka", "_kb", "score"])
 
-    scores = targets.where("seq is not null").select("seq").distinct().mapInArrow(run, "seq string, score long")
-    return targets.select("target_id", "seq").join(scores, "seq", "left").select("target_id", "score")
+    once = keyed.where("seq is not null").groupBy("_ka", "_kb").agg(F.first("seq").alias("seq"))
+    scores = once.mapInArrow(run, "_ka long, _kb long, score long")
+    return keyed.join(scores, ["_ka", "_kb"], "left").select("target_id", "score")
 
 
 def top_hits(scores: DataFrame, k: int) -> DataFrame:

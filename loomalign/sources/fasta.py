@@ -120,8 +120,8 @@ def cached_database(spark: SparkSession, path: str, cache_dir: str, num_seqs: in
 
 
 def as_fasta(targets: DataFrame, width: int | None = 80, header: str = "header") -> DataFrame:
-    """One text value for each record: '>' and the header, then the sequence in lines of ``width``."""
-    seq = F.col("seq")
+    """One text value for each record: '>' and the header, then the sequence in lines of ``width``; a null sequence, which no record can hold, has none."""
+    targets, seq = targets.where("seq is not null"), F.col("seq")
     if width:
         seq = F.regexp_replace(F.regexp_replace(seq, f"(.{{{width}}})", "$1\n"), "\n$", "")
     return targets.select(F.concat(F.lit(">"), F.coalesce(F.col(header), F.lit("")), F.lit("\n"), seq).alias("value"))

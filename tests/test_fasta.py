@@ -124,3 +124,9 @@ def test_command(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.split()) >= 2
     with pytest.raises(SystemExit):
         main(["sw", "0", "8", q, db])
+
+
+def test_null_sequences_are_not_written(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a", "ARN"), (2, "b", None), (3, "c", "D")], "target_id long, header string, seq string")
+    fasta.write_fasta(rows, str(tmp_path / "out"))
+    assert sorted(r.header for r in fasta.read_fasta(spark, str(tmp_path / "out")).collect()) == ["a", "c"]
