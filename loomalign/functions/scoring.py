@@ -47,11 +47,16 @@ X  0 -1 -1 -1 -2 -1 -1 -1 -1 -1 -1 -1 -1 -1 -2  0  0 -2 -1 -1 -1 -1 -1 -4
 """
 
 
-def read_matrix(text: str, alphabet: str = ALPHABET) -> np.ndarray:
-    """The scores of a matrix in the published layout (a line of letters, then a letter and its scores a line), by code."""
+def read_matrix(text: str, alphabet: str = ALPHABET, other: int | None = None) -> np.ndarray:
+    """The scores of a matrix in the published layout (a line of letters, then a letter and its scores a line), by code.
+
+    Letters of the alphabet that the matrix lacks are an error, or score ``other`` with all.
+    """
     head, *rows = [line.split() for line in text.splitlines() if line.strip() and not line.startswith("#")]
     by_letter = {row[0]: dict(zip(head, map(int, row[1:]), strict=True)) for row in rows}
-    return np.array([[by_letter[a][b] for b in alphabet] for a in alphabet], np.int8)
+    if other is None:
+        return np.array([[by_letter[a][b] for b in alphabet] for a in alphabet], np.int8)
+    return np.array([[by_letter.get(a, {}).get(b, other) for b in alphabet] for a in alphabet], np.int32)
 
 
 MATRIX = read_matrix(BLOSUM62)

@@ -30,6 +30,8 @@ COLUMN_CELLS = 1 << 22
 #: Cells of a column that are worked on at a time.
 BLOCK_CELLS = 1 << 17
 TOP = int(MATRIX.max())
+#: A matrix with a lower score than this never takes 16 bits.
+_LOWEST = -2000
 _NEG = -(1 << 29)
 
 
@@ -38,14 +40,21 @@ def gap(k, open_=GAP_OPEN, extend=GAP_EXTEND):
     return np.where(np.asarray(k) > 0, open_ + (np.asarray(k) - 1) * extend, 0)
 
 
-def narrow(algorithm: str, m: int, n: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> bool:
+def top_of(matrix: np.ndarray) -> int:
+    """What a pair of residues can add to a score."""
+    return max(0, int(matrix.max()))
+
+
+def narrow(algorithm: str, m: int, n: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> bool:
     """Whether 16 bits hold every cell of a query of m and a target of n residues."""
-    high = TOP * min(m, n) + TOP
+    if int(matrix.min()) < _LOWEST:
+        return False
+    high = top_of(matrix) * (min(m, n) + 1)
     low = 0 if algorithm == "sw" else 2 * open_ + (m + n) * extend
     return high < NARROW_LIMIT and low + 2 * open_ + extend < NARROW_LIMIT
 
 
-def scalar(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> int:
+def scalar(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> int:
     """One pair, cell by cell."""
     local = algorithm_name(algorithm) == "sw"
     m, n = len(q), len(t)
@@ -55,7 +64,7 @@ def scalar(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
     for i in range(1, m + 1):
         diagonal, h[0] = h[0], 0 if local else -int(gap(i, open_, extend))
         e = _NEG
-        row = MATRIX[q[i - 1]]
+        row = matrix[q[i - 1]]
         for j in range(1, n + 1):
             e = max(h[j - 1] - open_, e - extend)
             f[j] = max(h[j] - open_, f[j] - extend)
@@ -71,7 +80,7 @@ def _empty_side(algorithm: str, m: int, n: int, open_: int, extend: int) -> int:
     return 0 if algorithm == "sw" else -int(gap(max(m, n), open_, extend))
 
 
-def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> np.ndarray:
+def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False, matrix: np.ndarray = MATRIX) -> np.ndarray:
     """Scores of all targets; best when they are many and of like length.  wide: 32 bits in any case."""
     local = algorithm_name(algorithm) == "sw"
     m, size = len(q), len(targets)
@@ -81,14 +90,14 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     if m == 0 or size == 0 or lengths.max() == 0:
         return np.array([_empty_side(algorithm, m, int(n), open_, extend) for n in lengths], np.int64)
     longest = int(lengths.max())
-    kind = np.int16 if not wide and narrow(algorithm, m, longest, open_, extend) else np.int32
+    kind = np.int16 if not wide and narrow(algorithm, m, longest, open_, extend, matrix) else np.int32
     codes = np.zeros((longest, size), np.uint8)
     for k, i in enumerate(order.tolist()):
         codes[: lengths[i], k] = targets[i]
     live = np.searchsorted(-lengths[order], -np.arange(1, longest + 1), "right")
     for i in np.flatnonzero(lengths == 0):
         out[i] = _empty_side(algorithm, m, 0, open_, extend)
-    matrix = MATRIX.astype(kind)
+    matrix = matrix.astype(kind)
     cost, step = kind(open_), kind(extend)
     border = np.zeros(m + 1, kind) if local else (-gap(np.arange(m + 1), open_, extend)).astype(kind)
     h = np.repeat(border[:, None], size, 1)  # column before, border row first
@@ -143,7 +152,7 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
     return out
 
 
-def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> int:
+def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False, matrix: np.ndarray = MATRIX) -> int:
     """The score of one pair, a row of the target at a time.
 
     16 bits also have to hold a cell and the cost of extending a gap to its
@@ -153,9 +162,9 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
     m, n = len(q), len(t)
     if m == 0 or n == 0:
         return _empty_side(algorithm, m, n, open_, extend)
-    fits = narrow(algorithm, m, n, open_, extend) and TOP * min(m, n) + n * extend < NARROW_LIMIT
+    fits = narrow(algorithm, m, n, open_, extend, matrix) and top_of(matrix) * min(m, n) + n * extend < NARROW_LIMIT
     kind = np.int16 if fits and not wide else np.int32
-    profile = np.take(MATRIX.astype(kind), t.astype(np.intp), 1, mode="clip")
+    profile = np.take(matrix.astype(kind), t.astype(np.intp), 1, mode="clip")
     steps = (np.arange(n + 1) * extend).astype(kind)
     opened = steps + kind(open_)
     h = np.zeros(n + 1, kind) if local else (-gap(np.arange(n + 1), open_, extend)).astype(kind)
@@ -185,12 +194,12 @@ def within(algorithm: str, q: np.ndarray, t: np.ndarray, open_: int = GAP_OPEN,
     return best if local else int(h[n])
 
 
-def _lift(algorithm: str, m: int, n: int, open_: int, extend: int) -> int:
+def _lift(algorithm: str, m: int, n: int, open_: int, extend: int, matrix: np.ndarray) -> int:
     """More than the cells of one sequence, with gaps extended to their column, can differ by."""
-    return TOP * min(m, n) + 3 * open_ + (m + 2 * n) * extend + 1
+    return top_of(matrix) * min(m, n) + 3 * open_ + (m + 2 * n) * extend + 1
 
 
-def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> np.ndarray:
+def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> np.ndarray:
     """Scores of all targets, laid end to end with a border cell before each; best for short queries."""
     local = algorithm_name(algorithm) == "sw"
     m = len(q)
@@ -204,8 +213,8 @@ def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int =
     inside = np.ones(total, bool)
     inside[first] = False
     codes[inside] = np.concatenate(targets)
-    profile = np.take(MATRIX.astype(np.int32), codes.astype(np.intp), 1, mode="clip")
-    lift = _lift(algorithm, m, int(lengths.max()), open_, extend)
+    profile = np.take(matrix.astype(np.int32), codes.astype(np.intp), 1, mode="clip")
+    lift = _lift(algorithm, m, int(lengths.max()), open_, extend, matrix)
     steps = column * np.int32(extend) + np.repeat(np.arange(len(targets), dtype=np.int32) * np.int32(lift), lengths + 1)
     opened = steps + np.int32(open_)
     h = np.zeros(total, np.int32) if local else (-gap(column, open_, extend)).astype(np.int32)
@@ -251,7 +260,7 @@ def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_C
 ALONG_CELLS = 1 << 13
 
 
-def _in_rows(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int, extend: int, wide: bool) -> np.ndarray:
+def _in_rows(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int, extend: int, wide: bool, matrix: np.ndarray) -> np.ndarray:
     """Scores by whole rows of the target: short ones end to end, long ones by themselves."""
     out = np.zeros(len(targets), np.int64)
     lengths = [len(t) for t in targets]
@@ -261,20 +270,20 @@ def _in_rows(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: in
         end, cells = start, 0
         while end < len(order):
             n = lengths[order[end]]
-            if end > start and (cells + n + 1 > ALONG_CELLS or (end - start + 1) * _lift(algorithm, len(q), n, open_, extend) >= 1 << 30):
+            if end > start and (cells + n + 1 > ALONG_CELLS or (end - start + 1) * _lift(algorithm, len(q), n, open_, extend, matrix) >= 1 << 30):
                 break
             cells += n + 1
             end += 1
         part = order[start:end]
         if len(part) == 1:
-            out[part[0]] = within(algorithm, q, targets[part[0]], open_, extend, wide)
+            out[part[0]] = within(algorithm, q, targets[part[0]], open_, extend, wide, matrix)
         else:
-            out[part] = along(algorithm, q, [targets[i] for i in part], open_, extend)
+            out[part] = along(algorithm, q, [targets[i] for i in part], open_, extend, matrix)
         start = end
     return out
 
 
-def scores(algorithm: str, q: np.ndarray, targets: list[np.ndarray], threshold: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> np.ndarray:
+def scores(algorithm: str, q: np.ndarray, targets: list[np.ndarray], threshold: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False, matrix: np.ndarray = MATRIX) -> np.ndarray:
     """Scores of all targets; those of ``threshold`` residues and more by rows of the target, the others side by side."""
     lengths = np.array([len(t) for t in targets], np.int64)
     out = np.zeros(len(targets), np.int64)
@@ -286,7 +295,7 @@ def scores(algorithm: str, q: np.ndarray, targets: list[np.ndarray], threshold:
         if b - a < 24:  # too few to fill vectors
             large = np.concatenate((large, part))
         else:
-            out[part] = between(algorithm, q, [targets[i] for i in part.tolist()], open_, extend, wide)
+            out[part] = between(algorithm, q, [targets[i] for i in part.tolist()], open_, extend, wide, matrix)
     if len(large):
-        out[large] = _in_rows(algorithm, q, [targets[i] for i in large.tolist()], open_, extend, wide)
+        out[large] = _in_rows(algorithm, q, [targets[i] for i in large.tolist()], open_, extend, wide, matrix)
     return out

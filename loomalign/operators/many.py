@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode
+from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, MAX_QUERY, algorithm_name, encode
 from loomalign.operators import kernels
 
 #: Residues of a query block and of a target split: some 6 * 10^10 cells to a group.
@@ -53,13 +53,13 @@ def _table(columns: dict) -> pa.Table:
     return pa.table({name: pa.array(columns[name], kind) for name, kind in kinds.items()})
 
 
-def _score(algorithm: str, q: bytes | None, seqs: list, threshold: int, open_: int, extend: int) -> list:
+def _score(algorithm: str, q: np.ndarray | None, seqs: list, threshold: int, open_: int, extend: int, matrix: np.ndarray = MATRIX) -> list:
     """Scores of one query; null where either side is."""
     if q is None:
         return [None] * len(seqs)
     there = [i for i, s in enumerate(seqs) if s is not None]
     out: list = [None] * len(seqs)
-    for i, v in zip(there, kernels.scores(algorithm, q, [seqs[i] for i in there], threshold, open_, extend).tolist(), strict=True):
+    for i, v in zip(there, kernels.scores(algorithm, q, [seqs[i] for i in there], threshold, open_, extend, False, matrix).tolist(), strict=True):
         out[i] = v
     return out
 
@@ -76,7 +76,7 @@ def _limited(queries: DataFrame, max_query: int | None) -> DataFrame:
     return queries.withColumn("seq", F.when(n > max_query, F.raise_error(message)).otherwise(F.col("seq")))
 
 
-def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", threshold: int = 4096, max_query: int | None = MAX_QUERY, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, query_residues: int = QUERY_RESIDUES, target_residues: int = TARGET_RESIDUES) -> DataFrame:
+def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", threshold: int = 4096, max_query: int | None = MAX_QUERY, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, query_residues: int = QUERY_RESIDUES, target_residues: int = TARGET_RESIDUES, matrix: np.ndarray = MATRIX) -> DataFrame:
     """``SCORES`` of every row of queries (query_id, seq) with every row of targets (target_id, seq).
 
     A null sequence on either side has a null score with all of the other; a
@@ -102,7 +102,7 @@ def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", t
             out["query_id"] += [name] * len(ids)
             out["target_id"] += ids
             out["len"] += lens
-            out["score"] += _score(algorithm, code, seqs, threshold, gap_open, gap_extend)
+            out["score"] += _score(algorithm, code, seqs, threshold, gap_open, gap_extend, matrix)
         out["algorithm"] = [algorithm] * len(out["query_id"])
         return _table(out)
 
@@ -110,15 +110,17 @@ def search_many(targets: DataFrame, queries: DataFrame, algorithm: str = "sw", t
     return both.groupBy("_q", "_t").applyInArrow(solve, SCORES)
 
 
-def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, residues: int = 1 << 18) -> DataFrame:
+def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap_open: int = GAP_OPEN, gap_extend: int = GAP_EXTEND, residues: int = 1 << 18, matrix: np.ndarray = MATRIX) -> DataFrame:
     """(a, b, score) of every ordered pair of rows (target_id, seq), also of each with itself; each unordered pair is scored once.
 
-    Both algorithms are symmetric, as the matrix and the gap costs are.  A null
+    Both algorithms are symmetric where the matrix is; another matrix is an error.  A null
     sequence has a null score with all rows.  Repeated ids are rows of their own.
     """
     algorithm_name(algorithm)
     if gap_open < gap_extend:
         raise ValueError("opening a gap costs at least as much as extending it")
+    if (matrix != matrix.T).any():
+        raise ValueError("pairs are scored once, so the matrix has to be symmetric")
     t = rows.select(F.col("target_id").cast("long").alias("id"), "seq")
     n = _blocks(t, residues, math.isqrt(4 * _tasks(t)))
     dealt = _dealt(t, "id", n, n, "_own", "_other")
@@ -135,7 +137,7 @@ def all_pairs(rows: DataFrame, algorithm: str = "sw", threshold: int = 4096, gap
             others = order[k:] if p == o else [j for j in order if own[j] == o] if own[i] == p else []
             if not others:
                 continue
-            score = _score(algorithm, codes[i], [codes[j] for j in others], threshold, gap_open, gap_extend)
+            score = _score(algorithm, codes[i], [codes[j] for j in others], threshold, gap_open, gap_extend, matrix)
             # Both ways round, itself once.
             both = [x for x, j in enumerate(others) if j != i]
             a += [ids[i]] * len(others) + [ids[others[x]] for x in both]

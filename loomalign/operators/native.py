@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,23 +11,23 @@ from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, encode, en
 _NEG = -(1 << 29)
 
 
-def native_scores(rows: DataFrame, queries: dict[str, str], algorithm: str, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> DataFrame:
+def native_scores(rows: DataFrame, queries: dict[str, str], algorithm: str, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> DataFrame:
     """As ``search``; state of the fold is (H of two diagonals back, H, E, F of the last one, best so far).
 
     Cell i of diagonal d is row i, column d - i, with rows 0 to m; cells outside the table hold minus infinity.
     """
     out = None
     for name, query in queries.items():
-        part = _one(rows, name, encode(query), algorithm, open_, extend)
+        part = _one(rows, name, encode(query), algorithm, open_, extend, matrix)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _one(rows: DataFrame, name: str, q, algorithm: str, open_: int, extend: int) -> DataFrame:
+def _one(rows: DataFrame, name: str, q, algorithm: str, open_: int, extend: int, matrix: np.ndarray) -> DataFrame:
     local = algorithm == "sw"
     m = len(q)
     neg = F.lit(_NEG)
-    row_scores = F.array(*(F.array(*(F.lit(int(v)) for v in MATRIX[c])) for c in q)) if m else None
+    row_scores = F.array(*(F.array(*(F.lit(int(v)) for v in matrix[c])) for c in q)) if m else None
     base = rows.withColumn("codes", encode_column(F.col("seq"))).withColumn("n", F.size("codes"))
     border = lambda k: F.when(k == 0, 0).otherwise(F.lit(0) if local else -(F.lit(open_) + (k - 1) * extend))
 

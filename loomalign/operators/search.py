@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MAX_QUERY, algorithm_name, encode, encode_all
+from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, MAX_QUERY, algorithm_name, encode, encode_all
 from loomalign.operators import kernels
 from loomalign.operators.layout import n_shortest, routed
 from loomalign.operators.many import search_many
@@ -35,13 +35,13 @@ def _checked(query: str, max_query: int | None) -> np.ndarray:
     return codes
 
 
-def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm: str, threshold: int, engine: str, open_: int, extend: int) -> DataFrame:
+def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm: str, threshold: int, engine: str, open_: int, extend: int, matrix: np.ndarray) -> DataFrame:
     sent = targets.sparkSession.sparkContext.broadcast(queries)
 
     def solve(q, seqs):
         if engine == "scalar":
-            return np.array([kernels.scalar(algorithm, q, t, open_, extend) for t in seqs], np.int64)
-        return kernels.scores(algorithm, q, seqs, threshold, open_, extend, engine == "wide")
+            return np.array([kernels.scalar(algorithm, q, t, open_, extend, matrix) for t in seqs], np.int64)
+        return kernels.scores(algorithm, q, seqs, threshold, open_, extend, engine == "wide", matrix)
 
     def out(ids, seqs, lens, routes):
         for name, q in sent.value:
@@ -79,6 +79,7 @@ def search(
     gap_open: int = GAP_OPEN,
     gap_extend: int = GAP_EXTEND,
     partitions: int | None = None,
+    matrix: np.ndarray = MATRIX,
 ) -> DataFrame:
     """Scores (query_id, target_id, algorithm, len, route, score) of targets (target_id, seq, len).
 
@@ -88,6 +89,9 @@ def search(
     score.  engine: vector, scalar (the definition) or native (expressions only,
     for short sequences).
 
+    matrix: scores by the codes of query and target (``scoring.read_matrix``); the
+    kernels' bounds and widths follow from it.
+
     Queries given as a table (query_id, seq) are never gathered: blocks of them
     meet splits of the targets (``many.search_many``); the engine is then vector.
 
@@ -105,7 +109,7 @@ def search(
         if engine != "vector":
             raise ValueError("queries in a table are scored by the vector engine")
         rows = targets if num_seqs is None else n_shortest(targets.where("seq is not null"), num_seqs)
-        found = search_many(rows, query, algorithm, threshold, max_query, gap_open, gap_extend)
+        found = search_many(rows, query, algorithm, threshold, max_query, gap_open, gap_extend, matrix=matrix)
         return routed(found, threshold).withColumn("route", F.when(F.col("len").isNotNull(), F.col("route"))).select("query_id", "target_id", "algorithm", "len", "route", "score")
     queries = query if isinstance(query, dict) else {"query": query}
     coded = [(name, _checked(q, max_query)) for name, q in queries.items()]
@@ -116,7 +120,7 @@ def search(
     if engine == "native":
         from loomalign.operators.native import native_scores
 
-        return native_scores(rows, queries, algorithm, gap_open, gap_extend)
+        return native_scores(rows, queries, algorithm, gap_open, gap_extend, matrix)
     spark: SparkSession = targets.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     if not partitions and (rows.isStreaming or _bytes(rows) < SMALL * tasks):
@@ -132,7 +136,7 @@ def search(
         size += len(item[1])
     found = None
     for block in blocks:
-        part = _scored(dealt, block, algorithm, threshold, engine, gap_open, gap_extend)
+        part = _scored(dealt, block, algorithm, threshold, engine, gap_open, gap_extend, matrix)
         found = part if found is None else found.unionByName(part)
     nulls = targets.where("seq is null")
     for name in queries if num_seqs is None else ():
@@ -186,9 +190,9 @@ def with_redo(first: DataFrame, redo: DataFrame, keys: tuple[str, ...] = ("query
     return first.join(again, list(keys), "left").withColumn("score", F.coalesce("_again", "score")).drop("_again").select(*first.columns)
 
 
-def _flagged(longest: int, algorithm: str, limit: int, gap_open: int, gap_extend: int):
+def _flagged(longest: int, algorithm: str, limit: int, gap_open: int, gap_extend: int, matrix: np.ndarray = MATRIX):
     """Whether the bound that the kernels keep to lets some cell of a target leave the narrow type."""
-    top = kernels.TOP * (F.least(F.col("len"), F.lit(longest)) + 1)
+    top = kernels.top_of(matrix) * (F.least(F.col("len"), F.lit(longest)) + 1)
     low = 4 * gap_open + (F.col("len") + longest + 1) * gap_extend
     return F.coalesce((top >= limit) | ((low >= limit) if algorithm == "nw" else F.lit(False)), F.lit(False))
 
@@ -209,7 +213,7 @@ def narrow_first(targets: DataFrame, query: str | dict[str, str], algorithm: str
         if n <= 0:
             raise ValueError("num_seqs is a positive number")
         targets = n_shortest(targets.where("seq is not null"), n)
-    flag = _flagged(longest, algorithm, limit or kernels.NARROW_LIMIT, *costs)
+    flag = _flagged(longest, algorithm, limit or kernels.NARROW_LIMIT, *costs, options.get("matrix", MATRIX))
     first = search(targets.where(~flag), queries, algorithm, threshold, **options)
     late = targets.where(flag)
     names = F.explode(F.array(*map(F.lit, queries))).alias("query_id")

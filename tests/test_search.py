@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomalign.functions.scoring import encode, encode_column
+from loomalign.functions.scoring import BLOSUM62, MATRIX, encode, encode_column, read_matrix
+from loomalign.operators import kernels
 from loomalign.operators import kernels as K
 from loomalign.operators import layout as L
 from loomalign.operators import verify as V
@@ -212,3 +214,36 @@ def test_metrics(spark):
     assert V.best_threshold(m).first().threshold == 8
     assert {r.impl: r.query_len for r in V.peak(m).collect()} == {"a": 128, "b": 128}
     assert V.sweep(lambda a, b: {"c": a + b}, a=[1, 2], b=[3]) == [{"a": 1, "b": 3, "c": 4}, {"a": 2, "b": 3, "c": 5}]
+
+
+#: Scores of nucleotides that are equal and that are not.
+DNA = """
+   A  C  G  T
+A  5 -4 -4 -4
+C -4  5 -4 -4
+G -4 -4  5 -4
+T -4 -4 -4  5
+"""
+
+
+@pytest.mark.parametrize("algorithm", ["sw", "nw"])
+@pytest.mark.parametrize("scale", [1, 900])
+def test_other_matrices(spark, algorithm, scale):
+    """A matrix as data: three engines and queries in a table agree, also where its scores leave 16 bits soon."""
+    r = np.random.default_rng(31)
+    query = "".join(r.choice(list("ACGT"), 45))
+    rows = [(i, "".join(r.choice(list("ACGTN"), int(n)))) for i, n in enumerate(r.integers(0, 60, 60))] + [(5000, "NN" + query)]
+    df = spark.createDataFrame(rows, "target_id long, seq string").withColumn("len", F.octet_length("seq"))
+    matrix = read_matrix(DNA, other=-4) * scale
+    assert matrix[0, 0] == 5 * scale and matrix[0, 1] == -4 * scale and read_matrix(BLOSUM62).tolist() == MATRIX.tolist()
+    want = {i: kernels.scalar(algorithm, encode(query), encode(s), 10, 1, matrix) for i, s in rows}
+    assert max(want.values()) > (30_000 if scale > 1 else 10)
+    for engine in ("vector", "scalar", "native"):
+        few = df if engine != "native" else df.where("target_id < 12")
+        got = {x.target_id: x.score for x in search(few, query, algorithm, threshold=20, engine=engine, matrix=matrix).collect()}
+        assert got == {i: v for i, v in want.items() if i in got} and len(got) == few.count(), engine
+    table = spark.createDataFrame([("q", query)], "query_id string, seq string")
+    assert {x.target_id: x.score for x in search(df, table, algorithm, matrix=matrix).collect()} == want
+    assert {x.target_id: x.score for x in narrow_first(df, query, algorithm, matrix=matrix).collect()} == want
+    t = [encode(s) for _, s in rows]
+    assert kernels.along(algorithm, encode(query), t, matrix=matrix).tolist() == kernels.between(algorithm, encode(query), t, matrix=matrix).tolist() == list(want.values())
