@@ -62,7 +62,7 @@ def tile(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, ope
     opened = steps + kind(open_)
     opening, extending = kind(open_), kind(extend)
     # What is 0 in a local alignment; where it lies below all cells it does nothing.
-    floor = np.full(n, max(-base, low), kind)
+    floor = np.full(n, max(-base, low), kind) if local else None
     right_h, right_g = np.empty(m + 1, kind), np.empty(m, kind)
     right_h[0] = h[n]
     p, x = np.empty(n + 1, kind), np.empty(n, kind)

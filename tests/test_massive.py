@@ -54,6 +54,17 @@ def test_tiles_where_scores_leave_16_bits(algorithm):
     assert _by_tiles(algorithm, q, t, 512, False, 10, 1) == want == _by_tiles(algorithm, q, t, 512, True, 10, 1)
 
 
+@pytest.mark.parametrize("algorithm", ["sw", "nw"])
+def test_tiles_far_below_zero(algorithm):
+    """Corners below -32,768: a short sequence against a very long one, globally."""
+    r = np.random.default_rng(14)
+    q, t = r.integers(0, 20, 300).astype(np.uint8), r.integers(0, 20, 40_000).astype(np.uint8)
+    want = kernels.within(algorithm, q, t)
+    assert algorithm == "sw" or want < -36_000
+    assert _by_tiles(algorithm, q, t, 256, False, 10, 1) == want
+    assert _by_tiles(algorithm, t, q, 256, False, 10, 1) == want
+
+
 def test_a_tile_has_bounded_memory():
     """A tile takes a few rows and the target's profile, not its cells."""
     q = np.random.default_rng(5).integers(0, 20, 2048).astype(np.uint8)
