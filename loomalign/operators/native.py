@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, encode, encode_column
@@ -12,49 +12,60 @@ _NEG = -(1 << 29)
 
 
 def native_scores(rows: DataFrame, queries: dict[str, str], algorithm: str, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> DataFrame:
-    """As ``search``; state of the fold is (H of two diagonals back, H, E, F of the last one, best so far).
+    """As ``search``.  A score depends on the sequence alone, so equal sequences are folded once.
 
-    Cell i of diagonal d is row i, column d - i, with rows 0 to m; cells outside the table hold minus infinity.
+    The different ones are dealt over all tasks (a scan of short sequences has few),
+    and scores find their targets by a join on the sequence.
     """
-    out = None
-    for name, query in queries.items():
-        part = _one(rows, name, encode(query), algorithm, open_, extend, matrix)
-        out = part if out is None else out.unionByName(part)
-    return out
+    codes = encode_column(F.col("seq")).cast("array<int>")
+    folded = F.array(*(_folded(encode(q), algorithm, open_, extend, matrix).cast("int") for q in queries.values()))
+    coded = lambda seqs: seqs.withColumn("codes", codes).withColumn("n", F.size("codes"))
+    if rows.isStreaming:
+        scored = coded(rows).withColumn("_scores", folded)
+    else:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        once = coded(rows.select("seq").distinct()).repartition(tasks).select("seq", folded.alias("_scores"))
+        scored = rows.join(once, "seq")
+    # Names are exploded and not scores, of which the optimizer would make a filter that computes them for every row.
+    named = scored.withColumn("_k", F.explode(F.array(*map(F.lit, range(len(queries))))))
+    names = F.array(*map(F.lit, queries))
+    return named.select(names[F.col("_k")].alias("query_id"), "target_id", F.lit(algorithm).alias("algorithm"), "len", "route", F.col("_scores")[F.col("_k")].alias("score"))
+
 
+def _folded(q: np.ndarray, algorithm: str, open_: int, extend: int, matrix: np.ndarray) -> Column:
+    """The score of the query with ``codes``, ``n`` of them.
 
-def _one(rows: DataFrame, name: str, q, algorithm: str, open_: int, extend: int, matrix: np.ndarray) -> DataFrame:
+    Cell j of diagonal d is row d - j of the query, column j of the target, with
+    columns 0 to n; cells outside the table hold minus infinity.  The state of the
+    fold lies as the next diagonal needs it: x and y are what a cell gets from a gap
+    down the query and along the target, c and b the cells before it by one and by
+    two diagonals, y, c and b moved by a column.
+    """
     local = algorithm == "sw"
     m = len(q)
-    neg = F.lit(_NEG)
-    row_scores = F.array(*(F.array(*(F.lit(int(v)) for v in matrix[c])) for c in q)) if m else None
-    base = rows.withColumn("codes", encode_column(F.col("seq"))).withColumn("n", F.size("codes"))
+    n, neg = F.col("n"), F.lit(_NEG)
     border = lambda k: F.when(k == 0, 0).otherwise(F.lit(0) if local else -(F.lit(open_) + (k - 1) * extend))
+    if m == 0:
+        return F.lit(0) if local else border(n)
+    of_query = F.array(*(F.array(*(F.lit(int(v)) for v in matrix[c])) for c in q))
+    moved = lambda cells: F.concat(F.array(neg), F.slice(cells, F.lit(1), n))
 
     def step(s, d):
-        def cell(i):
-            j = d - i
-            inside = (i >= 1) & (j >= 1) & (j <= F.col("n"))
-            left_h, left_e = s["h1"][i], s["e"][i]
-            up_h, up_f = s["h1"][i - 1], s["f"][i - 1]
-            e = F.greatest(left_h - open_, left_e - extend)
-            f = F.greatest(up_h - open_, up_f - extend)
-            score = row_scores[i - 1][F.col("codes")[j - 1].cast("int")]
-            h = F.greatest(s["h2"][i - 1] + score, e, f, *([F.lit(0)] if local else []))
-            edge = ((i == 0) & (j <= F.col("n"))) | ((j == 0) & (i <= m))
-            return F.when(inside, F.struct(h.alias("h"), e.alias("e"), f.alias("f"))).otherwise(F.struct(F.when(edge, border(d)).otherwise(neg).alias("h"), neg.alias("e"), neg.alias("f")))
-
-        cells = F.transform(F.sequence(F.lit(0), F.lit(m)), cell)
-        best = F.greatest(s["best"], F.array_max(F.transform(cells, lambda c: c["h"]))) if local else F.coalesce(F.when(d == F.col("n") + m, cells[m]["h"]), s["best"])
-        return F.struct(s["h1"].alias("h2"), F.transform(cells, lambda c: c["h"]).alias("h1"), F.transform(cells, lambda c: c["e"]).alias("e"), F.transform(cells, lambda c: c["f"]).alias("f"), best.alias("best"))
-
-    blank = F.array_repeat(neg, m + 1)
-    first = F.concat(F.array(F.lit(0)), F.array_repeat(neg, m)) if m else F.array(F.lit(0))
-    start = F.struct(blank.alias("h2"), first.alias("h1"), blank.alias("e"), blank.alias("f"), F.lit(0).alias("best"))
-    if m == 0:
-        score = F.lit(0) if local else border(F.col("n"))
-    else:
-        score = F.aggregate(F.sequence(F.lit(1), F.col("n") + m), start, step, lambda s: s["best"])
-        if not local:
-            score = F.when(F.col("n") == 0, border(F.lit(m))).otherwise(score)
-    return base.select(F.lit(name).alias("query_id"), "target_id", F.lit(algorithm).alias("algorithm"), "len", "route", score.cast("int").alias("score"))
+        def cell(j):
+            i = d - j
+            met = s["b"][j] + of_query[i - 1][F.col("codes")[j - 1]]
+            inside = F.greatest(met, s["x"][j], s["y"][j], *([F.lit(0)] if local else []))
+            return F.when((i >= 1) & (j >= 1) & (i <= m), inside).when((i == 0) | ((j == 0) & (i <= m)), border(d)).otherwise(neg)
+
+        def state(h):
+            gap = lambda before: F.zip_with(h, before, lambda v, g: F.greatest(v - open_, g - extend))
+            best = F.greatest(s["best"], F.array_max(h)) if local else F.element_at(h, -1)
+            return F.struct(gap(s["x"]).alias("x"), moved(gap(s["y"])).alias("y"), s["c"].alias("b"), moved(h).alias("c"), best.alias("best"))
+
+        # An array of one, so that the cells of the diagonal have a name and are computed once.
+        return F.transform(F.array(F.transform(F.sequence(F.lit(0), n), cell)), state)[0]
+
+    blank = F.array_repeat(neg, n + 1)
+    first = F.concat(F.array(F.lit(0)), F.array_repeat(neg, n))
+    start = F.struct(blank.alias("x"), blank.alias("y"), blank.alias("b"), moved(first).alias("c"), F.lit(0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), n + m), start, step, lambda s: s["best"])
