@@ -9,10 +9,10 @@ folder: a round never repeats an earlier one, whatever executors are lost, and a
 task's memory depends on the tile and not on the pair.  A pair of m and n
 residues takes (m + n) / side rounds with up to min(m, n) / side tasks each.
 
-Within a tile the kernel goes by rows as ``kernels.within`` does.  Cells are
-taken relative to the tile's corner, so that 16 bits hold them wherever the
-edges and the side prove it, however large the scores are, and 32 bits serve
-elsewhere.
+Within a tile the kernel goes by rows as ``kernels.within`` does, a band of rows
+after the other.  Cells are taken relative to the band's corner, so that 16 bits
+hold them wherever the edges and the side prove it, however large the scores are,
+and 32 bits serve elsewhere.  Pairs of equal texts are aligned once.
 """
 
 from __future__ import annotations
@@ -26,11 +26,17 @@ from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, algorithm_
 from loomalign.operators.kernels import TOP
 from loomalign.sources.staged import drop, staged
 
-SIDE = 4096
+#: Residues of a tile's sides: wide, so that rounds are few and rows long, and some MB in memory.
+SIDE = 16_384
+#: Rows that share a corner.
+BAND = 512
+#: Places that a running maximum takes by doubling; before whole blocks of them stands one maximum each.
+_BLOCK = 128
 #: What a cell of 16 bits may reach.
 _NARROW = 32_000
 #: The lowest score of the matrix: a cell is at least its diagonal neighbour less this.
 _LOW = int(-MATRIX.min())
+_NONE = -(1 << 60)
 
 
 def outer_edge(local: bool, start: int, n: int, open_: int = GAP_OPEN, extend: int = GAP_EXTEND) -> tuple[np.ndarray, np.ndarray]:
@@ -40,6 +46,30 @@ def outer_edge(local: bool, start: int, n: int, open_: int = GAP_OPEN, extend: i
     return h, h[1:] - open_
 
 
+def _running(x: np.ndarray, spare: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """(maximum of each place and all before it, an array to spare); if no more matters, of ``reach`` places at least.
+
+    By vectors: ``np.maximum.accumulate`` goes place by place.
+    """
+    n = len(x)
+    if n < 8 * _BLOCK and reach > _BLOCK:
+        np.maximum.accumulate(x, out=x)
+        return x, spare
+    k = 1
+    while k < min(reach, _BLOCK, n):
+        spare[:k] = x[:k]
+        np.maximum(x[k:], x[:-k], out=spare[k:])
+        x, spare = spare, x
+        k *= 2
+    if reach > _BLOCK:
+        whole = n // _BLOCK * _BLOCK
+        before = np.maximum.accumulate(x[_BLOCK - 1 : whole : _BLOCK])
+        blocks = x[_BLOCK:whole].reshape(-1, _BLOCK)
+        np.maximum(blocks, before[:-1, None], out=blocks)
+        np.maximum(x[whole:], before[-1], out=x[whole:])
+    return x, spare
+
+
 def tile(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False) -> tuple[tuple, tuple, int]:
     """(lower edge, right edge, best cell) of a tile from its upper and left edges.
 
@@ -63,10 +93,14 @@ def tile(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, ope
     opening, extending = kind(open_), kind(extend)
     # What is 0 in a local alignment; where it lies below all cells it does nothing.
     floor = np.full(n, max(-base, low), kind) if local else None
+    # The highest cell of the row before, or value that comes in from the left.
+    entering = max(int(edges[2].max()), int(edges[3].max()) + open_) if local else 0
+    peak = int(edges[0].max()) if local else 0
+    other = np.empty(n, kind)
     right_h, right_g = np.empty(m + 1, kind), np.empty(m, kind)
     right_h[0] = h[n]
     p, x = np.empty(n + 1, kind), np.empty(n, kind)
-    most = None
+    most = _NONE
     for i in range(m):
         np.subtract(f, extending, out=f)
         if i:
@@ -78,23 +112,35 @@ def tile(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, ope
             np.maximum(p[1:], floor, out=p[1:])
         p[0] = side_g[i] + opening  # the gap that comes in from the left, as if it opened there
         np.add(p[:-1], steps[:-1], out=x)
-        np.maximum.accumulate(x, out=x)
+        # A local gap that has fallen to 0 is of no use, so none is longer than this.
+        reach = (max(peak + TOP, entering) - int(floor[0]) - open_) // extend + 1 if local and extend else n
+        x, other = _running(x, other, reach)
         np.subtract(x, opened[:-1], out=x)
         h[0] = side_h[i + 1]
         np.maximum(p[1:], x, out=h[1:])
         right_h[i + 1] = h[n]
         right_g[i] = max(int(h[n]) - open_, int(x[n - 1]) - extend)
         if local:
-            if most is None:
-                most = h[1:].copy()
-            else:
-                np.maximum(most, h[1:], out=most)
+            peak = int(h.max())
+            most = max(most, peak)
     down = np.maximum(f - extending, h[1:] - opening)
     up = lambda a: a.astype(np.int64) + base
-    best = int(most.max()) + base if local else 0
+    best = most + base if local else 0
     return (up(h), up(down)), (up(right_h), up(right_g)), best
 
 
+def banded(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, open_: int = GAP_OPEN, extend: int = GAP_EXTEND, wide: bool = False, band: int = BAND) -> tuple[tuple, tuple, int]:
+    """As ``tile``, in bands of rows that each have a corner of their own."""
+    right_h, right_g, best = [top[0][-1:]], [], _NONE
+    for a in range(0, len(q), band):
+        part = q[a : a + band]
+        top, right, most = tile(part, t, top, (left[0][a : a + len(part) + 1], left[1][a : a + len(part)]), local, open_, extend, wide)
+        right_h.append(right[0][1:])
+        right_g.append(right[1])
+        best = max(best, most)
+    return top, (np.concatenate(right_h), np.concatenate(right_g)), best
+
+
 _EDGES = "pair long, kind string, at int, h array<long>, g array<long>, score long"
 
 
@@ -118,9 +164,12 @@ def massive_pairs(pairs: DataFrame, algorithm: str = "sw", side: int = SIDE, gap
         raise ValueError("the side of a tile is a positive number")
     spark = pairs.sparkSession
     tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sized = pairs.select(F.col("pair").cast("long").alias("pair"), "query", "target", F.octet_length("query").alias("m"), F.octet_length("target").alias("n"))
+    # Pairs of equal texts have equal hashes, 128 bits of each text.
+    named = F.struct(*(F.xxhash64(F.lit(k), c).alias(f"{c}{k}") for c in ("query", "target") for k in (1, 2)))
+    sized = pairs.select(F.col("pair").cast("long").alias("pair"), "query", "target", F.octet_length("query").alias("m"), F.octet_length("target").alias("n"), named.alias("texts"))
     sized = staged(sized, "pairs")
-    whole = sized.where("m > 0 and n > 0")
+    first = sized.where("m > 0 and n > 0").groupBy("texts", "m", "n").agg(F.min("pair").alias("pair"))
+    whole = sized.join(first.select("pair"), "pair", "left_semi")
     grid = sized.select("pair", F.ceil(F.col("m") / side).cast("int").alias("rows"), F.ceil(F.col("n") / side).cast("int").alias("columns"))
     size = whole.agg(F.max(F.ceil(F.col("m") / side) + F.ceil(F.col("n") / side)).alias("d")).first().d
     gap = lambda k: -(F.lit(gap_open) + (k - 1) * gap_extend)
@@ -132,10 +181,12 @@ def massive_pairs(pairs: DataFrame, algorithm: str = "sw", side: int = SIDE, gap
 
     def solve(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            edges = [f"{kind}_{x}" for kind in ("top", "left") for x in "hg"]
+            for i, row in enumerate(batch.drop_columns(edges).to_pylist()):
                 q, t, r, c = encode(row["r_seq"]), encode(row["c_seq"]), row["r"], row["c"]
-                edge = lambda kind, k, n: (np.array(row[f"{kind}_h"], np.int64), np.array(row[f"{kind}_g"], np.int64)) if row[f"{kind}_h"] is not None else outer_edge(local, k * side, n, gap_open, gap_extend)  # noqa: E731, B023
-                lower, right, best = tile(q, t, edge("top", c, len(t)), edge("left", r, len(q)), local, gap_open, gap_extend, wide)
+                known = {x: batch.column(x)[i].values for x in edges}
+                edge = lambda kind, k, n: (known[f"{kind}_h"].to_numpy(), known[f"{kind}_g"].to_numpy()) if known[f"{kind}_h"] is not None else outer_edge(local, k * side, n, gap_open, gap_extend)  # noqa: E731, B023
+                lower, right, best = banded(q, t, edge("top", c, len(t)), edge("left", r, len(q)), local, gap_open, gap_extend, wide)
                 last = r == row["rows"] - 1 and c == row["columns"] - 1
                 score = best if local else int(lower[0][-1]) if last else None
                 out = []
@@ -168,7 +219,8 @@ def massive_pairs(pairs: DataFrame, algorithm: str = "sw", side: int = SIDE, gap
         if state is not None:
             drop(state)
         state = following
-    scores = staged(state.where("kind = 'score'").groupBy("pair").agg(F.max("score").alias("score")).unionByName(plain), "scores")
+    aligned = first.join(state.where("kind = 'score'").groupBy("pair").agg(F.max("score").alias("score")), "pair").drop("pair")
+    scores = staged(sized.select("pair", "texts", "m", "n").join(aligned, ["texts", "m", "n"]).select("pair", "score").unionByName(plain), "scores")
     for table in (state, q_parts, t_parts, sized):
         drop(table)
     return scores
