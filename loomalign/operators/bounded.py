@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, algorithm_name, encode
+from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, algorithm_name, encode, encode_all
 from loomalign.operators import kernels
-from loomalign.operators.search import HELD, search, top_hits
+from loomalign.operators.search import EACH, HELD, search, spread, top_hits
 from loomalign.sources.staged import staged
 
 #: Targets that are scored first, and that a task scores between two looks at its threshold.
@@ -47,8 +47,9 @@ def bounds(algorithm: str, q: np.ndarray, counts: np.ndarray, open_: int = GAP_O
         wide = MATRIX.astype(np.int64)
         high = _greedy(wide[own > 0].max(axis=0), counts, np.full(len(counts), m))
         # From the query's side: its residues with the best partner that the target has.
-        for present in np.unique(counts > 0, axis=0):
-            rows = np.flatnonzero(((counts > 0) == present).all(axis=1))
+        kinds, kind = np.unique(counts > 0, axis=0, return_inverse=True)
+        alike = np.split(np.argsort(kind.ravel(), kind="stable"), np.cumsum(np.bincount(kind.ravel()))[:-1])
+        for present, rows in zip(kinds, alike, strict=True):
             best = wide[:, present].max(axis=1) if present.any() else np.zeros(_LETTERS, np.int64)
             high[rows] = np.minimum(high[rows], _greedy(best, np.repeat(own[None, :], len(rows), 0), n[rows]))
     return high if algorithm == "sw" else high - kernels.gap(np.abs(n - m), open_, extend)
@@ -125,15 +126,15 @@ def bounded_top_hits(targets: DataFrame, query: str | dict[str, str], k: int, al
         for batch in batches:
             ids += batch.column("target_id").to_pylist()
             lens += batch.column("len").to_pylist()
-            for seq in batch.column("seq").to_pylist():
-                seqs.append(encode(seq))
-                held += len(seqs[-1])
+            codes = encode_all(batch.column("seq"))
+            seqs += codes
+            held += sum(map(len, codes)) + EACH * len(codes)
             if held > HELD:
                 yield from some(ids, seqs, lens, known)
                 ids, seqs, lens, held = [], [], [], 0
         if ids:
             yield from some(ids, seqs, lens, known)
 
-    found = staged(rows.select("target_id", "seq", "len").mapInArrow(run, "query_id string, target_id long, len int, score int, targets long, scored long, cells long, scored_cells long"), "bounded")
+    found = staged(spread(rows.select("target_id", "seq", "len")).mapInArrow(run, "query_id string, target_id long, len int, score int, targets long, scored long, cells long, scored_cells long"), "bounded")
     work = found.where("target_id is null and score is null").groupBy("query_id").agg(*(F.sum(c).alias(c) for c in ("targets", "scored", "cells", "scored_cells")))
     return top_hits(found, k), work

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, MAX_QUERY, algorithm_name, encode, encode_all
@@ -15,8 +15,8 @@ from loomalign.operators.many import search_many
 SCORES = "query_id string, target_id long, algorithm string, len int, route string, score int"
 #: Residues of queries that go out with the tasks at once; more queries are taken in turns.
 QUERY_BLOCK = 1 << 20
-#: Residues of targets that a task holds at a time.
-HELD = 1 << 26
+#: Bytes of targets that a task holds at a time, and what one of them takes besides its residues.
+HELD, EACH = 1 << 26, 1024
 
 
 #: Bytes to a task below which a database is dealt anew.
@@ -28,6 +28,14 @@ def _bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Targets dealt over all tasks where a scan would give each less than ``SMALL`` bytes, or over ``partitions``."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not partitions and (rows.isStreaming or _bytes(rows) < SMALL * tasks):
+        partitions = tasks
+    return rows.repartition(partitions, "target_id") if partitions else rows
+
+
 def _checked(query: str, max_query: int | None) -> np.ndarray:
     codes = encode(query)
     if max_query is not None and len(codes) > max_query:
@@ -57,7 +65,7 @@ def _scored(targets: DataFrame, queries: list[tuple[str, np.ndarray]], algorithm
             lens += batch.column("len").to_pylist()
             routes += batch.column("route").to_pylist()
             seqs += codes
-            held += sum(map(len, codes))
+            held += sum(map(len, codes)) + EACH * len(codes)
             # Batches of like length need many sequences at hand.
             if held > HELD:
                 yield from out(ids, seqs, lens, routes)
@@ -121,11 +129,7 @@ def search(
         from loomalign.operators.native import native_scores
 
         return native_scores(rows, queries, algorithm, gap_open, gap_extend, matrix)
-    spark: SparkSession = targets.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if not partitions and (rows.isStreaming or _bytes(rows) < SMALL * tasks):
-        partitions = tasks
-    dealt = rows.repartition(partitions, "target_id") if partitions else rows
+    dealt = spread(rows, partitions)
     # Queries go out in blocks of a bounded size; each block is a pass over the same rows.
     blocks, size = [[]], 0
     for item in coded:
