@@ -134,9 +134,9 @@ def between(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int
             if local:
                 np.maximum(score, zeros[: n * b].reshape(n, b), out=score)
             # Gap down the query: extend, or open after a cell above; a gap opened after such a gap never wins.
-            np.subtract(score, cost, out=down[1:])
             if r:
-                down[0] = f
+                down[0] = f  # of the block before, in the same room
+            np.subtract(score, cost, out=down[1:])
             for i in range(n):
                 f = down[i]
                 np.maximum(score[i], f, out=old[i])
