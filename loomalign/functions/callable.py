@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -34,15 +36,29 @@ def align_score(query: pa.Array, seq: pa.Array, algorithm: pa.Array) -> pa.Array
     return pa.array(out, pa.int32())
 
 
+def _aligned(algorithm: str, query: str, seq: str) -> tuple:
+    from loomalign.operators.traceback import aligned
+
+    return tuple(aligned(algorithm, encode(query), encode(seq)).values())
+
+
+#: Characters of a pair up to which a worker remembers its path.
+SHORT = 512
+
+
+@lru_cache(1 << 13)
+def _recent(algorithm: str, query: str, seq: str) -> tuple:
+    """The last paths that a worker found, some 10 MB of them: short sequences repeat."""
+    return _aligned(algorithm, query, seq)
+
+
 @udtf(returnType=_PATH)
 class align_path:
     """One row with the alignment of a pair; none where an argument is null."""
 
     def eval(self, query: str, seq: str, algorithm: str):
-        from loomalign.operators.traceback import aligned
-
         if query is not None and seq is not None and algorithm is not None:
-            yield tuple(aligned(algorithm, encode(query), encode(seq)).values())
+            yield (_recent if len(query) + len(seq) <= SHORT else _aligned)(algorithm, query, seq)
 
 
 def register(spark: SparkSession) -> None:
