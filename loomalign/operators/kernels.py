@@ -13,10 +13,14 @@ least extension, a gap may start from cells before gaps are considered).
 ``along``: the same for many sequences end to end, each lifted above the one
 before, so that the running maximum begins anew with each.
 
+``beside``: many pairs, each of a query and a target of its own, local only.  As
+``within``, a row of all targets at a time; a gap along the target lengthens by
+doubling, no further than the best cell of the row can pay for.
+
 ``scalar``: plain Python, the definition itself, for tests and as an engine.
 
 Cells are 16 bits wide where bounds on the score prove that they suffice, else 32
-(``along``: always 32).
+(``along``: always 32, ``beside``: always 16).
 """
 
 from __future__ import annotations
@@ -244,6 +248,95 @@ def along(algorithm: str, q: np.ndarray, targets: list[np.ndarray], open_: int =
     return h[first + lengths].astype(np.int64)
 
 
+#: Cells of a row of all targets that ``beside`` takes at a time, those past a target's end, and what they score with all.
+BESIDE_CELLS, _END, _PAST = 1 << 17, 65, -(1 << 14)
+
+
+def _side_by_side(queries: list[np.ndarray], targets: list[np.ndarray], open_: int, extend: int, matrix: np.ndarray) -> list[int]:
+    """Local scores of pairs of like length, longest query first; no query or target is empty.
+
+    Targets lie end to end, each with ``_END`` cells more, the last of which stays 0
+    and is the border of the next: all operations run over one vector.  Gaps that
+    could pass those cells are cut there.
+    """
+    size, width = len(targets), max(map(len, targets)) + _END
+    lengths = np.array([len(q) for q in queries])
+    rows = np.zeros((lengths[0], size), np.intp)
+    codes = np.full((size, width), len(matrix), np.uint8)
+    for k, (q, t) in enumerate(zip(queries, targets, strict=True)):
+        rows[: len(q), k], codes[k, : len(t)] = q, t
+    profile = np.take(np.hstack((matrix, np.full((len(matrix), 1), _PAST))).astype(np.int16), codes, 1, mode="clip")
+    opening, extending = np.int16(open_), np.int16(extend)
+    live, lanes = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), "right").tolist(), np.arange(size)
+    best = np.zeros(size, np.int16)
+    h, f = np.zeros(size * width + 1, np.int16), np.full(size * width, -opening)
+    room, gaps = np.empty_like(f), np.empty_like(f)
+    zeros = np.zeros_like(f)  # an array: a scalar would not go by vectors
+    inside, cut = np.where(codes < len(matrix), np.int16(NARROW_LIMIT), np.int16(0)).ravel(), extend == 0
+    for i, b in enumerate(live):
+        cells = b * width
+        fb, x, e = f[:cells], room[:cells], gaps[:cells]
+        p = profile[rows[i, :b], lanes[:b]].reshape(cells)
+        np.subtract(fb, extending, out=fb)
+        np.subtract(h[1 : cells + 1], opening, out=x)
+        np.maximum(fb, x, out=fb)
+        np.add(p, h[:cells], out=p)
+        np.maximum(p, fb, out=p)
+        np.maximum(p, zeros[:cells], out=p)
+        top = p.reshape(b, width).max(1)
+        np.maximum(best[:b], top, out=best[:b])
+        most = int(top.max()) - open_
+        if most <= 0:
+            h[1 : cells + 1] = p
+            continue
+        # What gaps of up to ``far`` residues leave of the cell that they began after.
+        np.subtract(p, opening, out=e)
+        far, reach = 1, width if extend == 0 else (most - 1) // extend + 1
+        while far < min(reach, _END - 1):
+            np.subtract(e[:-far], np.int16(far * extend), out=x[far:])
+            np.maximum(e[far:], x[far:], out=e[far:])
+            far *= 2
+        if far < reach:  # target by target
+            cut = True
+            for k in np.flatnonzero((top > open_ + (far - 1) * extend)).tolist():
+                own, step = e[k * width : (k + 1) * width - 1], far
+                while step < min(reach, width - 1):
+                    np.maximum(own[step:], own[:-step] - np.int16(step * extend), out=own[step:])
+                    step *= 2
+        h[1] = p[0]
+        np.maximum(p[1:], e[:-1], out=h[2 : cells + 1])
+        if cut:
+            np.minimum(h[1 : cells + 1], inside[:cells], out=h[1 : cells + 1])
+    return best.tolist()
+
+
+def beside(queries: list[np.ndarray], targets: list[np.ndarray], open_: int = GAP_OPEN, extend: int = GAP_EXTEND, matrix: np.ndarray = MATRIX) -> np.ndarray:
+    """Local scores of each query with the target beside it; pairs that 16 bits may not hold go by themselves."""
+    out = np.zeros(len(targets), np.int64)
+    low = int(matrix.min()) < _LOWEST
+    group: list[int] = []
+
+    def solve():
+        order = sorted(group, key=lambda i: -len(queries[i]))
+        out[order] = _side_by_side([queries[i] for i in order], [targets[i] for i in order], open_, extend, matrix)
+        group.clear()
+
+    for i in np.argsort([-len(t) for t in targets], kind="stable").tolist():
+        m, n = len(queries[i]), len(targets[i])
+        if not m or not n:
+            continue
+        if low or top_of(matrix) * (min(m, n) + 1) + 2 * open_ + extend >= -_PAST:
+            out[i] = within("sw", queries[i], targets[i], open_, extend, False, matrix)
+            continue
+        # The first is the longest; ends of the others are cells for nothing.
+        if group and ((len(group) + 1) * len(targets[group[0]]) > BESIDE_CELLS or 2 * n <  len(targets[group[0]])):
+            solve()
+        group.append(i)
+    if group:
+        solve()
+    return out
+
+
 def batches(lengths: list[int], m: int, most: int = 16384, cells: int = COLUMN_CELLS, residues: int = 1 << 25, table: int = 1 << 26) -> list[tuple[int, int]]:
     """Stretches of a sorted list to score together: bounded in sequences, cells of a column, residues, and in sequences times the longest; never empty."""
     limit = max(1, min(most, cells // max(m, 1)))

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,6 +125,62 @@ def test_seeded_search(spark, database, tmp_path):
     assert seeding.seeded_search(targets.where("target_id < 0"), table).collect() == []
 
 
+@pytest.mark.parametrize("held", [1, 40, 1 << 20])
+def test_lookup_is_the_join_of_words(monkeypatch, held):
+    """Pairs with two seeds on a diagonal in one text, whatever number of seeds is taken at a time; texts do not meet."""
+    monkeypatch.setattr(seeding, "_HELD", held)
+    r = np.random.default_rng(5)
+    queries = {f"q{i}": r.integers(0, 4, n).astype(np.uint8) for i, n in enumerate((30, 3, 0, 60, 12))}
+    texts = [r.integers(0, int(r.choice([3, 5, 24])), int(n)).astype(np.uint8) for n in (0, 2, 5, 40, 200, 90, 3, 4, 61)]
+    texts += [queries["q3"][:4], queries["q3"][6:10], np.zeros(300, np.uint8)]
+    rows = [(w, name, p) for name, q in queries.items() for w, p in zip(*(x.tolist() for x in seeding.neighbourhood(q, 3, 14)), strict=True)]
+    asked = pa.table({"word": pa.array([x[0] for x in rows], pa.int64()), "query_id": [x[1] for x in rows], "q_pos": pa.array([x[2] for x in rows], pa.int32())})
+    want = set()
+    for i, t in enumerate(texts):
+        diagonals = {}
+        for w, at in zip(*(x.tolist() for x in seeding.words(t, 3)), strict=True):
+            for word, name, p in rows:
+                if word == w:
+                    diagonals.setdefault((name, at - p), set()).add(at)
+        want |= {(i, name) for (name, _), ats in diagonals.items() if any(3 <= y - x <= 20 for x in ats for y in ats)}
+    lookup = seeding._Lookup(asked, 3, 20)
+    got = [(i, lookup.names[q]) for i, q in lookup.pairs(texts)]
+    assert len(got) == len(set(got)) and set(got) == want and 3 < len(want) < len(texts) * len(queries)
+    assert lookup.pairs([]) == [] and seeding._Lookup(asked.slice(0, 0), 3, 20).pairs(texts) == []
+
+
+@pytest.mark.parametrize("algorithm", ["sw", "nw"])
+def test_search_without_an_index(spark, database, algorithm):
+    """The same rows as by the index; no word or seed is shuffled, and scores are dealt by an explicit number of tasks."""
+    queries, rows, targets = database
+    table = spark.createDataFrame(list(queries.items()), "query_id string, seq string")
+    found = seeding.seeded_search(targets, table, algorithm=algorithm)
+    got = sorted(map(tuple, found.collect()))
+    want = sorted(map(tuple, seeding.seeded_search(targets, table, seeding.word_rows(targets), algorithm).collect()))
+    assert len(got) > 3 and got == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "word#" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("costs", [(10, 1), (3, 0), (5, 2), (1, 1)])
+def test_pairs_beside_each_other(monkeypatch, costs):
+    """Each pair has the definition's score, with gaps longer than what lies between two targets."""
+    monkeypatch.setattr(kernels, "BESIDE_CELLS", 2000)
+    r = np.random.default_rng(7)
+    word = lambda n: r.integers(0, int(r.choice([2, 5, 24])), n).astype(np.uint8)
+    queries, targets = [], []
+    for k in range(40):
+        q = word(int(r.integers(0, 50)))
+        far = np.full(int(r.integers(0, 150)), 23, np.uint8)
+        queries.append(q)
+        targets.append(word(int(r.integers(0, 90))) if k % 2 else np.concatenate((word(9), q[: len(q) // 2], far, q[len(q) // 2 :])))
+    got = kernels.beside(queries, targets, *costs).tolist()
+    assert got == [kernels.scalar("sw", q, t, *costs) for q, t in zip(queries, targets, strict=True)]
+    # Scores beyond 16 bits.
+    w = np.full(2000, 17, np.uint8)
+    assert kernels.beside([w, w[:5]], [w, w]).tolist() == [22000, 55] and kernels.beside([], []).tolist() == []
+
+
 # ---- E-values ------------------------------------------------------------------------
 
 
