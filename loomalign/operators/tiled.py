@@ -7,12 +7,13 @@ anti-diagonal, of all pairs, are a round of independent tasks.  Between rounds
 edges alone are kept, two numbers a residue, as rows of a table in the shared
 folder: a round never repeats an earlier one, whatever executors are lost, and a
 task's memory depends on the tile and not on the pair.  A pair of m and n
-residues takes (m + n) / side rounds with up to min(m, n) / side tasks each.
+residues takes (m + n) / side rounds with up to min(m, n) / side tiles each.
 
-Within a tile the kernel goes by rows as ``kernels.within`` does, a band of rows
-after the other.  Cells are taken relative to the band's corner, so that 16 bits
-hold them wherever the edges and the side prove it, however large the scores are,
-and 32 bits serve elsewhere.  Pairs of equal texts are aligned once.
+A task aligns some tiles side by side, see ``lanes``; gap costs too high for that
+take a kernel that goes by rows of one tile as ``kernels.within`` does, a band of
+rows after the other, cells relative to the band's corner.  Pairs of equal texts
+are aligned once, and a text with itself not at all: its score is that of its
+residues.
 """
 
 from __future__ import annotations
@@ -24,10 +25,13 @@ from pyspark.sql import functions as F
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, algorithm_name, encode
 from loomalign.operators.kernels import TOP
+from loomalign.operators.lanes import Tile, align, groups
 from loomalign.sources.staged import drop, staged
 
 #: Residues of a tile's sides: wide, so that rounds are few and rows long, and some MB in memory.
 SIDE = 16_384
+#: Tiles of a task: two groups of like height.
+TILES = 16
 #: Rows that share a corner.
 BAND = 512
 #: Places that a running maximum takes by doubling; before whole blocks of them stands one maximum each.
@@ -141,7 +145,34 @@ def banded(q: np.ndarray, t: np.ndarray, top: tuple, left: tuple, local: bool, o
     return top, (np.concatenate(right_h), np.concatenate(right_g)), best
 
 
-_EDGES = "pair long, kind string, at int, h array<long>, g array<long>, score long"
+_EDGES = "pair long, kind string, at int, first long, h binary, g binary, score long"
+
+
+def packed(edge: tuple[np.ndarray, np.ndarray]) -> tuple[int, bytes, bytes]:
+    """An edge as its corner, the steps along it and the drops to its gaps, a byte each where they fit."""
+    h, g = edge
+    both = np.diff(h), h[1:] - g
+    kind = np.int8 if all(not len(x) or (x.min() >= -128 and x.max() < 128) for x in both) else np.int64
+    return int(h[0]), *(x.astype(kind).tobytes() for x in both)
+
+
+def unpacked(first: int, steps: bytes, drops: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    steps, drops = (np.frombuffer(x, np.int8 if len(x) == n else np.int64).astype(np.int64) for x in (steps, drops))
+    h = np.cumsum(np.concatenate(([first], steps)))
+    return h, h[1:] - drops
+
+
+def with_itself(q: np.ndarray, local: bool) -> int:
+    """The score of a text with itself, where a gap costs at least its residues.
+
+    No two residues score more than the mean of what each scores with itself, and
+    that is no less than -1: leaving one out for a gap gains nothing.
+    """
+    own = MATRIX.diagonal()[q].astype(np.int64)
+    if not local:
+        return int(own.sum())
+    sums = np.concatenate(([0], np.cumsum(own)))
+    return int((sums - np.minimum.accumulate(sums)).max())
 
 
 def _cut(pairs: DataFrame, column: str, length: str, name: str, side: int) -> DataFrame:
@@ -163,66 +194,88 @@ def massive_pairs(pairs: DataFrame, algorithm: str = "sw", side: int = SIDE, gap
     if side < 1:
         raise ValueError("the side of a tile is a positive number")
     spark = pairs.sparkSession
-    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cores = tasks or spark.sparkContext.defaultParallelism
     # Pairs of equal texts have equal hashes, 128 bits of each text.
     named = F.struct(*(F.xxhash64(F.lit(k), c).alias(f"{c}{k}") for c in ("query", "target") for k in (1, 2)))
     sized = pairs.select(F.col("pair").cast("long").alias("pair"), "query", "target", F.octet_length("query").alias("m"), F.octet_length("target").alias("n"), named.alias("texts"))
     sized = staged(sized, "pairs")
     first = sized.where("m > 0 and n > 0").groupBy("texts", "m", "n").agg(F.min("pair").alias("pair"))
-    whole = sized.join(first.select("pair"), "pair", "left_semi")
+    different = sized.join(first.select("pair"), "pair", "left_semi")
+    same = F.lit(gap_extend >= 1) & (F.col("query") == F.col("target"))
+    whole = different.where(~same)
     grid = sized.select("pair", F.ceil(F.col("m") / side).cast("int").alias("rows"), F.ceil(F.col("n") / side).cast("int").alias("columns"))
-    size = whole.agg(F.max(F.ceil(F.col("m") / side) + F.ceil(F.col("n") / side)).alias("d")).first().d
+    # How many tiles each anti-diagonal has.
+    shapes = whole.select("pair").join(grid, "pair").groupBy("rows", "columns").agg(F.count("*").alias("pairs"))
+    rounds = shapes.select("pairs", "rows", "columns", F.explode(F.sequence(F.lit(0), F.col("rows") + F.col("columns") - 2)).alias("d"))
+    tiles_of = F.least(F.col("d"), F.col("rows") - 1) - F.greatest(F.lit(0), F.col("d") - F.col("columns") + 1) + 1
+    counts = [r.tiles for r in rounds.groupBy("d").agg(F.sum(F.col("pairs") * tiles_of).alias("tiles")).orderBy("d").collect()]
     gap = lambda k: -(F.lit(gap_open) + (k - 1) * gap_extend)
     border = F.when(F.col("m").isNull() | F.col("n").isNull(), F.lit(None)).when(F.lit(local) | ((F.col("m") == 0) & (F.col("n") == 0)), F.lit(0)).otherwise(gap(F.greatest("m", "n")))
     plain = sized.where("m is null or n is null or m = 0 or n = 0").select("pair", border.cast("long").alias("score"))
-    if size is None:
-        return plain
+
+    def themselves(batches):
+        for batch in batches:
+            found = [with_itself(encode(q), local) for q in batch.column("query").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found, pa.int64())], ["pair", "score"])
+
+    scored = different.where(same).select("pair", "query").mapInArrow(themselves, "pair long, score long")
     q_parts, t_parts = staged(_cut(whole, "query", "m", "r", side), "query"), staged(_cut(whole, "target", "n", "c", side), "target")
 
     def solve(batches):
+        names = [f"{kind}_{x}" for kind in ("top", "left") for x in ("first", "h", "g")]
         for batch in batches:
-            edges = [f"{kind}_{x}" for kind in ("top", "left") for x in "hg"]
-            for i, row in enumerate(batch.drop_columns(edges).to_pylist()):
-                q, t, r, c = encode(row["r_seq"]), encode(row["c_seq"]), row["r"], row["c"]
-                known = {x: batch.column(x)[i].values for x in edges}
-                edge = lambda kind, k, n: (known[f"{kind}_h"].to_numpy(), known[f"{kind}_g"].to_numpy()) if known[f"{kind}_h"] is not None else outer_edge(local, k * side, n, gap_open, gap_extend)  # noqa: E731, B023
-                lower, right, best = banded(q, t, edge("top", c, len(t)), edge("left", r, len(q)), local, gap_open, gap_extend, wide)
-                last = r == row["rows"] - 1 and c == row["columns"] - 1
-                score = best if local else int(lower[0][-1]) if last else None
+            rows, tiles = batch.drop_columns(["r_seq", "c_seq"]).to_pylist(), []
+            for i, row in enumerate(rows):
+                q, t = (encode(batch.column(x)[i].as_py()) for x in ("r_seq", "c_seq"))
+                edge = lambda kind, k, n: outer_edge(local, k * side, n, gap_open, gap_extend) if row[f"{kind}_h"] is None else unpacked(*(row[x] for x in names if x.startswith(kind)), n)  # noqa: E731, B023
+                tiles.append(Tile(q, t, edge("top", row["c"], len(t)), edge("left", row["r"], len(q))))
+            of = {id(x): row for x, row in zip(tiles, rows, strict=True)}
+            for group in groups(tiles):
+                beside = any(of[id(x)]["c"] < of[id(x)]["columns"] - 1 for x in group)
+                edges = [(x.lower, x.left) for x in group]
+                if align(group, local, gap_open, gap_extend, wide, beside):
+                    done = [(x.lower, x.right if beside else None, x.best) for x in group]
+                else:
+                    done = [banded(x.q, x.t, *e, local, gap_open, gap_extend, wide) for x, e in zip(group, edges, strict=True)]
                 out = []
-                # The lower edge is the upper one of the tile below, the right edge the left one of the tile beside.
-                if r < row["rows"] - 1:
-                    out.append((row["pair"], "top", c, lower[0], lower[1], None))
-                if c < row["columns"] - 1:
-                    out.append((row["pair"], "left", r, right[0], right[1], None))
-                if score is not None:
-                    out.append((row["pair"], "score", 0, None, None, score))
-                if out:
-                    columns = list(zip(*out, strict=True))
-                    kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], ["pair", "kind", "at", "h", "g", "score"])
+                for x, (lower, right, best) in zip(group, done, strict=True):
+                    row = of[id(x)]
+                    below, last = row["r"] < row["rows"] - 1, row["c"] == row["columns"] - 1
+                    # The lower edge is the upper one of the tile below, the right edge the left one of the tile beside.
+                    if below:
+                        out.append((row["pair"], "top", row["c"], *packed(lower), None))
+                    if not last:
+                        out.append((row["pair"], "left", row["r"], *packed(right), None))
+                    if local or (last and not below):
+                        out.append((row["pair"], "score", 0, None, None, None, int(best) if local else int(lower[0][-1])))
+                kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], ["pair", "kind", "at", "first", "h", "g", "score"])
 
     state = None
-    for d in range(int(size) - 1):
+    for d, count in enumerate(counts):
         tiles = q_parts.withColumn("c", F.lit(d) - F.col("r")).where("c >= 0").join(t_parts, ["pair", "c"]).join(grid, "pair")
         if state is None:
-            none = F.lit(None).cast("array<long>")
-            tiles = tiles.select("*", none.alias("top_h"), none.alias("top_g"), none.alias("left_h"), none.alias("left_g"))
+            none = [F.lit(None).cast(t).alias(f"{kind}_{x}") for kind in ("top", "left") for x, t in (("first", "long"), ("h", "binary"), ("g", "binary"))]
+            tiles = tiles.select("*", *none)
         else:
-            of = lambda kind, at: state.where(F.col("kind") == kind).select("pair", F.col("at").alias(at), F.col("h").alias(f"{kind}_h"), F.col("g").alias(f"{kind}_g"))  # noqa: E731, B023
+            of = lambda kind, at: state.where(F.col("kind") == kind).select("pair", F.col("at").alias(at), *(F.col(x).alias(f"{kind}_{x}") for x in ("first", "h", "g")))  # noqa: E731, B023
             tiles = tiles.join(of("top", "c"), ["pair", "c"], "left").join(of("left", "r"), ["pair", "r"], "left")
-        # Round robin: each tile costs the same, and a hash would give some tasks two and others none.
-        new = tiles.repartition(tasks).mapInArrow(solve, _EDGES)
+        # Round robin: each tile costs about the same, and a hash would give some tasks many and others none.
+        new = tiles.repartition(min(count, -(-count // (TILES * cores)) * cores)).mapInArrow(solve, _EDGES)
         if state is not None:
             new = new.unionByName(state.where("kind = 'score'"))
         following = staged(new, "edges")
         if state is not None:
             drop(state)
         state = following
-    aligned = first.join(state.where("kind = 'score'").groupBy("pair").agg(F.max("score").alias("score")), "pair").drop("pair")
+    if state is not None:
+        scored = scored.unionByName(state.where("kind = 'score'").groupBy("pair").agg(F.max("score").alias("score")))
+    aligned = first.join(scored, "pair").drop("pair")
     scores = staged(sized.select("pair", "texts", "m", "n").join(aligned, ["texts", "m", "n"]).select("pair", "score").unionByName(plain), "scores")
     for table in (state, q_parts, t_parts, sized):
-        drop(table)
+        if table is not None:
+            drop(table)
     return scores
 
 
