@@ -25,12 +25,12 @@ from pyspark.sql import functions as F
 
 from loomalign.functions.scoring import GAP_EXTEND, GAP_OPEN, MATRIX, algorithm_name, encode
 from loomalign.operators.kernels import TOP
-from loomalign.operators.lanes import Tile, align, groups
+from loomalign.operators.lanes import COLUMNS, Tile, align, groups
 from loomalign.sources.staged import drop, staged
 
 #: Residues of a tile's sides: wide, so that rounds are few and rows long, and some MB in memory.
 SIDE = 16_384
-#: Tiles of a task: two groups of like height.
+#: Tiles of a task: one group or, globally, two of like height.
 TILES = 16
 #: Rows that share a corner.
 BAND = 512
@@ -230,7 +230,7 @@ def massive_pairs(pairs: DataFrame, algorithm: str = "sw", side: int = SIDE, gap
                 edge = lambda kind, k, n: outer_edge(local, k * side, n, gap_open, gap_extend) if row[f"{kind}_h"] is None else unpacked(*(row[x] for x in names if x.startswith(kind)), n)  # noqa: E731, B023
                 tiles.append(Tile(q, t, edge("top", row["c"], len(t)), edge("left", row["r"], len(q))))
             of = {id(x): row for x, row in zip(tiles, rows, strict=True)}
-            for group in groups(tiles):
+            for group in groups(tiles, COLUMNS * 2 if local else COLUMNS):
                 beside = any(of[id(x)]["c"] < of[id(x)]["columns"] - 1 for x in group)
                 edges = [(x.lower, x.left) for x in group]
                 if align(group, local, gap_open, gap_extend, wide, beside):

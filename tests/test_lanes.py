@@ -67,6 +67,60 @@ def test_scores_beyond_16_bits(local):
     assert want > 32_767 and (x.best if local else int(x.lower[0][-1])) == want
 
 
+def test_low_scores_go_by_bytes(monkeypatch):
+    """Rows by bytes until a cell might not fit, and again where none can; the edges and best cells stay the same."""
+    calls = {"_low_band": 0, "_band": 0}
+
+    def counted(name, kept):
+        def call(*args):
+            calls[name] += 1
+            return kept(*args)
+
+        return call
+
+    for name in calls:
+        monkeypatch.setattr(lanes, name, counted(name, getattr(lanes, name)))
+    r = np.random.default_rng(6)
+    for k in range(80):
+        tiles, want = [], []
+        for _ in range(int(r.integers(1, 5))):
+            m, n = r.integers(1, 400, 2)
+            q, t = r.integers(0, 24, m).astype(np.uint8), r.integers(0, 24, n).astype(np.uint8)
+            for _ in range(k % 4):
+                i, j = int(r.integers(0, m)), int(r.integers(0, n))
+                size = min(int(r.integers(5, 70)), m - i, n - j)
+                t[j : j + size] = q[i : i + size]
+            top, left = tiled.outer_edge(True, 0, len(t)), tiled.outer_edge(True, 0, len(q))
+            tiles.append(lanes.Tile(q, t, top, left))
+            want.append(tiled.tile(q, t, top, left, True))
+        assert lanes.align(tiles, True, band=int(r.integers(1, 80)))
+        for x, (lower, right, best) in zip(tiles, want, strict=True):
+            assert (x.lower[0] == lower[0]).all() and (x.right[0] == right[0]).all() and x.best == best
+    assert calls["_low_band"] > 100 and calls["_band"] > 20
+    x = lanes.Tile(q, t, top, left)
+    lanes.align([x], True, 11, 1)  # other gap costs do not go by bytes
+    assert x.best == kernels.scalar("sw", q, t, 11, 1)
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_best_cells_that_come_in_from_the_left(wide):
+    """A good alignment of the tile, then a better one that enters and ends between two looks at the best cell."""
+    r = np.random.default_rng(7)
+    for k in range(120):
+        q, t = r.integers(0, 20, 300).astype(np.uint8), np.full(400, 17, np.uint8)
+        q[110:] = 18
+        t[300:340] = q[5:45]
+        passes, end = 1 + k // 4 % 6, 88 + 3 * (k % 4)  # residues of the better one beyond the edge, the row that it ends before
+        size = 42 + k % 3
+        t[200 + passes - size : 200 + passes] = q[end - size : end]
+        q[end:] = 18
+        first = lanes.Tile(q, t[:200], tiled.outer_edge(True, 0, 200), tiled.outer_edge(True, 0, 300))
+        assert lanes.align([first], True, wide=wide)
+        second = lanes.Tile(q, t[200:], tiled.outer_edge(True, 200, 200), first.right)
+        assert lanes.align([second], True, wide=wide)
+        assert max(first.best, second.best) == kernels.within("sw", q, t)
+
+
 def test_groups_are_bounded():
     side = lambda n: (np.zeros(n + 1, np.int64), np.zeros(n, np.int64))
     tiles = [lanes.Tile(np.zeros(m, np.uint8), np.zeros(n, np.uint8), side(n), side(m)) for m, n in [(3, 40), (9, 70), (5, 50), (1, 200)]]
