@@ -66,7 +66,7 @@ class Tile:
         if kind not in self._profiles:
             codes = np.full(-(-len(self.t) // (STRETCH * CHAIN)) * STRETCH * CHAIN, len(MATRIX), np.intp)
             codes[: len(self.t)] = self.t
-            scores = np.hstack((MATRIX + 2 * extend, np.full((len(MATRIX), 1), pad))).astype(np.int8 if small else kind)
+            scores = np.hstack((MATRIX.astype(np.int64) + 2 * extend, np.full((len(MATRIX), 1), pad))).astype(np.int8 if small else kind)
             self._profiles[kind] = list(np.take(scores, np.ascontiguousarray(_laid(codes)), 1))
         return self._profiles[kind]
 
@@ -76,7 +76,7 @@ class Tile:
         if "low" not in self._profiles:
             codes = np.full((-(-len(self.t) // STRETCH) + _BETWEEN) * STRETCH, len(MATRIX), np.intp)
             codes[: len(self.t)] = self.t
-            scores = np.hstack((MATRIX + 2, np.full((len(MATRIX), 1), 2 - _LOW))).astype(np.int8)
+            scores = np.hstack((MATRIX.astype(np.int64) + 2, np.full((len(MATRIX), 1), 2 - _LOW))).astype(np.int8)
             self._profiles["low"] = list(np.take(scores, np.ascontiguousarray(codes.reshape(-1, STRETCH).T), 1))
         return self._profiles["low"]
 

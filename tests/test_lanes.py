@@ -164,3 +164,32 @@ def test_texts_with_themselves_are_not_cut(spark, algorithm, monkeypatch):
         assert got == {k: None if q is None else int(kernels.scalar(algorithm, encode(q), encode(t), 3, extend)) for k, q, t in rows}
         assert cut == [count, count]
         cut.clear()
+
+
+@pytest.mark.parametrize("algorithm", ["sw", "nw"])
+@pytest.mark.parametrize("gaps", [(1 << 33, 1), (40_000, 300)])
+def test_any_gap_costs(spark, algorithm, gaps):
+    """Costs beyond 16 and beyond 32 bits."""
+    r = np.random.default_rng(8)
+    word = lambda n: "".join(r.choice(list("ARNDCQEGHILKMFPSTWYV"), n))
+    core = word(50)
+    rows = [(1, word(20) + core, core + word(60)), (2, word(70), word(70))]
+    pairs = spark.createDataFrame(rows, "pair long, query string, target string")
+    got = {r.pair: r.score for r in tiled.massive_pairs(pairs, algorithm, side=32, gap_open=gaps[0], gap_extend=gaps[1]).collect()}
+    assert got == {k: scalar(algorithm, q, t, *gaps) for k, q, t in rows}
+
+
+def scalar(algorithm, q, t, open_, extend):
+    """The definition in whole numbers of any size."""
+    q, t, local = encode(q), encode(t), algorithm == "sw"
+    gap = lambda k: open_ + (k - 1) * extend if k else 0
+    above = [0 if local else -gap(j) for j in range(len(t) + 1)]
+    f, best = [-(1 << 60)] * (len(t) + 1), 0
+    for i, a in enumerate(q, 1):
+        row, e = [0 if local else -gap(i)], -(1 << 60)
+        for j, b in enumerate(t, 1):
+            e = max(e - extend, row[-1] - open_)
+            f[j] = max(f[j] - extend, above[j] - open_)
+            row.append(max(above[j - 1] + int(MATRIX[a, b]), e, f[j], *([0] if local else [])))
+        above, best = row, max(best, *row)
+    return best if local else above[-1]
